@@ -74,8 +74,13 @@ def round_half_up(x: Column, digits: int) -> Column:
     """Round half up at ``digits`` decimals, robust to last-bit noise of float sums.
 
     A mean that is exactly ``…5`` in decimal can come out one ulp either side
-    depending on summation order; the 1e-9 nudge makes every engine round such
-    ties the same way (up).
+    depending on summation order, and engines disagree on how to round such a
+    value; adding 1e-6 of the last unit first makes every engine round it the
+    same way (up). Infinity and NULL pass through.
     """
-    scale = float(10 ** digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5 + 1e-9)) / F.lit(scale)
+    return F.round(x + F.lit(1e-6 * 10.0 ** (-digits)), digits)
+
+
+def r6(x: Column) -> Column:
+    """Output rounding used by every metric table (6 decimals)."""
+    return round_half_up(x, 6)

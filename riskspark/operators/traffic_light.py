@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.binomial import binomial_stats
-from riskspark.functions.bins import bin_right, edges_literal, linspace, round_half_up
+from riskspark.functions.bins import bin_right, edges_literal, linspace, r6, round_half_up
 from riskspark.operators.kernels import exact_quantiles, linear_quantile_probs
 
 # Colour and interpretation labels of the Basel five-colour table
@@ -126,9 +126,10 @@ def tl_probability_bins(df: DataFrame, by=("model", "split"), y: str = "y", p: s
     precision = F.when(F.col("predicted_rate") > 0,
                        1 - F.abs(F.col("observed_rate") - F.col("predicted_rate")) / F.col("predicted_rate")
                        ).otherwise(F.lit(0.0))
-    return agg.withColumn("precision", precision).withColumn(
-        "status", F.when(F.col("precision") > 0.8, "green")
-        .when(F.col("precision") > 0.6, "yellow").otherwise("red"))
+    return agg.select(
+        *by, "group", r6(F.col("observed_rate")).alias("observed_rate"),
+        r6(F.col("predicted_rate")).alias("predicted_rate"), "size", r6(precision).alias("precision"),
+        F.when(precision > 0.8, "green").when(precision > 0.6, "yellow").otherwise("red").alias("status"))
 
 
 def tl_probability_summary(bins: DataFrame, by=("model", "split")) -> DataFrame:
@@ -138,8 +139,8 @@ def tl_probability_summary(bins: DataFrame, by=("model", "split")) -> DataFrame:
         F.count(F.lit(1)).alias("total_groups"),
         F.count_if(F.col("precision") > 0.8).alias("green_groups"))
     share = F.col("green_groups") / F.col("total_groups")
-    return s.withColumn("green_percentage", share).withColumn(
-        "status", F.when(share >= 0.8, "green").when(share >= 0.6, "yellow").otherwise("red"))
+    return s.select(*by, "total_groups", "green_groups", r6(share).alias("green_percentage"),
+                    F.when(share >= 0.8, "green").when(share >= 0.6, "yellow").otherwise("red").alias("status"))
 
 
 # ---------------------------------------------------------------- V2
@@ -148,9 +149,11 @@ def tl_decile_tolerance(df: DataFrame, by=("model", "split"), y: str = "y", p: s
     """Deciles; colour by |actual - predicted| (<= 0.05 green, <= 0.10 yellow)."""
     s = decile_summary(df, by, y, p, n_groups)
     diff = F.abs(F.col("actual_rate") - F.col("predicted_rate"))
-    return s.select(*_by(by), "decile", "actual_rate", "predicted_rate", diff.alias("difference"),
+    return s.select(*_by(by), "decile", r6(F.col("actual_rate")).alias("actual_rate"),
+                    r6(F.col("predicted_rate")).alias("predicted_rate"), r6(diff).alias("difference"),
                     F.when(diff <= 0.05, "green").when(diff <= 0.10, "yellow").otherwise("red").alias("color"),
-                    "size", "min_prob", "max_prob", F.col("predicted_rate").alias("avg_prob"))
+                    "size", r6(F.col("min_prob")).alias("min_prob"), r6(F.col("max_prob")).alias("max_prob"),
+                    r6(F.col("predicted_rate")).alias("avg_prob"))
 
 
 def colour_shares(table: DataFrame, by=("model", "split"), colour_col: str = "color",
@@ -160,7 +163,7 @@ def colour_shares(table: DataFrame, by=("model", "split"), colour_col: str = "co
     n = F.count(F.lit(1))
     return table.groupBy(*by).agg(
         n.alias("total_groups"),
-        *[(F.count_if(F.col(colour_col) == c) / n * 100.0).alias(f"{c}_percentage") for c in colours])
+        *[r6(F.count_if(F.col(colour_col) == c) / n * 100.0).alias(f"{c}_percentage") for c in colours])
 
 
 # ---------------------------------------------------------------- V3
@@ -178,20 +181,21 @@ def tl_decile_statistical(df: DataFrame, by=("model", "split"), y: str = "y", p:
         "_st", binomial_stats(F.col("_k"), F.col("size"), F.col("predicted_rate"), method))
     pv = F.col("_st.p_value")
     return s.select(
-        *_by(by), "decile", "actual_rate", "predicted_rate",
-        F.abs(F.col("actual_rate") - F.col("predicted_rate")).alias("difference"),
-        pv.alias("p_value"),
+        *_by(by), "decile", r6(F.col("actual_rate")).alias("actual_rate"),
+        r6(F.col("predicted_rate")).alias("predicted_rate"),
+        r6(F.abs(F.col("actual_rate") - F.col("predicted_rate"))).alias("difference"),
+        r6(pv).alias("p_value"),
         F.when(pv > alpha, "green").when(pv > alpha / 2, "yellow").otherwise("red").alias("color"),
-        "size", "min_prob", "max_prob", F.col("predicted_rate").alias("avg_prob"),
-        (F.col("_st.ci_lo") / F.col("size")).alias("ci_lower"),
-        (F.col("_st.ci_hi") / F.col("size")).alias("ci_upper"),
+        "size", r6(F.col("min_prob")).alias("min_prob"), r6(F.col("max_prob")).alias("max_prob"),
+        r6(F.col("predicted_rate")).alias("avg_prob"),
+        r6(F.col("_st.ci_lo") / F.col("size")).alias("ci_lower"),
+        r6(F.col("_st.ci_hi") / F.col("size")).alias("ci_upper"),
         (pv < alpha).alias("significant"))
 
 
 # ---------------------------------------------------------------- V4
-def tl_range_midpoint(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p",
-                      with_total: bool = True) -> DataFrame:
-    """Ten fixed ranges; binomial test against the midpoint of each range label."""
+def range_midpoint_bins(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
+    """Per (group, fixed range): count, successes, label midpoint, rate, p-value."""
     by = _by(by)
     edges = edges_literal(RANGE_EDGES)
     labels = F.array(*[F.lit(x) for x in RANGE_LABELS])
@@ -201,12 +205,20 @@ def tl_range_midpoint(df: DataFrame, by=("model", "split"), y: str = "y", p: str
         F.count(F.lit(1)).alias("Total_Registros"),
         F.sum(F.col(y).cast("long")).alias("Cantidad_1"))
     agg = agg.withColumn("_mid", F.element_at(mids, F.col("_bin"))) \
-             .withColumn("_rate", F.col("Cantidad_1") / F.col("Total_Registros")) \
-             .withColumn("_st", binomial_stats(F.col("Cantidad_1"), F.col("Total_Registros"), F.col("_mid")))
+             .withColumn("_label", F.element_at(labels, F.col("_bin"))) \
+             .withColumn("_rate", F.col("Cantidad_1") / F.col("Total_Registros"))
+    return agg.withColumn("_st", binomial_stats(F.col("Cantidad_1"), F.col("Total_Registros"), F.col("_mid")))
+
+
+def tl_range_midpoint(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p",
+                      with_total: bool = True) -> DataFrame:
+    """Ten fixed ranges; binomial test against the midpoint of each range label."""
+    by = _by(by)
+    agg = range_midpoint_bins(df, by, y, p)
     pv = F.col("_st.p_value")
     n, k = F.col("Total_Registros"), F.col("Cantidad_1")
     detail = {
-        "Rango_Probabilidad": F.element_at(labels, F.col("_bin")),
+        "Rango_Probabilidad": F.col("_label"),
         "Total_Registros": n, "Cantidad_1": k, "Cantidad_0": n - k,
         "Porcentaje_0": round_half_up((n - k) / n * 100.0, 2),
         "Porcentaje_1": round_half_up(k / n * 100.0, 2),
@@ -308,7 +320,7 @@ def basel_verdict(deciles: DataFrame, by=("model", "split"), colour_col: str = "
     t = deciles.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_ranges"),
         *[F.count_if(F.col(colour_col) == c).alias(f"{n}_count") for n, c in names])
-    shares = [(F.col(f"{n}_count") / F.col("total_ranges")).alias(f"{n}_share") for n, _ in names]
+    shares = [r6(F.col(f"{n}_count") / F.col("total_ranges")).alias(f"{n}_share") for n, _ in names]
     verdict = (F.when(F.col("green_count") >= 7, VERDICT_APPROVED)
                .when(F.col("green_count") >= 5, VERDICT_ACCEPTABLE).otherwise(VERDICT_REJECTED))
     return t.select("*", *shares, verdict.alias("verdict"))
@@ -321,12 +333,15 @@ def tl_all_models(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "
     v3 = tl_decile_statistical(df, by, y, p).select(
         F.lit("statistical").alias("method"), *by, F.col("decile").cast("string").alias("bin"),
         F.col("size").alias("n"), "p_value", "color")
-    v4 = tl_range_midpoint(df, by, y, p, with_total=False).select(
-        F.lit("range_midpoint").alias("method"), *by, F.col("Rango_Probabilidad").alias("bin"),
-        F.col("Total_Registros").alias("n"), F.col("P_Value").alias("p_value"), F.col("Color").alias("color"))
+    rm = range_midpoint_bins(df, by, y, p)
+    pv4 = F.col("_st.p_value")
+    v4 = rm.select(
+        F.lit("range_midpoint").alias("method"), *by, F.col("_label").alias("bin"),
+        F.col("Total_Registros").alias("n"), r6(pv4).alias("p_value"),
+        F.when(pv4 > 0.05, BASEL_GREEN).when(pv4 > 0.025, BASEL_YELLOW).otherwise(BASEL_RED).alias("color"))
     v5 = basel_deciles(df, by, y, p).select(
         F.lit("basel").alias("method"), *by, F.col("decile").cast("string").alias("bin"),
-        F.col("size").alias("n"), "p_value", "color")
+        F.col("size").alias("n"), r6(F.col("p_value")).alias("p_value"), "color")
     return v3.unionByName(v4).unionByName(v5)
 
 
@@ -341,11 +356,11 @@ def binomial_table(df: DataFrame, by=("model",), y: str = "y", p: str = "p",
                    binomial_stats(k, n, r, "greater", confidence).alias("_gt"),
                    binomial_stats(k, n, r, "less", confidence).alias("_lt"),
                    binomial_stats(k, n, r, "minlike", confidence).alias("_ml"))
-    return out.select(*by, "decile", "size", "n_success", "predicted_rate",
-                      F.col("_dt.p_value").alias("p_double_tail"),
-                      F.col("_gt.p_value").alias("p_greater"),
-                      F.col("_lt.p_value").alias("p_less"),
-                      F.col("_ml.p_value").alias("p_minlike"),
+    return out.select(*by, "decile", "size", "n_success", r6(F.col("predicted_rate")).alias("predicted_rate"),
+                      r6(F.col("_dt.p_value")).alias("p_double_tail"),
+                      r6(F.col("_gt.p_value")).alias("p_greater"),
+                      r6(F.col("_lt.p_value")).alias("p_less"),
+                      r6(F.col("_ml.p_value")).alias("p_minlike"),
                       F.col("_dt.ci_lo").alias("ci_lo_count"),
                       F.col("_dt.ci_hi").alias("ci_hi_count"))
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskspark.operators import evaluate as ev
 from riskspark.operators import traffic_light as tl
 from riskspark.sources import fixtures as fx
 
@@ -27,3 +28,112 @@ def register(name: str):
 @register("tl_basel")
 def q_tl_basel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.tl_basel(fx.stored(spark, sf_dir, "scored_split"), by=["model", "split"])
+
+
+def _split(spark, sf_dir):
+    return fx.stored(spark, sf_dir, "scored_split")
+
+
+MS = ["model", "split"]
+
+
+@register("tl_probability_bins")
+def q_tl_probability_bins(spark, sf_dir):
+    return tl.tl_probability_bins(_split(spark, sf_dir), MS)
+
+
+@register("tl_probability_summary")
+def q_tl_probability_summary(spark, sf_dir):
+    return tl.tl_probability_summary(tl.tl_probability_bins(_split(spark, sf_dir), MS), MS)
+
+
+@register("tl_decile_tolerance")
+def q_tl_decile_tolerance(spark, sf_dir):
+    return tl.tl_decile_tolerance(_split(spark, sf_dir), MS)
+
+
+@register("tl_decile_colour_shares")
+def q_tl_decile_colour_shares(spark, sf_dir):
+    return tl.colour_shares(tl.tl_decile_tolerance(_split(spark, sf_dir), MS), MS)
+
+
+@register("tl_decile_statistical")
+def q_tl_decile_statistical(spark, sf_dir):
+    return tl.tl_decile_statistical(_split(spark, sf_dir), MS)
+
+
+@register("tl_range_midpoint")
+def q_tl_range_midpoint(spark, sf_dir):
+    return tl.tl_range_midpoint(_split(spark, sf_dir), MS)
+
+
+@register("basel_verdict")
+def q_basel_verdict(spark, sf_dir):
+    return tl.basel_verdict(tl.basel_deciles(_split(spark, sf_dir), MS), MS)
+
+
+@register("binomial_test_table")
+def q_binomial_test_table(spark, sf_dir):
+    return tl.binomial_table(fx.stored(spark, sf_dir, "scored"), ["model"])
+
+
+@register("tl_all_models")
+def q_tl_all_models(spark, sf_dir):
+    return tl.tl_all_models(_split(spark, sf_dir), MS)
+
+
+@register("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return ev.classification_metrics(_split(spark, sf_dir), MS)
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return ev.confusion_matrix(_split(spark, sf_dir), MS)
+
+
+def _curve(cols):
+    def q(spark, sf_dir):
+        return ev.curve_metrics(_split(spark, sf_dir), MS).select(*MS, "n_pos", "n_neg", *cols)
+    return q
+
+
+register("auc_roc")(_curve(["auc_roc"]))
+register("auc_pr")(_curve(["auc_pr"]))
+register("gini")(_curve(["gini"]))
+register("ks_good_bad")(_curve(["ks_statistic"]))
+
+
+@register("psi_pooled")
+def q_psi_pooled(spark, sf_dir):
+    return ev.psi_pooled(_split(spark, sf_dir), ["model"], "split", "train")
+
+
+@register("psi_fixed")
+def q_psi_fixed(spark, sf_dir):
+    return ev.psi_fixed(_split(spark, sf_dir), ["model"], "split", "train")
+
+
+@register("stability_status")
+def q_stability_status(spark, sf_dir):
+    return ev.psi_with_status(_split(spark, sf_dir), ["model"], "split", "train")
+
+
+@register("population_stability")
+def q_population_stability(spark, sf_dir):
+    return ev.population_stability(fx.stored(spark, sf_dir, "populations"), ["model"])
+
+
+@register("ks_scores")
+def q_ks_scores(spark, sf_dir):
+    return ev.ks_scores(fx.stored(spark, sf_dir, "populations"), ["model"])
+
+
+@register("evaluate_models")
+def q_evaluate_models(spark, sf_dir):
+    return ev.evaluate_models(_split(spark, sf_dir), ["model"], "split", "train")
+
+
+@register("out_of_time_eval")
+def q_out_of_time_eval(spark, sf_dir):
+    return ev.out_of_time_eval(fx.stored(spark, sf_dir, "scored"), "as_of", "1999-01-01", ["model"])
