@@ -10,7 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from riskspark.operators import evaluate as ev
+from riskspark.operators import profile as pr
+from riskspark.operators import transform as tr
 from riskspark.operators import traffic_light as tl
 from riskspark.sources import fixtures as fx
 
@@ -137,3 +141,82 @@ def q_evaluate_models(spark, sf_dir):
 @register("out_of_time_eval")
 def q_out_of_time_eval(spark, sf_dir):
     return ev.out_of_time_eval(fx.stored(spark, sf_dir, "scored"), "as_of", "1999-01-01", ["model"])
+
+
+def round_doubles(df: DataFrame) -> DataFrame:
+    """Presentation rounding (6 dp) of every DOUBLE column of a query result."""
+    from pyspark.sql import types as T
+
+    from riskspark.functions.bins import r6
+    return df.select(*[r6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+# ---------------------------------------------------------------- profiling / transforms
+KEYS = ["loan_id", "customer_id"]
+
+
+def _dirty(spark, sf_dir):
+    return fx.stored(spark, sf_dir, "loans_dirty")
+
+
+def _loans(spark, sf_dir):
+    return fx.stored(spark, sf_dir, "loans")
+
+
+register("basic_info")(lambda spark, d: pr.basic_info(_dirty(spark, d)))
+register("missing_profile")(lambda spark, d: pr.missing_profile(_dirty(spark, d)))
+register("duplicate_profile")(lambda spark, d: pr.duplicate_profile(_dirty(spark, d)))
+register("cardinality_profile")(lambda spark, d: pr.cardinality_profile(_dirty(spark, d)))
+register("iqr_outliers")(lambda spark, d: pr.iqr_outliers(_dirty(spark, d)))
+register("correlation_pairs")(lambda spark, d: pr.correlation_pairs(_dirty(spark, d)))
+register("correlation_summary")(lambda spark, d: pr.correlation_summary(_dirty(spark, d)))
+register("target_correlation")(lambda spark, d: pr.target_correlation(_dirty(spark, d), "target"))
+register("frame_gate")(lambda spark, d: pr.frame_gate(_dirty(spark, d)))
+register("quality_report")(lambda spark, d: pr.quality_report(_dirty(spark, d), "target"))
+register("column_metadata")(lambda spark, d: pr.column_metadata(_dirty(spark, d)))
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    rows = _split(spark, sf_dir).where(F.col("model") == "model_a")
+    return pr.class_distribution(rows, "split", "y", feature_cols=["segment", "as_of", "p"])
+
+
+register("detect_types")(lambda spark, d: tr.detect_types_table(_dirty(spark, d)))
+register("impute")(lambda spark, d: tr.impute(_dirty(spark, d), "median"))
+register("impute_mean")(lambda spark, d: round_doubles(tr.impute(_dirty(spark, d), "mean")))
+register("impute_drop")(lambda spark, d: tr.impute(_dirty(spark, d), "drop"))
+register("label_encode")(lambda spark, d: tr.label_encode(_dirty(spark, d), "target"))
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    ln = _loans(spark, sf_dir)
+    return round_doubles(tr.standard_scale(ln, tr.detect_types(ln, exclude=KEYS)["numeric"]))
+
+
+@register("interaction_feature")
+def q_interaction_feature(spark, sf_dir):
+    out = tr.interaction_feature(_loans(spark, sf_dir), exclude=KEYS)
+    return out.select("loan_id", out.columns[-1])
+
+
+@register("squared_feature")
+def q_squared_feature(spark, sf_dir):
+    out = tr.squared_feature(_loans(spark, sf_dir), exclude=KEYS)
+    return out.select("loan_id", out.columns[-1])
+
+
+register("preprocess")(lambda spark, d: round_doubles(tr.preprocess(_dirty(spark, d), "target", KEYS)[0]))
+
+
+@register("binarize_target")
+def q_binarize_target(spark, sf_dir):
+    ln = _loans(spark, sf_dir).select("loan_id", F.when(F.col("target") == 1, 2).otherwise(1).alias("class"))
+    return ln.withColumn("default", tr.binarize_target("class"))
+
+
+register("select_features")(lambda spark, d: tr.select_features(
+    _loans(spark, d).select("loan_id", "amount", "balance", "target")))
+register("generator_prepare")(lambda spark, d: tr.generator_prepare(_dirty(spark, d), KEYS))
