@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import evaluate as ev
 from riskspark.operators import profile as pr
+from riskspark.operators import split as sp
 from riskspark.operators import transform as tr
 from riskspark.operators import traffic_light as tl
 from riskspark.sources import fixtures as fx
@@ -220,3 +221,17 @@ def q_binarize_target(spark, sf_dir):
 register("select_features")(lambda spark, d: tr.select_features(
     _loans(spark, d).select("loan_id", "amount", "balance", "target")))
 register("generator_prepare")(lambda spark, d: tr.generator_prepare(_dirty(spark, d), KEYS))
+
+
+# ---------------------------------------------------------------- splits
+def _loan_keys(spark, sf_dir):
+    return _loans(spark, sf_dir).select("loan_id", "as_of", "target")
+
+
+register("stratified_split")(lambda spark, d: sp.stratified_split(_loan_keys(spark, d), "loan_id", "target"))
+register("holdout_split")(lambda spark, d: sp.holdout_split(_loan_keys(spark, d), "loan_id", "target"))
+register("synthetic_validation_split")(
+    lambda spark, d: sp.synthetic_validation_split(_loan_keys(spark, d), "loan_id", "target"))
+register("stratified_folds")(lambda spark, d: sp.stratified_folds(_loan_keys(spark, d), "loan_id", "target", 5))
+register("time_series_splits")(
+    lambda spark, d: sp.time_series_splits(_loan_keys(spark, d), "as_of", "loan_id", 5))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.operators.kernels import hash_rank
+from riskspark.operators.split import split_assign
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,27 +72,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPLIT_SEED = 42
 
 
-def split_assign(df: DataFrame, key_col: str, strat_col: str | None,
-                 names: tuple[str, ...], ratios: tuple[float, ...], seed: int = SPLIT_SEED,
-                 out_col: str = "split") -> DataFrame:
-    """Hash-ranked stratified split: rank by md5 within class, cut at cumulative ratios.
-
-    Row with rank r (1-based) of class size n goes to the first split i with
-    r <= floor(n·(ratio_1+…+ratio_i) + 0.5).
-    """
-    groups = [strat_col] if strat_col else []
-    ranked = hash_rank(df, groups, key_col, seed, out_col="_rs_rank")
-    cum = 0.0
-    expr = None
-    n = F.col("group_n").cast("double")
-    for name, r in zip(names[:-1], ratios[:-1]):
-        cum += r
-        cond = F.col("_rs_rank") <= F.floor(n * F.lit(cum) + F.lit(0.5))
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    expr = expr.otherwise(F.lit(names[-1])) if expr is not None else F.lit(names[-1])
-    return ranked.withColumn(out_col, expr).drop("_rs_rank", "group_n")
-
-
 def scored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 plus train/test/holdout 60/20/20, stratified on the target."""
     ln = split_assign(loans(spark, sf_dir).select("loan_id", "target"), "loan_id", "target",
