@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from riskspark.operators import compare as cmp
 from riskspark.operators import evaluate as ev
 from riskspark.operators import profile as pr
 from riskspark.operators import split as sp
@@ -235,3 +236,30 @@ register("synthetic_validation_split")(
 register("stratified_folds")(lambda spark, d: sp.stratified_folds(_loan_keys(spark, d), "loan_id", "target", 5))
 register("time_series_splits")(
     lambda spark, d: sp.time_series_splits(_loan_keys(spark, d), "as_of", "loan_id", 5))
+
+
+# ---------------------------------------------------------------- real vs synthetic
+def _rvs(spark, sf_dir):
+    return fx.stored(spark, sf_dir, "real_vs_synth")
+
+
+register("shape_compare")(lambda spark, d: cmp.shape_compare(_rvs(spark, d)))
+register("basic_comparison")(lambda spark, d: cmp.shape_compare(_rvs(spark, d)))
+register("stats_compare")(lambda spark, d: cmp.stats_compare(_rvs(spark, d)))
+register("ks_compare")(lambda spark, d: cmp.ks_compare(_rvs(spark, d), drop_null=False))
+register("ks_complement")(lambda spark, d: cmp.ks_compare(_rvs(spark, d), drop_null=True).select(
+    "column", "ks_complement"))
+register("corr_matrix_diff")(lambda spark, d: cmp.corr_matrix_diff(_rvs(spark, d)))
+register("corr_structure")(lambda spark, d: cmp.corr_structure(_rvs(spark, d)))
+register("target_compare_inner")(lambda spark, d: cmp.target_compare_inner(_rvs(spark, d)))
+register("target_compare_outer")(lambda spark, d: cmp.target_compare_outer(_rvs(spark, d)))
+register("chi_squared_score")(lambda spark, d: cmp.chi_squared_score(cmp.histograms(_rvs(spark, d))))
+register("is_divergence_score")(lambda spark, d: cmp.divergence_scores(cmp.histograms(_rvs(spark, d))).select(
+    "column", "kl_divergence_inverse", "kl_divergence"))
+register("cosine_similarity")(lambda spark, d: cmp.divergence_scores(cmp.histograms(_rvs(spark, d))).select(
+    "column", "cosine_similarity"))
+register("js_similarity")(lambda spark, d: cmp.divergence_scores(cmp.histograms(_rvs(spark, d))).select(
+    "column", "jensen_shannon_entropy"))
+register("quality_score")(lambda spark, d: cmp.quality_score(_rvs(spark, d)))
+register("evaluate_quality")(lambda spark, d: cmp.evaluate_quality(_rvs(spark, d)))
+register("synthetic_validation")(lambda spark, d: cmp.synthetic_validation(_rvs(spark, d)))
