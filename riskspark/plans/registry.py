@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators import compare as cmp
+from riskspark.functions.bins import r6
 from riskspark.operators import evaluate as ev
+from riskspark.operators import leaderboard as lb
 from riskspark.operators import profile as pr
 from riskspark.operators import split as sp
 from riskspark.operators import transform as tr
@@ -263,3 +265,30 @@ register("js_similarity")(lambda spark, d: cmp.divergence_scores(cmp.histograms(
 register("quality_score")(lambda spark, d: cmp.quality_score(_rvs(spark, d)))
 register("evaluate_quality")(lambda spark, d: cmp.evaluate_quality(_rvs(spark, d)))
 register("synthetic_validation")(lambda spark, d: cmp.synthetic_validation(_rvs(spark, d)))
+
+
+# ---------------------------------------------------------------- leaderboards
+def _wide(spark, sf_dir):
+    return fx.stored_result(spark, sf_dir, "model_metrics",
+                            lambda: ev.evaluate_models(_split(spark, sf_dir), ["model"], "split", "train"))
+
+
+def _long(spark, sf_dir):
+    return lb.metrics_long(_wide(spark, sf_dir))
+
+
+register("metrics_table")(lambda spark, d: lb.metrics_table(_long(spark, d)))
+register("rank_models")(lambda spark, d: lb.rank_models(_long(spark, d)))
+register("best_model")(lambda spark, d: lb.best_model(_long(spark, d)))
+register("top_k_models")(lambda spark, d: lb.top_k_models(_wide(spark, d)))
+register("family_summary")(lambda spark, d: lb.family_summary(_wide(spark, d), fx.FIXTURE_MODEL_FAMILIES))
+register("threshold_status")(lambda spark, d: lb.threshold_status(_wide(spark, d)))
+register("threshold_compliance")(lambda spark, d: lb.threshold_compliance(_wide(spark, d)))
+register("score_summary")(lambda spark, d: lb.score_summary(_wide(spark, d)))
+register("metric_correlations")(lambda spark, d: lb.metric_correlations(_wide(spark, d)))
+
+
+@register("ensemble_top_k")
+def q_ensemble_top_k(spark, sf_dir):
+    out = lb.ensemble_top_k(_split(spark, sf_dir), _wide(spark, sf_dir), k=3)
+    return out.select("split", "loan_id", r6(F.col("p")).alias("p"), "y", "n_models")

@@ -173,3 +173,18 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
         _STORED[key] = _BUILDERS[name](spark, sf_dir).checkpoint(eager=True)
     return _STORED[key]
+
+
+# Family labels of the four fixture scoring rules (for B5).
+FIXTURE_MODEL_FAMILIES = {"model_a": "Linear", "model_b": "Noise", "model_c": "Linear", "model_d": "Calibrated"}
+
+
+def stored_result(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table (e.g. the model metrics) checkpointed once per session."""
+    from riskspark.session import ensure_checkpoint_dir
+
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
+    if key not in _STORED:
+        ensure_checkpoint_dir(spark)
+        _STORED[key] = build().checkpoint(eager=True)
+    return _STORED[key]
