@@ -16,6 +16,8 @@ from riskspark.operators import compare as cmp
 from riskspark.functions.bins import r6
 from riskspark.operators import evaluate as ev
 from riskspark.operators import leaderboard as lb
+from riskspark.operators import models as md
+from riskspark.plans import benchmark as bm
 from riskspark.operators import profile as pr
 from riskspark.operators import split as sp
 from riskspark.operators import transform as tr
@@ -292,3 +294,56 @@ register("metric_correlations")(lambda spark, d: lb.metric_correlations(_wide(sp
 def q_ensemble_top_k(spark, sf_dir):
     out = lb.ensemble_top_k(_split(spark, sf_dir), _wide(spark, sf_dir), k=3)
     return out.select("split", "loan_id", r6(F.col("p")).alias("p"), "y", "n_models")
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+def _preset_scores(preset):
+    def q(spark, sf_dir):
+        return bm.predictions(spark, sf_dir, [preset]).select(
+            "model", "split", "loan_id", "y", r6(F.col("p")).alias("p"))
+    return q
+
+
+register("gbt_xgboost_preset")(_preset_scores("XGBoost"))
+register("gbt_catboost_preset")(_preset_scores("CatBoost"))
+register("gbt_lightgbm_preset")(_preset_scores("LightGBM"))
+register("gbt_hist_preset")(_preset_scores("HistGradientBoosting"))
+register("random_forest")(_preset_scores("RandomForest"))
+register("logistic_regression")(_preset_scores("LogisticRegression"))
+
+
+@register("score_long")
+def q_score_long(spark, sf_dir):
+    return bm.predictions(spark, sf_dir, ["LogisticRegression", "RandomForest"])
+
+
+@register("predict")
+def q_predict(spark, sf_dir):
+    frame = bm.loan_frame(spark, sf_dir)
+    m = md.fit(frame.where("split = 'train'"), "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET)
+    return md.predict(m, frame).select("loan_id", "split", "prediction")
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    frame = bm.loan_frame(spark, sf_dir).where("split = 'train'")
+    return md.cross_validate(frame, "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET, bm.KEY, k=5)
+
+
+@register("param_search")
+def q_param_search(spark, sf_dir):
+    frame = bm.loan_frame(spark, sf_dir).where("split = 'train'")
+    # trial budget kept small here so the registered query stays quick; the
+    # operator default is the reference's 100 trials
+    return md.param_search(frame, "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET, bm.KEY,
+                           n_trials=2, k=5)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    frame = bm.loan_frame(spark, sf_dir)
+    m = md.fit(frame.where("split = 'train'"), "RandomForest", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET)
+    return md.feature_importance(m, bm.NUMERIC + bm.CATEGORICAL, top=10)
+
+
+register("model_leaderboard")(lambda spark, d: bm.leaderboard(spark, d, ["LogisticRegression", "RandomForest"]))
