@@ -23,6 +23,7 @@ from riskspark.operators import split as sp
 from riskspark.operators import transform as tr
 from riskspark.operators import traffic_light as tl
 from riskspark.sources import fixtures as fx
+from riskspark.sources import io as sio
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,3 +348,49 @@ def q_feature_importance(spark, sf_dir):
 
 
 register("model_leaderboard")(lambda spark, d: bm.leaderboard(spark, d, ["LogisticRegression", "RandomForest"]))
+
+
+# ---------------------------------------------------------------- sources / sinks
+def _scratch(spark, name: str) -> str:
+    from riskspark.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+
+
+@register("scan_table")
+def q_scan_table(spark, sf_dir):
+    return sio.scan_table(spark, f"{sf_dir}/orders.parquet", "parquet")
+
+
+@register("scan_segment")
+def q_scan_segment(spark, sf_dir):
+    base = _scratch(spark, "loans_by_segment")
+    sio.write_segments(_loans(spark, sf_dir), base)
+    return sio.scan_segment(spark, base, "BUILDING").select(
+        "loan_id", "customer_id", "amount", "balance", "target", "segment")
+
+
+@register("scan_catalog")
+def q_scan_catalog(spark, sf_dir):
+    return sio.scan_catalog(spark, {"region": f"{sf_dir}/region.parquet", "nation": f"{sf_dir}/nation.parquet",
+                                    "missing": f"{sf_dir}/no_such_table.parquet"})
+
+
+@register("read_splits")
+def q_read_splits(spark, sf_dir):
+    base = _scratch(spark, "loan_splits")
+    sio.write_splits(sp.holdout_split(_loan_keys(spark, sf_dir), "loan_id", "target"), base)
+    return sio.read_splits(spark, base).select("loan_id", "as_of", "target", "split")
+
+
+@register("write_table")
+def q_write_table(spark, sf_dir):
+    path = _scratch(spark, "customer_csv")
+    sio.write_table(fx.table(spark, sf_dir, "customer"), path, "csv")
+    return sio.scan_table(spark, path, "csv", fx.table(spark, sf_dir, "customer").schema)
+
+
+@register("write_metrics")
+def q_write_metrics(spark, sf_dir):
+    path = _scratch(spark, "metrics_json")
+    sio.write_metrics(ev.classification_metrics(_split(spark, sf_dir), MS), path)
+    return spark.read.json(path)
