@@ -24,6 +24,7 @@ from riskspark.operators import transform as tr
 from riskspark.operators import traffic_light as tl
 from riskspark.sources import fixtures as fx
 from riskspark.sources import io as sio
+from riskspark.streaming import monitor as mon
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,3 +395,30 @@ def q_write_metrics(spark, sf_dir):
     path = _scratch(spark, "metrics_json")
     sio.write_metrics(ev.classification_metrics(_split(spark, sf_dir), MS), path)
     return spark.read.json(path)
+
+
+# ---------------------------------------------------------------- streaming
+@register("psi_monitor_stream")
+def q_psi_monitor_stream(spark, sf_dir):
+    import uuid
+    run = _scratch(spark, f"psi_stream_{uuid.uuid4().hex[:8]}")
+    table = mon.CountTable(spark, f"{run}/counts")
+    mon.run_count_stream(spark, mon.event_stream(spark, sf_dir), table, f"{run}/checkpoint")
+    baseline = mon.baseline_histogram(mon.scored_events(fx.table(spark, sf_dir, "events")))
+    return mon.psi_by_window(table.read(), baseline)
+
+
+@register("score_stream")
+def q_score_stream(spark, sf_dir):
+    import uuid
+    run = _scratch(spark, f"score_stream_{uuid.uuid4().hex[:8]}")
+    frame = bm.loan_frame(spark, sf_dir)
+    model = md.fit(frame.where("split = 'train'"), "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET)
+    src = f"{run}/incoming"
+    frame.where("split <> 'train'").write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(frame.schema).parquet(src)
+    out = mon.score_stream(model, stream).select("loan_id", "split", "p")
+    q = (out.writeStream.format("parquet").option("path", f"{run}/scores")
+         .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{run}/scores").select("loan_id", "split", r6(F.col("p")).alias("p"))
