@@ -102,8 +102,8 @@ def curve_metrics(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "
     agg = cur.groupBy(*by).agg(
         F.first("tot_pos").alias("n_pos"), F.first("tot_neg").alias("n_neg"),
         F.sum(pos * (neg_below + 0.5 * neg)).alias("_auc_num"),
-        F.sum(F.when(pos > 0, pos * (prec + prec_prev) / 2.0)).alias("_pr_num"),
-        F.max(F.abs(F.col("cum_pos") / P - F.col("cum_neg") / N)).alias("_ks"))
+        F.sum(F.when((pos > 0) & (N > 0), pos * (prec + prec_prev) / 2.0)).alias("_pr_num"),
+        F.max(F.abs(F.try_divide(F.col("cum_pos"), P) - F.try_divide(F.col("cum_neg"), N))).alias("_ks"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     auc = F.when(ok, F.col("_auc_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))
     return agg.select(
@@ -129,7 +129,7 @@ def ks_two_sample(df: DataFrame, by: Sequence[str], side: str, value: str,
     is_a = (F.col(side) == side_a).cast("long")
     counts = rows.groupBy(*by, value).agg(F.sum(is_a).alias("n_a"), F.sum(1 - is_a).alias("n_b"))
     cum = value_cumsums(counts, by, value, ["n_a", "n_b"])
-    d = F.abs(F.col("cum_n_a") / F.col("tot_n_a") - F.col("cum_n_b") / F.col("tot_n_b"))
+    d = F.abs(F.try_divide(F.col("cum_n_a"), F.col("tot_n_a")) - F.try_divide(F.col("cum_n_b"), F.col("tot_n_b")))
     return cum.groupBy(*by).agg(
         F.first("tot_n_a").alias("n_a"), F.first("tot_n_b").alias("n_b"), F.max(d).alias("ks"))
 
@@ -190,8 +190,8 @@ def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str
     full = grid.join(cnt, [*g, "_bin"], "left").fillna(0, ["e", "a"])
     tot = full.groupBy(*g).agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
     s = full.join(tot, g)
-    e = F.col("e") / F.col("te")
-    a = F.col("a") / F.col("ta")
+    e = F.try_divide(F.col("e"), F.col("te"))
+    a = F.try_divide(F.col("a"), F.col("ta"))
     e = F.when(e == 0, floor_share).otherwise(e)
     a = F.when(a == 0, floor_share).otherwise(a)
     out = s.groupBy(*g).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
