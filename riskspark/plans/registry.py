@@ -17,7 +17,9 @@ from riskspark.functions.bins import r6
 from riskspark.operators import evaluate as ev
 from riskspark.operators import leaderboard as lb
 from riskspark.operators import models as md
+from riskspark.operators import generate as gen
 from riskspark.plans import benchmark as bm
+from riskspark.plans import synthetic as syn
 from riskspark.operators import profile as pr
 from riskspark.operators import split as sp
 from riskspark.operators import transform as tr
@@ -422,3 +424,44 @@ def q_score_stream(spark, sf_dir):
          .option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{run}/scores").select("loan_id", "split", r6(F.col("p")).alias("p"))
+
+
+# ---------------------------------------------------------------- generators
+def _imb(spark, sf_dir):
+    return fx.stored(spark, sf_dir, "imbalanced")
+
+
+@register("knn_minority")
+def q_knn_minority(spark, sf_dir):
+    pts = _imb(spark, sf_dir).where("target = 1").select(
+        F.col("customer_id").alias("id"), F.array(*[F.col(c) for c in syn.FEATURES]).alias("f"))
+    return gen.knn(pts, 5).select("id", "nbr_rank", r6(F.col("dist")).alias("dist"))
+
+
+register("gaussian_copula")(lambda spark, d: gen.gaussian_copula(
+    _imb(spark, d).select(*syn.FEATURES, syn.TARGET), seed=42))
+register("smote")(lambda spark, d: gen.smote(_imb(spark, d), syn.FEATURES, syn.TARGET, key=syn.KEY))
+register("adasyn")(lambda spark, d: gen.adasyn(_imb(spark, d), syn.FEATURES, syn.TARGET, key=syn.KEY))
+register("borderline_smote")(lambda spark, d: gen.borderline_smote(_imb(spark, d), syn.FEATURES, syn.TARGET,
+                                                                   key=syn.KEY))
+register("generate_all")(lambda spark, d: syn.synthetic_rows(spark, d))
+
+
+@register("mix_real_synthetic")
+def q_mix_real_synthetic(spark, sf_dir):
+    real = syn.customer_frame(spark, sf_dir).where("split = 'train'").select(syn.KEY, *syn.FEATURES, syn.TARGET)
+    fake = syn.synthetic_rows(spark, sf_dir).where("generator = 'gaussian_copula'").drop("generator") \
+        .withColumn("synthetic_id", F.monotonically_increasing_id())
+    return gen.mix_real_synthetic(real, fake.checkpoint(eager=True), syn.KEY, "synthetic_id")
+
+
+@register("save_load_generator")
+def q_save_load_generator(spark, sf_dir):
+    model = gen.fit_copula(_imb(spark, sf_dir).select(*syn.FEATURES, syn.TARGET))
+    path = _scratch(spark, "copula_state")
+    gen.save_generator(spark, model, path)
+    return gen.sample_copula(spark, gen.load_generator(spark, path), 500, seed=7)
+
+
+register("quality_by_generator")(lambda spark, d: syn.quality_by_generator(spark, d))
+register("strategy_score")(lambda spark, d: syn.strategy_board(spark, d))
