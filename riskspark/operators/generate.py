@@ -271,7 +271,7 @@ def knn(points: DataFrame, k: int, query: Column | None = None, group: str | Non
     while True:
         lo = F.greatest(F.lit(1), F.col("qr") - w)
         hi = F.least(F.col("gn"), F.col("qr") + w)
-        cand = q.select("*", F.explode(F.sequence(lo, hi)).alias("cr")).where(F.col("cr") != F.col("qr"))
+        cand = q.select("*", F.explode(F.array_remove(F.sequence(lo, hi), F.col("qr"))).alias("cr"))
         pairs = cand.join(ref, [g, "cr"]).withColumn("dist", F.sqrt(F.aggregate(
             F.zip_with("qf", "nf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
         wk = Window.partitionBy(g, "qid").orderBy("dist", "nbr_id")
