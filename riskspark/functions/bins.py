@@ -7,6 +7,8 @@ edge set to ``hi``), never from decimal literals, so ``3*0.1`` stays
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,27 +36,55 @@ def edges_literal(edges: list[float]) -> Column:
     return F.array(*[F.lit(float(e)) for e in edges])
 
 
-def bin_left(x: Column, edges: Column) -> Column:
+def count_edges(x: Column, edges: Column | Sequence[float], n_max: int | None = None,
+                strict: bool = True) -> Column:
+    """Number of edges ``< x`` (``strict``) or ``<= x``, as unrolled comparisons.
+
+    ``edges`` is a literal list or an array column of at most ``n_max``
+    elements. Plain comparisons stay inside whole-stage codegen, unlike an
+    array ``filter`` lambda.
+    """
+    if isinstance(edges, (list, tuple)):
+        vals = [F.lit(float(e)) for e in edges]
+    else:
+        if n_max is None:
+            raise ValueError("n_max is required for array-column edges")
+        vals = [F.try_element_at(edges, F.lit(i)) for i in range(1, n_max + 1)]
+    terms = [F.when((v < x) if strict else (v <= x), F.lit(1)).otherwise(F.lit(0)) for v in vals]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
+
+
+def _first_last(edges, n_max):
+    if isinstance(edges, (list, tuple)):
+        return F.lit(float(edges[0])), F.lit(float(edges[-1])), len(edges)
+    return F.element_at(edges, 1), F.element_at(edges, -1), None
+
+
+def bin_left(x: Column, edges, n_max: int | None = None) -> Column:
     """0-based bin of ``x`` in [e_i, e_{i+1}), last bin closed (``numpy.histogram``).
 
     NULL when ``x`` is outside [e_0, e_last] or NULL/NaN.
     """
-    nb = F.size(edges) - 1
-    idx = F.size(F.filter(edges, lambda e: e <= x)) - 1
-    inside = (x >= F.element_at(edges, 1)) & (x <= F.element_at(edges, -1)) & ~F.isnan(x)
+    lo, hi, n_lit = _first_last(edges, n_max)
+    nb = (F.lit(n_lit) if n_lit is not None else F.size(edges)) - 1
+    idx = count_edges(x, edges, n_max, strict=False) - 1
+    inside = (x >= lo) & (x <= hi) & ~F.isnan(x)
     return F.when(inside, F.least(idx, nb - 1))
 
 
-def bin_right(x: Column, edges: Column, include_lowest: bool = True) -> Column:
+def bin_right(x: Column, edges, include_lowest: bool = True, n_max: int | None = None) -> Column:
     """1-based bin of ``x`` in (e_{i-1}, e_i] (``pandas.cut`` with right=True).
 
     With ``include_lowest`` a value equal to e_0 goes to bin 1. NULL outside
     the edges or for NULL/NaN.
     """
-    idx = F.size(F.filter(edges, lambda e: e < x))
-    low = F.element_at(edges, 1)
-    inside = (x <= F.element_at(edges, -1)) & ~F.isnan(x)
-    inside = inside & ((x >= low) if include_lowest else (x > low))
+    lo, hi, _ = _first_last(edges, n_max)
+    idx = count_edges(x, edges, n_max, strict=True)
+    inside = (x <= hi) & ~F.isnan(x)
+    inside = inside & ((x >= lo) if include_lowest else (x > lo))
     return F.when(inside, F.greatest(idx, F.lit(1)))
 
 

@@ -169,25 +169,27 @@ def histograms(df: DataFrame, side: str = "side", columns: Sequence[str] | None
 
     Edges follow ``numpy.linspace(min, max, n_edges)`` (n_edges − 1 bins, left
     closed, last bin closed) over the non-missing values of both sides. Empty
-    bins are present with count 0. One pooled min/max aggregation, one pass
-    that bins every value for every edge count, one grouped count.
+    bins are present with count 0. The edge arrays are built once per (column,
+    n_edges) in the small range table and joined to the values, so a value
+    costs one binary-free scan of at most ``n_edges`` edges.
     """
     long = long_values(df, side, columns)
     rng = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     ne = F.explode(F.array(*[F.lit(int(k)) for k in n_edges])).alias("n_edges")
-    with_rng = long.join(rng, "column").select("*", ne)
-    edges = F.when(F.col("n_edges") == int(n_edges[0]), linspace_col(F.col("lo"), F.col("hi"), int(n_edges[0])))
-    for k in n_edges[1:]:
-        edges = edges.when(F.col("n_edges") == int(k), linspace_col(F.col("lo"), F.col("hi"), int(k)))
-    binned = with_rng.withColumn("bin", bin_left(F.col("value"), edges))
+    edge_arr = None
+    for k in n_edges:
+        arr = linspace_col(F.col("lo"), F.col("hi"), int(k))
+        edge_arr = F.when(F.col("n_edges") == int(k), arr) if edge_arr is None else \
+            edge_arr.when(F.col("n_edges") == int(k), arr)
+    edges = rng.select("column", ne, "lo", "hi").withColumn("edges", edge_arr)
+    binned = long.join(edges.select("column", "n_edges", "edges"), "column") \
+        .select("column", "n_edges", "side",
+                bin_left(F.col("value"), F.col("edges"), n_max=max(int(k) for k in n_edges)).alias("bin"))
     counts = binned.groupBy("column", "n_edges", "side", "bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = rng.select("column", "lo", "hi", ne).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("n_edges") - 2)).alias("bin"))
+    grid = edges.select("column", "n_edges", "edges",
+                        F.explode(F.sequence(F.lit(0), F.col("n_edges") - 2)).alias("bin"))
     grid = grid.select("*", F.explode(F.array(F.lit(REAL), F.lit(SYNTH))).alias("side"))
-    edge_arr = F.when(F.col("n_edges") == int(n_edges[0]), linspace_col(F.col("lo"), F.col("hi"), int(n_edges[0])))
-    for k in n_edges[1:]:
-        edge_arr = edge_arr.when(F.col("n_edges") == int(k), linspace_col(F.col("lo"), F.col("hi"), int(k)))
-    width = F.element_at(edge_arr, F.col("bin") + 2) - F.element_at(edge_arr, F.col("bin") + 1)
+    width = F.element_at(F.col("edges"), F.col("bin") + 2) - F.element_at(F.col("edges"), F.col("bin") + 1)
     return grid.join(counts, ["column", "n_edges", "side", "bin"], "left").select(
         "column", "n_edges", "side", "bin", F.coalesce(F.col("count"), F.lit(0)).alias("count"),
         width.alias("width"))
@@ -270,16 +272,18 @@ METRICS = ["KS_complement", "chi_squared", "kl_divergence_inverse", "cosine_simi
 
 
 def quality_score(df: DataFrame, side: str = "side", target: str = "target",
-                  columns: Sequence[str] | None = None, parity: bool = False) -> DataFrame:
+                  columns: Sequence[str] | None = None, parity: bool = False,
+                  parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Q9: mean of {mean over columns of the mean metric; correlation r; 1 − target gap},
-    ignoring missing / NaN terms, clamped to [0, 1]."""
-    dm = distribution_metrics(df, side, columns, parity)
+    ignoring missing / NaN terms, clamped to [0, 1]. ``parts`` = (distribution
+    metrics, correlation structure, target comparison) when already computed."""
+    dm, cs, tg = parts or (distribution_metrics(df, side, columns, parity), corr_structure(df, side, columns),
+                           target_compare_outer(df, side, target))
     vals = F.filter(F.array(*[F.col(m) for m in METRICS]), lambda x: x.isNotNull() & ~F.isnan(x))
     col_mean = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / F.size(vals)
-    dist = dm.select(F.when(F.size(vals) > 0, col_mean).alias("m")).agg(F.avg("m").alias("dist_score"))
-    cs = corr_structure(df, side, columns).select(F.col("correlation_correlation").alias("v"))
-    tg = target_compare_outer(df, side, target).select((1.0 - F.col("distribution_difference")).alias("v"))
-    terms = dist.select(F.col("dist_score").alias("v")).unionByName(cs).unionByName(tg)
+    dist = dm.select(F.when(F.size(vals) > 0, col_mean).alias("m")).agg(F.avg("m").alias("v"))
+    terms = dist.unionByName(cs.select(F.col("correlation_correlation").alias("v"))) \
+        .unionByName(tg.select((1.0 - F.col("distribution_difference")).alias("v")))
     terms = terms.where(F.col("v").isNotNull() & ~F.isnan("v"))
     return terms.agg(F.avg("v").alias("s"), F.count(F.lit(1)).alias("n_terms")).select(
         r6(F.when(F.col("n_terms") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))))
@@ -288,25 +292,27 @@ def quality_score(df: DataFrame, side: str = "side", target: str = "target",
 
 def evaluate_quality(df: DataFrame, side: str = "side", target: str = "target",
                      columns: Sequence[str] | None = None, parity: bool = False) -> DataFrame:
-    """Q10: tidy (section, column, metric, value) table of Q1–Q9."""
-    dm = distribution_metrics(df, side, columns, parity)
+    """Q10: tidy (section, column, metric, value) table of Q1–Q9 (each part computed once)."""
+    dm = distribution_metrics(df, side, columns, parity).checkpoint(eager=True)
+    cs_df = corr_structure(df, side, columns).checkpoint(eager=True)
+    tg_df = target_compare_outer(df, side, target).checkpoint(eager=True)
     dist = dm.select(F.lit("distribution").alias("section"), "column", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("x")) \
         .select("section", "column", "x.metric", "x.value")
-    cs = corr_structure(df, side, columns).select(
+    cs = cs_df.select(
         F.lit("correlation").alias("section"), F.lit(None).cast("string").alias("column"), F.explode(F.array(
             F.struct(F.lit("average_correlation_difference").alias("metric"),
                      F.col("average_correlation_difference").alias("value")),
             F.struct(F.lit("correlation_correlation").alias("metric"),
                      F.col("correlation_correlation").alias("value")))).alias("x")).select(
         "section", "column", "x.metric", "x.value")
-    tg = target_compare_outer(df, side, target).select(
+    tg = tg_df.select(
         F.lit("target").alias("section"), F.lit(None).cast("string").alias("column"),
         F.lit("distribution_difference").alias("metric"), F.col("distribution_difference").alias("value"))
     shp = shape_compare(df.drop(target), side).select(
         F.lit("basic").alias("section"), F.lit(None).cast("string").alias("column"),
         F.lit("size_ratio").alias("metric"), F.col("size_ratio").alias("value"))
-    q = quality_score(df, side, target, columns, parity).select(
+    q = quality_score(df, side, target, columns, parity, parts=(dm, cs_df, tg_df)).select(
         F.lit("overall").alias("section"), F.lit(None).cast("string").alias("column"),
         F.lit("overall_score").alias("metric"), F.col("overall_score").alias("value"))
     return dist.unionByName(cs).unionByName(tg).unionByName(shp).unionByName(q)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.bins import bin_left, edges_literal, linspace, linspace_col, r6
+from riskspark.functions.bins import bin_left, count_edges, linspace, linspace_col, r6
 from riskspark.operators.kernels import exact_quantiles, value_cumsums
 from riskspark.operators.traffic_light import tl_probability_bins, tl_probability_summary
 
@@ -182,8 +182,9 @@ def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str
     rows = _against_expected(_valid(df, p), side, expected)
     g = [*by, "compared"]
     rng = rows.groupBy(*g).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
-    b = rows.join(rng, g).withColumn(
-        "_bin", bin_left(F.col(p), linspace_col(F.col("_lo"), F.col("_hi"), n_bins + 1)))
+    # edges built once per compared group in the small range table
+    edges = rng.select(*g, linspace_col(F.col("_lo"), F.col("_hi"), n_bins + 1).alias("_edges"))
+    b = rows.join(edges, g).withColumn("_bin", bin_left(F.col(p), F.col("_edges"), n_max=n_bins + 1))
     is_exp = (F.col(side) == expected).cast("long")
     cnt = b.groupBy(*g, "_bin").agg(F.sum(is_exp).alias("e"), F.sum(1 - is_exp).alias("a"))
     grid = rng.select(*g, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("_bin"))
@@ -210,8 +211,7 @@ def psi_fixed(df: DataFrame, by=("model",), side: str = "split", expected: str =
     (or uses ``epsilon`` when given).
     """
     by = _by(by)
-    inner = edges_literal(PSI_FIXED_INNER)
-    rows = _valid(df, p).withColumn("_bin", F.size(F.filter(inner, lambda e: e < F.col(p))))
+    rows = _valid(df, p).withColumn("_bin", count_edges(F.col(p), PSI_FIXED_INNER, strict=True))
     cnt = rows.groupBy(*by, side, "_bin").agg(F.count(F.lit(1)).alias("c"))
     tot = cnt.groupBy(*by, side).agg(F.sum("c").alias("t"))
     share = cnt.join(tot, [*by, side]).select(*by, side, "_bin", (F.col("c") / F.col("t")).alias("s"))

@@ -78,8 +78,9 @@ def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
         F.percentile_approx(value_col, probs, accuracy).alias("_rs_cuts"))
     # bucket = number of cut points strictly below the value: monotone in the
     # value and equal values always share a bucket
+    from riskspark.functions.bins import count_edges
     bucketed = counts.join(cuts, g).withColumn(
-        "_rs_bkt", F.size(F.filter("_rs_cuts", lambda c: c < F.col(value_col)))
+        "_rs_bkt", count_edges(F.col(value_col), F.col("_rs_cuts"), n_max=buckets - 1, strict=True)
     ).drop("_rs_cuts")
     totals = bucketed.groupBy(*g, "_rs_bkt").agg(
         *[F.sum(c).alias(f"_rs_bs_{c}") for c in sum_cols])

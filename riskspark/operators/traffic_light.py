@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.binomial import binomial_stats
-from riskspark.functions.bins import bin_right, edges_literal, linspace, r6, round_half_up
+from riskspark.functions.bins import bin_right, linspace, r6, round_half_up
 from riskspark.operators.kernels import exact_quantiles, linear_quantile_probs
 
 # Colour and interpretation labels of the Basel five-colour table
@@ -93,7 +93,7 @@ def assign_deciles(df: DataFrame, by: Sequence[str] | str | None = ("model", "sp
         rows = rows.withColumn("_rs_all", F.lit(1))
     edges = decile_edges(rows, keys, p, n_groups)
     out = rows.join(edges, keys).withColumn(
-        out_col, bin_right(F.col(p), F.col("edges"), True).cast("int")).drop("edges")
+        out_col, bin_right(F.col(p), F.col("edges"), True, n_max=n_groups + 1).cast("int")).drop("edges")
     return out if by else out.drop("_rs_all")
 
 
@@ -117,7 +117,7 @@ def tl_probability_bins(df: DataFrame, by=("model", "split"), y: str = "y", p: s
                         n_bins: int = 10) -> DataFrame:
     """Fixed equal-width bins on [0, 1]; precision = 1 - |obs - pred| / pred."""
     by = _by(by)
-    edges = edges_literal(linspace(0.0, 1.0, n_bins + 1))
+    edges = linspace(0.0, 1.0, n_bins + 1)
     b = _valid(df, p).withColumn("group", bin_right(F.col(p), edges, True) - 1)
     agg = b.where(F.col("group").isNotNull()).groupBy(*by, "group").agg(
         F.avg(F.col(y).cast("double")).alias("observed_rate"),
@@ -197,7 +197,7 @@ def tl_decile_statistical(df: DataFrame, by=("model", "split"), y: str = "y", p:
 def range_midpoint_bins(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
     """Per (group, fixed range): count, successes, label midpoint, rate, p-value."""
     by = _by(by)
-    edges = edges_literal(RANGE_EDGES)
+    edges = RANGE_EDGES
     labels = F.array(*[F.lit(x) for x in RANGE_LABELS])
     mids = F.array(*[F.lit(float(x)) for x in RANGE_MIDPOINTS])
     b = _valid(df, p).withColumn("_bin", bin_right(F.col(p), edges, True))

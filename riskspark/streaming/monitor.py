@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.functions.bins import edges_literal, r6
+from riskspark.functions.bins import count_edges, r6
 from riskspark.operators.evaluate import PSI_FIXED_INNER
 
 SCORE_SCALE = 500.0   # F9: score = value / 500
@@ -22,8 +22,7 @@ SCORE_SCALE = 500.0   # F9: score = value / 500
 
 def score_bin(score) -> F.Column:
     """Bin of the fixed PSI grid: ten bins on [0, 1], right-closed, outer edges ±∞."""
-    inner = edges_literal(PSI_FIXED_INNER)
-    return F.size(F.filter(inner, lambda e: e < score))
+    return count_edges(score, PSI_FIXED_INNER, strict=True)
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
