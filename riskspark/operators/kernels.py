@@ -23,25 +23,27 @@ from pyspark.sql import functions as F
 
 _ALL = "_rs_all"
 
-# Groups up to this many rows are ranked with one window / one exact percentile
-# per group (a single task each); larger groups take the bucketed path.
-SINGLE_TASK_MAX_ROWS = 2_000_000
-
-
-def groups_fit_one_task(df: DataFrame, group_cols: Sequence[str],
-                        max_rows: int = SINGLE_TASK_MAX_ROWS) -> bool:
-    """True when every group has at most ``max_rows`` rows.
-
-    One aggregation over the input; the driver only receives a single count
-    (of groups above the limit, stopped at the first one).
-    """
-    if max_rows <= 0:
-        return False
-    if not group_cols:
-        return df.limit(max_rows + 1).count() <= max_rows
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_rs_n"))
-    big = sizes.where(F.col("_rs_n") > max_rows).limit(1).count()
-    return big == 0
+# Inputs whose estimated size is at most this many bytes run the one-window /
+# one-exact-percentile plan (each group then certainly fits one task); larger
+# inputs take the bucketed plan. The estimate comes from Catalyst's plan
+# statistics (file sizes propagated through the plan), so choosing costs no job.
+SINGLE_TASK_MAX_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (an upper-bound style figure)."""
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v if isinstance(v, int) else v.toString())
+    except Exception:  # noqa: BLE001 - no estimate: treat as large
+        return 1 << 62
+
+
+def groups_fit_one_task(df: DataFrame, group_cols: Sequence[str] = (),
+                        max_bytes: int | None = None) -> bool:
+    """True when the whole input is small enough that any group fits one task."""
+    limit = SINGLE_TASK_MAX_BYTES if max_bytes is None else max_bytes
+    return limit > 0 and estimated_bytes(df) <= limit
 
 
 def _with_group(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -145,9 +145,9 @@ def score_stream_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Materialisation: registered queries read each fixture as a stored table, the
 # way a production job reads a persisted predictions table. The first use per
-# (session, folder, view) writes it through ``checkpoint()`` into the
-# session's checkpoint folder (shared storage on a cluster), which also cuts
-# the lineage so a lost executor does not replay the joins that built it.
+# (session, folder, view) writes it as parquet into the session's checkpoint
+# folder (shared storage on a cluster), which also cuts the lineage so a lost
+# executor does not replay the joins that built it.
 # ---------------------------------------------------------------------------
 
 _BUILDERS = {
@@ -164,14 +164,25 @@ _BUILDERS = {
 _STORED: dict[tuple[int, str, str], DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture view ``name`` as a checkpointed table (built once per session)."""
+def _write_read(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table under the checkpoint folder and read it back.
+
+    A stored table cuts the lineage (a lost executor re-reads files instead of
+    replaying joins) and gives Catalyst real size statistics for planning.
+    """
+    import uuid
+
     from riskspark.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The fixture view ``name`` as a stored parquet table (built once per session)."""
     key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
     if key not in _STORED:
-        ensure_checkpoint_dir(spark)
-        _STORED[key] = _BUILDERS[name](spark, sf_dir).checkpoint(eager=True)
+        _STORED[key] = _write_read(spark, _BUILDERS[name](spark, sf_dir), name)
     return _STORED[key]
 
 
@@ -180,11 +191,8 @@ FIXTURE_MODEL_FAMILIES = {"model_a": "Linear", "model_b": "Noise", "model_c": "L
 
 
 def stored_result(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived table (e.g. the model metrics) checkpointed once per session."""
-    from riskspark.session import ensure_checkpoint_dir
-
+    """A derived table (e.g. the model metrics) stored once per session."""
     key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
     if key not in _STORED:
-        ensure_checkpoint_dir(spark)
-        _STORED[key] = build().checkpoint(eager=True)
+        _STORED[key] = _write_read(spark, build(), name)
     return _STORED[key]
