@@ -105,8 +105,14 @@ SELECT split, loan_id, {r6('avg(p)')} AS p, max(y) AS y, count(*) AS n_models
 FROM scored_split WHERE model IN (SELECT model FROM top) GROUP BY split, loan_id"""
 
 
+def overall_score() -> str:
+    return _with(_em()) + """SELECT model, split, auc_roc, f1_score, gini, traffic_light_green, psi_stability,
+       overall_score FROM em"""
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "overall_score": overall_score(),
         "metrics_table": metrics_table(), "rank_models": rank_models(), "best_model": best_model(),
         "top_k_models": top_k_models(), "family_summary": family_summary(),
         "threshold_status": threshold_status(), "threshold_compliance": threshold_compliance(),

@@ -244,6 +244,26 @@ def generator_prepare() -> str:
         f"\nSELECT {', '.join(med)} FROM loans_dirty t"
 
 
+def quality_report() -> str:
+    """Union of the profile oracles in the (check, column, metric, value, status) shape."""
+    rows = []
+    specs = [
+        ("missing", missing_profile(), ["missing_count", "missing_percentage"], "status", '"column"'),
+        ("cardinality", cardinality_profile(), ["unique_count", "unique_percentage"], "status", '"column"'),
+        ("outliers", iqr_outliers(), ["outlier_count", "outlier_percentage", "lower_bound", "upper_bound"],
+         "status", '"column"'),
+        ("duplicates", duplicate_profile(), ["duplicate_count", "duplicate_percentage"], "status", "NULL"),
+        ("shape", basic_info() + " WHERE m.position = 0", ["n_rows", "n_cols"], None, "NULL"),
+        ("target_correlation", target_correlation(), ["correlation"], None, '"column"'),
+    ]
+    for check, sql, metrics, status, col in specs:
+        for m in metrics:
+            st = status if status else "NULL::VARCHAR"
+            rows.append(f"SELECT '{check}' AS \"check\", {col}::VARCHAR AS \"column\", '{m}' AS metric,"
+                        f" {m}::DOUBLE AS value, {st} AS status FROM ({sql})")
+    return " UNION ALL ".join(rows)
+
+
 def _round_doubles(sql: str, cols: list[str]) -> str:
     """Wrap the final SELECT so the listed DOUBLE columns are rounded to 6 dp."""
     head, sep, tail = sql.rpartition("\nSELECT ")
@@ -267,6 +287,7 @@ def all_sql() -> dict[str, str]:
         ("binarize_target", binarize_target),
         ("select_features", select_features), ("generator_prepare", generator_prepare),
     ]} | {
+        "quality_report": quality_report(),
         "impute_mean": _round_doubles(impute_mean(), DOUBLES_DIRTY),
         "standard_scale": _round_doubles(standard_scale(), SCALED_LOANS),
         "preprocess": _round_doubles(preprocess(), ["segment", "priority", "amount", "balance", "n_lines", "qty_sum",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.fixtures_sql import with_fixtures
+from oracle.queries import classification_metrics
 from oracle.split_sql import all_sql as split_sql
 
 
@@ -15,4 +16,5 @@ SELECT loan_id, customer_id, amount, balance, target, segment FROM loans WHERE s
         "scan_catalog": "SELECT *, 'region' AS dataset FROM region UNION ALL BY NAME SELECT *, 'nation' AS dataset FROM nation",
         "read_splits": holdout,
         "write_table": "SELECT * FROM customer",
+        "write_metrics": classification_metrics(),
     }

@@ -465,3 +465,9 @@ def q_save_load_generator(spark, sf_dir):
 
 register("quality_by_generator")(lambda spark, d: syn.quality_by_generator(spark, d))
 register("strategy_score")(lambda spark, d: syn.strategy_board(spark, d))
+
+
+@register("overall_score")
+def q_overall_score(spark, sf_dir):
+    return _wide(spark, sf_dir).select("model", "split", "auc_roc", "f1_score", "gini", "traffic_light_green",
+                                       "psi_stability", "overall_score")

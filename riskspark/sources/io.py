@@ -114,3 +114,22 @@ def write_json_record(spark: SparkSession, path: str, record: dict) -> None:
     """A small result dict (a report header) as one JSON line."""
     spark.createDataFrame([(json.dumps(record, sort_keys=True, default=str),)], "value string") \
         .coalesce(1).write.mode("overwrite").text(path)
+
+
+# ---------------------------------------------------------------- S4
+def sample_table(spark: SparkSession, n_samples: int = 5000, n_features: int = 20, seed: int = 42,
+                 positive_share: float = 0.3, partitions: int | None = None) -> DataFrame:
+    """n × k standard normals ``feature_i``, an independent normal score, and
+    ``default`` = 1 for scores above their (1 − positive_share) quantile.
+
+    Normals come from seeded hashes of the row id (partitioning does not
+    change them); the threshold is the exact quantile of the score column.
+    """
+    from riskspark.functions.normal import hash_normal
+    from riskspark.operators.kernels import exact_quantiles
+    rows = spark.range(0, n_samples, numPartitions=partitions or max(1, spark.sparkContext.defaultParallelism))
+    feats = [hash_normal(seed, F.col("id"), F.lit(j)).alias(f"feature_{j}") for j in range(n_features)]
+    df = rows.select("id", *feats, hash_normal(seed, F.col("id"), F.lit(-1)).alias("_score"))
+    cut = exact_quantiles(df, [], "_score", [1.0 - positive_share]).first()["quantiles"][0]
+    return df.select(*[f"feature_{j}" for j in range(n_features)],
+                     (F.col("_score") > F.lit(cut)).cast("int").alias("default"))

@@ -81,3 +81,13 @@ def test_preprocess_pipeline_roundtrip(spark, dirty, tmp_path):
     a = loaded.transform(df).toPandas()
     b = again.toPandas()
     pd.testing.assert_frame_equal(a[sorted(a.columns)], b[sorted(b.columns)])
+
+
+def test_sample_table_share_and_reproducible(spark):
+    from riskspark.sources.io import sample_table
+    a = sample_table(spark, 2000, 3, seed=1, partitions=2).toPandas()
+    b = sample_table(spark, 2000, 3, seed=1, partitions=7).toPandas()
+    assert list(a.columns) == ["feature_0", "feature_1", "feature_2", "default"]
+    assert a["default"].sum() == 600                      # top 30 % of an independent score
+    assert abs(a["feature_0"].mean()) < 0.1 and abs(a["feature_0"].std() - 1) < 0.1
+    pd.testing.assert_frame_equal(a, b)
