@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import bin_left, count_edges, linspace, linspace_col, r6
-from riskspark.operators.kernels import exact_quantiles, value_cumsums
+from riskspark.operators.kernels import exact_quantiles, materialize_small, value_cumsums
 from riskspark.operators.traffic_light import tl_probability_bins, tl_probability_summary
 
 
@@ -165,10 +165,10 @@ def _against_expected(df: DataFrame, side: str, expected: str,
     """
     if compared is None:
         compared = side_values(df, side, exclude=expected)
-    exp_rows = df.where(F.col(side) == expected).withColumn(
-        "compared", F.explode(F.array(*[F.lit(c) for c in compared])))
-    act_rows = df.where(F.col(side) != expected).withColumn("compared", F.col(side))
-    return exp_rows.unionByName(act_rows)
+    # one scan: expected rows fan out to every compared side, others keep theirs
+    targets = F.when(F.col(side) == expected, F.array(*[F.lit(c) for c in compared])) \
+        .otherwise(F.array(F.col(side)))
+    return df.withColumn("compared", F.explode(targets))
 
 
 def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str = "train",
@@ -181,12 +181,12 @@ def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str
     by = _by(by)
     rows = _against_expected(_valid(df, p), side, expected)
     g = [*by, "compared"]
-    rng = rows.groupBy(*g).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
+    rng = materialize_small(rows.groupBy(*g).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi")))
     # edges built once per compared group in the small range table
     edges = rng.select(*g, linspace_col(F.col("_lo"), F.col("_hi"), n_bins + 1).alias("_edges"))
     b = rows.join(edges, g).withColumn("_bin", bin_left(F.col(p), F.col("_edges"), n_max=n_bins + 1))
     is_exp = (F.col(side) == expected).cast("long")
-    cnt = b.groupBy(*g, "_bin").agg(F.sum(is_exp).alias("e"), F.sum(1 - is_exp).alias("a"))
+    cnt = materialize_small(b.groupBy(*g, "_bin").agg(F.sum(is_exp).alias("e"), F.sum(1 - is_exp).alias("a")))
     grid = rng.select(*g, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("_bin"))
     full = grid.join(cnt, [*g, "_bin"], "left").fillna(0, ["e", "a"])
     tot = full.groupBy(*g).agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
@@ -212,7 +212,7 @@ def psi_fixed(df: DataFrame, by=("model",), side: str = "split", expected: str =
     """
     by = _by(by)
     rows = _valid(df, p).withColumn("_bin", count_edges(F.col(p), PSI_FIXED_INNER, strict=True))
-    cnt = rows.groupBy(*by, side, "_bin").agg(F.count(F.lit(1)).alias("c"))
+    cnt = materialize_small(rows.groupBy(*by, side, "_bin").agg(F.count(F.lit(1)).alias("c")))
     tot = cnt.groupBy(*by, side).agg(F.sum("c").alias("t"))
     share = cnt.join(tot, [*by, side]).select(*by, side, "_bin", (F.col("c") / F.col("t")).alias("s"))
     exp = share.where(F.col(side) == expected).select(*by, "_bin", F.col("s").alias("e"))
@@ -252,7 +252,7 @@ def population_stability(df: DataFrame, by=("model",), side: str = "side",
         F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
     med = exact_quantiles(rows, [*by, side], p, [0.5], out_col="_q").select(
         *by, side, F.element_at("_q", 1).alias("median"))
-    st = st.join(med, [*by, side])
+    st = materialize_small(st.join(med, [*by, side]))
     e = st.where(F.col(side) == expected).select(*by, *[F.col(c).alias(f"expected_{c}") for c in
                                                        ("mean", "std", "min", "max", "median")])
     a = st.where(F.col(side) == actual).select(*by, *[F.col(c).alias(f"actual_{c}") for c in

@@ -202,5 +202,15 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], key_col: str, seed: int,
     return out
 
 
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Compute a small aggregated table once when several branches of a plan read it.
+
+    Without this each branch re-runs the aggregation (and rescans the large
+    input under it). The table is written with ``checkpoint()`` to the
+    session's reliable checkpoint folder.
+    """
+    return df.checkpoint(eager=True)
+
+
 def round6(c: Column) -> Column:
     return F.round(c, 6)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.functions.bins import r6, status3
-from riskspark.operators.kernels import exact_quantiles
+from riskspark.operators.kernels import exact_quantiles, materialize_small
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -65,8 +65,8 @@ def basic_info(df: DataFrame) -> DataFrame:
 def missing_profile(df: DataFrame) -> DataFrame:
     """Per column missing count, %, status (<5 ok, <20 warning) and a 'summary' row."""
     cols = df.columns
-    agg = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
+    agg = materialize_small(df.agg(F.count(F.lit(1)).alias("_n"),
+                                   *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]))
     stacked = agg.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"m{i}").alias("missing_count"))
         for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
