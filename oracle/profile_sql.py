@@ -288,6 +288,9 @@ def all_sql() -> dict[str, str]:
         ("select_features", select_features), ("generator_prepare", generator_prepare),
     ]} | {
         "quality_report": quality_report(),
+        "save_pipeline": _round_doubles(preprocess(), ["segment", "priority", "amount", "balance", "n_lines",
+                                                       "qty_sum", "avg_discount", "p_true", "segment_x_priority",
+                                                       "segment_squared"]),
         "impute_mean": _round_doubles(impute_mean(), DOUBLES_DIRTY),
         "standard_scale": _round_doubles(standard_scale(), SCALED_LOANS),
         "preprocess": _round_doubles(preprocess(), ["segment", "priority", "amount", "balance", "n_lines", "qty_sum",

@@ -520,6 +520,11 @@ def all_sql() -> dict[str, str]:
         "tl_range_midpoint": tl_range_midpoint(),
         "basel_verdict": basel_verdict(),
         "binomial_test_table": binomial_table(),
+        "binomial_test": "SELECT model, decile, size, n_success, predicted_rate, p_double_tail, p_greater, p_less,"
+                         " p_minlike FROM (" + binomial_table() + ")",
+        "binomial_interval": "SELECT model, decile, size, n_success, ci_lo_count, ci_hi_count FROM ("
+                             + binomial_table() + ")",
+        "total_row": "SELECT * FROM (" + tl_basel() + ") WHERE Decil = 'TOTAL'",
         "tl_all_models": tl_all_models(),
         "classification_metrics": classification_metrics(),
         "confusion_matrix": confusion_matrix(),

@@ -17,4 +17,5 @@ SELECT loan_id, customer_id, amount, balance, target, segment FROM loans WHERE s
         "read_splits": holdout,
         "write_table": "SELECT * FROM customer",
         "write_metrics": classification_metrics(),
+        "write_splits": "SELECT * FROM (" + holdout + ") WHERE split = 'test'",
     }

@@ -471,3 +471,43 @@ register("strategy_score")(lambda spark, d: syn.strategy_board(spark, d))
 def q_overall_score(spark, sf_dir):
     return _wide(spark, sf_dir).select("model", "split", "auc_roc", "f1_score", "gini", "traffic_light_green",
                                        "psi_stability", "overall_score")
+
+
+# ---------------------------------------------------------------- SURVEY slugs served by the same operators
+@register("binomial_test")
+def q_binomial_test(spark, sf_dir):
+    return tl.binomial_table(fx.stored(spark, sf_dir, "scored"), ["model"]).select(
+        "model", "decile", "size", "n_success", "predicted_rate", "p_double_tail", "p_greater", "p_less", "p_minlike")
+
+
+@register("binomial_interval")
+def q_binomial_interval(spark, sf_dir):
+    return tl.binomial_table(fx.stored(spark, sf_dir, "scored"), ["model"]).select(
+        "model", "decile", "size", "n_success", "ci_lo_count", "ci_hi_count")
+
+
+@register("total_row")
+def q_total_row(spark, sf_dir):
+    return tl.tl_basel(_split(spark, sf_dir), MS).where(F.col("Decil") == tl.TOTAL_LABEL)
+
+
+@register("write_splits")
+def q_write_splits(spark, sf_dir):
+    base = _scratch(spark, "loan_splits_by_split")
+    sio.write_splits(sp.holdout_split(_loan_keys(spark, sf_dir), "loan_id", "target"), base)
+    return sio.read_splits(spark, base, "test").select("loan_id", "as_of", "target", "split")
+
+
+@register("save_pipeline")
+def q_save_pipeline(spark, sf_dir):
+    from pyspark.ml import PipelineModel
+    df = _dirty(spark, sf_dir)
+    _, model = tr.preprocess(df, "target", KEYS)
+    path = _scratch(spark, "preprocess_pipeline")
+    model.write().overwrite().save(path)
+    return round_doubles(PipelineModel.load(path).transform(df))
+
+
+register("save_generator")(lambda spark, d: QUERIES["save_load_generator"](spark, d))
+register("fit")(lambda spark, d: QUERIES["score_long"](spark, d))
+register("predict_proba")(lambda spark, d: QUERIES["logistic_regression"](spark, d))
