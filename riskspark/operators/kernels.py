@@ -27,7 +27,13 @@ _ALL = "_rs_all"
 # one-exact-percentile plan (each group then certainly fits one task); larger
 # inputs take the bucketed plan. The estimate comes from Catalyst's plan
 # statistics (file sizes propagated through the plan), so choosing costs no job.
-SINGLE_TASK_MAX_BYTES = 256 * 1024 * 1024
+SINGLE_TASK_MAX_BYTES = int(__import__("os").environ.get("RISKSPARK_SINGLE_TASK_MAX_BYTES", 256 * 1024 * 1024))
+
+
+# On the bucketed plan only groups with more distinct values than this get
+# range cut points (so at most n / HOT_GROUP_ROWS groups carry a sketch); every
+# other group is a single bucket whose window fits one task.
+HOT_GROUP_ROWS = int(__import__("os").environ.get("RISKSPARK_HOT_GROUP_ROWS", 1_000_000))
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -76,13 +82,16 @@ def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
             *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sum_cols])
         return out if group_cols else out.drop(_ALL)
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*g).agg(
+    # cut points only for hot groups; the rest stay one bucket each
+    hot = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_rs_gn")).where(F.col("_rs_gn") > HOT_GROUP_ROWS)
+    cuts = counts.join(hot.select(*g), g, "left_semi").groupBy(*g).agg(
         F.percentile_approx(value_col, probs, accuracy).alias("_rs_cuts"))
     # bucket = number of cut points strictly below the value: monotone in the
     # value and equal values always share a bucket
     from riskspark.functions.bins import count_edges
-    bucketed = counts.join(cuts, g).withColumn(
-        "_rs_bkt", count_edges(F.col(value_col), F.col("_rs_cuts"), n_max=buckets - 1, strict=True)
+    bucketed = counts.join(cuts, g, "left").withColumn(
+        "_rs_bkt", F.coalesce(count_edges(F.col(value_col), F.col("_rs_cuts"), n_max=buckets - 1, strict=True),
+                              F.lit(0))
     ).drop("_rs_cuts")
     totals = bucketed.groupBy(*g, "_rs_bkt").agg(
         *[F.sum(c).alias(f"_rs_bs_{c}") for c in sum_cols])

@@ -55,3 +55,19 @@ def test_hash_rank_is_partition_invariant(spark, parts):
     m = got.merge(pdf, on="k")
     assert (m["rank"] == m["want"]).all()
     assert (m["group_n"] == m.groupby("c_x")["k"].transform("count")).all()
+
+
+@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
+def test_bucketed_path_with_hot_and_small_groups(spark, monkeypatch, hot_rows):
+    import riskspark.operators.kernels as K
+    monkeypatch.setattr(K, "HOT_GROUP_ROWS", hot_rows)
+    rng = np.random.default_rng(3)
+    g = np.concatenate([np.zeros(2000), rng.integers(1, 40, 500)]).astype("int64")   # one hot group
+    v = np.round(rng.normal(size=len(g)), 3)
+    pdf = pd.DataFrame({"g": g, "v": v})
+    counts = spark.createDataFrame(pdf).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = value_cumsums(counts, ["g"], "v", ["n"], buckets=8, single_task=False).toPandas()
+    want = pdf.groupby(["g", "v"]).size().rename("n").reset_index().sort_values(["g", "v"])
+    want["cum_n"] = want.groupby("g")["n"].cumsum()
+    m = got.merge(want, on=["g", "v"], suffixes=("", "_w"))
+    assert len(m) == len(want) and (m["cum_n"] == m["cum_n_w"]).all()
