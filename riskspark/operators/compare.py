@@ -34,6 +34,15 @@ def long_values(df: DataFrame, side: str = "side", columns: Sequence[str] | None
     return long.where(F.col("value").isNotNull()) if drop_null else long
 
 
+def value_counts(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None,
+                 drop_null: bool = True) -> DataFrame:
+    """(column, value) -> rows per side: the one aggregation KS and the histograms share."""
+    long = long_values(df, side, columns, drop_null)
+    is_real = (F.col("side") == REAL).cast("long")
+    return long.groupBy("column", "value").agg(F.sum(is_real).alias("n_a"),
+                                               F.sum(F.lit(1) - is_real).alias("n_b"))
+
+
 # ---------------------------------------------------------------- C1 / Q1
 def shape_compare(df: DataFrame, side: str = "side", real_cols: Sequence[str] | None = None,
                   synth_cols: Sequence[str] | None = None) -> DataFrame:
@@ -76,11 +85,19 @@ def ks_pvalue(d: Column, n_a: Column, n_b: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
+def ks_from_counts(vc: DataFrame) -> DataFrame:
+    """KS D per column from the shared value-count table (running sums per side)."""
+    from riskspark.operators.kernels import value_cumsums
+    cum = value_cumsums(vc.where(F.col("value").isNotNull()), ["column"], "value", ["n_a", "n_b"])
+    d = F.abs(F.try_divide(F.col("cum_n_a"), F.col("tot_n_a")) - F.try_divide(F.col("cum_n_b"), F.col("tot_n_b")))
+    return cum.groupBy("column").agg(F.first("tot_n_a").alias("n_a"), F.first("tot_n_b").alias("n_b"),
+                                     F.max(d).alias("ks"))
+
+
 def ks_compare(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None,
                drop_null: bool = True) -> DataFrame:
     """Per column: KS statistic, asymptotic p-value, 1 − D and similarity label."""
-    long = long_values(df, side, columns, drop_null)
-    k = ks_two_sample(long, ["column"], "side", "value", REAL, SYNTH, drop_null=drop_null)
+    k = ks_from_counts(value_counts(df, side, columns, drop_null))
     return k.select("column", "n_a", "n_b", r6(F.col("ks")).alias("ks_statistic"),
                     r6(ks_pvalue(F.col("ks"), F.col("n_a"), F.col("n_b"))).alias("p_value"),
                     r6(1.0 - F.col("ks")).alias("ks_complement"),
@@ -165,16 +182,20 @@ def class_shares_table(df: DataFrame, side: str = "side", target: str = "target"
 # ---------------------------------------------------------------- K3 histograms
 def histograms(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None,
                n_edges: Sequence[int] = (10, 20)) -> DataFrame:
-    """Counts per (column, n_edges, side, bin) on pooled [min, max] edges.
+    """Counts per (column, n_edges, side, bin) on pooled [min, max] edges."""
+    return histograms_from_counts(value_counts(df, side, columns), n_edges)
+
+
+def histograms_from_counts(vc: DataFrame, n_edges: Sequence[int] = (10, 20)) -> DataFrame:
+    """Histogram counts from the shared value-count table.
 
     Edges follow ``numpy.linspace(min, max, n_edges)`` (n_edges − 1 bins, left
-    closed, last bin closed) over the non-missing values of both sides. Empty
-    bins are present with count 0. The edge arrays are built once per (column,
-    n_edges) in the small range table and joined to the values, so a value
-    costs one binary-free scan of at most ``n_edges`` edges.
+    closed, last bin closed) over the non-missing values of both sides; empty
+    bins are present with count 0. Distinct values are binned (not rows), and
+    the edge arrays are built once per (column, n_edges) in the small range
+    table.
     """
-    long = long_values(df, side, columns)
-    rng = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rng = vc.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     ne = F.explode(F.array(*[F.lit(int(k)) for k in n_edges])).alias("n_edges")
     edge_arr = None
     for k in n_edges:
@@ -182,10 +203,14 @@ def histograms(df: DataFrame, side: str = "side", columns: Sequence[str] | None
         edge_arr = F.when(F.col("n_edges") == int(k), arr) if edge_arr is None else \
             edge_arr.when(F.col("n_edges") == int(k), arr)
     edges = rng.select("column", ne, "lo", "hi").withColumn("edges", edge_arr)
-    binned = long.join(edges.select("column", "n_edges", "edges"), "column") \
-        .select("column", "n_edges", "side",
-                bin_left(F.col("value"), F.col("edges"), n_max=max(int(k) for k in n_edges)).alias("bin"))
-    counts = binned.groupBy("column", "n_edges", "side", "bin").agg(F.count(F.lit(1)).alias("count"))
+    binned = vc.join(edges.select("column", "n_edges", "edges"), "column").select(
+        "column", "n_edges", "n_a", "n_b",
+        bin_left(F.col("value"), F.col("edges"), n_max=max(int(k) for k in n_edges)).alias("bin"))
+    counts = binned.groupBy("column", "n_edges", "bin").agg(F.sum("n_a").alias("r"), F.sum("n_b").alias("s"))
+    counts = counts.select("column", "n_edges", "bin", F.explode(F.array(
+        F.struct(F.lit(REAL).alias("side"), F.col("r").alias("count")),
+        F.struct(F.lit(SYNTH).alias("side"), F.col("s").alias("count")))).alias("x")) \
+        .select("column", "n_edges", "bin", "x.side", "x.count")
     grid = edges.select("column", "n_edges", "edges",
                         F.explode(F.sequence(F.lit(0), F.col("n_edges") - 2)).alias("bin"))
     grid = grid.select("*", F.explode(F.array(F.lit(REAL), F.lit(SYNTH))).alias("side"))
@@ -260,9 +285,11 @@ def divergence_scores(h: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- Q10 / Q9 / C6
 def distribution_metrics(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None,
                          parity: bool = False) -> DataFrame:
-    """Per column: KS complement, χ² score, IS score, cosine, JS (one histogram pass)."""
-    h = histograms(df, side, columns)
-    ks = ks_compare(df, side, columns, drop_null=True).select("column", F.col("ks_complement").alias("KS_complement"))
+    """Per column: KS complement, χ² score, IS score, cosine, JS — all from one
+    (column, value) count aggregation."""
+    vc = value_counts(df, side, columns)
+    h = histograms_from_counts(vc)
+    ks = ks_from_counts(vc).select("column", r6(1.0 - F.col("ks")).alias("KS_complement"))
     chi = chi_squared_score(h, parity).select("column", F.col("chi_squared_score").alias("chi_squared"))
     div = divergence_scores(h).select("column", "kl_divergence_inverse", "cosine_similarity", "jensen_shannon_entropy")
     return ks.join(chi, "column").join(div, "column")
