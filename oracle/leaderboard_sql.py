@@ -30,8 +30,8 @@ def metrics_table() -> str:
 
 
 def rank_models() -> str:
-    return _with(_em(), _long()) + """SELECT *, row_number() OVER (PARTITION BY scope, metric
-                                                       ORDER BY value DESC, model) AS rank FROM lg"""
+    return _with(_em(), _long()) + """SELECT *, (row_number() OVER (PARTITION BY scope, metric
+                                                        ORDER BY value DESC, model))::INTEGER AS rank FROM lg"""
 
 
 def best_model() -> str:
@@ -41,7 +41,7 @@ def best_model() -> str:
 
 
 def top_k_models() -> str:
-    return _with(_em()) + """SELECT model, split, overall_score, rank FROM (
+    return _with(_em()) + """SELECT model, split, overall_score, rank::INTEGER AS rank FROM (
   SELECT model, split, overall_score,
          row_number() OVER (PARTITION BY split ORDER BY overall_score DESC, model) AS rank FROM em) WHERE rank <= 3"""
 
@@ -87,7 +87,8 @@ def metric_correlations() -> str:
     rows = " UNION ALL ".join(
         f"SELECT split, '{a}' AS metric1, '{b}' AS metric2, corr({a}, {b}) AS r FROM em GROUP BY split"
         for a, b in pairs)
-    return _with(_em(), f"pc AS ({rows})") + f"""SELECT split, metric1, metric2, {r6('r')} AS correlation, rank FROM (
+    return _with(_em(), f"pc AS ({rows})") + f"""SELECT split, metric1, metric2, {r6('r')} AS correlation,
+       rank::INTEGER AS rank FROM (
   SELECT split, metric1, metric2, CASE WHEN isnan(r) THEN NULL ELSE r END AS r,
          row_number() OVER (PARTITION BY split ORDER BY abs({r6('CASE WHEN isnan(r) THEN NULL ELSE r END')}) DESC NULLS LAST,
                             metric1, metric2) AS rank

@@ -329,7 +329,7 @@ def _v1_cte(src: str, keys: str, name: str = "v1") -> str:
 
 def tl_probability_bins() -> str:
     return with_fixtures("scored_split") + "," + _v1_cte("scored_split", "model, split") + f"""
-SELECT model, split, "group", {r6('observed_rate')} AS observed_rate, {r6('predicted_rate')} AS predicted_rate,
+SELECT model, split, "group"::INTEGER AS "group", {r6('observed_rate')} AS observed_rate, {r6('predicted_rate')} AS predicted_rate,
        size, {r6('precision')} AS precision,
        CASE WHEN precision > 0.8 THEN 'green' WHEN precision > 0.6 THEN 'yellow' ELSE 'red' END AS status
 FROM v1"""

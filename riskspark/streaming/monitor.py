@@ -132,7 +132,10 @@ def psi_by_window(counts: DataFrame, baseline: DataFrame, epsilon: float | None
     else:
         term = F.when(a == 0, F.lit(float("inf"))).otherwise((a - e) * F.log(a / e))
     psi = j.groupBy("window_start", "n_events").agg(F.sum(term).alias("psi"))
-    return psi.select("window_start", "n_events", r6(F.col("psi")).alias("psi"),
+    # windows come out as TIMESTAMP (event time must be one for watermarks);
+    # report them in the input's wall-clock type
+    return psi.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_events",
+                      r6(F.col("psi")).alias("psi"),
                       F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.2, "warning")
                       .otherwise("unstable").alias("psi_stability"))
 

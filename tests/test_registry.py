@@ -70,3 +70,15 @@ def test_scalable_plan_matches_oracle(spark, con, monkeypatch, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
     assert _rows(got) == _rows(want)
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", ["tl_basel", "rank_models", "tl_probability_bins", "psi_monitor_stream",
+                                  "time_series_splits", "missing_profile"])
+def test_types_match_oracle(spark, con, name):
+    sp = {f.name: f.dataType.simpleString() for f in entry.queries()[name](spark, SF).schema.fields}
+    dd = {r[0]: r[1] for r in con.execute(f"DESCRIBE {entry.oracle_sql()[name]}").fetchall()}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sp.items()} == dd
