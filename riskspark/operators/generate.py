@@ -25,6 +25,9 @@ from riskspark.operators.kernels import exact_quantiles, hash_rank, value_cumsum
 from riskspark.operators.profile import numeric_columns
 
 GRID = 1001   # quantile grid points per numeric marginal
+# Text columns of the copula and target classes are modelled by their value
+# lists, which live on the driver; more values than this is refused.
+MAX_CATEGORIES = 100_000
 
 
 # ====================================================================== G1
@@ -86,7 +89,9 @@ def fit_copula(df: DataFrame, columns: Sequence[str] | None = None, key: str | N
         if c in num:
             continue
         freq = base.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("__null__")).alias("v")).count() \
-            .orderBy("v").collect()
+            .orderBy("v").limit(MAX_CATEGORIES + 1).collect()
+        if len(freq) > MAX_CATEGORIES:
+            raise ValueError(f"column {c!r} has more than {MAX_CATEGORIES} categories")
         total = sum(r["count"] for r in freq)
         acc, cum = 0, []
         for r in freq:
@@ -305,7 +310,9 @@ def _features(df: DataFrame, features: Sequence[str]) -> Column:
 
 
 def _class_sizes(df: DataFrame, target: str) -> tuple[list, int]:
-    rows = df.groupBy(target).count().collect()
+    rows = df.groupBy(target).count().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"target {target!r} has more than {MAX_CATEGORIES} classes")
     sizes = {r[target]: r["count"] for r in rows}
     major = max(sizes.values())
     return [(c, n) for c, n in sorted(sizes.items(), key=lambda x: str(x[0])) if n < major], major
@@ -397,7 +404,7 @@ def borderline_smote(df: DataFrame, features: Sequence[str], target: str, k: int
     classes = [c for c, n in minority if n > 1]
     share = _majority_share(pts, classes, m)
     danger = share.where((F.col("n_other") >= m / 2.0) & (F.col("n_other") < m)).select("id", "cls")
-    dn = {r["cls"]: r["count"] for r in danger.groupBy("cls").count().collect()}
+    dn = {r["cls"]: r["count"] for r in danger.groupBy("cls").count().limit(MAX_CATEGORIES + 1).collect()}
     need = {c: (major - n, dn[c]) for c, n in minority if n > 1 and dn.get(c)}
     if not need:
         return df.sparkSession.createDataFrame([], df.select(*features, target).schema)
