@@ -57,6 +57,26 @@ def count_edges(x: Column, edges: Column | Sequence[float], n_max: int | None =
     return total
 
 
+def count_below_sorted(df, x: Column, sorted_arr: str, n_max: int, out_col: str, strict: bool = True):
+    """Add ``out_col`` = number of elements of the ascending array column
+    ``sorted_arr`` (length <= n_max) that are ``< x`` (``<= x`` if not strict).
+
+    Binary descent in ceil(log2(n_max + 1)) projection steps, each a plain
+    comparison with ``try_element_at`` (NULL past the end, or for a NULL array,
+    counts as "not below"), so it stays in codegen for thousands of cut points.
+    """
+    import math
+    k = max(1, math.ceil(math.log2(n_max + 1)))
+    pos = f"_bs_{out_col}"
+    out = df.withColumn(pos, F.lit(0))
+    for j in range(k - 1, -1, -1):
+        cand = F.col(pos) + F.lit(2 ** j)
+        v = F.try_element_at(F.col(sorted_arr), cand)
+        cond = (v < x) if strict else (v <= x)
+        out = out.withColumn(pos, F.when(cond, cand).otherwise(F.col(pos)))
+    return out.withColumnRenamed(pos, out_col)
+
+
 def _first_last(edges, n_max):
     if isinstance(edges, (list, tuple)):
         return F.lit(float(edges[0])), F.lit(float(edges[-1])), len(edges)

@@ -58,8 +58,13 @@ def _with_group(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, li
     return df.withColumn(_ALL, F.lit(1)), [_ALL]
 
 
+# Range buckets per hot group on the bucketed plan: at 1e11 rows per group a
+# bucket (one window task) still holds only ~2.4e7 values.
+BUCKETS = 4096
+
+
 def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
-                  sum_cols: Sequence[str], buckets: int = 64,
+                  sum_cols: Sequence[str], buckets: int = BUCKETS,
                   accuracy: int = 10000, single_task: bool | None = None) -> DataFrame:
     """Inclusive ascending running sums of ``sum_cols`` per group.
 
@@ -85,14 +90,13 @@ def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
     # cut points only for hot groups; the rest stay one bucket each
     hot = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_rs_gn")).where(F.col("_rs_gn") > HOT_GROUP_ROWS)
     cuts = counts.join(hot.select(*g), g, "left_semi").groupBy(*g).agg(
-        F.percentile_approx(value_col, probs, accuracy).alias("_rs_cuts"))
-    # bucket = number of cut points strictly below the value: monotone in the
-    # value and equal values always share a bucket
-    from riskspark.functions.bins import count_edges
-    bucketed = counts.join(cuts, g, "left").withColumn(
-        "_rs_bkt", F.coalesce(count_edges(F.col(value_col), F.col("_rs_cuts"), n_max=buckets - 1, strict=True),
-                              F.lit(0))
-    ).drop("_rs_cuts")
+        F.percentile_approx(value_col, probs, max(accuracy, 10 * buckets)).alias("_rs_cuts"))
+    # bucket = number of cut points strictly below the value (binary search on
+    # the sorted cut points): monotone in the value, and equal values always
+    # share a bucket; groups without cut points are bucket 0
+    from riskspark.functions.bins import count_below_sorted
+    bucketed = count_below_sorted(counts.join(cuts, g, "left"), F.col(value_col), "_rs_cuts",
+                                  buckets - 1, "_rs_bkt").drop("_rs_cuts")
     totals = bucketed.groupBy(*g, "_rs_bkt").agg(
         *[F.sum(c).alias(f"_rs_bs_{c}") for c in sum_cols])
     before = Window.partitionBy(*g).orderBy("_rs_bkt").rowsBetween(
@@ -126,7 +130,7 @@ def linear_quantile_probs(n_groups: int) -> list[float]:
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], out_col: str = "quantiles",
-                    buckets: int = 64, single_task: bool | None = None) -> DataFrame:
+                    buckets: int = BUCKETS, single_task: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group as an array column.
 
     Same convention as ``numpy.quantile(method='linear')``: position

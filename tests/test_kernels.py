@@ -71,3 +71,15 @@ def test_bucketed_path_with_hot_and_small_groups(spark, monkeypatch, hot_rows):
     want["cum_n"] = want.groupby("g")["n"].cumsum()
     m = got.merge(want, on=["g", "v"], suffixes=("", "_w"))
     assert len(m) == len(want) and (m["cum_n"] == m["cum_n_w"]).all()
+
+
+def test_binary_search_counts_match_linear(spark):
+    from riskspark.functions.bins import count_below_sorted
+    arr = sorted(np.round(np.random.default_rng(1).normal(size=37), 1).tolist())
+    xs = [-5.0, arr[0], arr[5], 0.0, arr[-1], 5.0, float(arr[10]) + 1e-9]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("a", F.array(*[F.lit(v) for v in arr]))
+    got = count_below_sorted(df, F.col("x"), "a", 40, "k").select("x", "k").collect()
+    for r in got:
+        assert r.k == sum(1 for v in arr if v < r.x)
+    none = spark.createDataFrame([(1.0,)], "x double").withColumn("a", F.lit(None).cast("array<double>"))
+    assert count_below_sorted(none, F.col("x"), "a", 40, "k").first().k == 0
