@@ -64,7 +64,7 @@ BUCKETS = 4096
 
 
 def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
-                  sum_cols: Sequence[str], buckets: int = BUCKETS,
+                  sum_cols: Sequence[str], buckets: int | None = None,
                   accuracy: int = 10000, single_task: bool | None = None) -> DataFrame:
     """Inclusive ascending running sums of ``sum_cols`` per group.
 
@@ -75,6 +75,7 @@ def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
     group sizes.
     """
     counts, g = _with_group(counts, group_cols)
+    buckets = buckets or BUCKETS
     if single_task is None:
         single_task = groups_fit_one_task(counts, g)
     if single_task:
@@ -130,7 +131,7 @@ def linear_quantile_probs(n_groups: int) -> list[float]:
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], out_col: str = "quantiles",
-                    buckets: int = BUCKETS, single_task: bool | None = None) -> DataFrame:
+                    buckets: int | None = None, single_task: bool | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group as an array column.
 
     Same convention as ``numpy.quantile(method='linear')``: position

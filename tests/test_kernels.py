@@ -61,6 +61,7 @@ def test_hash_rank_is_partition_invariant(spark, parts):
 def test_bucketed_path_with_hot_and_small_groups(spark, monkeypatch, hot_rows):
     import riskspark.operators.kernels as K
     monkeypatch.setattr(K, "HOT_GROUP_ROWS", hot_rows)
+    monkeypatch.setattr(K, "BUCKETS", 16)
     rng = np.random.default_rng(3)
     g = np.concatenate([np.zeros(2000), rng.integers(1, 40, 500)]).astype("int64")   # one hot group
     v = np.round(rng.normal(size=len(g)), 3)

@@ -67,6 +67,7 @@ def test_scalable_plan_matches_oracle(spark, con, monkeypatch, name):
     import riskspark.operators.kernels as K
     monkeypatch.setattr(K, "SINGLE_TASK_MAX_BYTES", 0)
     monkeypatch.setattr(K, "HOT_GROUP_ROWS", 20)
+    monkeypatch.setattr(K, "BUCKETS", 16)
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
     assert _rows(got) == _rows(want)
