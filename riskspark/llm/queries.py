@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from riskspark.llm import license_template
+from riskspark.llm import license_template, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op10_license_templates": license_template.op10_license_templates,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
     "op10_license_templates": license_template.oracle(),
 }
