@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.llm import license_template, warc
+from riskspark.llm import license_template, orc_tokens, warc
 
 QUERIES = {
+    "op5_orc_tokens": orc_tokens.op5_orc_tokens,
     "op1_warc": warc.op1_warc,
     "op10_license_templates": license_template.op10_license_templates,
 }
