@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.llm import license_template, orc_tokens, warc
+from riskspark.llm import license_template, orc_tokens, transducer, warc
 
 QUERIES = {
+    "op6_transducer_bpe": transducer.op6_transducer_bpe,
     "op5_orc_tokens": orc_tokens.op5_orc_tokens,
     "op1_warc": warc.op1_warc,
     "op10_license_templates": license_template.op10_license_templates,
