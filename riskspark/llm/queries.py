@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.llm import license_template, orc_tokens, transducer, warc
+from riskspark.llm import license_template, orc_tokens, setsketch, transducer, warc
 
 QUERIES = {
+    "op3_setsketch_dedup": setsketch.op3_setsketch_dedup,
     "op6_transducer_bpe": transducer.op6_transducer_bpe,
     "op5_orc_tokens": orc_tokens.op5_orc_tokens,
     "op1_warc": warc.op1_warc,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_setsketch_dedup": setsketch.oracle(),
     "op1_warc": warc.ORACLE,
     "op10_license_templates": license_template.oracle(),
 }
