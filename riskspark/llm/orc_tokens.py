@@ -26,12 +26,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskspark.llm.common import chunked, read, shared_path, spread, stored, utf8_view
-from riskspark.llm.pretokens import PreTokenizer
+from riskspark.llm.pretokens import SPECIAL, PreTokenizer
 
 END_ID = 2
-MEMO = 400_000             # pre-tokens a worker remembers
+MEMO = 1_200_000           # pre-tokens a worker remembers
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000",
-           "orc.stripe.size": str(16 << 20), "orc.column.encoding.direct": "", "compression": "zstd"}
+           "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+
+
+class Memo:
+    """Entries of hashed pre-tokens, in an open-addressing table that numpy searches."""
+
+    def __init__(self, bits: int = 21):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.entry, self.n = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out, todo, at = np.full(len(h), -1, np.int64), np.arange(len(h)), (h >> self.shift).astype(np.int64)
+        while len(todo):
+            got = self.entry[at]
+            hit = (got >= 0) & (self.keys[at] == h[todo])
+            out[todo[hit]] = got[hit]
+            more = (got >= 0) & ~hit
+            todo, at = todo[more], (at[more] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """New keys, each once; they get the next entries."""
+        entries = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        todo, at = np.arange(len(h)), (h >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.entry[at] < 0
+            self.entry[at[free]] = entries[todo[free]]     # of several claims to a slot the last stays
+            own = self.entry[at] == entries[todo]
+            self.keys[at[own]] = h[todo[own]]
+            todo, at = todo[~own], (at[~own] + 1) & self.mask
+        self.n += len(h)
 
 
 class LibraryEncoder:
@@ -45,42 +75,75 @@ class LibraryEncoder:
         self.library.no_padding()
         self.library.encode_special_tokens = special_as_text
         self.cutter = PreTokenizer()
+        self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.bytes_of[i] = len(token)                  # byte-level: a character of the token is a byte
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[int, int] = {}
-        self.at, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
-
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        n = len(self.memo)
-        while n + len(words) > len(self.at):
+        self.memo, self.used = Memo(), 0
+        self.at, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+
+    def joined(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, gap: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that stay pre-tokens in one text, and how many each has; the bytes
+        of the ids tell which belong to which."""
+        text = data[np.minimum(spread(start, size + len(gap)), len(data) - 1)]
+        ends = np.cumsum(size + len(gap)) - len(gap)
+        if gap:
+            text[ends] = gap[0]
+        got = np.array(self.library.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.int32)
+        reach = np.cumsum(self.bytes_of[got])
+        last = np.searchsorted(reach, ends)
+        if not np.array_equal(reach[last], ends):
+            raise ValueError("the library cut a pre-token otherwise")
+        first = np.concatenate([[0], last[:-1] + 1 + len(gap)])
+        return got if not gap else got[spread(first, last + 1 - first)], last + 1 - first
+
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Adds pre-tokens to the memo. Those that begin with a blank are encoded as one text,
+        those without white space as another with line ends between, the few others singly."""
+        head, tail = data[start], data[end - 1]
+        blank = (head == 0x20) & (tail > 0x20)
+        solid = (head > 0x20) & (head < 0x7F) & (end - start != len(SPECIAL))
+        for which, gap in ((blank, b""), (solid, b"\n"), (~blank & ~solid, None)):
+            which = np.flatnonzero(which)
+            for part in np.split(which, range(20_000, len(which), 20_000)):
+                if not len(part):
+                    continue
+                if gap is not None:
+                    flat, size = self.joined(data, start[part], end[part] - start[part], gap)
+                else:
+                    ids = [e.ids for e in self.library.encode_batch_fast([data[start[k]:end[k]].tobytes().decode() for k in part], add_special_tokens=False)]
+                    flat, size = np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])
+                self.remember(hashes[part], flat, size)
+
+    def remember(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        n = self.memo.n
+        while n + len(size) > len(self.at):
             self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
-        for k in range(0, len(words), 4096):
-            ids = [e.ids for e in self.library.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used:self.used + len(flat)] = flat
-            self.at[n + k:n + k + len(ids)] = self.used + np.cumsum(size) - size
-            self.size[n + k:n + k + len(ids)] = size
-            self.used += len(flat)
-        for k, h in enumerate(hashes):
-            self.memo[h] = n + k
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.at[n:n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[n:n + len(size)] = size
+        self.used += len(flat)
+        self.memo.add(hashes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk and the number of ids of each document."""
         codes, first, start, end, hashes = self.cutter.distinct(data, offsets)
-        if len(self.memo) > MEMO:
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        if self.memo.n + len(hashes) > MEMO:
             self.forget()
-        known, keys = self.memo.get, hashes.tolist()
-        new = [k for k, h in enumerate(keys) if known(h) is None]
-        if new:
-            raw = data.tobytes()
-            self.learn([keys[k] for k in new], [raw[start[k]:end[k]].decode() for k in new])
-        entry = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
-        size = self.size[entry][codes] if len(keys) else np.zeros(0, np.int64)
-        ids = self.pool[spread(self.at[entry][codes], size)] if len(keys) else np.zeros(0, np.int32)
+            if len(hashes) > MEMO:
+                self.memo = Memo(int(2 * len(hashes)).bit_length())
+        new = np.flatnonzero(self.memo.find(hashes) < 0)
+        if len(new):
+            self.learn(data, start[new], end[new], hashes[new])
+        entry = self.memo.find(hashes)[codes]
+        size = self.size[entry].astype(np.int64)
+        ids = self.pool[spread(self.at[entry], size)]
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, total[first[1:]] - total[first[:-1]]
 
