@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.llm import license_template, orc_tokens, qgram, setsketch, transducer, warc
+from riskspark.llm import license_template, orc_tokens, qgram, setsketch, transducer, warc, wordlang
 
 QUERIES = {
+    "op9_word_language": wordlang.op9_word_language,
     "op4_qgram_decontamination": qgram.op4_qgram_decontamination,
     "op3_setsketch_dedup": setsketch.op3_setsketch_dedup,
     "op6_transducer_bpe": transducer.op6_transducer_bpe,
