@@ -6,8 +6,8 @@ better than ids) and written sorted, so each file and stripe covers a narrow id
 readers split files by stripes, and a look-up by id skips files and stripes by their
 minimum and maximum and row groups by Bloom filter (``lookup``).
 
-The tokenizers library encodes each distinct pre-token once per task and chunk; a bounded
-memo keeps recent ones. Texts are whole; the encoding of a text is the concatenation of
+The tokenizers library encodes each distinct pre-token once per chunk; a bounded memo of
+each Python worker keeps recent ones. Texts are whole; the encoding of a text is the concatenation of
 its pre-tokens' encodings, which the tests hold against the library on whole texts.
 
 Defined cases: a null text is an empty one (the end id alone); null ids come first; rows
@@ -148,11 +148,21 @@ class LibraryEncoder:
         return ids, total[first[1:]] - total[first[:-1]]
 
 
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def encoder_of(path: str) -> LibraryEncoder:
+    """This worker's encoder: its memo serves all tasks that the worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
     """doc_id, part and line (place in the sorted whole), ids; sorted by id within each part,
     parts in ascending order of id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, line = LibraryEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, line = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for rb in chunked(batches, "text"):
             ids, n = encoder.encode(*utf8_view(rb.column("text")))
             if end_id is not None:
