@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.llm import license_template, orc_tokens, qgram, setsketch, transducer, warc, wordlang
+from riskspark.llm import capfilter, license_template, orc_tokens, qgram, setsketch, transducer, warc, wordlang
 
 QUERIES = {
+    "op8_cap_filters": capfilter.op8_cap_filters,
     "op9_word_language": wordlang.op9_word_language,
     "op4_qgram_decontamination": qgram.op4_qgram_decontamination,
     "op3_setsketch_dedup": setsketch.op3_setsketch_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_cap_filters": capfilter.ORACLE,
     "op3_setsketch_dedup": setsketch.oracle(),
     "op1_warc": warc.ORACLE,
     "op10_license_templates": license_template.oracle(),
