@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.llm import capfilter, license_template, orc_tokens, qgram, sanitise, setsketch, transducer, warc, wordlang
+from riskspark.llm import blocklstm, capfilter, license_template, orc_tokens, qgram, sanitise, setsketch, transducer, warc, wordlang
 
 QUERIES = {
+    "op2_recurrent_blocks": blocklstm.op2_recurrent_blocks,
     "op7_disclosure_pii": sanitise.op7_disclosure_pii,
     "op8_cap_filters": capfilter.op8_cap_filters,
     "op9_word_language": wordlang.op9_word_language,
