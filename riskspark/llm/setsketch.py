@@ -120,15 +120,17 @@ def set_keys(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 # ---------------------------------------------------------------- Spark jobs
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id, cls (the set's key, null for an empty set), n, registers (binary)."""
+    """doc_id, text_key (a hash of the text), cls (the set's key, null for an empty set), n,
+    registers (binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in chunked(batches, text_col):
-            sets, bounds = shingle_sets(*utf8_view(rb.column(text_col)), k)
+        for rb in chunked(batches, "text"):
+            sets, bounds = shingle_sets(*utf8_view(rb.column("text")), k)
             n = np.diff(bounds)
             keys = [key if m else None for key, m in zip(set_keys(sets, bounds), n.tolist())]
-            yield pa.RecordBatch.from_arrays([rb.column(id_col), pa.array(keys, pa.binary()), pa.array(n), pa.array([r.tobytes() for r in registers(sets, bounds)], pa.binary())], ["doc_id", "cls", "n", "registers"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("text_key"), pa.array(keys, pa.binary()), pa.array(n), pa.array([r.tobytes() for r in registers(sets, bounds)], pa.binary())], ["doc_id", "text_key", "cls", "n", "registers"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, cls binary, n long, registers binary")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, text_key long, cls binary, n long, registers binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -206,19 +208,39 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
         rows = rows.join(pivots.select("band", F.col("pivot").alias("cls")), ["band", "cls"], "left_anti").select("band", "cls")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """id_col, n_shingles, component_id (least id reachable by links) and kept for each row of
-    ``docs``; documents link where 100 * intersection >= percent * union of their sets."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, root (of the component, null for an empty set) and
+    component_id for each row of ``docs``."""
     rows = stored(sketched(docs, id_col, text_col, k), "sketches")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     classes = stored(classes, "classes")
     roots = link_classes(docs, classes, id_col, text_col, k, percent)
     least = classes.select("cls", "doc_id").join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     by_root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = least.join(by_root, "root").select("cls", "component_id")
-    return (rows.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left")
-            .select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-            .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
+    of_class = least.join(by_root, "root").select("cls", "root", "component_id")
+    return (rows.select("doc_id", "text_key", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left")
+            .select("doc_id", "text_key", "n_shingles", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """id_col, n_shingles, component_id (least id reachable by links) and kept for each row of
+    ``docs``; documents link where 100 * intersection >= percent * union of their sets."""
+    out = labelled(docs, id_col, text_col, k, percent).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, that with the least id (of rows that
+    share it the one with the least text hash, and one of equal rows). Documents without words
+    stay, but for rows that repeat one."""
+    rows = stored(labelled(docs, id_col, text_col, k, percent), "labelled")
+    group = F.coalesce(F.hex("root"), F.col("text_key").cast("string"))
+    stay = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", group.alias("_group")).agg(F.min("text_key").alias("_text"))
+    times = rows.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(F.count("*").alias("_times"))
+    stay = stay.join(times, stay["doc_id"].eqNullSafe(times["_d"]) & (stay["_text"] == times["_t"])).select("_d", "_t", "_times").distinct()
+    names = docs.columns
+    kept = stored(docs.withColumn("_key", F.xxhash64(text_col)).join(stay, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t"))).select(*names, "_key", "_times"), "kept")
+    return kept.filter("_times = 1").union(kept.filter("_times > 1").dropDuplicates([id_col, "_key"])).select(*names)
 
 
 def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
