@@ -28,12 +28,14 @@ def shared_root(spark: SparkSession) -> str:
     would not see one another's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root if spark.sparkContext.master.startswith("local") else root
+    if "://" not in root:                    # the default file system's path, spelt in full for readers outside Spark
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = "file://" + root.removeprefix("file:") if root.startswith("file:/") else root
     return root.rstrip("/")
 
 

@@ -254,8 +254,8 @@ def chunk_matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[t
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark item stands."""
-    leaks = stored(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = stored(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("__leak")), "left_anti")
 
 
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

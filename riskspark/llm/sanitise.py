@@ -195,15 +195,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with entities replaced by their class, disclosing terms generalised to [TERM] or
     removed. Texts without either stay as they are."""
-    once = spans(docs, id_col, text_col).filter("base != '' or terms is not null").groupBy("text_key").agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
+    once = spans(docs, id_col, text_col).filter("base != '' or terms is not null").groupBy(F.col("text_key").alias("__key")).agg(F.first("base").alias("__base"), F.first("terms").alias("__terms"))
     names = docs.columns
-    joined = docs.withColumn("_key", F.md5(F.coalesce(text_col, F.lit("")))).join(once, F.col("_key") == F.col("text_key"), "left").select(*names, "_base", "_terms")
+    joined = docs.withColumn("__text_key", F.md5(F.coalesce(text_col, F.lit("")))).join(once, F.col("__text_key") == F.col("__key"), "left").select(*names, "__base", "__terms")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             texts = rb.column(at).to_pylist()
-            for i, (base, terms) in enumerate(zip(rb.column("_base").to_pylist(), rb.column("_terms").to_pylist())):
+            for i, (base, terms) in enumerate(zip(rb.column("__base").to_pylist(), rb.column("__terms").to_pylist())):
                 if base or terms:
                     marks = [(int(a), int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in (base or "").split(",") if x)]
                     marks += [(t["a"], t["b"], "" if t["remove"] else "[TERM]") for t in terms or ()]

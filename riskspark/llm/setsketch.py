@@ -235,12 +235,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stay, but for rows that repeat one."""
     rows = stored(labelled(docs, id_col, text_col, k, percent), "labelled")
     group = F.coalesce(F.hex("root"), F.col("text_key").cast("string"))
-    stay = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", group.alias("_group")).agg(F.min("text_key").alias("_text"))
-    times = rows.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(F.count("*").alias("_times"))
-    stay = stay.join(times, stay["doc_id"].eqNullSafe(times["_d"]) & (stay["_text"] == times["_t"])).select("_d", "_t", "_times").distinct()
+    stay = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", group.alias("__group")).agg(F.min("text_key").alias("__text"))
+    times = rows.groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.count("*").alias("__times"))
+    stay = stay.join(times, stay["doc_id"].eqNullSafe(times["__d"]) & (stay["__text"] == times["__t"])).select("__d", "__t", "__times").distinct()
     names = docs.columns
-    kept = stored(docs.withColumn("_key", F.xxhash64(text_col)).join(stay, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t"))).select(*names, "_key", "_times"), "kept")
-    return kept.filter("_times = 1").union(kept.filter("_times > 1").dropDuplicates([id_col, "_key"])).select(*names)
+    kept = stored(docs.withColumn("__key", F.xxhash64(text_col)).join(stay, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t"))).select(*names, "__key", "__times"), "kept")
+    return kept.filter("__times = 1").union(kept.filter("__times > 1").dropDuplicates([id_col, "__key"])).select(*names)
 
 
 def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

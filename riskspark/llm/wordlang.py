@@ -174,8 +174,8 @@ class Predictor:
         return [self.langs[b] if s else UND for b, s in zip(best, some)], np.where(some, share, 0.0)
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` with the language and its score."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -185,9 +185,9 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         predictor = Predictor(held.value)
         for rb in chunked(batches, text_col):
             lang, score = predictor.chunk(*utf8_view(rb.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, lang_out, score_out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())]))
 
 
 def held_out() -> F.Column:
