@@ -19,8 +19,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language, which is put into lang; those without a letter go."""
-    out = wordlang.predict(docs, wordlang.train(docs)).filter(F.col("lang_pred") != wordlang.UND)
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    out = wordlang.predict(docs, wordlang.train(docs), lang_out="__lang", score_out="__score").filter(F.col("__lang") != wordlang.UND)
+    return out.withColumn("lang", F.col("__lang").cast(docs.schema["lang"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of each document."""
     import public_tokenizers
 
+    docs = docs.select("doc_id", "lang", "source", "text")
     lexicon = transducer.compile_lexicon(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return transducer.encode(docs, lexicon).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
