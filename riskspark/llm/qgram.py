@@ -252,10 +252,12 @@ def chunk_matches(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[t
     return sorted(out)
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item stands."""
-    leaks = stored(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("__leak")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item stands. Rows are told apart by their text,
+    so rows that share an id (or have none) are judged each for itself."""
+    key = F.md5(F.coalesce(text, F.lit("")))
+    leaks = stored(matches(docs.select(key.alias("key"), F.col(text).alias("text")), items, "key").select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.withColumn("__text_key", key).join(leaks, F.col("__text_key") == F.col("__leak"), "left_anti").drop("__text_key")
 
 
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

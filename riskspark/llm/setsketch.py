@@ -9,11 +9,15 @@ candidates. With the sets' sizes known, the similarity of candidates is estimate
 numbers of registers that are larger, smaller and equal by maximum likelihood; those not far
 below the threshold are verified on their full sets.
 
-No pairs within a group are emitted. Equal sets become one class first. Each band bucket
-then checks its members against a few pivots per round, members that are linked already are
-not compared again, and a pivot that was compared with all others retires; the rounds go on
-until every bucket's remaining members are one component. So a bucket of n copies costs n
-checks, and no link between different components is left unchecked.
+No pairs within a group are emitted. Equal sets become one class first. Shingles that no
+other candidate has bound what a class can share: a class with too many of them links with
+nothing, and any pair's intersection is at most what the two have besides. Each band bucket
+then checks its members against one pivot, the member with the least share of such shingles
+(of copies of one text the most central), and after that, round by round, against a growing
+number of pivots from outside its largest component; members that are linked already are not
+compared again, and a pivot that met all others retires. The rounds go on until every
+bucket's remaining members are one component. So a bucket of n copies costs about n checks,
+and no link between different components is left unchecked.
 
 At similarity 0.8, 32 bands of 4 miss a pair with probability 2e-8; the likelihood filter
 keeps pairs estimated at 0.6 and more, over five standard errors below the threshold.
@@ -40,7 +44,8 @@ from riskspark.llm.links import components
 BASE, RATE, TOP = 1.02, 20.0, 65_535       # SetSketch's b, a and q + 1
 M, ROWS = 128, 4
 BANDS = M // ROWS
-SLOTS = 16                                 # pivots of a bucket in one round
+SLOTS, MORE = 16, 4                        # pivots of a bucket in the second round; times more in each later one
+PEELS = 2                                  # counts of unshared shingles, each among the classes the last one left
 LEAST_ESTIMATE = 0.6
 
 
@@ -134,78 +139,104 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(band, cls): a 64-bit key of each band's number and registers."""
+    """(band, node): a 64-bit key of each band's number and registers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = seeds(BANDS, 19)
         for rb in batches:
             if rb.num_rows:
                 regs = np.frombuffer(b"".join(rb.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
                 keys = mix(np.ascontiguousarray(regs).view(U64)[:, :, 0] ^ salt)
-                cls = rb.column("cls").take(pa.array(np.repeat(np.arange(rb.num_rows), BANDS)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), cls], ["band", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rb.column("node").to_numpy(), BANDS))], ["band", "node"])
 
-    return classes.select("cls", "registers").mapInArrow(run, "band long, cls binary")
+    return classes.select("node", "registers").mapInArrow(run, "band long, node long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(cls, shingles) of the wanted classes (cls, doc_id), from their documents' texts."""
+    """(node, shingles) of the wanted classes (node, cls, doc_id), from their documents' texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in chunked(batches, "text"):
             sets, bounds = shingle_sets(*utf8_view(rb.column("text")), k)
             keys = set_keys(sets, bounds)
             rows = [i for i, (key, want) in enumerate(zip(keys, rb.column("cls").to_pylist())) if key == want]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rows], pa.binary()), pa.array([sets[bounds[i]:bounds[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))], ["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([rb.column("node").take(pa.array(rows, pa.int64())), pa.array([sets[bounds[i]:bounds[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted.withColumnRenamed("doc_id", "_id"), texts["doc_id"].eqNullSafe(F.col("_id"))).select("cls", "text")
-    return texts.mapInArrow(run, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    texts = texts.join(wanted.withColumnRenamed("doc_id", "_id"), texts["doc_id"].eqNullSafe(F.col("_id"))).select("node", "cls", "text")
+    return texts.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: sizes and registers first, then the full sets."""
+def unshared(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles of each class no other class of ``sets`` has."""
+    owners = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"))
+    return owners.filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def possible(a: str, b: str, percent: int) -> F.Column:
+    """Whether two classes of n shingles, of which m may be shared, can be linked."""
+    share = F.least(F.col(f"m_{a}"), F.col(f"m_{b}"))
+    return (100 + percent) * share >= percent * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
+def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: those estimated near enough, on their full sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
                 a, b = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(-1, M) for c in ("registers_a", "registers_b"))
                 yield p.loc[estimate(a, b, p["n_a"].to_numpy(), p["n_b"].to_numpy()) >= LEAST_ESTIMATE, ["a", "b"]]
 
-    info = classes.select("cls", "n", "registers")
-    near = (pairs.join(info.toDF("a", "n_a", "registers_a"), "a").join(info.toDF("b", "n_b", "registers_b"), "b")
-            .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).mapInPandas(run, "a binary, b binary"))
+    regs = info.select("node", "n", "registers")
+    near = pairs.join(regs.toDF("a", "n_a", "registers_a"), "a").join(regs.toDF("b", "n_b", "registers_b"), "b").mapInPandas(run, "a long, b long")
+    near = stored(near, "near")                 # its size is known then, so few pairs are joined without dealing out all sets
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    return stored(both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"), "links")
+
+
+def in_company(rows: DataFrame) -> DataFrame:
+    """The rows (band, ...) of buckets that hold two rows at least."""
+    return rows.join(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"), "band")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that have a link."""
-    rows = band_rows(classes)
-    shared = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("cls").alias("pivot")).filter("size > 1").select("band", "pivot")
-    rows = stored(rows.join(shared, "band"), "bands")                      # buckets of at least two classes
-    wanted = rows.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
+    """(node, root) of the classes (node, cls, doc_id, n, registers) that have a link."""
+    rows = stored(in_company(band_rows(classes)), "bands")
+    wanted = rows.select("node").distinct().join(classes.select("node", "cls", "doc_id"), "node")
     sets = stored(candidate_sets(docs, wanted, id_col, text_col, k), "sets")
-    pairs = rows.filter("cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(verified(pairs, classes, sets, percent), "links")
+    for _ in range(PEELS):
+        sets = sets.join(unshared(sets), "node", "left").withColumn("m", F.size("shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+        sets = stored(sets.filter(100 * F.col("m") >= percent * F.size("shingles")), "sets").select("node", "shingles", "m")
+        info = sets.select("node", "m")
+        sets = sets.drop("m")
+    info = stored(info.join(classes.select("node", "n", "registers"), "node"), "candidates")
+    rows = stored(in_company(rows.join(info.select("node", "n", "m"), "node")), "bands")
+    centre = rows.groupBy("band").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("alone"), "node", "n", "m")).alias("c"))
+    centre = centre.select("band", F.col("c.node").alias("node_b"), F.col("c.n").alias("n_b"), F.col("c.m").alias("m_b"))
+    side = rows.select("band", *(F.col(c).alias(c + "_a") for c in ("node", "n", "m")))
+    pairs = side.join(centre, (side["band"] == centre["band"]) & (F.col("node_a") != F.col("node_b")) & possible("a", "b", percent))
+    links = verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), info, sets, percent)
     roots = components(links)
-    rows = rows.filter("cls != pivot").select("band", "cls")               # the first pivots have met all others
+    rows = rows.join(centre.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti")     # the centres have met all others
+    slots = SLOTS
     while True:
-        of = rows.join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        of = rows.select("band", "node", "n", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = of.groupBy("band", "root").agg(F.count("*").alias("size"))
         widest = groups.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "root")).alias("widest")).filter("groups > 1")
         rows = stored(of.join(widest.select("band", F.col("widest.root").alias("widest")), "band"), "bands")
         if rows.isEmpty():
             return roots
-        # pivots: members outside their bucket's largest component, one for each of SLOTS hash slots
-        slot = F.pmod(F.xxhash64("cls", "band"), F.lit(SLOTS))
-        pivots = stored(rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct("cls", "root")).alias("p"))
-                        .select("band", F.col("p.cls").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-        met = rows.join(pivots, "band").filter("root != pivot_root")
-        pairs = met.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-        fresh = stored(verified(pairs, classes, sets, percent), "links")
+        # pivots: members outside their bucket's largest component, one for each hash slot
+        slot = F.pmod(F.xxhash64("node", "band"), F.lit(slots))
+        pivots = rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct("node", "root", "n", "m")).alias("p"))
+        pivots = stored(pivots.select("band", *(F.col(f"p.{c}").alias(c + "_b") for c in ("node", "root", "n", "m"))), "pivots")
+        side = rows.select("band", *(F.col(c).alias(c + "_a") for c in ("node", "root", "n", "m")))
+        met = side.join(pivots, (side["band"] == pivots["band"]) & (F.col("root_a") != F.col("root_b")) & possible("a", "b", percent))
+        fresh = verified(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), info, sets, percent)
         if not fresh.isEmpty():
             links = stored(links.union(fresh), "links")
             roots = components(links)
-        rows = rows.join(pivots.select("band", F.col("pivot").alias("cls")), ["band", "cls"], "left_anti").select("band", "cls")
+        rows = rows.join(pivots.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti")
+        slots *= MORE
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -213,9 +244,9 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     component_id for each row of ``docs``."""
     rows = stored(sketched(docs, id_col, text_col, k), "sketches")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")       # stored, so a class keeps its number
     roots = link_classes(docs, classes, id_col, text_col, k, percent)
-    least = classes.select("cls", "doc_id").join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = classes.select("cls", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = least.join(by_root, "root").select("cls", "root", "component_id")
     return (rows.select("doc_id", "text_key", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left")
@@ -234,7 +265,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share it the one with the least text hash, and one of equal rows). Documents without words
     stay, but for rows that repeat one."""
     rows = stored(labelled(docs, id_col, text_col, k, percent), "labelled")
-    group = F.coalesce(F.hex("root"), F.col("text_key").cast("string"))
+    group = F.coalesce(F.concat(F.lit("root "), F.col("root").cast("string")), F.col("text_key").cast("string"))
     stay = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", group.alias("__group")).agg(F.min("text_key").alias("__text"))
     times = rows.groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).agg(F.count("*").alias("__times"))
     stay = stay.join(times, stay["doc_id"].eqNullSafe(times["__d"]) & (stay["__text"] == times["__t"])).select("__d", "__t", "__times").distinct()
