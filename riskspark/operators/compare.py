@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import bin_left, linspace_col, r6
+from riskspark.functions.stats import pearson
 from riskspark.operators.evaluate import ks_two_sample
 from riskspark.operators.profile import clean_value, numeric_columns
 
@@ -106,9 +107,9 @@ def ks_compare(df: DataFrame, side: str = "side", columns: Sequence[str] | None
 
 # ---------------------------------------------------------------- C4 / Q7
 def _side_correlations(df: DataFrame, side: str, cols: list[str]) -> DataFrame:
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]     # the diagonal tells which columns vary
     agg = df.groupBy(F.col(side).alias("side")).agg(*[
-        F.corr(clean_value(df, cols[i]).cast("double"), clean_value(df, cols[j]).cast("double")).alias(f"c{i}_{j}")
+        pearson(clean_value(df, cols[i]).cast("double"), clean_value(df, cols[j]).cast("double")).alias(f"c{i}_{j}")
         for i, j in pairs])
     return agg.select("side", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs
@@ -117,7 +118,8 @@ def _side_correlations(df: DataFrame, side: str, cols: list[str]) -> DataFrame:
 
 def correlation_pairs_by_side(df: DataFrame, side: str = "side",
                               columns: Sequence[str] | None = None) -> DataFrame:
-    """Upper-triangle pairs with r on each side (one aggregation for both sides)."""
+    """Pairs i <= j with r on each side (one aggregation for both sides); NULL where a column is
+    constant on that side."""
     cols = list(columns or numeric_columns(df, exclude=[side]))
     if len(cols) < 2:
         raise ValueError("at least two numeric columns are needed for correlations")
@@ -127,11 +129,18 @@ def correlation_pairs_by_side(df: DataFrame, side: str = "side",
         .withColumn("d", F.lit(len(cols)))
 
 
+def _mean_gap(pairs: DataFrame) -> DataFrame:
+    """One row, v: the mean over columns of the mean |Δ| of their defined cells."""
+    gap = F.when(F.col("i") == F.col("j"), F.when(F.col("real_r").isNotNull() & F.col("synthetic_r").isNotNull(), 0.0)) \
+        .otherwise(F.abs(F.col("real_r") - F.col("synthetic_r")))
+    cells = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("column"), gap.alias("gap"))
+    return cells.groupBy("column").agg(F.avg("gap").alias("m")).agg(F.avg("m").alias("v"))
+
+
 def corr_matrix_diff(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None) -> DataFrame:
-    """Mean |r_real − r_synth| over the full d×d matrix (zero diagonal): 2·Σ_{i<j}|Δ|/d²."""
-    p = correlation_pairs_by_side(df, side, columns)
-    out = p.agg((2.0 * F.sum(F.abs(F.col("real_r") - F.col("synthetic_r"))) / (F.first("d") * F.first("d")))
-                .alias("v"))
+    """Mean |r_real − r_synth| over the matrix: the mean of its columns' means over defined cells
+    (2·Σ_{i<j}|Δ|/d² where all are defined)."""
+    out = _mean_gap(correlation_pairs_by_side(df, side, columns))
     return out.select(r6(F.col("v")).alias("average_correlation_difference"),
                       _label(F.col("v")).alias("correlation_similarity"))
 
@@ -139,8 +148,8 @@ def corr_matrix_diff(df: DataFrame, side: str = "side", columns: Sequence[str] |
 def corr_structure(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None) -> DataFrame:
     """C4's mean gap, Pearson r between the two upper triangles, and the label."""
     p = correlation_pairs_by_side(df, side, columns)
-    out = p.agg((2.0 * F.sum(F.abs(F.col("real_r") - F.col("synthetic_r"))) / (F.first("d") * F.first("d")))
-                .alias("v"), F.corr("real_r", "synthetic_r").alias("cc"))
+    upper = p.where(F.col("i") < F.col("j")).agg(pearson(F.col("real_r"), F.col("synthetic_r")).alias("cc"))
+    out = _mean_gap(p).crossJoin(F.broadcast(upper))          # one row each
     return out.select(r6(F.col("v")).alias("average_correlation_difference"),
                       r6(F.col("cc")).alias("correlation_correlation"),
                       _label(F.col("v")).alias("correlation_similarity"))
@@ -240,21 +249,22 @@ def chi_squared_score(h: DataFrame, parity: bool = False) -> DataFrame:
     both sides are skipped.
     """
     b = _paired_bins(h, 10)
-    sp = F.col("s") * F.col("nr") / F.col("ns")
+    sp = F.try_divide(F.col("s") * F.col("nr"), F.col("ns"))
     term = F.when((sp == 0) & (F.col("r") == 0), F.lit(None)) \
         .when(sp == 0, F.lit(float("inf"))).otherwise((F.col("r") - sp) * (F.col("r") - sp) / sp)
     g = b.groupBy("column").agg(F.sum(term).alias("chi2"), F.first("nr").alias("nr"), F.first("ns").alias("ns"))
-    score = 1.0 / (1.0 + F.col("chi2") / F.col("nr"))
+    score = F.lit(1.0) / (F.lit(1.0) + F.try_divide(F.col("chi2"), F.col("nr")))
     if parity:
         score = F.when(F.col("nr") != F.col("ns"), F.lit(0.0)).otherwise(score)
     return g.select("column", r6(F.col("chi2")).alias("chi_squared"), r6(score).alias("chi_squared_score"))
 
 
 def _densities(h: DataFrame, n_edges: int = 20, smooth: float = 1e-10) -> DataFrame:
-    """Per (column, bin): density of each side (+ smoothing) and its normalised form."""
+    """Per (column, bin): density of each side (+ smoothing) and its normalised form; NULL for a
+    constant column, whose bins have no width."""
     b = _paired_bins(h, n_edges)
-    dr = F.col("r") / (F.col("nr") * F.col("w"))
-    ds = F.col("s") / (F.col("ns") * F.col("w"))
+    dr = F.try_divide(F.col("r"), F.col("nr") * F.col("w"))
+    ds = F.try_divide(F.col("s"), F.col("ns") * F.col("w"))
     from pyspark.sql import Window
     w = Window.partitionBy("column")
     x = b.select("column", "bin", dr.alias("dr"), ds.alias("ds"),
@@ -274,11 +284,11 @@ def divergence_scores(h: DataFrame) -> DataFrame:
         F.sum(F.col("dr") * F.col("dr")).alias("nr2"),
         F.sum(F.col("ds") * F.col("ds")).alias("ns2"),
         F.sum(-m * F.log(m)).alias("hm"), F.sum(-p * F.log(p)).alias("hp"), F.sum(-q * F.log(q)).alias("hq"))
-    cos = F.col("dot") / F.sqrt(F.col("nr2") * F.col("ns2"))
+    cos = F.try_divide(F.col("dot"), F.sqrt(F.col("nr2") * F.col("ns2")))
     return g.select("column",
                     r6(1.0 / (1.0 + F.col("is_div"))).alias("kl_divergence_inverse"),
                     r6(F.col("kl")).alias("kl_divergence"),
-                    r6(F.greatest(F.lit(0.0), cos)).alias("cosine_similarity"),
+                    r6(F.when(cos.isNotNull(), F.greatest(F.lit(0.0), cos))).alias("cosine_similarity"),
                     r6(1.0 - (F.col("hm") - 0.5 * (F.col("hp") + F.col("hq")))).alias("jensen_shannon_entropy"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import bin_left, count_edges, linspace, linspace_col, r6
-from riskspark.operators.kernels import exact_quantiles, materialize_small, value_cumsums
+from riskspark.operators.kernels import exact_quantiles, materialize, materialize_small, value_cumsums
 from riskspark.operators.traffic_light import tl_probability_bins, tl_probability_summary
 
 
@@ -142,35 +142,6 @@ def ks_scores(df: DataFrame, by=("model",), side: str = "side", p: str = "p",
 
 
 # ---------------------------------------------------------------- E5
-MAX_SIDES = 1000
-
-
-def side_values(df: DataFrame, side: str, exclude: str | None = None) -> list[str]:
-    """Distinct values of a low-cardinality label column (at most ``MAX_SIDES``)."""
-    rows = df.select(side).distinct()
-    if exclude is not None:
-        rows = rows.where(F.col(side) != exclude)
-    vals = sorted(r[0] for r in rows.limit(MAX_SIDES + 1).collect())
-    if len(vals) > MAX_SIDES:
-        raise ValueError(f"column {side!r} has more than {MAX_SIDES} values")
-    return vals
-
-
-def _against_expected(df: DataFrame, side: str, expected: str,
-                      compared: Sequence[str] | None = None) -> DataFrame:
-    """Pair every non-expected side with the expected rows: adds ``compared``.
-
-    Expected rows are repeated once per compared side (a handful), other rows
-    keep their own side.
-    """
-    if compared is None:
-        compared = side_values(df, side, exclude=expected)
-    # one scan: expected rows fan out to every compared side, others keep theirs
-    targets = F.when(F.col(side) == expected, F.array(*[F.lit(c) for c in compared])) \
-        .otherwise(F.array(F.col(side)))
-    return df.withColumn("compared", F.explode(targets))
-
-
 def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str = "train",
                p: str = "p", n_bins: int = 10, floor_share: float = 1e-6) -> DataFrame:
     """Variant A PSI: equal-width bins over the pooled [min, max] of both sides.
@@ -179,14 +150,23 @@ def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str
     (no renormalisation); PSI = Σ (t − e) · ln(t / e).
     """
     by = _by(by)
-    rows = _against_expected(_valid(df, p), side, expected)
     g = [*by, "compared"]
-    rng = materialize_small(rows.groupBy(*g).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi")))
+    # rows collapse to counts of distinct scores first; only those meet each compared side
+    counts = materialize(_valid(df, p).where(F.col(side).isNotNull()).groupBy(*by, F.col(side).alias("compared"), p)
+                         .agg(F.count(F.lit(1)).alias("c")))
+    ranges = counts.groupBy(*g).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
+    of_expected = ranges.where(F.col("compared") == expected).select(*by, F.col("_lo").alias("_elo"), F.col("_hi").alias("_ehi"))
+    others = ranges.where(F.col("compared") != expected)
+    others = others.join(of_expected, by, "left") if by else others.crossJoin(F.broadcast(of_expected))
+    rng = materialize_small(others.select(*g, F.least("_lo", "_elo").alias("_lo"), F.greatest("_hi", "_ehi").alias("_hi")))
     # edges built once per compared group in the small range table
     edges = rng.select(*g, linspace_col(F.col("_lo"), F.col("_hi"), n_bins + 1).alias("_edges"))
-    b = rows.join(edges, g).withColumn("_bin", bin_left(F.col(p), F.col("_edges"), n_max=n_bins + 1))
-    is_exp = (F.col(side) == expected).cast("long")
-    cnt = materialize_small(b.groupBy(*g, "_bin").agg(F.sum(is_exp).alias("e"), F.sum(1 - is_exp).alias("a")))
+    binned = bin_left(F.col(p), F.col("_edges"), n_max=n_bins + 1).alias("_bin")
+    actual = counts.join(edges, g).select(*g, binned, F.lit(0).cast("long").alias("e"), F.col("c").alias("a"))
+    base = counts.where(F.col("compared") == expected).drop("compared")
+    expected_rows = base.join(edges, by) if by else base.crossJoin(F.broadcast(edges))
+    expected_rows = expected_rows.select(*g, binned, F.col("c").alias("e"), F.lit(0).cast("long").alias("a"))
+    cnt = materialize_small(actual.unionByName(expected_rows).groupBy(*g, "_bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a")))
     grid = rng.select(*g, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("_bin"))
     full = grid.join(cnt, [*g, "_bin"], "left").fillna(0, ["e", "a"])
     tot = full.groupBy(*g).agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))

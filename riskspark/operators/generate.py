@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.normal import hash_uniform, norm_cdf, norm_ppf
+from riskspark.functions.stats import pearson
 from riskspark.operators.kernels import exact_quantiles, hash_rank, value_cumsums
 from riskspark.operators.profile import numeric_columns
 
@@ -130,7 +131,7 @@ def fit_copula(df: DataFrame, columns: Sequence[str] | None = None, key: str | N
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     corr = np.eye(len(cols))
     if pairs:
-        row = z_wide.agg(*[F.corr(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"c{i}_{j}")
+        row = z_wide.agg(*[pearson(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"c{i}_{j}")
                            for i, j in pairs]).first()
         for i, j in pairs:
             v = row[f"c{i}_{j}"]

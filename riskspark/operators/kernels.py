@@ -3,10 +3,11 @@
 * ``value_cumsums`` (K1/K5) — exact running sums over the ascending distinct
   values of a column, per group, without a window that puts a whole group in
   one task. Rows are first collapsed to one row per (group, value), so a value
-  that holds a third of the data becomes a single row; the distinct values are
-  then split into range buckets from ``percentile_approx`` cut points, bucket
-  totals (a tiny table) give each bucket its starting offset, and the window
-  runs per (group, bucket).
+  that holds a third of the data becomes a single row; the counts are then
+  dealt out in ranges of (group, value) and stored once, totals per range (a
+  tiny table) give each range its starting offset, and the window runs per
+  (group, range). One plan for every size: how many ranges a group spans
+  follows from Spark's own sampling.
 * ``exact_quantiles`` — linear-interpolated quantiles (NumPy / pandas
   convention) read off the running counts; exact, with bounded memory per task.
 * ``hash_rank`` (K1) — exact 1-based row number per group in the order of
@@ -23,102 +24,44 @@ from pyspark.sql import functions as F
 
 _ALL = "_rs_all"
 
-# Inputs whose estimated size is at most this many bytes run the one-window /
-# one-exact-percentile plan (each group then certainly fits one task); larger
-# inputs take the bucketed plan. The estimate comes from Catalyst's plan
-# statistics (file sizes propagated through the plan), so choosing costs no job.
-SINGLE_TASK_MAX_BYTES = int(__import__("os").environ.get("RISKSPARK_SINGLE_TASK_MAX_BYTES", 256 * 1024 * 1024))
-
-
-# On the bucketed plan only groups with more distinct values than this get
-# range cut points (so at most n / HOT_GROUP_ROWS groups carry a sketch); every
-# other group is a single bucket whose window fits one task.
-HOT_GROUP_ROWS = int(__import__("os").environ.get("RISKSPARK_HOT_GROUP_ROWS", 1_000_000))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (an upper-bound style figure)."""
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v if isinstance(v, int) else v.toString())
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
-
-
-def groups_fit_one_task(df: DataFrame, group_cols: Sequence[str] = (),
-                        max_bytes: int | None = None) -> bool:
-    """True when the whole input is small enough that any group fits one task."""
-    limit = SINGLE_TASK_MAX_BYTES if max_bytes is None else max_bytes
-    return limit > 0 and estimated_bytes(df) <= limit
-
-
 def _with_group(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if group_cols:
         return df, list(group_cols)
     return df.withColumn(_ALL, F.lit(1)), [_ALL]
 
 
-# Range buckets per hot group on the bucketed plan: at 1e11 rows per group a
-# bucket (one window task) still holds only ~2.4e7 values.
-BUCKETS = 4096
-
-
 def value_cumsums(counts: DataFrame, group_cols: Sequence[str], value_col: str,
-                  sum_cols: Sequence[str], buckets: int | None = None,
-                  accuracy: int = 10000, single_task: bool | None = None) -> DataFrame:
+                  sum_cols: Sequence[str]) -> DataFrame:
     """Inclusive ascending running sums of ``sum_cols`` per group.
 
     ``counts`` must hold one row per (group, value) (aggregate first). Adds
     ``cum_<c>`` (sum over values <= this one) and ``tot_<c>`` (group total)
-    for every ``c`` in ``sum_cols``. ``single_task`` forces (True) or forbids
-    (False) the one-window-per-group plan; by default it is chosen from the
-    group sizes.
+    for every ``c`` in ``sum_cols``.
     """
     counts, g = _with_group(counts, group_cols)
-    buckets = buckets or BUCKETS
-    if single_task is None:
-        single_task = groups_fit_one_task(counts, g)
-    if single_task:
-        run = Window.partitionBy(*g).orderBy(value_col).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*g)
-        out = counts.select(
-            *counts.columns,
-            *[F.sum(c).over(run).alias(f"cum_{c}") for c in sum_cols],
-            *[F.sum(c).over(whole).alias(f"tot_{c}") for c in sum_cols])
-        return out if group_cols else out.drop(_ALL)
-    probs = [i / buckets for i in range(1, buckets)]
-    # cut points only for hot groups; the rest stay one bucket each
-    hot = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_rs_gn")).where(F.col("_rs_gn") > HOT_GROUP_ROWS)
-    cuts = counts.join(hot.select(*g), g, "left_semi").groupBy(*g).agg(
-        F.percentile_approx(value_col, probs, max(accuracy, 10 * buckets)).alias("_rs_cuts"))
-    # bucket = number of cut points strictly below the value (binary search on
-    # the sorted cut points): monotone in the value, and equal values always
-    # share a bucket; groups without cut points are bucket 0
-    from riskspark.functions.bins import count_below_sorted
-    bucketed = count_below_sorted(counts.join(cuts, g, "left"), F.col(value_col), "_rs_cuts",
-                                  buckets - 1, "_rs_bkt").drop("_rs_cuts")
-    totals = bucketed.groupBy(*g, "_rs_bkt").agg(
-        *[F.sum(c).alias(f"_rs_bs_{c}") for c in sum_cols])
-    before = Window.partitionBy(*g).orderBy("_rs_bkt").rowsBetween(
-        Window.unboundedPreceding, -1)
+    # ranges of (group, value): a group lies in consecutive ranges, a value in one
+    placed = materialize(counts.repartitionByRange(*g, value_col)
+                         .withColumn("_rs_part", F.spark_partition_id()))
+    totals = placed.groupBy(*g, "_rs_part").agg(*[F.sum(c).alias(f"_rs_bs_{c}") for c in sum_cols])
+    before = Window.partitionBy(*g).orderBy("_rs_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
     offsets = totals.select(
-        *g, "_rs_bkt",
-        *[F.coalesce(F.sum(f"_rs_bs_{c}").over(before), F.lit(0)).alias(f"_rs_off_{c}")
-          for c in sum_cols],
-        *[F.sum(f"_rs_bs_{c}").over(whole).alias(f"tot_{c}") for c in sum_cols],
-    )
-    within = Window.partitionBy(*g, "_rs_bkt").orderBy(value_col).rowsBetween(
+        *g, "_rs_part",
+        *[F.coalesce(F.sum(f"_rs_bs_{c}").over(before), F.lit(0)).alias(f"_rs_off_{c}") for c in sum_cols],
+        *[F.sum(f"_rs_bs_{c}").over(whole).alias(f"tot_{c}") for c in sum_cols])
+    within = Window.partitionBy(*g, "_rs_part").orderBy(value_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = bucketed.join(offsets, [*g, "_rs_bkt"]).select(
-        *[c for c in counts.columns],
+    # NULL groups are groups too, so the offsets are matched null-safely
+    right = offsets.select(*[F.col(c).alias(f"_rs_r{i}") for i, c in enumerate([*g, "_rs_part"])],
+                           *[c for c in offsets.columns if c not in g and c != "_rs_part"])
+    on = F.lit(True)
+    for i, c in enumerate([*g, "_rs_part"]):
+        on = on & placed[c].eqNullSafe(right[f"_rs_r{i}"])
+    out = placed.join(right, on).select(
+        *counts.columns,
         *[(F.col(f"_rs_off_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in sum_cols],
-        *[F.col(f"tot_{c}") for c in sum_cols],
-    )
-    if not group_cols:
-        out = out.drop(_ALL)
-    return out
+        *[F.col(f"tot_{c}") for c in sum_cols])
+    return out if group_cols else out.drop(_ALL)
 
 
 def linear_quantile_probs(n_groups: int) -> list[float]:
@@ -130,8 +73,7 @@ def linear_quantile_probs(n_groups: int) -> list[float]:
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], out_col: str = "quantiles",
-                    buckets: int | None = None, single_task: bool | None = None) -> DataFrame:
+                    probs: Sequence[float], out_col: str = "quantiles") -> DataFrame:
     """Exact linear-interpolated quantiles per group as an array column.
 
     Same convention as ``numpy.quantile(method='linear')``: position
@@ -142,17 +84,8 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     df, g = _with_group(df, group_cols)
     v = F.col(value_col)
     valid = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    if single_task is None:
-        single_task = groups_fit_one_task(valid, g)
-    if single_task:
-        # every group fits one task: Spark's exact percentile (value -> count
-        # map per group) in a single aggregation
-        out = valid.groupBy(*g).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile(F.col(value_col).cast("double"), [float(q) for q in probs]).alias(out_col))
-        return out if group_cols else out.drop(_ALL)
     counts = valid.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_rs_n"))
-    cum = value_cumsums(counts, g, value_col, ["_rs_n"], buckets=buckets, single_task=False)
+    cum = value_cumsums(counts, g, value_col, ["_rs_n"])
     probs_arr = F.array(*[F.lit(float(q)) for q in probs])
     nm1 = (F.col("tot__rs_n") - 1).cast("double")
     # 0-based order statistics each quantile needs: floor(h) and floor(h) + 1
@@ -216,15 +149,10 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], key_col: str, seed: int,
     return out
 
 
-def materialize_small(df: DataFrame) -> DataFrame:
-    """Compute a small aggregated table once when several branches of a plan read it.
-
-    Without this each branch re-runs the aggregation (and rescans the large
-    input under it). The table is written with ``checkpoint()`` to the
-    session's reliable checkpoint folder.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read by all branches that follow: ``checkpoint()`` writes it
+    to the session's shared checkpoint folder, so a lost executor loses nothing of it."""
     return df.checkpoint(eager=True)
 
 
-def round6(c: Column) -> Column:
-    return F.round(c, 6)
+materialize_small = materialize      # of aggregated tables

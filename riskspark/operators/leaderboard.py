@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import r6
+from riskspark.functions.stats import pearson
 
 # Model families of the reference's model comparison.
 MODEL_FAMILIES = {
@@ -127,7 +128,7 @@ def metric_correlations(wide: DataFrame, scope: str = "split", metrics: Sequence
     """Pearson r between metric columns across models, the ``top`` pairs by |r|."""
     ms = list(metrics or [c for c in TABLE_METRICS if c in wide.columns])
     pairs = [(a, b) for i, a in enumerate(ms) for b in ms[i + 1:]]
-    agg = wide.groupBy(scope).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    agg = wide.groupBy(scope).agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
     long = agg.select(scope, F.explode(F.array(*[
         F.struct(F.lit(a).alias("metric1"), F.lit(b).alias("metric2"),
                  F.when(~F.isnan(F.col(f"{a}__{b}")), F.col(f"{a}__{b}")).alias("r"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.functions.bins import r6, status3
+from riskspark.functions.stats import pearson
 from riskspark.operators.kernels import exact_quantiles, materialize_small
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -70,11 +71,11 @@ def missing_profile(df: DataFrame) -> DataFrame:
     stacked = agg.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"m{i}").alias("missing_count"))
         for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
-    pct = F.col("missing_count") / F.col("_n") * 100.0
+    pct = F.try_divide(F.col("missing_count"), F.col("_n")) * 100.0
     per_col = stacked.select("column", "position", "missing_count", r6(pct).alias("missing_percentage"),
                              status3(pct, 5, 20).alias("status"))
     total = stacked.groupBy().agg(F.sum("missing_count").alias("missing_count"), F.first("_n").alias("_n"))
-    tpct = F.col("missing_count") / (F.col("_n") * float(len(cols))) * 100.0
+    tpct = F.try_divide(F.col("missing_count"), F.col("_n") * float(len(cols))) * 100.0
     summary = total.select(F.lit("summary").alias("column"), F.lit(-1).alias("position"), "missing_count",
                            r6(tpct).alias("missing_percentage"), status3(tpct, 5, 20).alias("status"))
     return per_col.unionByName(summary)
@@ -85,23 +86,41 @@ def duplicate_profile(df: DataFrame) -> DataFrame:
     """Extra copies of fully equal rows (first copy kept), %, status (<1 ok, <5 warning)."""
     groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
     t = groups.agg(F.sum("_c").alias("n_rows"), F.sum(F.col("_c") - 1).alias("duplicate_count"))
-    pct = F.col("duplicate_count") / F.col("n_rows") * 100.0
+    pct = F.try_divide(F.col("duplicate_count"), F.col("n_rows")) * 100.0
     return t.select("n_rows", "duplicate_count", r6(pct).alias("duplicate_percentage"),
                     status3(pct, 1, 5).alias("status"))
 
 
 # ---------------------------------------------------------------- P4
 def cardinality_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column type, distinct non-missing count, % of rows, ok if > 1 % else warning."""
+    """Per column type, distinct non-missing count, % of rows, ok if > 1 % else warning.
+
+    Exact counts go over (column, value) rows, so each row is shuffled as its distinct
+    values and not once per column; ``approximate`` sketches all columns without a shuffle.
+    """
     cols = df.columns
-    dist = (lambda c: F.approx_count_distinct(clean_value(df, c))) if approximate else \
-        (lambda c: F.count_distinct(clean_value(df, c)))
-    agg = df.agg(F.count(F.lit(1)).alias("_n"), *[dist(c).alias(f"d{i}") for i, c in enumerate(cols)])
-    stacked = agg.select("_n", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
-                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.col(f"d{i}").alias("unique_count"))
-        for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
-    pct = F.col("unique_count") / F.col("_n") * 100.0
+    types = {c: df.schema[c].dataType.simpleString() for c in cols}
+    if approximate:
+        agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(clean_value(df, c)).alias(f"d{i}")
+                                                      for i, c in enumerate(cols)])
+        stacked = agg.select("_n", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(types[c]).alias("dtype"),
+                     F.col(f"d{i}").alias("unique_count")) for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
+    else:
+        def text(c: str) -> Column:
+            v = clean_value(df, c)
+            return (F.when(v == 0, 0.0).otherwise(v) if types[c] in ("float", "double") else v).cast("string")
+
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), text(c).alias("value"))
+                                             for i, c in enumerate(cols)])).alias("r")).select("r.*")
+        per = long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("c")).groupBy("position").agg(
+            F.sum("c").alias("_n"), F.count("value").alias("unique_count"))
+        every = df.sparkSession.createDataFrame([(i, c, types[c]) for i, c in enumerate(cols)],
+                                                "position int, column string, dtype string")
+        stacked = F.broadcast(every).join(per, "position", "left").select(
+            F.coalesce("_n", F.lit(0)).alias("_n"), "column", "position", "dtype",
+            F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
+    pct = F.try_divide(F.col("unique_count"), F.col("_n")) * 100.0
     return stacked.select("column", "position", "dtype", "unique_count", r6(pct).alias("unique_percentage"),
                           F.when(pct > 1, "ok").otherwise("warning").alias("status"))
 
@@ -130,7 +149,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                  F.lit(b.get(c, (nan, nan))[0]).cast("double").alias("lower_bound"),
                  F.lit(b.get(c, (nan, nan))[1]).cast("double").alias("upper_bound"))
         for i, c in enumerate(cols)])).alias("r")).select("_n", "r.*")
-    pct = F.col("outlier_count") / F.col("_n") * 100.0
+    pct = F.try_divide(F.col("outlier_count"), F.col("_n")) * 100.0
     return j.select("column", "position", "outlier_count", r6(pct).alias("outlier_percentage"),
                     r6(F.col("lower_bound")).alias("lower_bound"), r6(F.col("upper_bound")).alias("upper_bound"),
                     status3(pct, 5, 15).alias("status"))
@@ -143,7 +162,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
-    agg = df.agg(*[F.corr(clean_value(df, cols[i]).cast("double"), clean_value(df, cols[j]).cast("double"))
+    agg = df.agg(*[pearson(clean_value(df, cols[i]).cast("double"), clean_value(df, cols[j]).cast("double"))
                    .alias(f"c{i}_{j}") for i, j in pairs])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(cols[i]).alias("feature1"), F.lit(cols[j]).alias("feature2"),
@@ -159,16 +178,20 @@ def correlation_pairs(df: DataFrame, threshold: float = 0.8, columns: Sequence[s
 
 
 def correlation_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """max |r| with the diagonal (always 1 when any column varies) and off-diagonal."""
-    m = correlation_matrix(df, columns)
-    return m.agg(F.max(F.abs("correlation")).alias("_off")).select(
-        r6(F.greatest(F.lit(1.0), F.col("_off"))).alias("max_correlation"),
+    """max |r| with the diagonal (1 when any column varies, else NULL) and off-diagonal."""
+    cols = list(columns or numeric_columns(df))
+    off = correlation_matrix(df, cols).agg(F.max(F.abs("correlation")).alias("_off"))
+    # the diagonal is 1 for a column that varies and undefined for any other
+    varies = [F.when(F.stddev_pop(clean_value(df, c).cast("double")) > 0, 1.0) for c in cols]
+    diagonal = df.agg((F.greatest(*varies) if len(varies) > 1 else varies[0] if varies else F.lit(None).cast("double")).alias("_diag"))
+    return off.crossJoin(F.broadcast(diagonal)).select(          # one row each
+        r6(F.greatest("_diag", "_off")).alias("max_correlation"),
         r6(F.col("_off")).alias("max_offdiagonal_correlation"))
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     cols = [c for c in (columns or numeric_columns(df)) if c != target]
-    agg = df.agg(*[F.corr(clean_value(df, c).cast("double"), clean_value(df, target).cast("double"))
+    agg = df.agg(*[pearson(clean_value(df, c).cast("double"), clean_value(df, target).cast("double"))
                    .alias(f"t{i}") for i, c in enumerate(cols)])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), r6(F.col(f"t{i}")).alias("correlation"))
@@ -176,13 +199,16 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
 
 
 # ---------------------------------------------------------------- P8
-def frame_gate(df: DataFrame, min_rows: int = 10) -> DataFrame:
-    """Input gate: error on zero columns or zero rows, warning below ``min_rows``."""
-    n = df.limit(min_rows).count()
+def frame_gate(df: DataFrame, min_rows: int = 10, target: DataFrame | None = None) -> DataFrame:
+    """Input gate over all rows: error on zero columns or zero rows, and where ``target``
+    (a frame of the labels) has another number of rows; warning below ``min_rows``."""
+    n = df.count()
     if not df.columns:
         raise ValueError("input has no columns")
     if n == 0:
         raise ValueError("input has no rows")
+    if target is not None and (labels := target.count()) != n:
+        raise ValueError(f"{n} rows of features and {labels} of the target")
     status = "ok" if n >= min_rows else "warning"
     return df.sparkSession.createDataFrame(
         [(len(df.columns), n, status)], "n_cols int, rows_seen long, status string")

@@ -19,16 +19,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """Create (or reuse) a session with AQE, UTC time and the UI off.
 
     On a cluster ``master`` stays ``None`` and the submit command decides; the
-    shuffle partition count should then follow the data (AQE coalesces small
-    ones and splits skewed join partitions at run time).
+    shuffle partition count is the cluster's own unless given (AQE merges small
+    partitions and splits skewed join partitions, but adds none).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = str(shuffle_partitions or 8)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", parts)
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # joins against per-group statistics tables become broadcast joins only
@@ -50,8 +50,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Local runs (tests, bench) get a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder, which is used
+    as is; without one this raises, since executors would not see one another's
+    files. Local runs (tests, bench) get a fresh scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -60,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="riskspark-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path

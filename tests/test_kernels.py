@@ -15,11 +15,21 @@ def _values(spark, n=3000, parts=8):
     return spark.createDataFrame(pdf).repartition(parts), pdf
 
 
-@pytest.mark.parametrize("single", [True, False])
-def test_value_cumsums_exact_both_paths(spark, single):
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_value_cumsums_exact_over_any_ranges(spark, parts):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        _check_cumsums(spark)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _check_cumsums(spark):
     df, pdf = _values(spark)
     counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    got = value_cumsums(counts, ["g"], "v", ["n"], buckets=16, single_task=single).toPandas()
+    got = value_cumsums(counts, ["g"], "v", ["n"]).toPandas()
     want = pdf.groupby(["g", "v"]).size().rename("n").reset_index().sort_values(["g", "v"])
     want["cum_n"] = want.groupby("g")["n"].cumsum()
     m = got.merge(want, on=["g", "v"], suffixes=("", "_w"))
@@ -27,12 +37,11 @@ def test_value_cumsums_exact_both_paths(spark, single):
     assert (m["cum_n"] == m["cum_n_w"]).all()
 
 
-@pytest.mark.parametrize("single", [True, False])
-def test_exact_quantiles_match_numpy(spark, single):
+def test_exact_quantiles_match_numpy(spark):
     df, pdf = _values(spark)
     probs = [i * 0.1 for i in range(11)]
     probs[-1] = 1.0
-    got = exact_quantiles(df, ["g"], "v", probs, single_task=single).toPandas().set_index("g")
+    got = exact_quantiles(df, ["g"], "v", probs).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         want = np.quantile(part["v"].to_numpy(), probs)
         np.testing.assert_allclose(np.array(got.loc[g, "quantiles"]), want, rtol=0, atol=1e-12)
@@ -57,23 +66,27 @@ def test_hash_rank_is_partition_invariant(spark, parts):
     assert (m["group_n"] == m.groupby("c_x")["k"].transform("count")).all()
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
-def test_bucketed_path_with_hot_and_small_groups(spark, monkeypatch, hot_rows):
-    import riskspark.operators.kernels as K
-    monkeypatch.setattr(K, "HOT_GROUP_ROWS", hot_rows)
-    monkeypatch.setattr(K, "BUCKETS", 16)
+def test_one_hot_group_among_small_and_null_ones(spark):
     rng = np.random.default_rng(3)
     g = np.concatenate([np.zeros(2000), rng.integers(1, 40, 500)]).astype("int64")   # one hot group
     v = np.round(rng.normal(size=len(g)), 3)
     pdf = pd.DataFrame({"g": g, "v": v})
-    counts = spark.createDataFrame(pdf).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    got = value_cumsums(counts, ["g"], "v", ["n"], buckets=8, single_task=False).toPandas()
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != 7, F.col("g")))
+    got = value_cumsums(df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), ["g"], "v", ["n"]).toPandas().fillna({"g": 7})
     want = pdf.groupby(["g", "v"]).size().rename("n").reset_index().sort_values(["g", "v"])
     want["cum_n"] = want.groupby("g")["n"].cumsum()
     m = got.merge(want, on=["g", "v"], suffixes=("", "_w"))
     assert len(m) == len(want) and (m["cum_n"] == m["cum_n_w"]).all()
 
 
+def test_exploding_the_input_keeps_the_plan(spark):
+    """No size estimate decides on a window over a whole group."""
+    df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("v"))
+    for frame in (df, df.select(F.explode(F.array_repeat("v", 50)).alias("v"))):
+        plan = value_cumsums(frame.groupBy("v").agg(F.count(F.lit(1)).alias("n")), [], "v", ["n"])._jdf.queryExecution().toString()
+        assert "_rs_part" in plan
+
+
 def test_binary_search_counts_match_linear(spark):
     from riskspark.functions.bins import count_below_sorted
     arr = sorted(np.round(np.random.default_rng(1).normal(size=37), 1).tolist())
