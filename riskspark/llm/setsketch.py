@@ -11,7 +11,8 @@ below the threshold are verified on their full sets.
 
 No pairs within a group are emitted. Equal sets become one class first. Shingles that no
 other candidate has bound what a class can share: a class with too many of them links with
-nothing, and any pair's intersection is at most what the two have besides. Each band bucket
+nothing, and any pair's intersection is at most what the two have besides; nor is it more
+than a set's size less the slots of a bitmap that only this set occupies. Each band bucket
 then checks its members against one pivot, the member with the least share of such shingles
 (of copies of one text the most central), and after that, round by round, against a growing
 number of pivots from outside its largest component; members that are linked already are not
@@ -32,6 +33,7 @@ name. Very long texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,8 +46,9 @@ from riskspark.llm.links import components
 BASE, RATE, TOP = 1.02, 20.0, 65_535       # SetSketch's b, a and q + 1
 M, ROWS = 128, 4
 BANDS = M // ROWS
-SLOTS, MORE = 16, 4                        # pivots of a bucket in the second round; times more in each later one
-PEELS = 2                                  # counts of unshared shingles, each among the classes the last one left
+SLOTS, MORE = 64, 8                        # pivots of a bucket in the second round; times more in each later one
+WORDS = 8                                  # of 64 bits: the bitmap of occupied slots that a set's hashes fall into
+BITS = [f"bits{i}" for i in range(WORDS)]
 LEAST_ESTIMATE = 0.6
 
 
@@ -152,17 +155,21 @@ def band_rows(classes: DataFrame) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles) of the wanted classes (node, cls, doc_id), from their documents' texts."""
+    """(node, shingles, BITS) of the wanted classes (node, cls, doc_id), from their documents' texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in chunked(batches, "text"):
             sets, bounds = shingle_sets(*utf8_view(rb.column("text")), k)
             keys = set_keys(sets, bounds)
+            occupied = np.zeros((rb.num_rows, 64 * WORDS), bool)
+            occupied[np.repeat(np.arange(rb.num_rows), np.diff(bounds)), (sets >> U64(55)).astype(np.int64) % (64 * WORDS)] = True
+            bits = np.packbits(occupied, axis=1).view(">i8").astype(np.int64)
             rows = [i for i, (key, want) in enumerate(zip(keys, rb.column("cls").to_pylist())) if key == want]
-            yield pa.RecordBatch.from_arrays([rb.column("node").take(pa.array(rows, pa.int64())), pa.array([sets[bounds[i]:bounds[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([rb.column("node").take(pa.array(rows, pa.int64())), pa.array([sets[bounds[i]:bounds[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64())), *(pa.array(bits[rows, j]) for j in range(WORDS))], ["node", "shingles", *BITS])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted.withColumnRenamed("doc_id", "_id"), texts["doc_id"].eqNullSafe(F.col("_id"))).select("node", "cls", "text")
-    return texts.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    schema = ", ".join(["node long, shingles array<long>", *(f"{b} long" for b in BITS)])
+    return texts.mapInArrow(run, schema).groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", *BITS)))
 
 
 def unshared(sets: DataFrame) -> DataFrame:
@@ -172,8 +179,13 @@ def unshared(sets: DataFrame) -> DataFrame:
 
 
 def possible(a: str, b: str, percent: int) -> F.Column:
-    """Whether two classes of n shingles, of which m may be shared, can be linked."""
-    share = F.least(F.col(f"m_{a}"), F.col(f"m_{b}"))
+    """Whether two classes of n shingles, of which m may be shared, can be linked. A slot that
+    one set occupies and the other doesn't holds a shingle that they don't share."""
+    def besides(x: str, y: str) -> F.Column:
+        own = [F.bit_count(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}")))) for c in BITS]
+        return F.col(f"n_{x}") - reduce(lambda s, t: s + t, own)
+
+    share = F.least(F.col(f"m_{a}"), F.col(f"m_{b}"), besides(a, b), besides(b, a))
     return (100 + percent) * share >= percent * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
 
@@ -188,7 +200,8 @@ def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -
     regs = info.select("node", "n", "registers")
     near = pairs.join(regs.toDF("a", "n_a", "registers_a"), "a").join(regs.toDF("b", "n_b", "registers_b"), "b").mapInPandas(run, "a long, b long")
     near = stored(near, "near")                 # its size is known then, so few pairs are joined without dealing out all sets
-    both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    only = sets.select("node", "shingles")
+    both = near.join(only.toDF("a", "set_a"), "a").join(only.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return stored(both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"), "links")
 
@@ -203,23 +216,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     rows = stored(in_company(band_rows(classes)), "bands")
     wanted = rows.select("node").distinct().join(classes.select("node", "cls", "doc_id"), "node")
     sets = stored(candidate_sets(docs, wanted, id_col, text_col, k), "sets")
-    for _ in range(PEELS):
-        sets = sets.join(unshared(sets), "node", "left").withColumn("m", F.size("shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
-        sets = stored(sets.filter(100 * F.col("m") >= percent * F.size("shingles")), "sets").select("node", "shingles", "m")
-        info = sets.select("node", "m")
-        sets = sets.drop("m")
+    shared = F.size("shingles") - F.coalesce("alone", F.lit(0))
+    info = sets.select("node", *BITS, "shingles").join(unshared(sets), "node", "left").withColumn("m", shared)
+    info = info.filter(100 * F.col("m") >= percent * F.size("shingles")).select("node", "m", *BITS)
     info = stored(info.join(classes.select("node", "n", "registers"), "node"), "candidates")
-    rows = stored(in_company(rows.join(info.select("node", "n", "m"), "node")), "bands")
-    centre = rows.groupBy("band").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("alone"), "node", "n", "m")).alias("c"))
-    centre = centre.select("band", F.col("c.node").alias("node_b"), F.col("c.n").alias("n_b"), F.col("c.m").alias("m_b"))
-    side = rows.select("band", *(F.col(c).alias(c + "_a") for c in ("node", "n", "m")))
+    facts = ["node", "n", "m", *BITS]
+    rows = stored(in_company(rows.join(info.select(*facts), "node")), "bands")
+    centre = rows.groupBy("band").agg(F.min(F.struct((1 - F.col("m") / F.col("n")).alias("alone"), *facts)).alias("c"))
+    centre = centre.select("band", *(F.col(f"c.{c}").alias(c + "_b") for c in facts))
+    side = rows.select("band", *(F.col(c).alias(c + "_a") for c in facts))
     pairs = side.join(centre, (side["band"] == centre["band"]) & (F.col("node_a") != F.col("node_b")) & possible("a", "b", percent))
     links = verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), info, sets, percent)
     roots = components(links)
     rows = rows.join(centre.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti")     # the centres have met all others
     slots = SLOTS
     while True:
-        of = rows.select("band", "node", "n", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        of = rows.select("band", *facts).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = of.groupBy("band", "root").agg(F.count("*").alias("size"))
         widest = groups.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "root")).alias("widest")).filter("groups > 1")
         rows = stored(of.join(widest.select("band", F.col("widest.root").alias("widest")), "band"), "bands")
@@ -227,9 +239,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
             return roots
         # pivots: members outside their bucket's largest component, one for each hash slot
         slot = F.pmod(F.xxhash64("node", "band"), F.lit(slots))
-        pivots = rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct("node", "root", "n", "m")).alias("p"))
-        pivots = stored(pivots.select("band", *(F.col(f"p.{c}").alias(c + "_b") for c in ("node", "root", "n", "m"))), "pivots")
-        side = rows.select("band", *(F.col(c).alias(c + "_a") for c in ("node", "root", "n", "m")))
+        pivots = rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*facts, "root")).alias("p"))
+        pivots = stored(pivots.select("band", *(F.col(f"p.{c}").alias(c + "_b") for c in (*facts, "root"))), "pivots")
+        side = rows.select("band", *(F.col(c).alias(c + "_a") for c in (*facts, "root")))
         met = side.join(pivots, (side["band"] == pivots["band"]) & (F.col("root_a") != F.col("root_b")) & possible("a", "b", percent))
         fresh = verified(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), info, sets, percent)
         if not fresh.isEmpty():
