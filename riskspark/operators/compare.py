@@ -182,12 +182,6 @@ def target_compare_outer(df: DataFrame, side: str = "side", target: str = "targe
     return v.select(r6(F.col("v")).alias("distribution_difference"), _label(F.col("v")).alias("distribution_similarity"))
 
 
-def class_shares_table(df: DataFrame, side: str = "side", target: str = "target") -> DataFrame:
-    r, y = _class_shares(df, side, target)
-    return r.join(y, "class", "full_outer").select(
-        "class", r6(F.col("real")).alias("real_share"), r6(F.col("synthetic")).alias("synthetic_share"))
-
-
 # ---------------------------------------------------------------- K3 histograms
 def histograms(df: DataFrame, side: str = "side", columns: Sequence[str] | None = None,
                n_edges: Sequence[int] = (10, 20)) -> DataFrame:

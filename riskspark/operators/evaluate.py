@@ -280,23 +280,13 @@ def evaluate_models(df: DataFrame, by=("model",), split: str = "split", expected
         *g, r6(F.col("green_percentage")).alias("traffic_light_green"),
         F.col("status").alias("traffic_light_status"))
     psi = psi_with_status(df, by, split, expected, p)
-    wide = cls.join(cur, g).join(tl, g).join(psi, g, "left")
+    wide = cls.join(cur, g, "left").join(tl, g, "left").join(psi, g, "left")
     score = overall_score(F.col("auc_roc"), F.col("f1_score"), F.col("gini"),
                           F.col("traffic_light_green"),
                           F.col("psi_stability") if include_psi else None)
     return wide.withColumn("overall_score", r6(score))
 
 
-def evaluate_models_long(df: DataFrame, by=("model",), split: str = "split", expected: str = "train",
-                         y: str = "y", p: str = "p") -> DataFrame:
-    """E11 as a tidy (group, split, metric, value) table."""
-    by = _by(by)
-    wide = evaluate_models(df, by, split, expected, y, p)
-    metrics = ["accuracy", "precision", "recall", "f1_score", "auc_roc", "auc_pr", "gini",
-               "ks_statistic", "psi", "traffic_light_green", "overall_score"]
-    return wide.unpivot([*by, split], metrics, "metric", "value").where(F.col("value").isNotNull())
-
-
 # ---------------------------------------------------------------- E14
 def out_of_time_eval(df: DataFrame, time_col: str, cutoff: str, by=("model",),
                      y: str = "y", p: str = "p") -> DataFrame:
@@ -306,13 +296,3 @@ def out_of_time_eval(df: DataFrame, time_col: str, cutoff: str, by=("model",),
     rows = df.withColumn("period", period)
     g = [*by, "period"]
     return classification_metrics(rows, g, y, p).join(curve_metrics(rows, g, y, p), g)
-
-
-def threshold_status_cols(auc: Column, psi: Column, green: Column) -> list[Column]:
-    """B6 labels (also used by the leaderboard)."""
-    return [
-        F.when(auc >= 0.75, "excellent").when(auc >= 0.65, "acceptable").otherwise("insufficient").alias("auc_status"),
-        F.when(psi <= 0.05, "stable").when(psi <= 0.10, "warning").otherwise("unstable").alias("psi_status"),
-        F.when(green >= 0.8, "good").otherwise("insufficient").alias("green_status"),
-    ]
-

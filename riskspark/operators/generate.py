@@ -428,9 +428,10 @@ GENERATORS = ("gaussian_copula", "smote", "adasyn", "borderline_smote")
 
 def generate_all(df: DataFrame, features: Sequence[str], target: str, key: str | None = None,
                  n: int | None = None, seed: int = 42,
-                 generators: Sequence[str] = GENERATORS) -> DataFrame:
-    """One long table of synthetic rows with a ``generator`` column; a generator
-    that fails is reported and skipped."""
+                 generators: Sequence[str] = GENERATORS, failed: dict[str, str] | None = None) -> DataFrame:
+    """One long table of synthetic rows with a ``generator`` column. A generator that
+    fails ends the call, unless ``failed`` is given: then it is skipped and its error
+    recorded there under its name."""
     out = None
     cols = list(features) + [target]
     for name in generators:
@@ -445,8 +446,10 @@ def generate_all(df: DataFrame, features: Sequence[str], target: str, key: str |
                 g = borderline_smote(df, features, target, seed=seed, key=key)
             g = g.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in cols]) \
                 .withColumn("generator", F.lit(name))
-        except Exception as exc:  # noqa: BLE001
-            print(f"generator {name} skipped: {type(exc).__name__}: {exc}")
+        except Exception as exc:  # noqa: BLE001 - recorded for the caller
+            if failed is None:
+                raise
+            failed[name] = f"{type(exc).__name__}: {exc}"
             continue
         out = g if out is None else out.unionByName(g)
     return out
@@ -459,8 +462,14 @@ MIXES = (("real70_synth30", 0.7, 0.3), ("real50_synth50", 0.5, 0.5),
 
 def mix_real_synthetic(real: DataFrame, synthetic: DataFrame, real_key: str, synth_key: str,
                        total: int | None = None, seed: int = 42, mixes=MIXES) -> DataFrame:
-    """For each mix, exact quotas of hash-ranked real and synthetic rows."""
-    n = total if total is not None else real.count()
+    """For each mix, exact quotas of hash-ranked real and synthetic rows. A side with
+    fewer rows than its largest quota is an error, not a short mix."""
+    n_real, n_synthetic = real.count(), synthetic.count()
+    n = total if total is not None else n_real
+    for name, a, b in mixes:
+        if int(round(a * n)) > n_real or int(round(b * n)) > n_synthetic:
+            raise ValueError(f"{name} needs {int(round(a * n))} real and {int(round(b * n))} synthetic rows; "
+                             f"there are {n_real} and {n_synthetic}")
     rr = hash_rank(real, [], real_key, seed, out_col="_hr")
     sr = hash_rank(synthetic, [], synth_key, seed + 1, out_col="_hr")
     out = None

@@ -156,3 +156,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 materialize_small = materialize      # of aggregated tables
+
+
+def store_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet (in the shared folder unless a path is given) and read again:
+    Catalyst then knows its size, so joins against a small one need no shuffle of the other side."""
+    if path is None:
+        import uuid
+
+        from riskspark.session import ensure_checkpoint_dir
+        path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -150,17 +150,20 @@ def strategy_score(quality: DataFrame, models: DataFrame, scope_value: str = "te
 
     ``quality``: (generator, overall_score) from Q9; ``models``: wide model
     metrics with a ``generator`` column (metrics of the model trained on that
-    generator's data). Stability = 1 − min(1, PSI / 0.10). Gates: AUC >= 0.65
-    and PSI <= 0.10.
+    generator's data). Stability = 1 − min(1, PSI / 0.10); without a PSI it is 0,
+    since nothing shows the model to be stable. Gates: AUC >= 0.65, PSI <= 0.10 (a
+    missing PSI fails) and, where ``models`` has a ``ks_statistic``, KS >= 0.05.
     """
     m = models.where(F.col("split") == scope_value)
     j = m.join(quality.select("generator", F.col("overall_score").alias("quality_score")), "generator")
-    stability = 1.0 - F.least(F.lit(1.0), F.coalesce(F.col("psi"), F.lit(0.0)) / PSI_WARNING)
+    stability = F.when(F.col("psi").isNull(), 0.0).otherwise(1.0 - F.least(F.lit(1.0), F.col("psi") / PSI_WARNING))
     score = QUALITY_WEIGHT * F.col("quality_score") + PERFORMANCE_WEIGHT * F.col("auc_roc") + \
         STABILITY_WEIGHT * stability
-    gates = (F.col("auc_roc") >= AUC_ACCEPTABLE) & (F.coalesce(F.col("psi"), F.lit(0.0)) <= PSI_WARNING)
+    gates = (F.col("auc_roc") >= AUC_ACCEPTABLE) & (F.col("psi") <= PSI_WARNING)
+    if "ks_statistic" in models.columns:
+        gates = gates & (F.col("ks_statistic") >= KS_GATE)
     out = j.select("generator", "model", "quality_score", "auc_roc", "psi", r6(stability).alias("stability"),
-                   r6(score).alias("strategy_score"), gates.alias("passes_gates"))
+                   r6(score).alias("strategy_score"), F.coalesce(gates, F.lit(False)).alias("passes_gates"))
     w = Window.orderBy(F.desc("strategy_score"), "generator", "model")
     return out.withColumn("rank", F.row_number().over(w))
 

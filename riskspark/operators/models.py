@@ -49,6 +49,15 @@ PRESETS = {
     "LogisticRegression": Preset("LogisticRegression", "lr", {"max_iter": 1000, "C": 1.0, "random_state": 42}),
 }
 
+# Defaults of the reference's libraries that have an MLlib counterpart. LightGBM and
+# HistGradientBoosting share theirs, so these two presets are one model under two names.
+LIBRARY_DEFAULTS = {
+    "XGBoost": {"max_bins": 256, "min_samples_leaf": 1},
+    "CatBoost": {"max_bins": 254, "min_samples_leaf": 1},
+    "LightGBM": {"max_bins": 255, "min_samples_leaf": 20},
+    "HistGradientBoosting": {"max_bins": 255, "min_samples_leaf": 20},
+}
+
 # reference parameter name -> MLlib parameter name
 _NAME_MAP = {
     "n_estimators": "maxIter", "iterations": "maxIter", "max_iter": "maxIter",
@@ -116,7 +125,7 @@ def build_pipeline(preset: str | Preset, numeric_cols: Sequence[str], categorica
                    impute_cols: Sequence[str] | None = None) -> tuple[Pipeline, list[str]]:
     """Imputer -> label codes -> assembler -> estimator for a preset."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    params, ignored = mllib_params(p.family, {**p.params, **(overrides or {})}, n_train)
+    params, ignored = mllib_params(p.family, {**LIBRARY_DEFAULTS.get(p.name, {}), **p.params, **(overrides or {})}, n_train)
     stages = []
     to_impute = list(impute_cols) if impute_cols is not None else list(numeric_cols) + list(categorical_cols)
     if to_impute:
@@ -144,14 +153,18 @@ def fit(df: DataFrame, preset: str, numeric_cols: Sequence[str], categorical_col
 
 
 def train_all(df: DataFrame, numeric_cols: Sequence[str], categorical_cols: Sequence[str], target: str,
-              presets: Sequence[str] | None = None, overrides: dict | None = None) -> dict[str, PipelineModel]:
-    """Fit every preset; a preset that fails is reported and skipped."""
+              presets: Sequence[str] | None = None, overrides: dict | None = None,
+              failed: dict[str, str] | None = None) -> dict[str, PipelineModel]:
+    """Fit every preset. One that fails ends the call, unless ``failed`` is given: then it is
+    skipped and its error recorded there under its name."""
     out = {}
     for name in presets or PRESETS:
         try:
             out[name] = fit(df, name, numeric_cols, categorical_cols, target, (overrides or {}).get(name))
-        except Exception as exc:  # noqa: BLE001 - skipped, as the reference does
-            print(f"model {name} skipped: {exc}")
+        except Exception as exc:  # noqa: BLE001 - recorded for the caller
+            if failed is None:
+                raise
+            failed[name] = f"{type(exc).__name__}: {exc}"
     return out
 
 
@@ -311,13 +324,16 @@ def save_models(models: dict[str, PipelineModel], folder: str, meta: dict) -> No
         save_model(m, f"{folder.rstrip('/')}/{name}", {**meta, "model": name})
 
 
-def load_models(folder: str, names: Sequence[str]) -> dict[str, PipelineModel]:
-    """Load the named models, skipping any that cannot be read."""
+def load_models(folder: str, names: Sequence[str], failed: dict[str, str] | None = None) -> dict[str, PipelineModel]:
+    """Load the named models. One that cannot be read ends the call, unless ``failed`` is given:
+    then it is skipped and its error recorded there under its name."""
     out = {}
     for n in names:
         try:
             out[n] = load_model(f"{folder.rstrip('/')}/{n}")[0]
-        except Exception as exc:  # noqa: BLE001
-            print(f"model {n} not loaded: {exc}")
+        except Exception as exc:  # noqa: BLE001 - recorded for the caller
+            if failed is None:
+                raise
+            failed[n] = f"{type(exc).__name__}: {exc}"
     return out
 

@@ -26,16 +26,6 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in exclude]
 
 
-def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.StringType, T.BooleanType)) and f.name not in exclude]
-
-
-def datetime_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
-
-
 def is_missing(df: DataFrame, c: str) -> Column:
     col = F.col(f"`{c}`")
     if isinstance(df.schema[c].dataType, FLOATING):

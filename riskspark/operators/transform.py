@@ -4,7 +4,7 @@ Fitted steps are ``pyspark.ml`` stages (``Estimator`` -> ``Model``) so they
 chain in a ``Pipeline``, refit per training split, and save / load with ML
 persistence. Every statistic is computed with one aggregation over all
 columns; the fitted model holds only one small row of numbers (or, for label
-codes, the category list that ``StringIndexer`` keeps).
+codes, a stored table that is joined).
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.operators.kernels import exact_quantiles
+from riskspark.operators.kernels import exact_quantiles, store_table, value_cumsums
 from riskspark.operators.profile import FLOATING, clean_value, numeric_columns
 
 
@@ -185,25 +185,32 @@ def label_encode(df: DataFrame, target: str | None = None, columns: Sequence[str
             if c != target]
     if not cols:
         return df
-    tmp = {c: f"_rs_txt_{i}" for i, c in enumerate(cols)}
-    staged = df
-    for c, t in tmp.items():
-        txt = F.col(c).cast("string")
-        staged = staged.withColumn(t, txt if null_code is not None else F.coalesce(txt, F.lit(NULL_TEXT)))
-    indexer = StringIndexer(inputCols=list(tmp.values()), outputCols=[f"{t}_idx" for t in tmp.values()],
-                            stringOrderType="alphabetAsc", handleInvalid="keep")
-    coded = indexer.fit(staged).transform(staged)
-    out = []
-    for f in df.schema.fields:
-        c = f.name
-        if c in tmp:
-            code = F.col(f"{tmp[c]}_idx").cast("int")
-            if null_code is not None:
-                code = F.when(F.col(tmp[c]).isNull(), F.lit(null_code)).otherwise(code)
-            out.append(code.alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return coded.select(*out)
+    text = {c: F.col(f"`{c}`").cast("string") if null_code is not None
+            else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TEXT)) for c in cols}
+    codes = store_table(label_codes(df, text))
+    return with_codes(df, codes, text, {c: null_code for c in cols})
+
+
+def label_codes(df: DataFrame, text: dict[str, Column]) -> DataFrame:
+    """(column, label, code): the distinct labels of each column, numbered in sorted order by
+    the running-count kernel, so neither the driver nor the plan holds a label."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), t.alias("label"))
+                                         for c, t in text.items()])).alias("r")).select("r.*")
+    ones = long.where(F.col("label").isNotNull()).groupBy("column", "label").agg(F.lit(1).cast("long").alias("one"))
+    return value_cumsums(ones, ["column"], "label", ["one"]).select(
+        "column", "label", (F.col("cum_one") - 1).cast("int").alias("code"))
+
+
+def with_codes(df: DataFrame, codes: DataFrame, text: dict[str, Column], other: dict[str, int | None]) -> DataFrame:
+    """``df`` with the columns of ``text`` replaced by their codes, ``other`` where there is none."""
+    out = df
+    for i, (c, t) in enumerate(text.items()):
+        of = codes.where(F.col("column") == c).select(F.col("label").alias(f"_rs_l{i}"), F.col("code").alias(f"_rs_c{i}"))
+        out = out.withColumn(f"_rs_t{i}", t).join(of, F.col(f"_rs_t{i}") == F.col(f"_rs_l{i}"), "left")
+    place = {c: i for i, c in enumerate(text)}
+    return out.select(*[
+        F.coalesce(F.col(f"_rs_c{place[c]}"), F.lit(other[c]).cast("int")).alias(c) if c in place else F.col(f"`{c}`")
+        for c in df.columns])
 
 
 # ---------------------------------------------------------------- T4
@@ -293,37 +300,65 @@ class LabelCoder(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, df: DataFrame):
         cols = list(self.getOrDefault(self.inputCols))
-        staged = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)).alias(c) for c in cols])
-        labels = StringIndexer(inputCols=cols, outputCols=[f"{c}__idx" for c in cols],
-                               stringOrderType="alphabetAsc", handleInvalid="keep").fit(staged).labelsArray
-        flat_cols = [c for c, ls in zip(cols, labels) for _ in ls]
-        flat_labels = [v for ls in labels for v in ls]
-        return LabelCoderModel(inputCols=cols, labelCols=flat_cols, labels=flat_labels)
+        codes = store_table(label_codes(df, _label_texts(cols)))
+        return LabelCoderModel(inputCols=cols)._with(codes)
 
 
-class LabelCoderModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    labelCols = Param(Params._dummy(), "labelCols", "column of each label", typeConverter=TypeConverters.toListString)
-    labels = Param(Params._dummy(), "labels", "labels in code order", typeConverter=TypeConverters.toListString)
+def _label_texts(cols: Sequence[str]) -> dict[str, Column]:
+    return {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TEXT)) for c in cols}
+
+
+class LabelCoderModel(Model, HasInputCols, MLReadable, MLWritable):
+    """Codes as a stored table that is joined; a label unseen at fitting gets the number of labels."""
 
     @keyword_only
-    def __init__(self, *, inputCols=None, labelCols=None, labels=None):
+    def __init__(self, *, inputCols=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
+    def _with(self, codes: DataFrame) -> "LabelCoderModel":
+        self.codes = codes
+        self.sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}    # a row per column
+        return self
+
+    def copy(self, extra=None):
+        out = super().copy(extra)
+        out.codes, out.sizes = self.codes, self.sizes
+        return out
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        per: dict[str, list[str]] = {}
-        for c, v in zip(self.getOrDefault(self.labelCols), self.getOrDefault(self.labels)):
-            per.setdefault(c, []).append(v)
-        out = []
-        for f in df.schema.fields:
-            c = f.name
-            if c in per:
-                m = F.create_map(*[x for i, v in enumerate(per[c]) for x in (F.lit(v), F.lit(i))])
-                txt = F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT))
-                out.append(F.coalesce(F.element_at(m, txt), F.lit(len(per[c]))).cast("int").alias(c))
-            else:
-                out.append(F.col(f"`{c}`"))
-        return df.select(*out)
+        cols = list(self.getOrDefault(self.inputCols))
+        return with_codes(df, self.codes, _label_texts(cols), {c: self.sizes.get(c, 0) for c in cols})
+
+    def write(self):
+        return _LabelCoderWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _LabelCoderReader(cls)
+
+
+class _LabelCoderWriter(MLWriter):
+    def __init__(self, instance: LabelCoderModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.codes.write.mode("overwrite").parquet(f"{path}/codes")
+
+
+class _LabelCoderReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> LabelCoderModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model._with(self.sparkSession.read.parquet(f"{path}/codes"))
 
 
 def preprocess(df: DataFrame, target: str | None = None, key_cols: Sequence[str] = (),
@@ -385,8 +420,3 @@ def generator_prepare(df: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
     filled = ReferenceImputer(inputCols=miss, strategy="median").fit(df).transform(df) if miss else df
     cats = [f.name for f in filled.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in key_cols]
     return label_encode(filled, None, cats, null_code=-1)
-
-
-def apply_pipeline(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df)
-

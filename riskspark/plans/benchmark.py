@@ -29,9 +29,18 @@ def loan_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, presets: Sequence[str]) -> DataFrame:
+    """Long predictions of each preset, trained and scored once per session."""
     frame = loan_frame(spark, sf_dir)
-    models = md.train_all(frame.where("split = 'train'"), NUMERIC, CATEGORICAL, TARGET, presets)
-    return md.score_long(models, frame, KEY, TARGET)
+
+    def one(preset: str) -> DataFrame:
+        model = md.fit(frame.where("split = 'train'"), preset, NUMERIC, CATEGORICAL, TARGET)
+        return md.score_long({preset: model}, frame, KEY, TARGET)
+
+    out = None
+    for preset in presets:
+        part = fx.stored_result(spark, sf_dir, f"predictions-{preset}", lambda preset=preset: one(preset))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def leaderboard(spark: SparkSession, sf_dir: str, presets: Sequence[str]) -> DataFrame:

@@ -318,7 +318,7 @@ register("logistic_regression")(_preset_scores("LogisticRegression"))
 
 @register("score_long")
 def q_score_long(spark, sf_dir):
-    return bm.predictions(spark, sf_dir, ["LogisticRegression", "RandomForest"])
+    return bm.predictions(spark, sf_dir, list(md.PRESETS))
 
 
 @register("predict")
@@ -350,7 +350,7 @@ def q_feature_importance(spark, sf_dir):
     return md.feature_importance(m, bm.NUMERIC + bm.CATEGORICAL, top=10)
 
 
-register("model_leaderboard")(lambda spark, d: bm.leaderboard(spark, d, ["LogisticRegression", "RandomForest"]))
+register("model_leaderboard")(lambda spark, d: bm.leaderboard(spark, d, list(md.PRESETS)))
 
 
 # ---------------------------------------------------------------- sources / sinks
@@ -417,7 +417,7 @@ def q_score_stream(spark, sf_dir):
     frame = bm.loan_frame(spark, sf_dir)
     model = md.fit(frame.where("split = 'train'"), "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET)
     src = f"{run}/incoming"
-    frame.where("split <> 'train'").write.mode("overwrite").parquet(src)
+    frame.write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(frame.schema).parquet(src)
     out = mon.score_stream(model, stream).select("loan_id", "split", "p")
     q = (out.writeStream.format("parquet").option("path", f"{run}/scores")
@@ -450,8 +450,7 @@ register("generate_all")(lambda spark, d: syn.synthetic_rows(spark, d))
 @register("mix_real_synthetic")
 def q_mix_real_synthetic(spark, sf_dir):
     real = syn.customer_frame(spark, sf_dir).where("split = 'train'").select(syn.KEY, *syn.FEATURES, syn.TARGET)
-    fake = syn.synthetic_rows(spark, sf_dir).where("generator = 'gaussian_copula'").drop("generator") \
-        .withColumn("synthetic_id", F.monotonically_increasing_id())
+    fake = gen.gaussian_copula(real.select(*syn.FEATURES, syn.TARGET), columns=[*syn.FEATURES, syn.TARGET], seed=42)
     return gen.mix_real_synthetic(real, fake.checkpoint(eager=True), syn.KEY, "synthetic_id")
 
 
@@ -460,7 +459,7 @@ def q_save_load_generator(spark, sf_dir):
     model = gen.fit_copula(_imb(spark, sf_dir).select(*syn.FEATURES, syn.TARGET))
     path = _scratch(spark, "copula_state")
     gen.save_generator(spark, model, path)
-    return gen.sample_copula(spark, gen.load_generator(spark, path), 500, seed=7)
+    return gen.sample_copula(spark, gen.load_generator(spark, path), model.n_rows, seed=7)
 
 
 register("quality_by_generator")(lambda spark, d: syn.quality_by_generator(spark, d))
