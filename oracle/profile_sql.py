@@ -35,6 +35,12 @@ SELECT m.position, m."column", m.dtype, n.n_rows, {len(LOAN_COLS)} AS n_cols
 FROM (VALUES {vals}) m(position, "column", dtype), (SELECT count(*) AS n_rows FROM loans_dirty) n"""
 
 
+def frame_gate() -> str:
+    return with_fixtures("loans_dirty") + f"""
+SELECT {len(LOAN_COLS)} AS n_cols, count(*) AS rows_seen, CASE WHEN count(*) >= 10 THEN 'ok' ELSE 'warning' END AS status
+FROM loans_dirty"""
+
+
 def missing_profile() -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", {i} AS position, count(*) FILTER (WHERE {_missing(c)}) AS missing_count,"
@@ -276,7 +282,7 @@ DOUBLES_DIRTY = ["amount", "balance", "qty_sum", "avg_discount", "p_true"]
 
 def all_sql() -> dict[str, str]:
     return {name: fn() for name, fn in [
-        ("basic_info", basic_info), ("missing_profile", missing_profile),
+        ("basic_info", basic_info), ("frame_gate", frame_gate), ("missing_profile", missing_profile),
         ("duplicate_profile", duplicate_profile), ("cardinality_profile", cardinality_profile),
         ("iqr_outliers", iqr_outliers), ("correlation_pairs", correlation_pairs),
         ("correlation_summary", correlation_summary), ("target_correlation", target_correlation),

@@ -74,7 +74,11 @@ def missing_profile(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- P3
 def duplicate_profile(df: DataFrame) -> DataFrame:
     """Extra copies of fully equal rows (first copy kept), %, status (<1 ok, <5 warning)."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    # 128 bits stand for a row in the shuffle; missing values are hashed by their place as well
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    missing = [c.isNull() for c in cols]
+    groups = df.groupBy(F.xxhash64(*missing, *cols).alias("_h1"), F.xxhash64(F.lit(1), *cols, *missing).alias("_h2")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
     t = groups.agg(F.sum("_c").alias("n_rows"), F.sum(F.col("_c") - 1).alias("duplicate_count"))
     pct = F.try_divide(F.col("duplicate_count"), F.col("n_rows")) * 100.0
     return t.select("n_rows", "duplicate_count", r6(pct).alias("duplicate_percentage"),
