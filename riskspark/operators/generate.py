@@ -210,101 +210,151 @@ def load_generator(spark: SparkSession, path: str) -> CopulaModel:
 
 
 # ====================================================================== exact kNN
-def _principal_direction(points: DataFrame, d: int) -> list[float]:
-    """Leading eigenvector of the feature covariance (one aggregation, d×d)."""
-    f = F.col("f")
-    aggs = [F.avg(F.element_at(f, i + 1)).alias(f"m{i}") for i in range(d)]
-    aggs += [F.covar_pop(F.element_at(f, i + 1), F.element_at(f, j + 1)).alias(f"c{i}_{j}")
-             for i in range(d) for j in range(i, d)]
-    row = points.agg(*aggs).first()
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            v = row[f"c{i}_{j}"] or 0.0
-            cov[i, j] = cov[j, i] = v
-    if not np.any(cov):
-        return [1.0] + [0.0] * (d - 1)
-    w, v = np.linalg.eigh(cov)
-    return [float(x) for x in v[:, int(np.argmax(w))]]
-
-
-def _ordered_rank(df: DataFrame, group: str, order: str, key: str) -> DataFrame:
-    """Exact 1-based rank per group over (order, key), without a one-task window."""
-    per = df.groupBy(group, order).agg(F.count(F.lit(1)).alias("_kn"))
-    before = value_cumsums(per, [group], order, ["_kn"]).select(
-        group, order, (F.col("cum__kn") - F.col("_kn")).alias("_kb"), F.col("tot__kn").alias("_gn"))
-    ones = df.groupBy(group, order, key).agg(F.count(F.lit(1)).alias("_k1"))
-    within = value_cumsums(ones, [group, order], key, ["_k1"]).select(group, order, key,
-                                                                      F.col("cum__k1").alias("_kw"))
-    return (df.join(before, [group, order]).join(within, [group, order, key])
-            .withColumn("rank", F.col("_kb") + F.col("_kw")).drop("_kb", "_kw"))
+MAX_PIVOTS = 1 << 16      # bounds what is broadcast: pivots of one group, d numbers each
+
+
+def _distances(f: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (f * f).sum(1)[:, None] - 2.0 * (f @ pivots.T) + (pivots * pivots).sum(1)[None, :]
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _rows_of(col) -> np.ndarray:
+    return np.array(col.to_pylist(), float).reshape(len(col), -1)
+
+
+def _assigned(vectors: DataFrame, g: str, pivots: dict) -> DataFrame:
+    """vectors (g, vid, f) with the number of the nearest pivot of their group and its distance."""
+    import pyarrow as pa
+
+    held = vectors.sparkSession.sparkContext.broadcast(pivots)
+    kind = dict(vectors.dtypes)[g]
+
+    def run(batches):
+        for rb in batches:
+            f, groups = _rows_of(rb.column("f")), rb.column(g).to_pylist()
+            cell, dist = np.zeros(len(groups), np.int32), np.zeros(len(groups))
+            for x in set(groups):
+                at = np.flatnonzero([y == x for y in groups])
+                for part in np.array_split(at, len(at) // 256 + 1):
+                    d = _distances(f[part], held.value[x])
+                    cell[part] = d.argmin(1)
+                    dist[part] = d.min(1)
+            yield pa.RecordBatch.from_arrays([rb.column(g), rb.column("vid"), rb.column("f"), pa.array(cell), pa.array(dist)], [g, "vid", "f", "cell", "own"])
+
+    return vectors.select(g, "vid", "f").mapInArrow(run, f"`{g}` {kind}, vid long, f array<double>, cell int, own double")
+
+
+def _probes(bounded: DataFrame, g: str, pivots: dict, radius: dict) -> DataFrame:
+    """(g, vid, f, cell): the other cells that may hold a point within each vector's bound ``ub``.
+    A cell is left out where the triangle inequality or the hyperplane between its pivot and
+    the vector's own puts all its points beyond the bound."""
+    import pyarrow as pa
+
+    held = bounded.sparkSession.sparkContext.broadcast((pivots, radius))
+    kind = dict(bounded.dtypes)[g]
+
+    def run(batches):
+        centres, radii = held.value
+        for rb in batches:
+            f, groups, own, ub = _rows_of(rb.column("f")), rb.column(g).to_pylist(), rb.column("cell").to_numpy(), rb.column("ub").to_numpy()
+            rows, cells = [], []
+            for x in set(groups):
+                at = np.flatnonzero([y == x for y in groups])
+                for part in np.array_split(at, len(at) // 256 + 1):
+                    if not len(part):
+                        continue
+                    p, d = centres[x], _distances(f[part], centres[x])
+                    mine = d[np.arange(len(part)), own[part]][:, None]
+                    between = _distances(p[own[part]], p)
+                    plane = np.where(between > 0, (d * d - mine * mine) / (2.0 * np.maximum(between, 1e-300)), 0.0)
+                    least = np.maximum(d - radii[x][None, :], plane)
+                    near = (radii[x][None, :] >= 0) & (least <= ub[part][:, None] * (1 + 1e-9) + 1e-9 * (1.0 + mine))
+                    near[np.arange(len(part)), own[part]] = False
+                    i, c = np.nonzero(near)
+                    rows.append(part[i])
+                    cells.append(c)
+            i = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            c = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+            take = pa.array(i, pa.int64())
+            yield pa.RecordBatch.from_arrays([rb.column(g).take(take), rb.column("vid").take(take), rb.column("f").take(take), pa.array(c.astype(np.int32))], [g, "vid", "f", "cell"])
+
+    return bounded.select(g, "vid", "f", "cell", "ub").mapInArrow(run, f"`{g}` {kind}, vid long, f array<double>, cell int")
 
 
 def knn(points: DataFrame, k: int, query: Column | None = None, group: str | None = None,
-        start_window: int | None = None) -> DataFrame:
+        pivots: int | None = None) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) of the query points.
 
     ``points``: (id long, f array<double>[, group]); neighbours are searched
     among points of the same group, excluding the point itself. Output:
     (id, nbr_rank 1..k, nbr_id, dist) — the k smallest distances are exact;
-    among equal distances the smaller id comes first.
-
-    Points are ranked along their first principal direction (projection s).
-    A query compares with the 2W points around it in that order; the result is
-    final when the projection gap to the first point outside the window on each
-    side is at least the k-th distance (every outside point is then at least
-    that far). Unresolved queries retry with a doubled window, so work is
-    O(n·W) with W adapted to the data, never all pairs.
+    among equal distances the smaller id comes first. Points with a missing
+    coordinate have no neighbours and are none.
+
+    Equal points are searched once, and only the k + 1 smallest ids of them can
+    be anyone's neighbours. The distinct points are dealt to the cells of about
+    √n pivots (points drawn by hash, so dense regions get more of them). A point
+    meets its own cell first, which bounds its k-th distance; then the cells
+    that the triangle inequality and the hyperplane bound cannot exclude. In few
+    dimensions or on clustered points these are few; on uniform points the share
+    of cells met grows with the dimension, up to all of them (tests hold it).
     """
     g = group or "_kg"
     pts = points if group else points.withColumn("_kg", F.lit(0))
-    d = len(pts.select("f").first()["f"])
-    u = _principal_direction(pts, d)
-    s = sum((F.element_at("f", i + 1) * F.lit(u[i]) for i in range(d)), F.lit(0.0))
-    pts = pts.withColumn("s", s)
-    ranked = _ordered_rank(pts, g, "s", "id")
-    sizes = ranked.groupBy(g).agg(F.count(F.lit(1)).alias("gn"))
-    ranked = ranked.join(sizes, g).checkpoint(eager=True)
-    q = ranked.where(query) if query is not None else ranked
-    q = q.select(g, F.col("id").alias("qid"), F.col("f").alias("qf"), F.col("s").alias("qs"),
-                 F.col("rank").alias("qr"), "gn")
-    ref = ranked.select(g, F.col("rank").alias("cr"), F.col("id").alias("nbr_id"), F.col("f").alias("nf"),
-                        F.col("s").alias("ns"))
-    bounds = ranked.select(g, F.col("rank").alias("br"), F.col("s").alias("bs"))
-    w = start_window or max(4 * k, 8)
-    done = None
-    max_n = sizes.agg(F.max("gn")).first()[0] or 0
-    while True:
-        lo = F.greatest(F.lit(1), F.col("qr") - w)
-        hi = F.least(F.col("gn"), F.col("qr") + w)
-        cand = q.select("*", F.explode(F.array_remove(F.sequence(lo, hi), F.col("qr"))).alias("cr"))
-        pairs = cand.join(ref, [g, "cr"]).withColumn("dist", F.sqrt(F.aggregate(
-            F.zip_with("qf", "nf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
-        wk = Window.partitionBy(g, "qid").orderBy("dist", "nbr_id")
-        top = pairs.withColumn("nbr_rank", F.row_number().over(wk)).where(F.col("nbr_rank") <= k)
-        dk = top.groupBy(g, "qid").agg(F.max("dist").alias("dk"), F.count(F.lit(1)).alias("nk"))
-        left = bounds.withColumnRenamed("br", "lr").withColumnRenamed("bs", "ls")
-        right = bounds.withColumnRenamed("br", "rr").withColumnRenamed("bs", "rs")
-        chk = q.join(dk, [g, "qid"], "left") \
-            .withColumn("lr", F.col("qr") - w - 1).withColumn("rr", F.col("qr") + w + 1) \
-            .join(left, [g, "lr"], "left").join(right, [g, "rr"], "left")
-        full = (F.col("qr") - w <= 1) & (F.col("qr") + w >= F.col("gn"))
-        ok = full | (((F.col("ls").isNull()) | (F.col("qs") - F.col("ls") >= F.col("dk")))
-                     & ((F.col("rs").isNull()) | (F.col("rs") - F.col("qs") >= F.col("dk")))
-                     & (F.col("nk") >= F.least(F.lit(k), F.col("gn") - 1)))
-        chk = chk.withColumn("_ok", ok).select(g, "qid", "_ok").checkpoint(eager=True)
-        good = top.join(chk.where("_ok").select(g, "qid"), [g, "qid"], "left_semi") \
-            .select(g, F.col("qid").alias("id"), "nbr_rank", "nbr_id", "dist")
-        done = good if done is None else done.unionByName(good)
-        pending = chk.where(~F.col("_ok")).select(g, "qid")
-        if pending.limit(1).count() == 0 or w >= max_n:
-            break
-        q = q.join(pending, [g, "qid"], "left_semi")
-        w *= 2
-    out = done.checkpoint(eager=True)
+    ok = F.col("f").isNotNull() & F.forall("f", lambda x: x.isNotNull() & ~F.isnan(x)) & F.col(g).isNotNull()
+    pts = pts.where(ok)
+    first = Window.partitionBy(g, "f").orderBy("id")
+    cand = pts.select(g, "f", "id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
+    cand = cand.withColumn("vid", F.min("id").over(Window.partitionBy(g, "f"))).drop("_n").checkpoint(eager=True)
+    vectors = cand.where(F.col("id") == F.col("vid")).select(g, "vid", "f")
+    sizes = {r[g]: r["n"] for r in vectors.groupBy(g).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        out = points.select("id", F.lit(0).alias("nbr_rank"), F.col("id").alias("nbr_id"), F.lit(0.0).alias("dist"), *([group] if group else [])).limit(0)
+        return out
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        wanted = min(MAX_PIVOTS, pivots or int(np.ceil(np.sqrt(n))))
+        share = F.when(F.col(g) == F.lit(value), wanted / n).otherwise(share)
+    drawn = vectors.where((F.pmod(F.xxhash64(F.col("vid"), F.lit(k)), F.lit(1 << 30)) < share * (1 << 30)) & (share < 1.0) | (share >= 1.0))
+    centres: dict = {}
+    for r in drawn.select(g, "vid", "f").orderBy("vid").collect():
+        centres.setdefault(r[g], []).append(r["f"])
+    for value in sizes:
+        if value not in centres:
+            centres[value] = [vectors.where(F.col(g) == F.lit(value)).orderBy("vid").first()["f"]]
+    centres = {value: np.array(f, float) for value, f in centres.items()}
+    placed = _assigned(vectors, g, centres).checkpoint(eager=True)
+    radius = {value: np.full(len(f), -1.0) for value, f in centres.items()}
+    for r in placed.groupBy(g, "cell").agg(F.max("own").alias("r")).collect():       # a row for each pivot
+        radius[r[g]][r["cell"]] = r["r"]
+    members = cand.select(g, F.col("vid").alias("_cv"), F.col("id").alias("nbr_id"), F.col("f").alias("nf")) \
+        .join(placed.select(g, F.col("vid").alias("_cv"), "cell"), [g, "_cv"]).drop("_cv")
+    asked = placed if query is None else _asked(placed, pts, query, g)
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        dist = F.sqrt(F.aggregate(F.zip_with("f", "nf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
+        rank = F.row_number().over(Window.partitionBy(g, "vid").orderBy("dist", "nbr_id"))
+        return pairs.withColumn("dist", dist).select(g, "vid", "nbr_id", "dist").withColumn("_r", rank).where(F.col("_r") <= k + 1).drop("_r")
+
+    at_home = nearest(asked.join(members, [g, "cell"])).checkpoint(eager=True)
+    bound = at_home.groupBy(g, "vid").agg(F.when(F.count(F.lit(1)) > k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("ub"))
+    away = nearest(_probes(asked.join(bound, [g, "vid"]), g, centres, radius).join(members, [g, "cell"]))
+    both = at_home.unionByName(away)
+    rank = F.row_number().over(Window.partitionBy(g, "vid").orderBy("dist", "nbr_id"))
+    best = both.withColumn("_r", rank).where(F.col("_r") <= k + 1).drop("_r")
+    askers = pts if query is None else pts.where(query)
+    vid_of = cand.where(F.col("id") == F.col("vid")).select(g, "f", "vid")
+    mine = askers.select(g, "f", "id").join(vid_of, [g, "f"]).select(g, "id", "vid").join(best, [g, "vid"]).where(F.col("nbr_id") != F.col("id"))
+    rank = F.row_number().over(Window.partitionBy(g, "id").orderBy("dist", "nbr_id"))
+    out = mine.withColumn("nbr_rank", rank).where(F.col("nbr_rank") <= k).select(g, "id", "nbr_rank", "nbr_id", "dist").checkpoint(eager=True)
     return out if group else out.drop("_kg")
 
 
+def _asked(placed: DataFrame, pts: DataFrame, query: Column, g: str) -> DataFrame:
+    """The placed vectors that some query point has."""
+    return placed.join(pts.where(query).select(g, "f").distinct(), [g, "f"], "left_semi").select(*placed.columns)
+
+
 # ====================================================================== G2–G4
 def _features(df: DataFrame, features: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])

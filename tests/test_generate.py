@@ -19,11 +19,11 @@ def imbalanced(spark):
     return spark.createDataFrame(pdf), pdf
 
 
-@pytest.mark.parametrize("w", [2, 64])
-def test_knn_exact_vs_brute_force(spark, imbalanced, w):
+@pytest.mark.parametrize("pivots", [1, 9, None])
+def test_knn_exact_vs_brute_force(spark, imbalanced, pivots):
     df, pdf = imbalanced
     pts = df.select("id", F.array("a", "b").alias("f"))
-    got = gen.knn(pts, 5, start_window=w).toPandas()
+    got = gen.knn(pts, 5, pivots=pivots).toPandas()
     X = pdf[["a", "b"]].to_numpy()
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     np.fill_diagonal(D, np.inf)
@@ -81,3 +81,47 @@ def test_mixes_have_exact_quotas(spark, imbalanced):
     got = {(r.strategy, r.origin): r["count"] for r in out.collect()}
     assert got[("real70_synth30", "real")] == 70 and got[("real70_synth30", "synthetic")] == 30
     assert got[("real0_synth100", "synthetic")] == 100 and ("real0_synth100", "real") not in got
+
+
+@pytest.mark.parametrize("d, scaled, share", [(2, True, 0.15), (6, True, 0.5), (10, True, 1.0), (6, False, 0.15)])
+def test_knn_meets_a_share_of_the_pairs(spark, monkeypatch, d, scaled, share):
+    """Own cells plus probed cells, in pairs, against all of them; one evaluation for each."""
+    rng = np.random.default_rng(d)
+    n = 1500
+    x = rng.normal(size=(12, d))[rng.integers(0, 12, n)] * 3 + rng.normal(size=(n, d)) * 0.6
+    x = x if scaled else x * 10.0 ** np.arange(d)
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    seen = {}
+    probes = gen._probes
+
+    def counted(bounded, g, pivots, radius):
+        seen["home"] = [r["cell"] for r in bounded.select("cell").collect()]
+        out = probes(bounded, g, pivots, radius)
+        seen["away"] = [r["cell"] for r in out.select("cell").collect()]
+        return out
+
+    monkeypatch.setattr(gen, "_probes", counted)
+    got = gen.knn(pts, 5).orderBy("id", "nbr_rank").toPandas()
+    size = np.bincount(seen["home"], minlength=max(seen["home"]) + 1)
+    pairs = size[seen["home"]].sum() + size[[c for c in seen["away"] if c < len(size)]].sum()
+    D = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    np.testing.assert_allclose(got["dist"].to_numpy().reshape(n, 5), np.sort(D, 1)[:, :5], rtol=1e-9)
+    print(d, scaled, pairs / n**2)
+    assert pairs <= share * n * n
+
+
+def test_knn_of_many_equal_points(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(400, [1.0, 2.5]), (401, [None, 1.0])]
+    got = gen.knn(spark.createDataFrame(rows, "id long, f array<double>"), 3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], []).append((r["nbr_rank"], r["nbr_id"], r["dist"]))
+    assert sorted(by[0]) == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)] and sorted(by[399]) == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0)]
+    assert sorted(by[400]) == [(1, 0, 0.5), (2, 1, 0.5), (3, 2, 0.5)] and 401 not in by
+
+
+def test_short_mix_is_an_error(spark):
+    real, fake = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "s")
+    with pytest.raises(ValueError):
+        gen.mix_real_synthetic(real, fake, "k", "s")
