@@ -168,15 +168,21 @@ def disclosing(docs: DataFrame, text_col: str, near: DataFrame, texts: int) -> D
     """(e, t, share): pairs whose term tells at least GENERALISE of the entity's information.
     near: text_key, e, t of distinct texts."""
     near = near.select("text_key", "e", "t").distinct()
-    pairs = stored(near.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= SUPPORT), "disclosure-pairs")
+    n_et = near.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= SUPPORT)
+    n_e = near.select("text_key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    # a term stands in at least as many texts as have it in a context: that rules out common words before any text is read again
+    at_least = near.select("text_key", "t").distinct().groupBy("t").agg(F.count("*").alias("at_least"))
+    ic = F.log(F.lit(float(texts)) / F.col("n_e"))
+
+    def share(n_t: str) -> F.Column:
+        """PMI by IC; none for an entity of every text, which tells nothing."""
+        return F.when(ic > 0, F.log(F.lit(float(texts)) * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / ic)
+
+    pairs = stored(n_et.join(n_e, "e").join(at_least, "t").filter(share("at_least") >= GENERALISE), "disclosure-pairs")
     if pairs.isEmpty():
         return pairs.select("e", "t", F.lit(0.0).alias("share"))
-    n_e = near.select("text_key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     n_t = texts_with(docs, text_col, pairs).withColumnRenamed("n", "n_t")
-    pmi = F.log(F.lit(float(texts)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    ic = F.log(F.lit(float(texts)) / F.col("n_e"))
-    share = F.when(ic > 0, pmi / ic)                                                        # an entity of every text tells nothing
-    return stored(pairs.join(n_e, "e").join(n_t, "t").select("e", "t", share.alias("share")).filter(F.col("share") >= GENERALISE), "disclosing")
+    return stored(pairs.join(n_t, "t").select("e", "t", share("n_t").alias("share")).filter(F.col("share") >= GENERALISE), "disclosing")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
