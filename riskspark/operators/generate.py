@@ -369,12 +369,21 @@ def _class_sizes(df: DataFrame, target: str) -> tuple[list, int]:
     return [(c, n) for c, n in sorted(sizes.items(), key=lambda x: str(x[0])) if n < major], major
 
 
+SEED_BLOCK = 100_000      # synthetic rows of one seed made in one task
+
+
 def _interpolate(seeds: DataFrame, nbrs: DataFrame, features: Sequence[str], target: str,
                  seed: int, k_col: str = "k_eff") -> DataFrame:
     """seeds: (id, cls, f, n_gen, k_eff); nbrs: (id, nbr_rank, nf). One new row per
     (id, j < n_gen): x + λ·(neighbour − x), neighbour rank and λ from seeded hashes."""
-    gen = seeds.where(F.col("n_gen") > 0).select(
-        "id", "cls", "f", F.explode(F.sequence(F.lit(0), F.col("n_gen") - 1)).alias("j"), k_col)
+    n = F.col("n_gen").cast("long")
+    # a seed's rows go out in blocks, so a few seeds of many rows spread over tasks
+    blocks = seeds.where(n > 0).select(
+        "id", "cls", "f", n.alias("n_gen"), k_col,
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SEED_BLOCK).cast("long"))).alias("block"))
+    blocks = blocks.repartition("id", "block")
+    gen = blocks.select("id", "cls", "f", k_col, F.explode(F.sequence(
+        F.col("block") * SEED_BLOCK, F.least(F.col("n_gen"), (F.col("block") + 1) * SEED_BLOCK) - 1)).alias("j"))
     gen = gen.withColumn("nbr_rank", (F.floor(hash_uniform(seed, F.col("id"), F.col("j"), F.lit(1))
                                               * F.col(k_col)) + 1).cast("int")) \
              .withColumn("lam", hash_uniform(seed, F.col("id"), F.col("j"), F.lit(2)))
@@ -441,7 +450,7 @@ def adasyn(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed
     keff = F.create_map(*[x for c, n in minority for x in (F.lit(c), F.lit(min(k, n - 1)))])
     seeds = ratio.join(tot.where(F.col("rs") > 0), "cls").join(pts.select("id", "f"), "id").select(
         "id", "cls", "f",
-        F.bround(F.col("ratio") / F.col("rs") * F.element_at(gmap, F.col("cls")), 0).cast("int").alias("n_gen"),
+        F.bround(F.col("ratio") / F.col("rs") * F.element_at(gmap, F.col("cls")), 0).cast("long").alias("n_gen"),
         F.element_at(keff, F.col("cls")).alias("k_eff"))
     nbrs = _minority_neighbours(pts.where(F.col("cls").isin(classes)), k)
     return _interpolate(seeds, nbrs, features, target, seed).drop("seed_id", "j")
