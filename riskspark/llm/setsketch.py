@@ -16,7 +16,8 @@ than a set's size less the slots of a bitmap that only this set occupies. Each b
 then checks its members against one pivot, the member with the least share of such shingles
 (of copies of one text the most central), and after that, round by round, against a growing
 number of pivots from outside its largest component; members that are linked already are not
-compared again, and a pivot that met all others retires. The rounds go on until every
+compared again, a pair that shares several buckets is checked in the first, and a pivot that
+met all others retires. The rounds go on until every
 bucket's remaining members are one component. So a bucket of n copies costs about n checks,
 and no link between different components is left unchecked.
 
@@ -141,17 +142,23 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, text_key long, cls binary, n long, registers binary")
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
-    """(band, node): a 64-bit key of each band's number and registers."""
+def band_keys(classes: DataFrame) -> DataFrame:
+    """(node, keys): a 64-bit key of each band's number and registers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = seeds(BANDS, 19)
         for rb in batches:
             if rb.num_rows:
                 regs = np.frombuffer(b"".join(rb.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
                 keys = mix(np.ascontiguousarray(regs).view(U64)[:, :, 0] ^ salt)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rb.column("node").to_numpy(), BANDS))], ["band", "node"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * rb.num_rows + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rb.column("node"), lists], ["node", "keys"])
+
+    return classes.select("node", "registers").mapInArrow(run, "node long, keys array<long>")
 
-    return classes.select("node", "registers").mapInArrow(run, "band long, node long")
+
+def band_rows(classes: DataFrame) -> DataFrame:
+    """(band, node): a row for each key."""
+    return band_keys(classes).select(F.explode("keys").alias("band"), "node")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -229,25 +236,28 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     links = verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), info, sets, percent)
     roots = components(links)
     rows = rows.join(centre.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti")     # the centres have met all others
-    slots = SLOTS
+    slots, keys = SLOTS, band_keys(info)
     while True:
-        of = rows.select("band", *facts).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        of = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = of.groupBy("band", "root").agg(F.count("*").alias("size"))
         widest = groups.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "root")).alias("widest")).filter("groups > 1")
-        rows = stored(of.join(widest.select("band", F.col("widest.root").alias("widest")), "band"), "bands")
+        rows = of.join(widest.select("band", F.col("widest.root").alias("widest")), "band")
+        rows = stored(rows if "keys" in rows.columns else rows.join(keys, "node"), "bands")
         if rows.isEmpty():
             return roots
         # pivots: members outside their bucket's largest component, one for each hash slot
         slot = F.pmod(F.xxhash64("node", "band"), F.lit(slots))
-        pivots = rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*facts, "root")).alias("p"))
-        pivots = stored(pivots.select("band", *(F.col(f"p.{c}").alias(c + "_b") for c in (*facts, "root"))), "pivots")
-        side = rows.select("band", *(F.col(c).alias(c + "_a") for c in (*facts, "root")))
-        met = side.join(pivots, (side["band"] == pivots["band"]) & (F.col("root_a") != F.col("root_b")) & possible("a", "b", percent))
+        pivots = rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*facts, "root", "keys")).alias("p"))
+        pivots = stored(pivots.select("band", *(F.col(f"p.{c}").alias(c + "_b") for c in (*facts, "root", "keys"))), "pivots")
+        side = rows.select("band", *(F.col(c).alias(c + "_a") for c in (*facts, "root", "keys")))
+        same = F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        met = side.join(pivots, (side["band"] == pivots["band"]) & (F.col("root_a") != F.col("root_b")) & possible("a", "b", percent)
+                        & (F.try_element_at(same, F.lit(1)) == side["band"]))
         fresh = verified(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), info, sets, percent)
         if not fresh.isEmpty():
             links = stored(links.union(fresh), "links")
             roots = components(links)
-        rows = rows.join(pivots.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti")
+        rows = rows.join(pivots.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti").drop("root", "widest")
         slots *= MORE
 
 
