@@ -163,7 +163,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     parts in ascending order of id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, line = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
-        for rb in chunked(batches, "text"):
+        for rb in chunked(batches, "text", 2 << 20):
             ids, n = encoder.encode(*utf8_view(rb.column("text")))
             if end_id is not None:
                 ends = np.cumsum(n)

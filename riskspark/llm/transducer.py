@@ -327,7 +327,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
     chunk, then by Spark; the least count that keeps within ``most`` is read off their histogram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokenizer()
-        for rb in chunked(batches, text_col, 4 << 20):
+        for rb in chunked(batches, text_col, 2 << 20):
             data, off = utf8_view(rb.column(text_col))
             codes, _, start, end, _ = cutter.distinct(data, off)
             raw = data.tobytes()
@@ -362,7 +362,7 @@ def encode(docs: DataFrame, lexicon: str, text_col: str = "text", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(load(SparkFiles.get(lexicon)))
-        for rb in chunked(batches, text_col):
+        for rb in chunked(batches, text_col, 2 << 20):
             ids, bounds = coder.encode(*utf8_view(rb.column(text_col)))
             yield pa.RecordBatch.from_arrays([*rb.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], [*names, ids_col])
 
@@ -374,7 +374,7 @@ def digest(docs: DataFrame, lexicon: str, id_col: str = "doc_id", text_col: str
     """Number and SHA-256 of each text's ids, and SHA-256 of the text decoded from them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(load(SparkFiles.get(lexicon)))
-        for rb in chunked(batches, text_col):
+        for rb in chunked(batches, text_col, 2 << 20):
             ids, bounds = coder.encode(*utf8_view(rb.column(text_col)))
             back, ends = coder.decode(ids, bounds)
             ids, raw = ids.astype("<u4"), back.tobytes()

@@ -79,7 +79,7 @@ class Words:
 def counted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, kind, key, n): words (kind 0) and n-grams (kind n) with their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in chunked(batches, text_col, 4 << 20):
+        for rb in chunked(batches, text_col, 2 << 20):
             langs = rb.column(lang_col).to_numpy(zero_copy_only=False)
             for lang in sorted(set(langs)):
                 words = Words(*utf8_view(rb.column(text_col).filter(pa.array(langs == lang))))
