@@ -21,6 +21,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -42,11 +43,12 @@ class WarcError(ValueError):
 
 # ---------------------------------------------------------------- records
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member. A revisit carries no payload, but its digest and length."""
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record as a gzip member, its block the payload itself. A revisit carries no payload,
+    but its digest and length."""
     name = lambda k: f"<{KEY_URN}{'' if k is None else k}>"
     content = b"" if revisit else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(key)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(key)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
@@ -138,6 +140,8 @@ def mark_revisits(pages: DataFrame, key: str, payload: str) -> DataFrame:
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes a record for each row; returns the stored list of files (path, records, bytes)."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, out, rows = None, None, []
         for rb in batches:
@@ -148,7 +152,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     out, count, size = place.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 body = (p or "").encode()
-                member = record(k, u, body, d, first, first is not None and k != first)
+                member = record(k, u, body, d, first, first is not None and k != first, date)
                 out.write(member)
                 count, size = count + 1, size + len(member)
                 if size >= FILE_BYTES:
