@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.operators.evaluate import curve_metrics
+from riskspark.operators.kernels import store_table
 from riskspark.operators.split import stratified_folds
 from riskspark.operators.transform import LabelCoder, ReferenceImputer
 
@@ -200,13 +201,15 @@ def score_long(models: dict[str, PipelineModel], df: DataFrame, key: str, target
 # ---------------------------------------------------------------- M11
 def cross_validate(df: DataFrame, preset: str, numeric_cols: Sequence[str], categorical_cols: Sequence[str],
                    target: str, key: str, k: int = 5, overrides: dict | None = None,
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, folded: DataFrame | None = None) -> DataFrame:
     """k-fold AUC per fold, with mean and population std, exact AUC.
 
-    Folds are the hash-ranked stratified folds (D4); each fold's model is a
-    fresh pipeline fitted on the other folds.
+    Folds are the hash-ranked stratified folds (D4), stored once for all fits and
+    scores (or given, as ``folded``, where several searches share them); each
+    fold's model is a fresh pipeline fitted on the other folds.
     """
-    folded = stratified_folds(df, key, target, k, seed)
+    if folded is None:
+        folded = store_table(stratified_folds(df, key, target, k, seed))
     scored = None
     for f in range(k):
         train = folded.where(F.col("fold") != f)
@@ -272,9 +275,9 @@ def sample_params(preset: str, n_trials: int, seed: int = 42) -> list[dict]:
 def param_search(df: DataFrame, preset: str, numeric_cols: Sequence[str], categorical_cols: Sequence[str],
                  target: str, key: str, n_trials: int = 100, k: int = 5, seed: int = 42) -> DataFrame:
     """Maximise k-fold AUC over ``n_trials`` seeded random draws; one row per trial."""
-    rows = []
+    rows, folded = [], store_table(stratified_folds(df, key, target, k, seed))
     for i, params in enumerate(sample_params(preset, n_trials, seed)):
-        cv = cross_validate(df, preset, numeric_cols, categorical_cols, target, key, k, params, seed)
+        cv = cross_validate(df, preset, numeric_cols, categorical_cols, target, key, k, params, seed, folded)
         mean_auc = cv.agg(F.first("mean_auc")).first()[0]
         rows.append((preset, i, json.dumps(params, sort_keys=True), float(mean_auc)))
     spark = df.sparkSession
@@ -284,6 +287,20 @@ def param_search(df: DataFrame, preset: str, numeric_cols: Sequence[str], catego
     return trials.withColumn("rank", F.row_number().over(w))
 
 
+def search_and_refit(df: DataFrame, presets: Sequence[str], numeric_cols: Sequence[str],
+                     categorical_cols: Sequence[str], target: str, key: str, n_trials: int = 100,
+                     k: int = 5, seed: int = 42) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """The trials of all ``presets`` and, for each, the model refitted on all rows with its best
+    trial's parameters; ``score_long`` scores these."""
+    trials, models = None, {}
+    for preset in presets:
+        part = param_search(df, preset, numeric_cols, categorical_cols, target, key, n_trials, k, seed)
+        best = part.where(F.col("rank") == 1).first()
+        models[preset] = fit(df, preset, numeric_cols, categorical_cols, target, json.loads(best["params"]))
+        trials = part if trials is None else trials.unionByName(part)
+    return trials, models
+
+
 # ---------------------------------------------------------------- M13
 def feature_importance(model: PipelineModel, feature_names: Sequence[str], top: int | None = None) -> DataFrame:
     """Tree importances, else |coefficients|, sorted descending (top-k report)."""

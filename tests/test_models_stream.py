@@ -26,3 +26,30 @@ def test_fit_predict_proba(spark):
 
 def test_sample_params_reproducible():
     assert md.sample_params("XGBoost", 3, 1) == md.sample_params("XGBoost", 3, 1)
+
+def test_search_and_refit(spark):
+    rows = [(i, float(i % 17), float((i * 7) % 5), int((i % 17 > 8) ^ (i % 11 == 0))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, z double, y int")
+    trials, models = md.search_and_refit(df, ["LogisticRegression"], ["x", "z"], [], "y", "k", n_trials=2, k=2)
+    assert trials.count() == 2 and trials.where("rank = 1").first()["mean_auc"] >= 0.65
+    assert md.score_long(models, df.withColumn("split", F.lit("all")), "k", "y").count() == 400
+
+
+@pytest.mark.parametrize("preset", list(md.PRESETS))
+def test_every_preset_separates(spark, preset):
+    """The acceptance floor of an AUC of 0.65, on rows that a model can tell apart."""
+    rows = [(i, float(i % 17), float((i * 7) % 5), int((i % 17 > 8) ^ (i % 11 == 0))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, z double, y int")
+    light = {"n_estimators": 5} if preset not in ("CatBoost", "HistGradientBoosting", "LogisticRegression") else {"iterations": 5} if preset == "CatBoost" else {"max_iter": 5 if preset == "HistGradientBoosting" else 100}
+    m = md.fit(df, preset, ["x", "z"], [], "y", light)
+    from riskspark.operators.evaluate import curve_metrics
+    scored = md.predict_proba(m, df.withColumn("label", F.col("y").cast("double"))).select(F.lit(1).alias("g"), "y", "p")
+    assert curve_metrics(scored, ["g"]).first()["auc_roc"] >= 0.65
+
+
+def test_failures_are_raised_or_recorded(spark):
+    df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 1)], "k long, x double, y int")
+    with pytest.raises(Exception):
+        md.train_all(df, ["missing"], [], "y", ["LogisticRegression"])
+    failed = {}
+    assert md.train_all(df, ["missing"], [], "y", ["LogisticRegression"], failed=failed) == {} and "LogisticRegression" in failed
