@@ -199,8 +199,9 @@ def possible(a: str, b: str, percent: int) -> F.Column:
 def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: those estimated near enough, on their full sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
+        for batch in batches:
+            for k in range(0, len(batch), 1024):         # the likelihood grid holds 101 numbers a pair
+                p = batch.iloc[k:k + 1024]
                 a, b = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(-1, M) for c in ("registers_a", "registers_b"))
                 yield p.loc[estimate(a, b, p["n_a"].to_numpy(), p["n_b"].to_numpy()) >= LEAST_ESTIMATE, ["a", "b"]]
 
