@@ -375,7 +375,7 @@ def q_scan_segment(spark, sf_dir):
 @register("scan_catalog")
 def q_scan_catalog(spark, sf_dir):
     return sio.scan_catalog(spark, {"region": f"{sf_dir}/region.parquet", "nation": f"{sf_dir}/nation.parquet",
-                                    "missing": f"{sf_dir}/no_such_table.parquet"})
+                                    "missing": f"{sf_dir}/no_such_table.parquet"}, failed={})
 
 
 @register("read_splits")

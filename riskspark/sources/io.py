@@ -59,15 +59,18 @@ def scan_segment(spark: SparkSession, base: str, segment: str, segment_col: str
 
 
 # ---------------------------------------------------------------- S3
-def scan_catalog(spark: SparkSession, catalog: Mapping[str, str], file_type: str = "parquet") -> DataFrame:
-    """Union of every readable dataset with a ``dataset`` column; unreadable ones
-    are skipped with a warning."""
+def scan_catalog(spark: SparkSession, catalog: Mapping[str, str], file_type: str = "parquet",
+                 failed: dict[str, str] | None = None) -> DataFrame:
+    """Union of every readable dataset with a ``dataset`` column. An unreadable one ends
+    the call, unless ``failed`` is given: then it is skipped and its error recorded there."""
     out = None
     for name, path in catalog.items():
         try:
             df = scan_table(spark, path, file_type).withColumn("dataset", F.lit(name))
-        except Exception as exc:  # noqa: BLE001 - skip and warn, as the reference does
-            print(f"dataset {name!r} skipped: {type(exc).__name__}: {exc}")
+        except Exception as exc:  # noqa: BLE001 - recorded for the caller
+            if failed is None:
+                raise
+            failed[name] = f"{type(exc).__name__}: {exc}"
             continue
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
