@@ -1,17 +1,20 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that the
-base patterns find. A term near an entity discloses it as far as the corpus makes the two
+base patterns find. A term of an entity's texts discloses it as far as the corpus makes the two
 co-occur: with IC(e) = log(N / n_e) the entity's information content and PMI(e, t) =
 log(N n_et / (n_e n_t)), a term whose PMI is at least GENERALISE of IC tells that share of
-what the entity tells. Such terms become spans of kind ``term`` in the entity's context;
-``redact`` replaces entities and terms by class names, and removes terms that reach REMOVE.
-
-Documents are counted as distinct texts, so exact copies count once; pairs seen in fewer
-than SUPPORT texts are no evidence. Counts run over all documents: entities and contexts
-are found in one scan, pairs are summed by Spark, and a second scan counts, in all texts,
-the terms that have enough pairs; a bitmap of fixed size tells the scan which words may be
-such terms, and a join makes that exact. Context spans of copies are computed once.
+what the entity tells. Every place of such a term, in all texts that hold the entity and at any
+distance from it, becomes a span of kind ``term``; ``redact`` replaces entities and terms by
+class names, and removes terms that reach REMOVE.
+
+All four numbers count distinct whole texts, so exact copies count once; a term stands in a
+text where it overlaps no base span. Pairs seen in fewer than SUPPORT texts are no evidence.
+Counts run over all documents: one scan finds entities; a second reads the words of texts with
+an entity of SUPPORT texts or more, whose pairs Spark sums; a third counts, in all texts, the
+terms that have enough pairs; a fourth marks. Bitmaps of fixed size tell the scans which texts
+and words may matter, and joins make that exact. Entities of the same texts have the same
+numbers and are counted as one.
 
 Defined cases: a null or empty text has no span; rows are judged by their text, so repeated
 rows get equal results; null ids are kept; an empty table gives an empty result; only the
@@ -22,10 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -33,11 +37,11 @@ from riskspark.llm.common import U64, chunked, read, stored, utf8_view
 from riskspark.llm.wordlang import Words
 
 KINDS = ["email", "ip", "card", "phone", "term"]       # fixed order of spans with one start
-CONTEXT = 60                                           # characters on either side of an entity
 SUPPORT = 5                                            # distinct texts that make a pair evidence
 GENERALISE, REMOVE = 0.85, 0.97                        # shares of an entity's information content
 TERM_LETTERS = 3
-BITS = 22                                              # the bitmap has 2**BITS places
+BITS = 22                                              # a bitmap has 2**BITS places
+TASK_TERMS = 1 << 20                                   # sums that a task holds before it gives them out
 
 # Base patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,103 +103,155 @@ def entity_key(kind: int, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> list[list[dict]]:
-    """For each text the terms in its entities' contexts: {e, t, a, b} with the keys of entity
-    and term and the term's place. A term doesn't overlap a base span."""
-    out: list[list[dict]] = [[] for _ in texts]
-    some = [i for i, s in enumerate(spans) if s]
-    if not some:
-        return out
-    words = Words(*utf8_view(pa.array([texts[i] for i in some])))
-    at = np.cumsum([0, *(len(texts[i]) + 1 for i in some)]) + 1                 # where a text's characters begin
-    keys = words.hash.view(np.int64)
-    for j, i in enumerate(some):
-        low, high = words.first[j], words.first[j + 1]
-        start, end, key = words.start[low:high] - at[j], words.end[low:high] - at[j], keys[low:high]
-        taken = np.zeros(len(start), bool)
-        for a, _, b in spans[i]:
-            x, y = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
-            taken[x:y] = True
-        good = ~taken & (end - start >= TERM_LETTERS)
-        for a, kind, b in spans[i]:
-            e = entity_key(kind, texts[i][a:b])
-            x, y = np.searchsorted(start, a - CONTEXT, "left"), np.searchsorted(end, b + CONTEXT, "right")
-            for k in np.flatnonzero(good[x:y]) + x:
-                out[i].append({"e": e, "t": int(key[k]), "a": int(start[k]), "b": int(end[k])})
-    return out
-
-
-NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
-
-
 def found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text key, numbers of base spans, base spans and near (terms in contexts)."""
+    """id, text key, numbers of base spans, base spans and the keys of the entities."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in chunked(batches, "text"):
             texts = [t or "" for t in rb.column("text").to_pylist()]
             spans = [base_spans(t) for t in texts]
             count = [[sum(s[1] == k for s in x) for x in spans] for k in range(4)]
-            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("text_key"), *(pa.array(c, pa.int64()) for c in count), pa.array([spell(s) for s in spans]), pa.array([n or None for n in contexts(texts, spans)], NEAR)],
-                                             ["id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            entities = [sorted({entity_key(k, t[a:b]) for a, k, b in s}) or None for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("text_key"), *(pa.array(c, pa.int64()) for c in count), pa.array([spell(s) for s in spans]), pa.array(entities, pa.list_(pa.int64()))],
+                                             ["id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "entities"])
 
     kind = dict(docs.dtypes)[id_col]
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("text_key"))
-    return keyed.mapInArrow(run, f"id {kind}, text_key string, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<e:long,t:long,a:int,b:int>>")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    return keyed.mapInArrow(run, f"id {kind}, text_key string, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>")
 
 
-def texts_with(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(t, n): the number of distinct texts of ``docs`` in which each term (column t) stands."""
-    place = F.shiftrightunsigned(F.col("t"), 64 - BITS)
-    bitmap = np.zeros(1 << BITS, bool)
-    bitmap[[r[0] for r in terms.select(place.alias("p")).distinct().collect()]] = True      # 2**BITS places at most
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+def text_key(text_col: str) -> F.Column:
+    return F.md5(F.coalesce(text_col, F.lit("")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value).astype(bool)
+
+def text_place(key: str = "text_key") -> F.Column:
+    return F.shiftright(F.conv(F.substring(key, 1, 6), 16, 10).cast("int"), 24 - BITS)
+
+
+def term_place(key: str = "t") -> F.Column:
+    return F.shiftrightunsigned(F.col(key), 64 - BITS).cast("int")
+
+
+def bitmap(places: DataFrame) -> Broadcast:
+    """A broadcast bitmap of 2**BITS places from the one column, p, of ``places``."""
+    parts = places.groupBy(F.expr("p >> 5 as part")).agg(F.expr("bit_or(shiftleft(1L, p & 31)) as bits")).collect()     # 2**(BITS - 5) rows at most
+    held = np.zeros(1 << BITS - 5, np.uint32)
+    for part, bits in parts:
+        held[part] = bits
+    return places.sparkSession.sparkContext.broadcast(held)
+
+
+def terms_in(texts: list[str], bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(text number, term's key, start, end) of the words of TERM_LETTERS letters or more that
+    overlap no base span; of those alone whose place in ``bits`` is set, if given."""
+    words = Words(*utf8_view(pa.array(texts, pa.large_string())))
+    good = words.end - words.start >= TERM_LETTERS
+    if bits is not None:
+        good &= bits[(words.hash >> U64(64 - BITS)).astype(np.int64)]
+    which = np.flatnonzero(good)
+    doc = np.searchsorted(words.first, which, "right") - 1
+    at = (np.cumsum([0, *(len(t) + 1 for t in texts)]) + 1)[doc]                            # where a text's characters begin
+    start, end, key = words.start[which] - at, words.end[which] - at, words.hash[which].view(np.int64)
+    free = np.ones(len(which), bool)
+    some, first = np.unique(doc, return_index=True)
+    for i, low, high in zip(some, first, [*first[1:], len(doc)]):
+        for a, _, b in base_spans(texts[i]):
+            x, y = np.searchsorted(end[low:high], a, "right"), np.searchsorted(start[low:high], b, "left")
+            free[low + x:low + y] = False
+    return doc[free], key[free], start[free], end[free]
+
+
+def scan(docs: DataFrame, text_col: str, emit: Callable, schema: str, texts: Broadcast | None = None, terms: Broadcast | None = None, wanted: bool = True) -> DataFrame:
+    """What ``emit`` makes of the terms of a task's chunks (for each its text keys, and terms_in's
+    arrays). Bitmaps: only texts whose place has the ``wanted`` value are read, and only terms
+    whose place is set."""
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        texts_of, terms_of = (held and np.unpackbits(held.value.view(np.uint8), bitorder="little").astype(bool) for held in (texts, terms))
         for rb in chunked(batches, "text"):
-            words = Words(*utf8_view(rb.column("text")))
-            hit = np.flatnonzero(bits[(words.hash >> U64(64 - BITS)).astype(np.int64)])
-            doc = np.searchsorted(words.first, hit, "right") - 1
-            pair = np.unique(np.stack([doc, words.hash[hit].view(np.int64)]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([rb.column("text_key").take(pa.array(pair[0])), pa.array(pair[1])], ["text_key", "t"])
-
-    keyed = docs.select(F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("text_key"))
-    seen = keyed.mapInArrow(run, "text_key string, t long").join(terms.select("t").distinct(), "t").distinct()
-    return seen.groupBy("t").agg(F.count("*").alias("n"))
-
-
-def disclosing(docs: DataFrame, text_col: str, near: DataFrame, texts: int) -> DataFrame:
-    """(e, t, share): pairs whose term tells at least GENERALISE of the entity's information.
-    near: text_key, e, t of distinct texts."""
-    near = near.select("text_key", "e", "t").distinct()
-    n_et = near.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= SUPPORT)
-    n_e = near.select("text_key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    # a term stands in at least as many texts as have it in a context: that rules out common words before any text is read again
-    at_least = near.select("text_key", "t").distinct().groupBy("t").agg(F.count("*").alias("at_least"))
-    ic = F.log(F.lit(float(texts)) / F.col("n_e"))
-
-    def share(n_t: str) -> F.Column:
-        """PMI by IC; none for an entity of every text, which tells nothing."""
-        return F.when(ic > 0, F.log(F.lit(float(texts)) * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / ic)
-
-    pairs = stored(n_et.join(n_e, "e").join(at_least, "t").filter(share("at_least") >= GENERALISE), "disclosure-pairs")
+            if texts:
+                rb = rb.filter(pa.array(texts_of[[int(k[:6], 16) >> 24 - BITS for k in rb.column("text_key").to_pylist()]] == wanted))
+            if rb.num_rows:
+                yield rb.column("text_key"), *terms_in([t or "" for t in rb.column("text").to_pylist()], terms_of)
+
+    return docs.select(F.col(text_col).alias("text"), text_key(text_col).alias("text_key")).mapInArrow(lambda batches: emit(chunks(batches)), schema)
+
+
+def pairs_of(chunks: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for keys, doc, term, *_ in chunks:
+        doc, term = np.unique(np.stack([doc, term]), axis=1) if len(doc) else (doc, term)
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array(term)], ["text_key", "t"])
+
+
+def places_of(chunks: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for keys, doc, term, start, end in chunks:
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array(term), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["text_key", "t", "a", "b"])
+
+
+def counts_of(chunks: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Sums over a task's chunks, given out whenever TASK_TERMS terms are held."""
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], ["t", "n"])
+
+    held, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _, doc, term, *_ in chunks:
+        if len(doc):
+            more, times = np.unique(np.unique(np.stack([doc, term]), axis=1)[1], return_counts=True)
+            held, at = np.unique(np.concatenate([held, more]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n, times])).astype(np.int64)
+            if len(held) >= TASK_TERMS:
+                yield batch()
+                held, n = held[:0], n[:0]
+    yield batch()
+
+
+def disclosing(docs: DataFrame, text_col: str, rows: DataFrame) -> DataFrame | None:
+    """(text_key, t, share): the terms of each text that tell at least GENERALISE of the
+    information of an entity in it; None where no entity has SUPPORT texts."""
+    texts = rows.select("text_key").distinct().count()
+    held = rows.filter("entities is not null").groupBy("text_key").agg(F.first("entities").alias("e")).select("text_key", F.explode("e").alias("e"))
+    # the entities of one set of texts, named by two hashes of the set; an entity of every text tells nothing
+    names = (held.groupBy("e").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("text_key")).alias("x"), F.bit_xor(F.xxhash64("text_key", F.lit(1))).alias("y"))
+             .filter((F.col("n_e") >= SUPPORT) & (F.col("n_e") < texts)))
+    held = stored(held.join(names, "e").select("text_key", "n_e", "x", "y").distinct(), "entity-texts")
+    most = held.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return None
+    n = F.lit(float(texts))
+
+    def share(n_et: F.Column, n_t: str) -> F.Column:
+        """PMI by IC."""
+        return F.log(n * n_et / (F.col("n_e") * F.col(n_t))) / F.log(n / F.col("n_e"))
+
+    words = scan(docs, text_col, pairs_of, "text_key string, t long", texts=bitmap(held.select(text_place().alias("p"))))
+    words = stored(words.join(held.select("text_key").distinct(), "text_key", "leftsemi").distinct(), "entity-words")
+    here = stored(words.groupBy("t").agg(F.count("*").alias("here")).filter(F.col("here") >= SUPPORT), "entity-terms")
+    # texts that surely stand in one row are counted where they are read, which rules out common
+    # words before pairs are made; the others, whose copies must count once, are counted by key
+    repeated = bitmap(rows.groupBy("text_key").count().filter("count > 1").select(text_place().alias("p")))
+    single = scan(docs, text_col, counts_of, "t long, n long", texts=repeated, terms=bitmap(here.select(term_place().alias("p"))), wanted=False).groupBy("t").agg(F.sum("n").alias("n"))
+    terms = here.join(single, "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("single"), F.greatest("here", F.coalesce("n", F.lit(0))).alias("at_least"))
+    terms = terms.filter((F.col("at_least") <= most) | (F.log(n / F.col("at_least")) >= GENERALISE * F.log(n / F.lit(float(most))) - 1e-9))
+    pairs = words.join(terms, "t").join(held, "text_key").groupBy("n_e", "x", "y", "t", "single", "at_least").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= SUPPORT)
+    pairs = stored(pairs.filter(share(F.col("n_et"), "at_least") >= GENERALISE), "disclosure-pairs")
     if pairs.isEmpty():
-        return pairs.select("e", "t", F.lit(0.0).alias("share"))
-    n_t = texts_with(docs, text_col, pairs).withColumnRenamed("n", "n_t")
-    return stored(pairs.join(n_t, "t").select("e", "t", share("n_t").alias("share")).filter(F.col("share") >= GENERALISE), "disclosing")
+        return None
+    copied = scan(docs, text_col, pairs_of, "text_key string, t long", texts=repeated, terms=bitmap(pairs.select(term_place().alias("p"))))
+    copied = copied.join(pairs.select("t").distinct(), "t", "leftsemi").distinct().groupBy("t").agg(F.count("*").alias("copied"))
+    flagged = pairs.join(copied, "t", "left").withColumn("n_t", F.col("single") + F.coalesce("copied", F.lit(0))).withColumn("share", share(F.col("n_et"), "n_t")).filter(F.col("share") >= GENERALISE)
+    return stored(flagged.join(held, ["n_e", "x", "y"]).groupBy("text_key", "t").agg(F.max("share").alias("share")), "disclosing")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text_key, n_email, n_ip, n_card, n_phone, base and terms (array of {a, b, remove})
     for each row of ``docs``."""
     rows = stored(found(docs, id_col, text_col), "entities")
-    texts = rows.select("text_key").distinct().count()
-    once = rows.filter("near is not null").groupBy("text_key").agg(F.first("near").alias("near")).select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
-    once = stored(once, "contexts")
-    flagged = disclosing(docs, text_col, once, texts)
-    terms = (once.join(flagged, ["e", "t"]).groupBy("text_key", "a", "b").agg((F.max("share") >= REMOVE).alias("remove"))
-             .groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("a", "b", "remove"))).alias("terms")))     # of one text
-    return rows.drop("near").join(terms, "text_key", "left").withColumnRenamed("id", id_col)
+    out = rows.drop("entities").withColumnRenamed("id", id_col)
+    flagged = disclosing(docs, text_col, rows)
+    if flagged is None:
+        return out.withColumn("terms", F.lit(None).cast("array<struct<a:int,b:int,remove:boolean>>"))
+    places = scan(docs, text_col, places_of, "text_key string, t long, a int, b int", texts=bitmap(flagged.select(text_place().alias("p"))), terms=bitmap(flagged.select(term_place().alias("p"))))
+    terms = (places.join(flagged, ["text_key", "t"]).distinct()
+             .groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("a", "b", (F.col("share") >= REMOVE).alias("remove")))).alias("terms")))     # of one text
+    return out.join(terms, "text_key", "left")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +259,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     removed. Texts without either stay as they are."""
     once = spans(docs, id_col, text_col).filter("base != '' or terms is not null").groupBy(F.col("text_key").alias("__key")).agg(F.first("base").alias("__base"), F.first("terms").alias("__terms"))
     names = docs.columns
-    joined = docs.withColumn("__text_key", F.md5(F.coalesce(text_col, F.lit("")))).join(once, F.col("__text_key") == F.col("__key"), "left").select(*names, "__base", "__terms")
+    joined = docs.withColumn("__text_key", text_key(text_col)).join(once, F.col("__text_key") == F.col("__key"), "left").select(*names, "__base", "__terms")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,6 +202,53 @@ def test_disclosing_terms(spark):
     assert sanitise.redact(docs).columns == docs.columns and sanitise.redact(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_at_any_distance(spark):
+    """Terms that stand far from the entity, once or always, are evidence and are marked at each place."""
+    rng = random.Random(7)
+    rows = [(200 + i, " ".join(H.words(rng, 40, 60)) + " meeting notes today", "en") for i in range(80)]
+    for i in range(6):
+        far = " ".join(H.words(rng, 60, 60))
+        rows.append((100 + i, f"Zenobia {far} Xanthippe mail jane@corp.example.com today {far} Xanthippe {far}", "en"))
+    docs = H.docs(spark, [*H.edge_rows(), *rows])
+    text = dict((r[0], r[1]) for r in rows)
+    out = {r["doc_id"]: r for r in sanitise.spans(docs).collect()}
+    for i in range(100, 106):
+        assert [text[i][t["a"]:t["b"]] for t in out[i]["terms"]] == ["Zenobia", "Xanthippe", "mail", "Xanthippe"]
+    assert all(not r["terms"] for i, r in out.items() if i not in range(100, 106))
+    clean = {r["doc_id"]: r["text"] for r in sanitise.redact(docs).collect()}
+    assert all("Xanthippe" not in clean[i] and "Zenobia" not in clean[i] for i in range(100, 106))
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    """Shares from whole texts, exact copies counted once."""
+    from math import log
+
+    rng, mails = random.Random(9), [f"m{k}@x.org" for k in range(6)]
+    texts = []
+    for _ in range(150):
+        k = rng.randrange(12)
+        own = [f"own{chr(97 + k)}"] + [f"own{chr(97 + rng.randrange(12))}"] * (rng.random() < 0.2)
+        body = ["".join(rng.choice("abc") for _ in range(3)) for _ in range(8)] + own * rng.randrange(1, 3) + (mails[k:k + 2] if k < 6 else [])
+        rng.shuffle(body)
+        texts.append(" , ".join(body))
+    texts += rng.choices(texts, k=60)
+    once = sorted(set(texts))
+    ents = [{m.group() for m in re.finditer(r"m[0-9]@x\.org", t)} for t in once]
+    terms = [set(re.findall("[a-z]{3,}", re.sub(r"m[0-9]@x\.org", "", t))) for t in once]
+    want = {}
+    for e in mails:
+        n_e = sum(e in x for x in ents)
+        for term in set().union(*terms):
+            n_et, n_t = sum(e in x and term in y for x, y in zip(ents, terms)), sum(term in y for y in terms)
+            if n_et >= sanitise.SUPPORT and (share := log(len(once) * n_et / (n_e * n_t)) / log(len(once) / n_e)) >= sanitise.GENERALISE:
+                for t, x in zip(once, ents):
+                    if e in x and term in t:
+                        want[t, term] = max(share, want.get((t, term), 0))
+    docs = H.docs(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = [{(texts[r["doc_id"]], texts[r["doc_id"]][x["a"]:x["b"]], x["remove"]) for x in r["terms"] or ()} for r in sanitise.spans(docs).collect()]
+    assert want and set().union(*got) == {(t, term, share >= sanitise.REMOVE) for (t, term), share in want.items()}
+
+
 def test_replaced_merges_overlaps():
     assert sanitise.replaced("abcdefgh", [(1, 4, "[X]"), (2, 6, "[Y]"), (7, 8, "")]) == "a[X]g"
 
