@@ -87,6 +87,20 @@ def test_blocks_of_a_page():
     assert blocklstm.blocks_of("") == [] and [b.text for b in blocklstm.blocks_of("a < b <p")] == ["a < b <p"]
 
 
+def test_unclosed_containers_leave_the_page_whole():
+    def texts(page):
+        return [b.text for b in blocklstm.blocks_of(page)]
+
+    article = "<article><h1>Head</h1><p>First.</p><p>Second.</p></article>"
+    for tag in ("object", "video", "audio", "canvas", "select", "svg", "math", "noscript", "template"):
+        for page in (f"<body><{tag}>{article}</body>", f"<body><div><{tag}></div>{article}<div><{tag}>x</{tag}></div></body>"):
+            assert texts(page)[:3] == ["Head", "First.", "Second."], (tag, page)
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>") == ["Let x=2 hold."]
+    assert texts("<p>A <video><source src=v>fallback</video> and <object>other</object>.</p>") == ["A fallback and other."]
+    assert texts("<p>A <svg><title>t</title><text>u</text></svg>b <select><option>c<option>d</select>e</p>") == ["A b e"]
+    assert texts("<p>A</p><template><div>x<p>y</div></template><noscript><p>z</p></noscript><p>B<script>if (a<b) </p>") == ["A", "B"]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = blocklstm.Labeller(blocklstm.initial(rng))
