@@ -35,6 +35,19 @@ def test_search_and_refit(spark):
     assert md.score_long(models, df.withColumn("split", F.lit("all")), "k", "y").count() == 400
 
 
+def test_param_search_query_covers_the_whole_budget(spark, monkeypatch):
+    """100 trials of each of the five families, with the fits themselves left out."""
+    def trials_of(df, preset, numeric, categorical, target, key, n_trials, k, seed):
+        return spark.createDataFrame([(preset, i, "{}", 0.5, i + 1) for i in range(n_trials)], "model string, trial int, params string, mean_auc double, rank int")
+
+    from riskspark.plans import registry
+    monkeypatch.setattr(registry.bm, "loan_frame", lambda *_: spark.range(20).selectExpr("id as loan_id", "id % 2 as target", "'train' as split"))
+    monkeypatch.setattr(md, "param_search", trials_of)
+    monkeypatch.setattr(md, "fit", lambda *_: None)
+    trials = registry.QUERIES["param_search"](spark, "").groupBy("model").agg(F.countDistinct("trial").alias("n"))
+    assert {r["model"]: r["n"] for r in trials.collect()} == dict.fromkeys(["XGBoost", "LightGBM", "CatBoost", "RandomForest", "LogisticRegression"], 100)
+
+
 @pytest.mark.parametrize("preset", list(md.PRESETS))
 def test_every_preset_separates(spark, preset):
     """The acceptance floor of an AUC of 0.65, on rows that a model can tell apart."""
