@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import blocklstm, capfilter, license_template, orc_tokens, qgram, sanitise, setsketch, transducer, warc, wordlang
+from riskspark.llm import blocklstm, capfilter, license_template, orc_tokens, qgram, revsearch, sanitise, setsketch, tokencount, transducer, warc, wordlang
 
 QUERIES = {
     "op2_recurrent_blocks": blocklstm.op2_recurrent_blocks,
@@ -15,6 +15,8 @@ QUERIES = {
     "op5_orc_tokens": orc_tokens.op5_orc_tokens,
     "op1_warc": warc.op1_warc,
     "op10_license_templates": license_template.op10_license_templates,
+    "op11_whole_tokens": tokencount.op11_whole_tokens,
+    "op13_reversed_search": revsearch.op13_reversed_search,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op3_setsketch_dedup": setsketch.oracle(),
     "op1_warc": warc.ORACLE,
     "op10_license_templates": license_template.oracle(),
+    "op13_reversed_search": revsearch.ORACLE,
 }
