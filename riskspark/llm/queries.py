@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import blocklstm, capfilter, license_template, orc_tokens, qgram, revsearch, sanitise, setsketch, tokencount, transducer, warc, wordlang
+from riskspark.llm import blocklstm, capfilter, convrepair, license_template, orc_tokens, qgram, revsearch, sanitise, setsketch, tokencount, transducer, warc, wordlang
 
 QUERIES = {
     "op2_recurrent_blocks": blocklstm.op2_recurrent_blocks,
@@ -16,6 +16,7 @@ QUERIES = {
     "op1_warc": warc.op1_warc,
     "op10_license_templates": license_template.op10_license_templates,
     "op11_whole_tokens": tokencount.op11_whole_tokens,
+    "op12_path_ranking": convrepair.op12_path_ranking,
     "op13_reversed_search": revsearch.op13_reversed_search,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op3_setsketch_dedup": setsketch.oracle(),
     "op1_warc": warc.ORACLE,
     "op10_license_templates": license_template.oracle(),
+    "op12_path_ranking": convrepair.ORACLE,
     "op13_reversed_search": revsearch.ORACLE,
 }
