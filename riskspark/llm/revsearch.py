@@ -104,8 +104,10 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def length_term(n: np.ndarray, docs: int, total: int) -> np.ndarray:
-    """100 - 75 + (75 * n * docs) div total, without an intermediate beyond 64 bits."""
+    """100 - 75 + (75 * n * docs) div total, exact also where a product needs over 64 bits."""
     whole, rest = divmod(75 * docs, max(1, total))
+    if int(n.max(initial=0)) * rest >= 1 << 63:
+        return 25 + n * whole + np.array([k * rest // total for k in n.tolist()], np.int64)
     return 25 + n * whole + (n * rest) // max(1, total)
 
 
