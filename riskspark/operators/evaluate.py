@@ -1,9 +1,10 @@
 """Model evaluation over a long predictions table.
 
 Input rows: one per scored loan, with grouping columns (model, split, …), a
-0/1 outcome ``y`` and a score ``p``. Every metric runs as one grouped job over
-that table; curve metrics (AUC, AUC-PR, KS) share one running-sum table built by
-``value_cumsums`` so they are exact and never rank a whole group in one task.
+0/1 outcome ``y`` and a score ``p``. The rows are collapsed once to a cumulative
+score table (``score_table``) that every metric reads, so all are exact and none
+ranks a whole group in one task. Operators that take rows also take such a table,
+made once for several of them.
 """
 
 from __future__ import annotations
@@ -13,21 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.bins import bin_left, count_edges, linspace, linspace_col, r6
-from riskspark.operators.kernels import exact_quantiles, materialize, materialize_small, value_cumsums
+from riskspark.functions.bins import count_edges, linspace, r6
+from riskspark.operators.kernels import interpolated, materialize_small, value_cumsums
+from riskspark.operators.score_table import (ScoreTable, by_list as _by, confusion, curve_columns, curve_sums,
+                                             pooled_psi, score_table, table_of, valid as _valid)
 from riskspark.operators.traffic_light import tl_probability_bins, tl_probability_summary
 
 
-def _by(by) -> list[str]:
-    if by is None:
-        return []
-    return [by] if isinstance(by, str) else list(by)
-
-
-def _valid(df: DataFrame, p: str) -> DataFrame:
-    return df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p)))
-
-
 def _ratio(num: Column, den: Column) -> Column:
     """num / den, 0 when den is 0 (sklearn's zero_division=0 result)."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
@@ -48,15 +41,8 @@ def confusion_matrix(df: DataFrame, by=("model", "split"), y: str = "y", p: str
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def classification_metrics(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p",
-                           threshold: float = 0.5) -> DataFrame:
-    """Accuracy and support-weighted precision, recall and F1 (binary labels)."""
-    by = _by(by)
-    yy, yh = F.col(y).cast("int"), predicted_label(p, threshold)
-    c = _valid(df, p).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((yy == 1) & (yh == 1)).alias("tp"), F.count_if((yy == 0) & (yh == 1)).alias("fp"),
-        F.count_if((yy == 1) & (yh == 0)).alias("fn"), F.count_if((yy == 0) & (yh == 0)).alias("tn"))
+def classification_columns() -> dict[str, Column]:
+    """Accuracy and support-weighted precision, recall and F1 from n, tp, fp, fn, tn."""
     tp, fp, fn, tn, n = (F.col(x) for x in ("tp", "fp", "fn", "tn", "n"))
     prec1, rec1 = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
     prec0, rec0 = _ratio(tn, tn + fn), _ratio(tn, tn + fp)
@@ -64,54 +50,33 @@ def classification_metrics(df: DataFrame, by=("model", "split"), y: str = "y", p
     f1_0 = F.when(prec0 + rec0 == 0, 0.0).otherwise(2 * prec0 * rec0 / (prec0 + rec0))
     s1, s0 = (tp + fn).cast("double"), (tn + fp).cast("double")
     nd = n.cast("double")
-    return c.select(
-        *by, "n",
-        r6((tp + tn) / nd).alias("accuracy"),
-        r6((prec1 * s1 + prec0 * s0) / nd).alias("precision"),
-        r6((rec1 * s1 + rec0 * s0) / nd).alias("recall"),
-        r6((f1_1 * s1 + f1_0 * s0) / nd).alias("f1_score"))
+    return {"accuracy": (tp + tn) / nd, "precision": (prec1 * s1 + prec0 * s0) / nd,
+            "recall": (rec1 * s1 + rec0 * s0) / nd, "f1_score": (f1_1 * s1 + f1_0 * s0) / nd}
 
 
-# ---------------------------------------------------------------- E2/E3/E4/E12
-def score_curve(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
-    """Per (group, distinct score): positives, negatives and their running sums."""
+def classification_metrics(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p",
+                           threshold: float = 0.5) -> DataFrame:
+    """Accuracy and support-weighted precision, recall and F1 (binary labels), in one
+    aggregation without running sums."""
     by = _by(by)
-    yy = F.col(y).cast("long")
-    counts = _valid(df, p).groupBy(*by, p).agg(
-        F.sum(yy).alias("pos"), F.sum(F.lit(1) - yy).alias("neg"))
-    return value_cumsums(counts, by, p, ["pos", "neg"])
+    yy, yh = F.col(y).cast("int"), predicted_label(p, threshold)
+    c = _valid(df, p).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((yy == 1) & (yh == 1)).alias("tp"), F.count_if((yy == 0) & (yh == 1)).alias("fp"),
+        F.count_if((yy == 1) & (yh == 0)).alias("fn"), F.count_if((yy == 0) & (yh == 0)).alias("tn"))
+    return c.select(*by, "n", *[r6(v).alias(name) for name, v in classification_columns().items()])
 
 
-def curve_metrics(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
+# ---------------------------------------------------------------- E2/E3/E4/E12
+def curve_metrics(df: DataFrame | ScoreTable, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
     """AUC-ROC (ties count 1/2), AUC-PR (anchored at recall 0, precision 1),
     Gini = 2·AUC − 1 and KS = max |TPR − FPR|, one row per group.
 
     Metrics are NULL for a group that lacks positives or negatives.
     """
-    by = _by(by)
-    cur = score_curve(df, by, y, p)
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    P, N = F.col("tot_pos").cast("double"), F.col("tot_neg").cast("double")
-    # strictly-lower negatives for AUC; descending running sums for the PR curve
-    neg_below = F.col("cum_neg").cast("double") - neg
-    tp_desc = P - F.col("cum_pos").cast("double") + pos
-    fp_desc = N - F.col("cum_neg").cast("double") + neg
-    tp_prev, fp_prev = tp_desc - pos, fp_desc - neg
-    prec = tp_desc / (tp_desc + fp_desc)
-    prec_prev = F.when(tp_prev + fp_prev == 0, 1.0).otherwise(tp_prev / (tp_prev + fp_prev))
-    agg = cur.groupBy(*by).agg(
-        F.first("tot_pos").alias("n_pos"), F.first("tot_neg").alias("n_neg"),
-        F.sum(pos * (neg_below + 0.5 * neg)).alias("_auc_num"),
-        F.sum(F.when((pos > 0) & (N > 0), pos * (prec + prec_prev) / 2.0)).alias("_pr_num"),
-        F.max(F.abs(F.try_divide(F.col("cum_pos"), P) - F.try_divide(F.col("cum_neg"), N))).alias("_ks"))
-    ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    auc = F.when(ok, F.col("_auc_num") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))
-    return agg.select(
-        *by, "n_pos", "n_neg",
-        r6(auc).alias("auc_roc"),
-        r6(F.when(ok, F.col("_pr_num") / F.col("n_pos"))).alias("auc_pr"),
-        r6(F.when(ok, 2.0 * auc - 1.0)).alias("gini"),
-        r6(F.when(ok, F.col("_ks"))).alias("ks_statistic"))
+    table = table_of(df, by, y, p)
+    agg = table.rows.groupBy(*table.by).agg(*curve_sums())
+    return agg.select(*table.by, "n_pos", "n_neg", *[r6(v).alias(name) for name, v in curve_columns().items()])
 
 
 # ---------------------------------------------------------------- E8 / KS
@@ -142,40 +107,17 @@ def ks_scores(df: DataFrame, by=("model",), side: str = "side", p: str = "p",
 
 
 # ---------------------------------------------------------------- E5
-def psi_pooled(df: DataFrame, by=("model",), side: str = "split", expected: str = "train",
+def psi_pooled(df: DataFrame | ScoreTable, by=("model",), side: str = "split", expected: str = "train",
                p: str = "p", n_bins: int = 10, floor_share: float = 1e-6) -> DataFrame:
     """Variant A PSI: equal-width bins over the pooled [min, max] of both sides.
 
     Bins are [a, b) with the last closed; an empty share becomes ``floor_share``
-    (no renormalisation); PSI = Σ (t − e) · ln(t / e).
+    (no renormalisation); PSI = Σ (t − e) · ln(t / e). A table given in place of rows
+    must hold the marks of ``expected``.
     """
     by = _by(by)
-    g = [*by, "compared"]
-    # rows collapse to counts of distinct scores first; only those meet each compared side
-    counts = materialize(_valid(df, p).where(F.col(side).isNotNull()).groupBy(*by, F.col(side).alias("compared"), p)
-                         .agg(F.count(F.lit(1)).alias("c")))
-    ranges = counts.groupBy(*g).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
-    of_expected = ranges.where(F.col("compared") == expected).select(*by, F.col("_lo").alias("_elo"), F.col("_hi").alias("_ehi"))
-    others = ranges.where(F.col("compared") != expected)
-    others = others.join(of_expected, by, "left") if by else others.crossJoin(F.broadcast(of_expected))
-    rng = materialize_small(others.select(*g, F.least("_lo", "_elo").alias("_lo"), F.greatest("_hi", "_ehi").alias("_hi")))
-    # edges built once per compared group in the small range table
-    edges = rng.select(*g, linspace_col(F.col("_lo"), F.col("_hi"), n_bins + 1).alias("_edges"))
-    binned = bin_left(F.col(p), F.col("_edges"), n_max=n_bins + 1).alias("_bin")
-    actual = counts.join(edges, g).select(*g, binned, F.lit(0).cast("long").alias("e"), F.col("c").alias("a"))
-    base = counts.where(F.col("compared") == expected).drop("compared")
-    expected_rows = base.join(edges, by) if by else base.crossJoin(F.broadcast(edges))
-    expected_rows = expected_rows.select(*g, binned, F.col("c").alias("e"), F.lit(0).cast("long").alias("a"))
-    cnt = materialize_small(actual.unionByName(expected_rows).groupBy(*g, "_bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a")))
-    grid = rng.select(*g, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("_bin"))
-    full = grid.join(cnt, [*g, "_bin"], "left").fillna(0, ["e", "a"])
-    tot = full.groupBy(*g).agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    s = full.join(tot, g)
-    e = F.try_divide(F.col("e"), F.col("te"))
-    a = F.try_divide(F.col("a"), F.col("ta"))
-    e = F.when(e == 0, floor_share).otherwise(e)
-    a = F.when(a == 0, floor_share).otherwise(a)
-    out = s.groupBy(*g).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
+    table = df if isinstance(df, ScoreTable) else score_table(df.where(F.col(side).isNotNull()), by, None, p, side, expected, n_bins, keep=False)
+    out = pooled_psi(table, floor_share, n_bins)
     return out.select(*by, F.col("compared").alias(side), r6(F.col("psi")).alias("psi"))
 
 
@@ -214,7 +156,7 @@ def stability_status(psi: Column) -> Column:
     return F.when(psi < 0.1, "stable").when(psi < 0.2, "warning").otherwise("unstable")
 
 
-def psi_with_status(df: DataFrame, by=("model",), side: str = "split", expected: str = "train",
+def psi_with_status(df: DataFrame | ScoreTable, by=("model",), side: str = "split", expected: str = "train",
                     p: str = "p") -> DataFrame:
     out = psi_pooled(df, by, side, expected, p)
     return out.withColumn("psi_stability", stability_status(F.col("psi")))
@@ -228,21 +170,30 @@ def population_stability(df: DataFrame, by=("model",), side: str = "side",
     absolute gaps, KS between the sides, score 1 − min(1, KS) and status."""
     by = _by(by)
     rows = _valid(df, p).where(F.col(side).isin(expected, actual))
-    st = rows.groupBy(*by, side).agg(
-        F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
-    med = exact_quantiles(rows, [*by, side], p, [0.5], out_col="_q").select(
-        *by, side, F.element_at("_q", 1).alias("median"))
-    st = materialize_small(st.join(med, [*by, side]))
-    e = st.where(F.col(side) == expected).select(*by, *[F.col(c).alias(f"expected_{c}") for c in
-                                                       ("mean", "std", "min", "max", "median")])
-    a = st.where(F.col(side) == actual).select(*by, *[F.col(c).alias(f"actual_{c}") for c in
-                                                     ("mean", "std", "min", "max", "median")])
-    ks = ks_two_sample(rows, by, side, p, expected, actual).select(*by, "ks")
-    j = e.join(a, by).join(ks, by)
+    is_e = (F.col(side) == expected).cast("long")
+    # one count table for both sides: moments, order statistics and KS are one aggregation of it
+    counts = rows.groupBy(*by, F.col(p).cast("double").alias("p")).agg(F.sum(is_e).alias("n_e"), F.sum(1 - is_e).alias("n_a"))
+    cum = value_cumsums(counts, by, "p", ["n_e", "n_a"])
+    v, aggs = F.col("p"), []
+    for w in "ea":
+        n, tot, upto = F.col(f"n_{w}"), F.col(f"tot_n_{w}"), F.col(f"cum_n_{w}")
+        low = F.floor((tot - 1) * 0.5)
+        holds = lambda r, n=n, upto=upto: (n > 0) & (upto - n <= r) & (r < upto)                        # noqa: E731
+        aggs += [F.max(tot).alias(f"{w}_n"), F.sum(v * n).alias(f"{w}_s"), F.sum(v * v * n).alias(f"{w}_q"),
+                 F.min(F.when(n > 0, v)).alias(f"{w}_min"), F.max(F.when(n > 0, v)).alias(f"{w}_max"),
+                 F.max(F.when(holds(low), v)).alias(f"{w}_lo"), F.max(F.when(holds(F.least(low + 1, tot - 1)), v)).alias(f"{w}_hi")]
+    gap = F.abs(F.try_divide(F.col("cum_n_e"), F.col("tot_n_e")) - F.try_divide(F.col("cum_n_a"), F.col("tot_n_a")))
+    g = cum.groupBy(*by).agg(*aggs, F.max(gap).alias("ks")).where((F.col("e_n") > 0) & (F.col("a_n") > 0))
+    for w, name in (("e", "expected"), ("a", "actual")):
+        mean = F.col(f"{w}_s") / F.col(f"{w}_n")
+        t = (F.col(f"{w}_n") - 1) * 0.5 - F.floor((F.col(f"{w}_n") - 1) * 0.5).cast("double")
+        g = g.withColumns({f"{name}_mean": mean, f"{name}_min": F.col(f"{w}_min"), f"{name}_max": F.col(f"{w}_max"),
+                           f"{name}_std": F.sqrt(F.greatest(F.col(f"{w}_q") / F.col(f"{w}_n") - mean * mean, F.lit(0.0))),
+                           f"{name}_median": interpolated(F.col(f"{w}_lo"), F.col(f"{w}_hi"), t)})
     score = 1.0 - F.least(F.lit(1.0), F.col("ks"))
     stats_cols = [r6(F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s in ("expected", "actual")
                   for c in ("mean", "std", "min", "max", "median")]
-    return j.select(
+    return g.select(
         *by, *stats_cols,
         r6(F.abs(F.col("actual_mean") - F.col("expected_mean"))).alias("mean_difference"),
         r6(F.abs(F.col("actual_std") - F.col("expected_std"))).alias("std_difference"),
@@ -270,17 +221,20 @@ def evaluate_models(df: DataFrame, by=("model",), split: str = "split", expected
     """One wide row per (group, split) with every model metric.
 
     PSI compares each split with the ``expected`` split (NULL on that split);
-    the traffic-light term is the V1 green share.
+    the traffic-light term is the V1 green share. The predictions are read once,
+    into a stored score table.
     """
     by = _by(by)
     g = [*by, split]
-    cls = classification_metrics(df, g, y, p)
-    cur = curve_metrics(df, g, y, p).drop("n_pos", "n_neg")
-    tl = tl_probability_summary(tl_probability_bins(df, g, y, p), g).select(
+    table = score_table(df, by, y, p, split, expected)
+    agg = table.rows.groupBy(*g).agg(*confusion(table), *curve_sums()).where(F.col("n") > 0)
+    metrics = {**classification_columns(), **curve_columns()}
+    wide = agg.select(*g, "n", *[r6(v).alias(name) for name, v in metrics.items()])
+    tl = tl_probability_summary(tl_probability_bins(table, g), g).select(
         *g, r6(F.col("green_percentage")).alias("traffic_light_green"),
         F.col("status").alias("traffic_light_status"))
-    psi = psi_with_status(df, by, split, expected, p)
-    wide = cls.join(cur, g, "left").join(tl, g, "left").join(psi, g, "left")
+    psi = psi_with_status(table, by, split, expected)
+    wide = wide.join(tl, g, "left").join(psi, g, "left")
     score = overall_score(F.col("auc_roc"), F.col("f1_score"), F.col("gini"),
                           F.col("traffic_light_green"),
                           F.col("psi_stability") if include_psi else None)

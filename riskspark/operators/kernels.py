@@ -84,22 +84,35 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     df, g = _with_group(df, group_cols)
     v = F.col(value_col)
     valid = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    counts = valid.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_rs_n"))
-    cum = value_cumsums(counts, g, value_col, ["_rs_n"])
+    counts = valid.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("n"))
+    out = quantiles_of_sums(value_cumsums(counts, g, value_col, ["n"]), g, value_col, probs, out_col)
+    return out if group_cols else out.drop(_ALL)
+
+
+def interpolated(a: Column, b: Column, t: Column) -> Column:
+    """Value at share ``t`` between ``a`` and ``b``, in NumPy's two forms."""
+    return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
+
+
+def quantiles_of_sums(cum: DataFrame, group_cols: Sequence[str], value_col: str,
+                      probs: Sequence[float], out_col: str = "quantiles") -> DataFrame:
+    """``exact_quantiles`` read off a table of running counts (``n``, ``cum_n``, ``tot_n``)
+    that exists already; rows of no count are passed over."""
+    g = list(group_cols)
     probs_arr = F.array(*[F.lit(float(q)) for q in probs])
-    nm1 = (F.col("tot__rs_n") - 1).cast("double")
+    nm1 = (F.col("tot_n") - 1).cast("double")
     # 0-based order statistics each quantile needs: floor(h) and floor(h) + 1
     needed = F.array_distinct(F.flatten(F.transform(
         probs_arr,
         lambda q: F.array(F.floor(nm1 * q).cast("long"),
-                          F.least(F.floor(nm1 * q).cast("long") + 1, F.col("tot__rs_n") - 1)))))
-    start = F.col("cum__rs_n") - F.col("_rs_n")
+                          F.least(F.floor(nm1 * q).cast("long") + 1, F.col("tot_n") - 1)))))
+    start = F.col("cum_n") - F.col("n")
     hits = cum.select(
-        *g, F.col(value_col).cast("double").alias("_rs_v"), F.col("tot__rs_n").alias("n"),
-        F.explode(F.filter(needed, lambda r: (r >= start) & (r < F.col("cum__rs_n")))).alias("_rs_r"),
+        *g, F.col(value_col).cast("double").alias("_rs_v"), F.col("tot_n").alias("_rs_tot"),
+        F.explode(F.filter(needed, lambda r: (r >= start) & (r < F.col("cum_n")))).alias("_rs_r"),
     )
     per_group = hits.groupBy(*g).agg(
-        F.first("n").alias("n"),
+        F.first("_rs_tot").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("_rs_r", "_rs_v"))).alias("_rs_at"),
     )
     nm1g = (F.col("n") - 1).cast("double")
@@ -107,15 +120,11 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     def q_value(q: Column) -> Column:
         h = nm1g * q
         lo = F.floor(h).cast("long")
-        t = h - lo.cast("double")
         a = F.element_at(F.col("_rs_at"), lo)
         b = F.element_at(F.col("_rs_at"), F.least(lo + 1, F.col("n") - 1))
-        return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
+        return interpolated(a, b, h - lo.cast("double"))
 
-    out = per_group.select(*g, "n", F.transform(probs_arr, q_value).alias(out_col))
-    if not group_cols:
-        out = out.drop(_ALL)
-    return out
+    return per_group.select(*g, "n", F.transform(probs_arr, q_value).alias(out_col))
 
 
 def hash_key(seed: int, key: Column) -> Column:

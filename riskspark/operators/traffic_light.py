@@ -1,10 +1,10 @@
 """Traffic-light calibration tests.
 
 Every operator takes a scored DataFrame (one row per scored loan with a 0/1
-outcome and a probability) and grouping columns ``by`` (model, split, segment,
-month, …) and runs as one grouped job: quantile edges per group, one join of
-the (small) edge table back to the rows, one aggregate per (group, bin), and
-the statistics on the aggregated rows only.
+outcome and a probability), or a score table made from one, and grouping columns
+``by`` (model, split, segment, month, …). Rows are read once, into counts of
+scores; quantile edges and bins come from the counts, and the statistics are
+computed on the aggregated rows only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.binomial import binomial_stats
 from riskspark.functions.bins import bin_right, linspace, r6, round_half_up
-from riskspark.operators.kernels import exact_quantiles, linear_quantile_probs
+from riskspark.operators.kernels import materialize_small
+from riskspark.operators.score_table import (ScoreTable, binned, by_list as _by, decile_edges, deciles, score_counts,
+                                             score_table, table_of, valid as _valid)
 
 # Colour and interpretation labels of the Basel five-colour table
 # and of the range table, as the reference prints them.
@@ -44,12 +46,6 @@ RANGE_LABELS = [f"{lo:.2f}-{hi:.2f}" for lo, hi in RANGE_BOUNDS]
 RANGE_MIDPOINTS = [(lo + hi) / 2 for lo, hi in RANGE_BOUNDS]
 
 
-def _by(by: Sequence[str] | str | None) -> list[str]:
-    if by is None:
-        return []
-    return [by] if isinstance(by, str) else list(by)
-
-
 def with_total_rows(rows: DataFrame, by: Sequence[str], order_col: str,
                     detail: dict[str, Column], total: dict[str, Column]) -> DataFrame:
     """Emit each detail row and, after the last row of each group, one total row.
@@ -73,16 +69,6 @@ def group_sum(c: str, by: Sequence[str]) -> Column:
     return F.sum(c).over(Window.partitionBy(*by))
 
 
-def _valid(df: DataFrame, p: str) -> DataFrame:
-    return df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p)))
-
-
-def decile_edges(df: DataFrame, by: Sequence[str], p: str = "p", n_groups: int = 10) -> DataFrame:
-    """``pandas.qcut`` edges per group: exact quantiles, duplicate edges dropped."""
-    q = exact_quantiles(df, by, p, linear_quantile_probs(n_groups), out_col="_edges")
-    return q.select(*by, F.array_distinct(F.col("_edges")).alias("edges"))
-
-
 def assign_deciles(df: DataFrame, by: Sequence[str] | str | None = ("model", "split"),
                    p: str = "p", n_groups: int = 10, out_col: str = "decile") -> DataFrame:
     """Add the ``qcut`` group (1 = lowest scores) to every row with a valid score."""
@@ -91,38 +77,31 @@ def assign_deciles(df: DataFrame, by: Sequence[str] | str | None = ("model", "sp
     keys = by or ["_rs_all"]
     if not by:
         rows = rows.withColumn("_rs_all", F.lit(1))
-    edges = decile_edges(rows, keys, p, n_groups)
+    edges = decile_edges(score_table(rows, keys, None, p, keep=False), n_groups)
     out = rows.join(edges, keys).withColumn(
         out_col, bin_right(F.col(p), F.col("edges"), True, n_max=n_groups + 1).cast("int")).drop("edges")
     return out if by else out.drop("_rs_all")
 
 
-def decile_summary(df: DataFrame, by: Sequence[str] | str | None = ("model", "split"),
+def decile_summary(df: DataFrame | ScoreTable, by: Sequence[str] | str | None = ("model", "split"),
                    y: str = "y", p: str = "p", n_groups: int = 10) -> DataFrame:
-    """Per (group, decile): size, successes, mean / min / max score."""
-    by = _by(by)
-    d = assign_deciles(df, by, p, n_groups)
-    return d.groupBy(*by, "decile").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.sum(F.col(y).cast("long")).alias("n_success"),
-        F.avg(F.col(y).cast("double")).alias("actual_rate"),
-        F.avg(p).alias("predicted_rate"),
-        F.min(p).alias("min_prob"),
-        F.max(p).alias("max_prob"),
-    )
+    """Per (group, decile): size, successes, mean / min / max score. The counts are stored, as
+    edges and bins both read them."""
+    return deciles(table_of(df, by, y, p, keep=True), n_groups)
+
+
+def score_bins(df: DataFrame | ScoreTable, by: Sequence[str], y: str, p: str, bin_col: Column, name: str) -> DataFrame:
+    """Per (group, fixed bin of the score): size, successes, rates, least and greatest score."""
+    return binned(df.rows if isinstance(df, ScoreTable) else score_counts(df, by, y, p), by, bin_col, name)
 
 
 # ---------------------------------------------------------------- V1
-def tl_probability_bins(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p",
+def tl_probability_bins(df: DataFrame | ScoreTable, by=("model", "split"), y: str = "y", p: str = "p",
                         n_bins: int = 10) -> DataFrame:
     """Fixed equal-width bins on [0, 1]; precision = 1 - |obs - pred| / pred."""
     by = _by(by)
     edges = linspace(0.0, 1.0, n_bins + 1)
-    b = _valid(df, p).withColumn("group", bin_right(F.col(p), edges, True) - 1)
-    agg = b.where(F.col("group").isNotNull()).groupBy(*by, "group").agg(
-        F.avg(F.col(y).cast("double")).alias("observed_rate"),
-        F.avg(p).alias("predicted_rate"),
-        F.count(F.lit(1)).alias("size"))
+    agg = score_bins(df, by, y, p, bin_right(F.col("p"), edges, True) - 1, "group").withColumnRenamed("actual_rate", "observed_rate")
     precision = F.when(F.col("predicted_rate") > 0,
                        1 - F.abs(F.col("observed_rate") - F.col("predicted_rate")) / F.col("predicted_rate")
                        ).otherwise(F.lit(0.0))
@@ -194,16 +173,14 @@ def tl_decile_statistical(df: DataFrame, by=("model", "split"), y: str = "y", p:
 
 
 # ---------------------------------------------------------------- V4
-def range_midpoint_bins(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
+def range_midpoint_bins(df: DataFrame | ScoreTable, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
     """Per (group, fixed range): count, successes, label midpoint, rate, p-value."""
     by = _by(by)
     edges = RANGE_EDGES
     labels = F.array(*[F.lit(x) for x in RANGE_LABELS])
     mids = F.array(*[F.lit(float(x)) for x in RANGE_MIDPOINTS])
-    b = _valid(df, p).withColumn("_bin", bin_right(F.col(p), edges, True))
-    agg = b.where(F.col("_bin").isNotNull()).groupBy(*by, "_bin").agg(
-        F.count(F.lit(1)).alias("Total_Registros"),
-        F.sum(F.col(y).cast("long")).alias("Cantidad_1"))
+    agg = score_bins(df, by, y, p, bin_right(F.col("p"), edges, True), "_bin").select(
+        *by, "_bin", F.col("size").alias("Total_Registros"), F.col("n_success").alias("Cantidad_1"))
     agg = agg.withColumn("_mid", F.element_at(mids, F.col("_bin"))) \
              .withColumn("_label", F.element_at(labels, F.col("_bin"))) \
              .withColumn("_rate", F.col("Cantidad_1") / F.col("Total_Registros"))
@@ -258,9 +235,13 @@ def _basel_colour(actual: Column, predicted: Column, pv: Column) -> tuple[Column
 def basel_deciles(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p",
                   n_groups: int = 10) -> DataFrame:
     """Unrounded Basel decile rows: counts, rates, p-value, colour, interval."""
+    return basel_colours(decile_summary(df, by, y, p, n_groups), by)
+
+
+def basel_colours(summary: DataFrame, by=("model", "split")) -> DataFrame:
+    """The Basel columns of a decile summary."""
     by = _by(by)
-    s = decile_summary(df, by, y, p, n_groups)
-    s = s.withColumn("_st", binomial_stats(F.col("n_success"), F.col("size"), F.col("predicted_rate")))
+    s = summary.withColumn("_st", binomial_stats(F.col("n_success"), F.col("size"), F.col("predicted_rate")))
     colour, text = _basel_colour(F.col("actual_rate"), F.col("predicted_rate"), F.col("_st.p_value"))
     return s.select(
         *by, "decile", "size", "n_success", "actual_rate", "predicted_rate", "min_prob", "max_prob",
@@ -327,22 +308,25 @@ def basel_verdict(deciles: DataFrame, by=("model", "split"), colour_col: str = "
 
 
 # ---------------------------------------------------------------- V10
-def tl_all_models(df: DataFrame, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
-    """V3, V4 and V5 colours for every group, flattened to one long table."""
+def tl_all_models(df: DataFrame | ScoreTable, by=("model", "split"), y: str = "y", p: str = "p") -> DataFrame:
+    """V3, V4 and V5 colours for every group, flattened to one long table. The rows are read
+    once; V3 and V5 colour the same deciles by the same test."""
     by = _by(by)
-    v3 = tl_decile_statistical(df, by, y, p).select(
-        F.lit("statistical").alias("method"), *by, F.col("decile").cast("string").alias("bin"),
-        F.col("size").alias("n"), "p_value", "color")
-    rm = range_midpoint_bins(df, by, y, p)
+    table = table_of(df, by, y, p, keep=True)
+    d = materialize_small(basel_colours(deciles(table), by))
+    pv = F.col("p_value")
+    statistical = F.when(pv > 0.05, "green").when(pv > 0.025, "yellow").otherwise("red")
+    methods = F.explode(F.array(F.struct(F.lit("statistical").alias("method"), statistical.alias("color")),
+                                F.struct(F.lit("basel").alias("method"), F.col("color").alias("color")))).alias("m")
+    both = d.select(methods, *by, F.col("decile").cast("string").alias("bin"), F.col("size").alias("n"), r6(pv).alias("p_value")).select(
+        "m.method", *by, "bin", "n", "p_value", "m.color")
+    rm = range_midpoint_bins(table, by)
     pv4 = F.col("_st.p_value")
     v4 = rm.select(
         F.lit("range_midpoint").alias("method"), *by, F.col("_label").alias("bin"),
         F.col("Total_Registros").alias("n"), r6(pv4).alias("p_value"),
         F.when(pv4 > 0.05, BASEL_GREEN).when(pv4 > 0.025, BASEL_YELLOW).otherwise(BASEL_RED).alias("color"))
-    v5 = basel_deciles(df, by, y, p).select(
-        F.lit("basel").alias("method"), *by, F.col("decile").cast("string").alias("bin"),
-        F.col("size").alias("n"), r6(F.col("p_value")).alias("p_value"), "color")
-    return v3.unionByName(v4).unionByName(v5)
+    return both.unionByName(v4)
 
 
 def binomial_table(df: DataFrame, by=("model",), y: str = "y", p: str = "p",
