@@ -75,7 +75,7 @@ def curve_metrics(df: DataFrame | ScoreTable, by=("model", "split"), y: str = "y
     Metrics are NULL for a group that lacks positives or negatives.
     """
     table = table_of(df, by, y, p)
-    agg = table.rows.groupBy(*table.by).agg(*curve_sums())
+    agg = table.counted().groupBy(*table.by).agg(*curve_sums())
     return agg.select(*table.by, "n_pos", "n_neg", *[r6(v).alias(name) for name, v in curve_columns().items()])
 
 
@@ -227,7 +227,7 @@ def evaluate_models(df: DataFrame, by=("model",), split: str = "split", expected
     by = _by(by)
     g = [*by, split]
     table = score_table(df, by, y, p, split, expected)
-    agg = table.rows.groupBy(*g).agg(*confusion(table), *curve_sums()).where(F.col("n") > 0)
+    agg = table.counted().groupBy(*g).agg(*confusion(), *curve_sums())
     metrics = {**classification_columns(), **curve_columns()}
     wide = agg.select(*g, "n", *[r6(v).alias(name) for name, v in metrics.items()])
     tl = tl_probability_summary(tl_probability_bins(table, g), g).select(

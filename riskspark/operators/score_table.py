@@ -66,7 +66,8 @@ class ScoreTable:
     expected: str | None = None
 
     def counted(self) -> DataFrame:
-        return self.rows.where(F.col("n") > 0)
+        """Without groups that hold nothing but marks."""
+        return self.rows.where(F.col("tot_n") > 0)
 
 
 def pooled_edges(counts: DataFrame, by: Sequence[str], side: str, expected: str, n_bins: int) -> DataFrame:
@@ -111,7 +112,7 @@ def table_of(scores: DataFrame | ScoreTable, by, y: str | None = "y", p: str = "
 
 
 # ---------------------------------------------------------------- read off the table
-def confusion(table: ScoreTable, threshold: float = 0.5) -> list[Column]:
+def confusion(threshold: float = 0.5) -> list[Column]:
     """n, tp, fp, fn, tn as aggregates over the table's rows."""
     over = F.col("p") > F.lit(threshold)
     zero = F.lit(0).cast("long")
