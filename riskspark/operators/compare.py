@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import bin_left, linspace_col, r6
+from riskspark.functions.gram import pair_correlations
 from riskspark.functions.stats import pearson
 from riskspark.operators.evaluate import ks_two_sample
 from riskspark.operators.profile import clean_value, numeric_columns
@@ -106,26 +107,16 @@ def ks_compare(df: DataFrame, side: str = "side", columns: Sequence[str] | None
 
 
 # ---------------------------------------------------------------- C4 / Q7
-def _side_correlations(df: DataFrame, side: str, cols: list[str]) -> DataFrame:
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]     # the diagonal tells which columns vary
-    agg = df.groupBy(F.col(side).alias("side")).agg(*[
-        pearson(clean_value(df, cols[i]).cast("double"), clean_value(df, cols[j]).cast("double")).alias(f"c{i}_{j}")
-        for i, j in pairs])
-    return agg.select("side", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs
-    ])).alias("x")).select("side", "x.*")
-
-
 def correlation_pairs_by_side(df: DataFrame, side: str = "side",
                               columns: Sequence[str] | None = None) -> DataFrame:
-    """Pairs i <= j with r on each side (one aggregation for both sides); NULL where a column is
+    """Pairs i <= j with r on each side (one pass for both sides); NULL where a column is
     constant on that side."""
     cols = list(columns or numeric_columns(df, exclude=[side]))
     if len(cols) < 2:
         raise ValueError("at least two numeric columns are needed for correlations")
-    s = _side_correlations(df, side, cols)
-    return s.groupBy("i", "j").agg(F.max(F.when(F.col("side") == REAL, F.col("r"))).alias("real_r"),
-                                   F.max(F.when(F.col("side") == SYNTH, F.col("r"))).alias("synthetic_r")) \
+    s = pair_correlations(df, [clean_value(df, c) for c in cols], F.col(side))
+    return s.groupBy("i", "j").agg(F.max(F.when(F.col("by") == REAL, F.col("r"))).alias("real_r"),
+                                   F.max(F.when(F.col("by") == SYNTH, F.col("r"))).alias("synthetic_r")) \
         .withColumn("d", F.lit(len(cols)))
 
 

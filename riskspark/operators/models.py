@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -251,54 +252,170 @@ SEARCH_SPACE = {
 }
 
 
-def sample_params(preset: str, n_trials: int, seed: int = 42) -> list[dict]:
-    """Seeded random draws from the preset's search space."""
+# The parameter that counts an ensemble's trees, per family.
+TREE_COUNT = {"XGBoost": "n_estimators", "LightGBM": "n_estimators", "CatBoost": "iterations", "RandomForest": "n_estimators"}
+SHARE = 10          # trials that are the first n trees of one fitted ensemble
+CONCURRENT = 8      # fits that the driver keeps running at a time
+
+
+def sample_params(preset: str, n_trials: int, seed: int = 42, share: int = SHARE) -> list[dict]:
+    """Seeded random draws from the preset's search space. Ensembles are drawn in runs of
+    ``share`` trials that differ in their number of trees alone, so that one fit serves a run;
+    with ``share=1`` every trial is drawn apart."""
     import math
     rng = random.Random(f"{seed}:{preset}")
-    out = []
-    for _ in range(n_trials):
-        d = {}
-        for k, spec in SEARCH_SPACE[preset].items():
-            kind, lo, hi = (spec[0], spec[1], None) if spec[0] == "choice" else spec
-            if kind == "choice":
-                d[k] = rng.choice(lo)
-            elif kind == "int":
-                d[k] = rng.randint(lo, hi)
-            elif kind == "float":
-                d[k] = rng.uniform(lo, hi)
-            else:
-                d[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
+    space, count = SEARCH_SPACE[preset], TREE_COUNT.get(preset)
+
+    def draw(spec):
+        kind, lo, hi = (spec[0], spec[1], None) if spec[0] == "choice" else spec
+        if kind == "choice":
+            return rng.choice(lo)
+        if kind == "int":
+            return rng.randint(lo, hi)
+        return rng.uniform(lo, hi) if kind == "float" else math.exp(rng.uniform(math.log(lo), math.log(hi)))
+
+    out: list[dict] = []
+    while len(out) < n_trials:
+        d = {k: draw(spec) for k, spec in space.items()}
         out.append(d)
+        if count:
+            out += [{**d, count: draw(space[count])} for _ in range(min(share - 1, n_trials - len(out)))]
     return out
 
 
-def param_search(df: DataFrame, preset: str, numeric_cols: Sequence[str], categorical_cols: Sequence[str],
-                 target: str, key: str, n_trials: int = 100, k: int = 5, seed: int = 42) -> DataFrame:
-    """Maximise k-fold AUC over ``n_trials`` seeded random draws; one row per trial."""
-    rows, folded = [], store_table(stratified_folds(df, key, target, k, seed))
-    for i, params in enumerate(sample_params(preset, n_trials, seed)):
-        cv = cross_validate(df, preset, numeric_cols, categorical_cols, target, key, k, params, seed, folded)
-        mean_auc = cv.agg(F.first("mean_auc")).first()[0]
-        rows.append((preset, i, json.dumps(params, sort_keys=True), float(mean_auc)))
-    spark = df.sparkSession
-    trials = spark.createDataFrame(rows, "model string, trial int, params string, mean_auc double")
+def ensembles(preset: str, trials: Sequence[dict]) -> list[tuple[dict, list[tuple[int, int | None]]]]:
+    """The fits that the trials need: parameters (with the largest tree count) and, for each
+    trial that a fit serves, its number and its count of trees (None without trees)."""
+    count = TREE_COUNT.get(preset)
+    groups: dict[str, list[int]] = {}
+    for i, d in enumerate(trials):
+        groups.setdefault(json.dumps({k: v for k, v in d.items() if k != count}, sort_keys=True), []).append(i)
+    out = []
+    for members in groups.values():
+        first = trials[members[0]]
+        params = first if count is None else {**first, count: max(trials[i][count] for i in members)}
+        out.append((params, [(i, trials[i].get(count)) for i in members]))
+    return out
+
+
+def first_trees(model, n: int | None):
+    """The model of the first ``n`` trees of a fitted ensemble. Of a boosted one it is the model
+    that a fit of ``n`` iterations gives, since trees are added in turn; of a forest, a forest
+    of ``n`` of its independent trees."""
+    if n is None or n >= len(model.trees):
+        return model
+    from pyspark import SparkContext
+    context, java = SparkContext._active_spark_context, model._java_obj
+    ml = context._jvm.org.apache.spark.ml
+    boosted = isinstance(model, GBTClassificationModel)
+    kept = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel if boosted
+                                      else ml.classification.DecisionTreeClassificationModel, n)
+    trees = java.trees()
+    for i in range(n):
+        kept[i] = trees[i]
+    if not boosted:
+        return RandomForestClassificationModel(ml.classification.RandomForestClassificationModel(
+            java.uid(), kept, java.numFeatures(), java.numClasses()))
+    weights, given = context._gateway.new_array(context._jvm.double, n), java.treeWeights()
+    for i in range(n):
+        weights[i] = given[i]
+    return GBTClassificationModel(ml.classification.GBTClassificationModel(
+        java.uid(), kept, weights, java.numFeatures(), java.numClasses()))
+
+
+def prepare_folds(df: DataFrame, numeric_cols: Sequence[str], categorical_cols: Sequence[str], target: str,
+                  key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(out, fold, label, features): for each fold left ``out``, all rows imputed, coded and
+    assembled as fitted on the other folds. Stored once for every fit of a search."""
+    folded = store_table(_with_label(stratified_folds(df, key, target, k, seed), target))
+    parts = None
+    for f in range(k):
+        pipe, _ = build_pipeline("LogisticRegression", numeric_cols, categorical_cols, "label")
+        fitted = Pipeline(stages=pipe.getStages()[:-1]).fit(folded.where(F.col("fold") != f))
+        part = fitted.transform(folded).select(F.lit(f).alias("out"), "fold", "label", "features")
+        parts = part if parts is None else parts.unionByName(part)
+    return store_table(parts)
+
+
+def param_search(df: DataFrame, presets: Sequence[str], numeric_cols: Sequence[str], categorical_cols: Sequence[str],
+                 target: str, key: str, n_trials: int = 100, k: int = 5, seed: int = 42, share: int = SHARE,
+                 concurrent: int = CONCURRENT) -> DataFrame:
+    """k-fold AUC of ``n_trials`` seeded random draws of each preset; one row per trial, ranked
+    within its preset.
+
+    The folds are prepared once for all presets. Fits are independent Spark jobs, ``concurrent``
+    of them at a time; each scores its left-out fold for all trials that it serves and stores
+    the scores, and one grouped exact AUC ranks all trials.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    import uuid
+
     from pyspark.sql import Window
+
+    from riskspark.session import ensure_checkpoint_dir
+
+    presets = [presets] if isinstance(presets, str) else list(presets)
+    folds = prepare_folds(df, numeric_cols, categorical_cols, target, key, k, seed)
+    sizes = {r["out"]: r["n"] for r in folds.where(F.col("fold") != F.col("out")).groupBy("out").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draws = {name: sample_params(name, n_trials, seed, share) for name in presets}
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored/search-{uuid.uuid4().hex}"
+
+    def run(job) -> str:
+        name, (params, members), number, f = job
+        p = PRESETS[name]
+        given, _ = mllib_params(p.family, {**LIBRARY_DEFAULTS.get(name, {}), **p.params, **params}, sizes.get(f, 0))
+        model = estimator(p.family, given).fit(folds.where((F.col("out") == f) & (F.col("fold") != f)))
+        held = folds.where((F.col("out") == f) & (F.col("fold") == f))
+        scored = None
+        for trial, n in members:
+            s = first_trees(model, n).transform(held)
+            s = s.select(F.lit(name).alias("model"), F.lit(trial).alias("trial"), "fold", F.col("label").cast("int").alias("y"),
+                         probability_of_default(s).alias("p"))
+            scored = s if scored is None else scored.unionByName(s)
+        part = f"{path}/{name}-{number}-{f}"
+        scored.write.parquet(part)
+        return part
+
+    jobs = [(name, fit_, number, f) for name in presets for number, fit_ in enumerate(ensembles(name, draws[name])) for f in range(k)]
+    with ThreadPoolExecutor(concurrent) as pool:
+        parts = list(pool.map(run, jobs))
+    spark = df.sparkSession
+    scored = spark.read.schema("model string, trial int, fold int, y int, p double").parquet(*parts)
+    means = curve_metrics(scored, ["model", "trial", "fold"]).groupBy("model", "trial").agg(F.avg("auc_roc").alias("mean_auc"))
+    rows = [(name, i, json.dumps(d, sort_keys=True)) for name in presets for i, d in enumerate(draws[name])]
+    trials = spark.createDataFrame(rows, "model string, trial int, params string").join(means, ["model", "trial"])
     w = Window.partitionBy("model").orderBy(F.desc("mean_auc"), "trial")
     return trials.withColumn("rank", F.row_number().over(w))
 
 
 def search_and_refit(df: DataFrame, presets: Sequence[str], numeric_cols: Sequence[str],
                      categorical_cols: Sequence[str], target: str, key: str, n_trials: int = 100,
-                     k: int = 5, seed: int = 42) -> tuple[DataFrame, dict[str, PipelineModel]]:
+                     k: int = 5, seed: int = 42, share: int = SHARE,
+                     concurrent: int = CONCURRENT) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """The trials of all ``presets`` and, for each, the model refitted on all rows with its best
     trial's parameters; ``score_long`` scores these."""
-    trials, models = None, {}
-    for preset in presets:
-        part = param_search(df, preset, numeric_cols, categorical_cols, target, key, n_trials, k, seed)
-        best = part.where(F.col("rank") == 1).first()
-        models[preset] = fit(df, preset, numeric_cols, categorical_cols, target, json.loads(best["params"]))
-        trials = part if trials is None else trials.unionByName(part)
-    return trials, models
+    trials = store_table(param_search(df, presets, numeric_cols, categorical_cols, target, key, n_trials, k, seed, share, concurrent))
+    return trials, refit_best(df, trials, numeric_cols, categorical_cols, target, n_trials, seed, share, concurrent)
+
+
+def refit_best(df: DataFrame, trials: DataFrame, numeric_cols: Sequence[str], categorical_cols: Sequence[str], target: str,
+               n_trials: int = 100, seed: int = 42, share: int = SHARE, concurrent: int = CONCURRENT) -> dict[str, PipelineModel]:
+    """For each preset of ``trials`` the model of its best trial, fitted on all of ``df``. The
+    draws are those of the search (``n_trials``, ``seed``, ``share``)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    best = {r["model"]: r["trial"] for r in trials.where(F.col("rank") == 1).select("model", "trial").collect()}
+
+    def refit(name: str) -> PipelineModel:
+        for params, members in ensembles(name, sample_params(name, n_trials, seed, share)):
+            n = dict(members).get(best[name], False)
+            if n is not False:
+                whole = fit(df, name, numeric_cols, categorical_cols, target, params)
+                return PipelineModel(stages=[*whole.stages[:-1], first_trees(whole.stages[-1], n)])
+        raise ValueError(f"no trial of {name}")
+
+    with ThreadPoolExecutor(concurrent) as pool:
+        return dict(zip(best, pool.map(refit, best)))
 
 
 # ---------------------------------------------------------------- M13

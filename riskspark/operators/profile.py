@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.functions.bins import r6, status3
+from riskspark.functions.gram import pair_correlations
 from riskspark.functions.stats import pearson
 from riskspark.operators.kernels import exact_quantiles, materialize_small
 
@@ -151,17 +152,14 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 # ---------------------------------------------------------------- P6 / P7
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r for every pair i < j (pairwise complete rows), one aggregation."""
+    """Pearson r for every pair i < j (pairwise complete rows), one pass."""
     cols = list(columns or numeric_columns(df))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
-    agg = df.agg(*[pearson(clean_value(df, cols[i]).cast("double"), clean_value(df, cols[j]).cast("double"))
-                   .alias(f"c{i}_{j}") for i, j in pairs])
-    return agg.select(F.explode(F.array(*[
-        F.struct(F.lit(cols[i]).alias("feature1"), F.lit(cols[j]).alias("feature2"),
-                 F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("correlation"))
-        for i, j in pairs])).alias("r")).select("r.*")
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, i int, j int, correlation double")
+    names = F.array(*[F.lit(c) for c in cols])
+    return pair_correlations(df, [clean_value(df, c) for c in cols]).where(F.col("i") < F.col("j")).select(
+        F.element_at(names, F.col("i") + 1).alias("feature1"), F.element_at(names, F.col("j") + 1).alias("feature2"),
+        "i", "j", F.col("r").alias("correlation"))
 
 
 def correlation_pairs(df: DataFrame, threshold: float = 0.8, columns: Sequence[str] | None = None) -> DataFrame:
@@ -174,13 +172,14 @@ def correlation_pairs(df: DataFrame, threshold: float = 0.8, columns: Sequence[s
 def correlation_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """max |r| with the diagonal (1 when any column varies, else NULL) and off-diagonal."""
     cols = list(columns or numeric_columns(df))
-    off = correlation_matrix(df, cols).agg(F.max(F.abs("correlation")).alias("_off"))
+    if not cols:
+        return df.sparkSession.createDataFrame([(None, None)], "max_correlation double, max_offdiagonal_correlation double")
     # the diagonal is 1 for a column that varies and undefined for any other
-    varies = [F.when(F.stddev_pop(clean_value(df, c).cast("double")) > 0, 1.0) for c in cols]
-    diagonal = df.agg((F.greatest(*varies) if len(varies) > 1 else varies[0] if varies else F.lit(None).cast("double")).alias("_diag"))
-    return off.crossJoin(F.broadcast(diagonal)).select(          # one row each
-        r6(F.greatest("_diag", "_off")).alias("max_correlation"),
-        r6(F.col("_off")).alias("max_offdiagonal_correlation"))
+    pairs = pair_correlations(df, [clean_value(df, c) for c in cols])
+    own = F.when((F.col("i") == F.col("j")) & F.col("r").isNotNull(), 1.0)
+    off = F.when(F.col("i") < F.col("j"), F.abs("r"))
+    return pairs.agg(r6(F.max(F.coalesce(own, off))).alias("max_correlation"),
+                     r6(F.max(off)).alias("max_offdiagonal_correlation"))
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:

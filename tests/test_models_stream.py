@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,25 +29,58 @@ def test_fit_predict_proba(spark):
 def test_sample_params_reproducible():
     assert md.sample_params("XGBoost", 3, 1) == md.sample_params("XGBoost", 3, 1)
 
-def test_search_and_refit(spark):
+def search_frame(spark):
     rows = [(i, float(i % 17), float((i * 7) % 5), int((i % 17 > 8) ^ (i % 11 == 0))) for i in range(400)]
-    df = spark.createDataFrame(rows, "k long, x double, z double, y int")
+    return spark.createDataFrame(rows, "k long, x double, z double, y int")
+
+
+def test_search_and_refit(spark):
+    df = search_frame(spark)
     trials, models = md.search_and_refit(df, ["LogisticRegression"], ["x", "z"], [], "y", "k", n_trials=2, k=2)
     assert trials.count() == 2 and trials.where("rank = 1").first()["mean_auc"] >= 0.65
     assert md.score_long(models, df.withColumn("split", F.lit("all")), "k", "y").count() == 400
 
 
-def test_param_search_query_covers_the_whole_budget(spark, monkeypatch):
-    """100 trials of each of the five families, with the fits themselves left out."""
-    def trials_of(df, preset, numeric, categorical, target, key, n_trials, k, seed):
-        return spark.createDataFrame([(preset, i, "{}", 0.5, i + 1) for i in range(n_trials)], "model string, trial int, params string, mean_auc double, rank int")
+def test_draws_share_all_but_the_tree_count():
+    trials = md.sample_params("XGBoost", 25, 7, share=10)
+    fits = md.ensembles("XGBoost", trials)
+    assert [len(m) for _, m in fits] == [10, 10, 5]
+    assert sorted(i for _, m in fits for i, _ in m) == list(range(25))
+    for params, members in fits:
+        assert params["n_estimators"] == max(n for _, n in members)
+        assert all({**params, "n_estimators": n} == trials[i] for i, n in members)
+    assert [len(m) for _, m in md.ensembles("LogisticRegression", md.sample_params("LogisticRegression", 4))] == [1] * 4
+    assert len(md.ensembles("CatBoost", md.sample_params("CatBoost", 6, share=1))) == 6
+
+
+def test_search_equals_fits_done_singly(spark, monkeypatch):
+    """Trials scored as the first trees of a shared fit, or concurrently, give the AUC of a fit of their own."""
+    monkeypatch.setitem(md.SEARCH_SPACE, "XGBoost", {**md.SEARCH_SPACE["XGBoost"], "n_estimators": ("int", 2, 6), "max_depth": ("int", 2, 3)})
+    df = search_frame(spark)
+    got = md.param_search(df, ["XGBoost", "LogisticRegression"], ["x", "z"], [], "y", "k", n_trials=3, k=2, share=3).collect()
+    assert len(got) == 6
+    for r in got:
+        cv = md.cross_validate(df, r["model"], ["x", "z"], [], "y", "k", 2, json.loads(r["params"]))
+        assert cv.first()["mean_auc"] == pytest.approx(r["mean_auc"], abs=1e-6)
+
+
+def test_forest_prefix(spark, monkeypatch):
+    monkeypatch.setitem(md.SEARCH_SPACE, "RandomForest", {**md.SEARCH_SPACE["RandomForest"], "n_estimators": ("int", 2, 9), "max_depth": ("int", 2, 3)})
+    df = search_frame(spark)
+    trials, models = md.search_and_refit(df, ["RandomForest"], ["x", "z"], [], "y", "k", n_trials=4, k=2, share=4)
+    best = json.loads(trials.where("rank = 1").first()["params"])
+    assert len(models["RandomForest"].stages[-1].trees) == best["n_estimators"]
+    assert trials.agg(F.min("mean_auc")).first()[0] >= 0.6
+
 
-    from riskspark.plans import registry
-    monkeypatch.setattr(registry.bm, "loan_frame", lambda *_: spark.range(20).selectExpr("id as loan_id", "id % 2 as target", "'train' as split"))
-    monkeypatch.setattr(md, "param_search", trials_of)
-    monkeypatch.setattr(md, "fit", lambda *_: None)
-    trials = registry.QUERIES["param_search"](spark, "").groupBy("model").agg(F.countDistinct("trial").alias("n"))
-    assert {r["model"]: r["n"] for r in trials.collect()} == dict.fromkeys(["XGBoost", "LightGBM", "CatBoost", "RandomForest", "LogisticRegression"], 100)
+def test_param_search_query_asks_for_the_whole_budget():
+    """100 trials of each of the five families and 5 folds, by the operator's own defaults."""
+    import inspect
+    given = inspect.signature(md.param_search).parameters
+    assert given["n_trials"].default == 100 and given["k"].default == 5
+    assert list(md.SEARCH_SPACE) == ["XGBoost", "LightGBM", "CatBoost", "RandomForest", "LogisticRegression"]
+    fits = [md.ensembles(name, md.sample_params(name, 100)) for name in md.SEARCH_SPACE]
+    assert [sum(len(m) for _, m in f) for f in fits] == [100] * 5
 
 
 @pytest.mark.parametrize("preset", list(md.PRESETS))
