@@ -37,17 +37,16 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskspark.llm.common import SPACE, U64, chunked, mix, read, seeds, stored, utf8_view, word_hashes, word_spans
-from riskspark.llm.links import components
+from riskspark.llm.links import components, joined
 
 BASE, RATE, TOP = 1.02, 20.0, 65_535       # SetSketch's b, a and q + 1
 M, ROWS = 128, 4
 BANDS = M // ROWS
-SLOTS, MORE = 64, 8                        # pivots of a bucket in the second round; times more in each later one
+SLOTS, MORE = 512, 16                      # pivots of a bucket in the second round; times more in each later one
 WORDS = 8                                  # of 64 bits: the bitmap of occupied slots that a set's hashes fall into
 BITS = [f"bits{i}" for i in range(WORDS)]
 LEAST_ESTIMATE = 0.6
@@ -198,15 +197,17 @@ def possible(a: str, b: str, percent: int) -> F.Column:
 
 def verified(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: those estimated near enough, on their full sets."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 1024):         # the likelihood grid holds 101 numbers a pair
-                p = batch.iloc[k:k + 1024]
-                a, b = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(-1, M) for c in ("registers_a", "registers_b"))
-                yield p.loc[estimate(a, b, p["n_a"].to_numpy(), p["n_b"].to_numpy()) >= LEAST_ESTIMATE, ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for k in range(0, rb.num_rows, 1024):         # the likelihood grid holds 101 numbers a pair
+                p = rb.slice(k, 1024)
+                a, b = (np.frombuffer(b"".join(p.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("registers_a", "registers_b"))
+                near = estimate(a, b, p.column("n_a").to_numpy(), p.column("n_b").to_numpy()) >= LEAST_ESTIMATE
+                yield p.select(["a", "b"]).filter(pa.array(near))
 
     regs = info.select("node", "n", "registers")
-    near = pairs.join(regs.toDF("a", "n_a", "registers_a"), "a").join(regs.toDF("b", "n_b", "registers_b"), "b").mapInPandas(run, "a long, b long")
+    near = pairs.join(regs.toDF("a", "n_a", "registers_a"), "a").join(regs.toDF("b", "n_b", "registers_b"), "b")
+    near = near.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a long, b long")
     near = stored(near, "near")                 # its size is known then, so few pairs are joined without dealing out all sets
     only = sets.select("node", "shingles")
     both = near.join(only.toDF("a", "set_a"), "a").join(only.toDF("b", "set_b"), "b")
@@ -242,23 +243,24 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
         of = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = of.groupBy("band", "root").agg(F.count("*").alias("size"))
         widest = groups.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "root")).alias("widest")).filter("groups > 1")
-        rows = of.join(widest.select("band", F.col("widest.root").alias("widest")), "band")
-        rows = stored(rows if "keys" in rows.columns else rows.join(keys, "node"), "bands")
+        of = of.join(widest.select("band", F.col("widest.root").alias("widest")), "band")
+        # pivots: members outside their bucket's largest component, one for each hash slot
+        outside = F.col("root") != F.col("widest")
+        slot = F.when(outside, F.pmod(F.xxhash64("node", "band"), F.lit(slots))).otherwise(F.col("node"))
+        first = F.row_number().over(Window.partitionBy("band", slot, outside).orderBy(*facts)) == 1
+        of = of.withColumn("pivot", outside & first)
+        rows = stored(of if "keys" in of.columns else of.join(keys, "node"), "bands")
         if rows.isEmpty():
             return roots
-        # pivots: members outside their bucket's largest component, one for each hash slot
-        slot = F.pmod(F.xxhash64("node", "band"), F.lit(slots))
-        pivots = rows.filter("root != widest").groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*facts, "root", "keys")).alias("p"))
-        pivots = stored(pivots.select("band", *(F.col(f"p.{c}").alias(c + "_b") for c in (*facts, "root", "keys"))), "pivots")
+        pivots = rows.filter("pivot").select("band", *(F.col(c).alias(c + "_b") for c in (*facts, "root", "keys")))
         side = rows.select("band", *(F.col(c).alias(c + "_a") for c in (*facts, "root", "keys")))
         same = F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
         met = side.join(pivots, (side["band"] == pivots["band"]) & (F.col("root_a") != F.col("root_b")) & possible("a", "b", percent)
                         & (F.try_element_at(same, F.lit(1)) == side["band"]))
         fresh = verified(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), info, sets, percent)
         if not fresh.isEmpty():
-            links = stored(links.union(fresh), "links")
-            roots = components(links)
-        rows = rows.join(pivots.select("band", F.col("node_b").alias("node")), ["band", "node"], "left_anti").drop("root", "widest")
+            roots = joined(roots, fresh)
+        rows = rows.filter("not pivot").drop("root", "widest", "pivot")
         slots *= MORE
 
 

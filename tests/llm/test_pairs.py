@@ -336,3 +336,16 @@ def test_pipeline(spark, tmp_path):
     empty = H.docs(spark, rows).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_components_are_joined_by_fresh_links(spark):
+    """Links that come in later, between known components and new nodes, give what all links give at once."""
+    rng = random.Random(8)
+    old = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    new = [(rng.randrange(90), rng.randrange(90)) for _ in range(25)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    groups = lambda out: sorted(sorted(g) for g in out.groupBy("root").agg({"node": "collect_list"}).toPandas().iloc[:, 1])
+    roots = links.joined(links.components(frame(old)), frame(new))
+    assert groups(roots) == groups(links.components(frame(old + new)))
+    assert roots.join(roots.select("node").toDF("root"), "root", "left_anti").count() == 0        # a root is a node of its component
+    assert links.joined(links.components(frame([])), frame([(1, 2)])).count() == 2
