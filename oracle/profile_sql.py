@@ -115,9 +115,9 @@ def target_correlation() -> str:
 
 def class_distribution() -> str:
     return with_fixtures("scored_split") + f""", c AS (
-  SELECT split, y, count(*) AS count FROM scored_split WHERE model = 'model_a' GROUP BY split, y)
-SELECT split, y, count, sum(count) OVER (PARTITION BY split)::BIGINT AS n_rows, 3 AS n_features,
-       {r6('count / sum(count) OVER (PARTITION BY split)')} AS proportion FROM c"""
+  SELECT model, split, y, count(*) AS count FROM scored_split GROUP BY model, split, y)
+SELECT model, split, y, count, sum(count) OVER (PARTITION BY model, split)::BIGINT AS n_rows, 3 AS n_features,
+       {r6('count / sum(count) OVER (PARTITION BY model, split)')} AS proportion FROM c"""
 
 
 def column_metadata() -> str:

@@ -13,9 +13,9 @@ def all_sql() -> dict[str, str]:
         "scan_table": "SELECT * FROM orders",
         "scan_segment": with_fixtures("loans") + """
 SELECT loan_id, customer_id, amount, balance, target, segment FROM loans WHERE segment = 'BUILDING'""",
-        "scan_catalog": "SELECT *, 'region' AS dataset FROM region UNION ALL BY NAME SELECT *, 'nation' AS dataset FROM nation",
+        "scan_catalog": " UNION ALL BY NAME ".join(f"SELECT *, '{t}' AS dataset FROM {t}" for t in ("customer", "orders", "part", "supplier")),
         "read_splits": holdout,
         "write_table": "SELECT * FROM customer",
         "write_metrics": classification_metrics(),
-        "write_splits": "SELECT * FROM (" + holdout + ") WHERE split = 'test'",
+        "write_splits": holdout,
     }

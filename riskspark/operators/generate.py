@@ -1,13 +1,18 @@
 """Synthetic row generators (G1–G6) and generator persistence.
 
-* Gaussian copula: per-column marginals (exact quantile grid, or category
-  shares for text columns), normal scores from exact ranks, their correlation
-  matrix (d×d, the only thing that reaches the driver), Cholesky, then
-  ``spark.range(n)`` rows whose normals come from seeded hashes, so the output
-  does not depend on partitioning.
+* Gaussian copula: per-column marginals (exact quantile grid, or a table of the
+  cumulative shares of a text column's values), normal scores from exact ranks,
+  their correlation matrix (d×d) and quantile grids (the only things that reach
+  the driver), Cholesky, then ``spark.range(n)`` rows whose normals come from
+  seeded hashes, so the output does not depend on partitioning. Uniforms meet
+  the values of a text column by a join on ranges of their shares.
 * SMOTE / ADASYN / borderline SMOTE: new minority rows interpolated towards
   one of the k nearest neighbours. Neighbours come from ``knn``, an exact
-  distributed k-nearest-neighbour search that never builds all pairs.
+  distributed k-nearest-neighbour search that never builds all pairs. Class
+  sizes are a joined table, so any number of classes will do.
+
+A fitted generator is a model that is sampled, saved and loaded: the copula, or
+a table of seeds and one of their neighbours.
 """
 
 from __future__ import annotations
@@ -21,14 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.normal import hash_uniform, norm_cdf, norm_ppf
-from riskspark.functions.stats import pearson
-from riskspark.operators.kernels import exact_quantiles, hash_rank, value_cumsums
+from riskspark.functions.gram import pair_correlations
+from riskspark.operators.kernels import exact_quantiles, hash_rank, store_table, value_cumsums
 from riskspark.operators.profile import numeric_columns
 
 GRID = 1001   # quantile grid points per numeric marginal
-# Text columns of the copula and target classes are modelled by their value
-# lists, which live on the driver; more values than this is refused.
-MAX_CATEGORIES = 100_000
 
 
 # ====================================================================== G1
@@ -37,22 +39,22 @@ class CopulaModel:
     columns: list[str]
     kinds: list[str]                    # "numeric" | "categorical"
     grids: dict[str, list[float]]       # numeric: quantile grid on [0, 1]
-    cats: dict[str, list[tuple[str, float]]]   # categorical: (value, cumulative share)
+    n_values: dict[str, int]            # categorical: number of distinct values
     bounds: dict[str, tuple[float, float]]
     decimals: dict[str, int | None]
     dtypes: dict[str, str]
     chol: list[list[float]]
     n_rows: int
+    categories: DataFrame | None = None   # (column, value, lo, hi): each value's range of cumulative shares
 
     def to_json(self) -> str:
-        return json.dumps(self.__dict__)
+        return json.dumps({k: v for k, v in self.__dict__.items() if k != "categories"})
 
     @staticmethod
-    def from_json(text: str) -> "CopulaModel":
+    def from_json(text: str, categories: DataFrame | None = None) -> "CopulaModel":
         d = json.loads(text)
         d["bounds"] = {k: tuple(v) for k, v in d["bounds"].items()}
-        d["cats"] = {k: [tuple(x) for x in v] for k, v in d["cats"].items()}
-        return CopulaModel(**d)
+        return CopulaModel(**d, categories=categories)
 
 
 def _decimals(df: DataFrame, cols: Sequence[str], max_digits: int = 4) -> dict[str, int | None]:
@@ -85,57 +87,35 @@ def fit_copula(df: DataFrame, columns: Sequence[str] | None = None, key: str | N
         for r in exact_quantiles(long_num, ["column"], "v", probs, out_col="q").collect():
             grids[r["column"]] = [float(x) for x in r["q"]]
             bounds[r["column"]] = (float(r["q"][0]), float(r["q"][-1]))
-    cats = {}
-    for c in cols:
-        if c in num:
-            continue
-        freq = base.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("__null__")).alias("v")).count() \
-            .orderBy("v").limit(MAX_CATEGORIES + 1).collect()
-        if len(freq) > MAX_CATEGORIES:
-            raise ValueError(f"column {c!r} has more than {MAX_CATEGORIES} categories")
-        total = sum(r["count"] for r in freq)
-        acc, cum = 0, []
-        for r in freq:
-            acc += r["count"]
-            cum.append((r["v"], acc / total))
-        cats[c] = cum
+    text = [c for c in cols if c not in num]
+    long_text = base.select("_rid", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in text])).alias("r")
+    ).select("_rid", "r.*") if text else None
+    categories, n_values = None, {}
+    if text:
+        shares = value_cumsums(long_text.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")), ["column"], "value", ["c"])
+        categories = store_table(shares.select("column", "value", ((F.col("cum_c") - F.col("c")) / F.col("tot_c")).alias("lo"),
+                                               (F.col("cum_c") / F.col("tot_c")).alias("hi")))
+        n_values = {r["column"]: r["count"] for r in categories.groupBy("column").count().collect()}
     # normal scores: u = (average rank − 0.5) / n for numeric values; the middle
     # of the category's cumulative interval for categories
-    z_cols = []
-    long_all = base.select("_rid", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("key"),
-                 (F.col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("v"))
-        for c in cols])).alias("r")).select("_rid", "r.*")
-    counts = long_all.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
+    parts = []
     if num:
+        long_num = base.select("_rid", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in num])).alias("r")).select("_rid", "r.*")
+        counts = long_num.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("c"))
         cum = value_cumsums(counts, ["column"], "v", ["c"])
         ranks = cum.select("column", "v", ((F.col("cum_c") - (F.col("c") - 1) / 2.0 - 0.5) / F.col("tot_c"))
                            .alias("u"))
-        u_num = long_all.join(ranks, ["column", "v"])
-    else:
-        u_num = None
-    parts = [u_num.select("_rid", "column", "u")] if u_num is not None else []
-    for c in cats:
-        mids = []
-        prev = 0.0
-        for v, cu in cats[c]:
-            mids.append((v, (prev + cu) / 2.0))
-            prev = cu
-        m = F.create_map(*[x for v, u in mids for x in (F.lit(v), F.lit(u))])
-        parts.append(base.select("_rid", F.lit(c).alias("column"),
-                                 F.element_at(m, F.coalesce(F.col(c).cast("string"), F.lit("__null__"))).alias("u")))
-    u_long = parts[0]
-    for p in parts[1:]:
-        u_long = u_long.unionByName(p)
+        parts.append(long_num.join(ranks, ["column", "v"]).select("_rid", "column", "u"))
+    if text:
+        mids = categories.select(F.col("column").alias("_c"), F.col("value").alias("_v"), ((F.col("lo") + F.col("hi")) / 2.0).alias("u"))
+        parts.append(long_text.join(mids, (F.col("column") == F.col("_c")) & F.col("value").eqNullSafe(F.col("_v"))).select("_rid", "column", "u"))
+    u_long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     z_wide = u_long.withColumn("z", norm_ppf(F.col("u"))).groupBy("_rid").pivot("column", cols).agg(F.first("z"))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     corr = np.eye(len(cols))
-    if pairs:
-        row = z_wide.agg(*[pearson(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"c{i}_{j}")
-                           for i, j in pairs]).first()
-        for i, j in pairs:
-            v = row[f"c{i}_{j}"]
-            corr[i, j] = corr[j, i] = 0.0 if v is None or np.isnan(v) else float(v)
+    for r in pair_correlations(z_wide, [F.col(f"`{c}`") for c in cols]).where("i < j").collect():        # d x d numbers
+        corr[r["i"], r["j"]] = corr[r["j"], r["i"]] = 0.0 if r["r"] is None or np.isnan(r["r"]) else r["r"]
     # nearest positive-definite matrix by diagonal loading, then Cholesky (d×d on the driver)
     for jitter in (0.0, 1e-10, 1e-8, 1e-6, 1e-4, 1e-2):
         try:
@@ -146,7 +126,7 @@ def fit_copula(df: DataFrame, columns: Sequence[str] | None = None, key: str | N
     dtypes = {c: df.schema[c].dataType.simpleString() for c in cols}
     decimals = _decimals(base, [c for c in num if dtypes[c] in ("double", "float")])
     decimals.update({c: 0 for c in num if dtypes[c] not in ("double", "float")})
-    return CopulaModel(cols, kinds, grids, cats, bounds, decimals, dtypes, chol.tolist(), int(n))
+    return CopulaModel(cols, kinds, grids, n_values, bounds, decimals, dtypes, chol.tolist(), int(n), categories)
 
 
 def _interp(grid: list[float], u: Column) -> Column:
@@ -169,10 +149,10 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int, seed: int = 4
     rows = rows.select("id", *[x.alias(f"_e{j}") for j, x in enumerate(e)])
     L = model.chol
     z = [sum((F.lit(L[i][j]) * F.col(f"_e{j}") for j in range(i + 1)), F.lit(0.0)) for i in range(d)]
-    rows = rows.select("id", *[norm_cdf(zi).alias(f"_u{i}") for i, zi in enumerate(z)])
+    rows = rows.select("id", *[F.least(F.greatest(norm_cdf(zi), F.lit(0.0)), F.lit(1.0)).alias(f"_u{i}") for i, zi in enumerate(z)])
     out = [F.col("id").alias("synthetic_id")]
     for i, c in enumerate(model.columns):
-        u = F.least(F.greatest(F.col(f"_u{i}"), F.lit(0.0)), F.lit(1.0))
+        u = F.col(f"_u{i}")
         if model.kinds[i] == "numeric":
             v = _interp(model.grids[c], u)
             if enforce_min_max:
@@ -181,36 +161,34 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int, seed: int = 4
             dec = model.decimals.get(c)
             if enforce_rounding and dec is not None:
                 v = F.round(v, dec)
-            out.append(v.cast(model.dtypes[c]).alias(c))
         else:
-            expr = None
-            for v, cu in model.cats[c]:
-                lit = F.lit(None).cast("string") if v == "__null__" else F.lit(v)
-                expr = F.when(u <= cu, lit) if expr is None else expr.when(u <= cu, lit)
-            last = model.cats[c][-1][0]
-            expr = expr.otherwise(F.lit(None).cast("string") if last == "__null__" else F.lit(last))
-            out.append(expr.cast(model.dtypes[c]).alias(c))
+            rows = _with_value(rows, f"_u{i}", model.categories.where(F.col("column") == c), model.n_values[c], f"_v{i}")
+            v = F.col(f"_v{i}")
+        out.append(v.cast(model.dtypes[c]).alias(c))
     return rows.select(*out)
 
 
+def _with_value(rows: DataFrame, u: str, categories: DataFrame, n_values: int, name: str) -> DataFrame:
+    """``rows`` with the value whose range of shares (lo, hi] holds ``u``. Ranges are dealt to
+    as many equal cells of [0, 1] as there are values; a uniform meets the ranges of its own
+    cell, two on average however the shares are spread."""
+    cells = max(1, n_values)
+    cell = lambda x: F.least(F.floor(x * float(cells)), F.lit(cells - 1)).cast("long")      # noqa: E731
+    ranges = categories.select(F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_cell"), F.col("value").alias(name),
+                               F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    inside = (F.col(u) <= F.col("_hi")) & ((F.col(u) > F.col("_lo")) | (F.col("_lo") == 0.0))
+    placed = rows.withColumn("_at", cell(F.col(u)))
+    return placed.join(ranges, (F.col("_at") == F.col("_cell")) & inside).drop("_at", "_cell", "_lo", "_hi")
+
+
 def gaussian_copula(df: DataFrame, n: int | None = None, columns: Sequence[str] | None = None,
                     key: str | None = None, seed: int = 42) -> DataFrame:
     model = fit_copula(df, columns, key)
     return sample_copula(df.sparkSession, model, n if n is not None else model.n_rows, seed)
 
 
-# ====================================================================== S10
-def save_generator(spark: SparkSession, model: CopulaModel, path: str) -> None:
-    """Persist a fitted copula (a few KB of JSON)."""
-    spark.createDataFrame([(model.to_json(),)], "state string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def load_generator(spark: SparkSession, path: str) -> CopulaModel:
-    return CopulaModel.from_json(spark.read.text(path).first()[0])
-
-
 # ====================================================================== exact kNN
-MAX_PIVOTS = 1 << 16      # bounds what is broadcast: pivots of one group, d numbers each
+CELLS_HELD = 1 << 20      # distances (points x pivots) that a task holds at a time
 
 
 def _distances(f: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -222,63 +200,123 @@ def _rows_of(col) -> np.ndarray:
     return np.array(col.to_pylist(), float).reshape(len(col), -1)
 
 
-def _assigned(vectors: DataFrame, g: str, pivots: dict) -> DataFrame:
-    """vectors (g, vid, f) with the number of the nearest pivot of their group and its distance."""
-    import pyarrow as pa
-
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)
-    kind = dict(vectors.dtypes)[g]
-
-    def run(batches):
-        for rb in batches:
-            f, groups = _rows_of(rb.column("f")), rb.column(g).to_pylist()
-            cell, dist = np.zeros(len(groups), np.int32), np.zeros(len(groups))
-            for x in set(groups):
-                at = np.flatnonzero([y == x for y in groups])
-                for part in np.array_split(at, len(at) // 256 + 1):
-                    d = _distances(f[part], held.value[x])
-                    cell[part] = d.argmin(1)
-                    dist[part] = d.min(1)
-            yield pa.RecordBatch.from_arrays([rb.column(g), rb.column("vid"), rb.column("f"), pa.array(cell), pa.array(dist)], [g, "vid", "f", "cell", "own"])
-
-    return vectors.select(g, "vid", "f").mapInArrow(run, f"`{g}` {kind}, vid long, f array<double>, cell int, own double")
-
-
-def _probes(bounded: DataFrame, g: str, pivots: dict, radius: dict) -> DataFrame:
-    """(g, vid, f, cell): the other cells that may hold a point within each vector's bound ``ub``.
-    A cell is left out where the triangle inequality or the hyperplane between its pivot and
-    the vector's own puts all its points beyond the bound."""
+def _meet(pivots: DataFrame, rows: DataFrame, key: list[str], kernel, extra: dict[str, str]) -> DataFrame:
+    """Every row meets the pivots (pid, pf, pr) of its ``key``. Both are dealt out by the key and
+    a salt and sorted, so a task reads a key's pivots and then streams the rows past them; it
+    holds one key's pivots and one batch. ``kernel(pid, pf, pr, batch)`` gives the numbers of
+    the batch's rows that stay (repeats allowed) and the ``extra`` columns of the result."""
     import pyarrow as pa
 
-    held = bounded.sparkSession.sparkContext.broadcast((pivots, radius))
-    kind = dict(bounded.dtypes)[g]
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds, payload = dict(rows.dtypes), [c for c in rows.columns if c not in key]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)      # noqa: E731
+    held = pivots.select(*key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(0).alias("_kind"), "pid", "pf",
+                         F.col("pr").cast("double").alias("pr"), *[none(kinds[c], c) for c in payload])
+    asked = rows.select(*key, F.pmod(F.xxhash64("vid"), F.lit(salts)).cast("int").alias("_salt"), F.lit(1).alias("_kind"),
+                        none("bigint", "pid"), none("array<double>", "pf"), none("double", "pr"), *payload)
+    order = [*key, "_salt", "_kind"]
 
     def run(batches):
-        centres, radii = held.value
+        now, found = None, []
         for rb in batches:
-            f, groups, own, ub = _rows_of(rb.column("f")), rb.column(g).to_pylist(), rb.column("cell").to_numpy(), rb.column("ub").to_numpy()
-            rows, cells = [], []
-            for x in set(groups):
-                at = np.flatnonzero([y == x for y in groups])
-                for part in np.array_split(at, len(at) // 256 + 1):
-                    if not len(part):
-                        continue
-                    p, d = centres[x], _distances(f[part], centres[x])
-                    mine = d[np.arange(len(part)), own[part]][:, None]
-                    between = _distances(p[own[part]], p)
-                    plane = np.where(between > 0, (d * d - mine * mine) / (2.0 * np.maximum(between, 1e-300)), 0.0)
-                    least = np.maximum(d - radii[x][None, :], plane)
-                    near = (radii[x][None, :] >= 0) & (least <= ub[part][:, None] * (1 + 1e-9) + 1e-9 * (1.0 + mine))
-                    near[np.arange(len(part)), own[part]] = False
-                    i, c = np.nonzero(near)
-                    rows.append(part[i])
-                    cells.append(c)
-            i = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            c = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-            take = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([rb.column(g).take(take), rb.column("vid").take(take), rb.column("f").take(take), pa.array(c.astype(np.int32))], [g, "vid", "f", "cell"])
-
-    return bounded.select(g, "vid", "f", "cell", "ub").mapInArrow(run, f"`{g}` {kind}, vid long, f array<double>, cell int")
+            marks = list(zip(*(rb.column(c).to_pylist() for c in order)))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for at, to in zip(cuts, cuts[1:]):
+                if at == to:
+                    continue
+                part = rb.slice(at, to - at)
+                if marks[at][:-1] != now:
+                    now, found = marks[at][:-1], []
+                if marks[at][-1] == 0:
+                    found.append((part.column("pid").to_numpy(), _rows_of(part.column("pf")), part.column("pr").to_numpy(zero_copy_only=False)))
+                    continue
+                if len(found) > 1:
+                    found = [tuple(np.concatenate(x) for x in zip(*found))]
+                if not found:
+                    continue
+                step = max(1, CELLS_HELD // len(found[0][0]))
+                for k in range(0, part.num_rows, step):
+                    piece = part.slice(k, step)
+                    stay, more = kernel(*found[0], piece)
+                    take = pa.array(stay, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(piece.column(c).take(take) for c in [*key, *payload]), *(pa.array(x) for x in more)], [*key, *payload, *extra])
+
+    both = held.unionByName(asked).repartition(*key, "_salt").sortWithinPartitions(*order)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*key, *payload]), *(f"`{c}` {kind}" for c, kind in extra.items())])
+    return both.mapInArrow(run, schema)
+
+
+def _nearest_pivot(pid, pf, pr, piece):
+    d = _distances(_rows_of(piece.column("f")), pf)
+    best = d.argmin(1)
+    return np.arange(len(d)), [pid[best], d[np.arange(len(d)), best]]
+
+
+def _near_tops(pid, pf, pr, piece):
+    """The tops that may hold a point within each row's bound. A top is left out where the
+    triangle inequality, or the hyperplane between it and the row's own top, puts all its
+    points beyond the bound."""
+    f, ub = _rows_of(piece.column("f")), piece.column("ub").to_numpy()
+    own = np.searchsorted(pid[np.argsort(pid)], piece.column("top").to_numpy())
+    own = np.argsort(pid)[own]
+    return _within(_distances(f, pf), _distances(pf[own], pf), own, pr, ub, pid)
+
+
+def _near_cells(pid, pf, pr, piece):
+    """The cells of one top that may hold a point within each row's bound, but for its own. The
+    hyperplanes are those between a cell's pivot and the row's nearest pivot in the top."""
+    d = _distances(_rows_of(piece.column("f")), pf)
+    best = d.argmin(1)
+    rows, (found,) = _within(d, _distances(pf[best], pf), best, pr, piece.column("ub").to_numpy(), pid)
+    other = found != piece.column("cell").to_numpy()[rows]
+    return rows[other], [found[other]]
+
+
+def _within(d, between, own, radius, ub, pid):
+    mine = d[np.arange(len(d)), own][:, None]
+    plane = np.where(between > 0, (d * d - mine * mine) / (2.0 * np.maximum(between, 1e-300)), 0.0)
+    least = np.maximum(d - radius[None, :], plane)
+    rows, at = np.nonzero(least <= ub[:, None] * (1 + 1e-9) + 1e-9 * (1.0 + mine))
+    return rows, [pid[at]]
+
+
+def _pivots(vectors: DataFrame, g: str, wanted: int | None) -> tuple[DataFrame, DataFrame]:
+    """Cell pivots, about the root of a group's points (drawn by hash, so dense regions get more
+    of them), and tops, about the root of these: (g, vid, f) each, one at least for a group."""
+    sizes = vectors.groupBy(g).agg(F.count(F.lit(1)).alias("_n"), F.min("vid").alias("_least"))
+    cells = F.lit(float(wanted)) if wanted else F.ceil(F.sqrt(F.col("_n").cast("double")))
+
+    def drawn(rows, salt, share):
+        return rows.where((F.pmod(F.xxhash64(F.col("vid"), F.lit(salt)), F.lit(1 << 30)) < share * (1 << 30)) | (F.col("vid") == F.col("_least")))
+
+    picked = store_table(drawn(vectors.join(sizes, g), 5, cells / F.col("_n")))
+    return picked.select(g, "vid", "f"), store_table(drawn(picked, 6, 1.0 / F.sqrt(cells)).select(g, "vid", "f"))
+
+
+def _as_pivots(rows: DataFrame, key: list[str], radius: Column) -> DataFrame:
+    return rows.select(*key, F.col("vid").alias("pid"), F.col("f").alias("pf"), radius.alias("pr"))
+
+
+def _placed(vectors: DataFrame, g: str, wanted: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """vectors (g, vid, f) with top, cell, and their distances; tops and cells as pivots with
+    their radii."""
+    cells, tops = _pivots(vectors, g, wanted)
+    zero = F.lit(0.0)
+    by_top = {"top": "bigint", "top_dist": "double"}
+    cells = store_table(_meet(_as_pivots(tops, [g], zero), cells, [g], _nearest_pivot, by_top))
+    rows = _meet(_as_pivots(tops, [g], zero), vectors, [g], _nearest_pivot, by_top)
+    placed = store_table(_meet(_as_pivots(cells, [g, "top"], zero), rows, [g, "top"], _nearest_pivot, {"cell": "bigint", "own": "double"}))
+    wide = placed.groupBy(g, F.col("top").alias("vid")).agg(F.max("top_dist").alias("r"))
+    round_ = placed.groupBy(g, F.col("cell").alias("vid")).agg(F.max("own").alias("r"))
+    return (placed, store_table(_as_pivots(tops.join(wide, [g, "vid"]), [g], F.col("r"))),
+            store_table(_as_pivots(cells.join(round_, [g, "vid"]), [g, "top"], F.col("r"))))
+
+
+def _probes(bounded: DataFrame, g: str, tops: DataFrame, cells: DataFrame) -> DataFrame:
+    """(g, vid, f, cell): the other cells that may hold a point within each vector's bound ``ub``."""
+    near = _meet(tops, bounded.select(g, "vid", "f", "top", "cell", "ub"), [g], _near_tops, {"near": "bigint"})
+    near = near.select(g, F.col("near").alias("top"), "vid", "f", "cell", "ub")
+    return _meet(cells, near, [g, "top"], _near_cells, {"other": "bigint"}).select(g, "vid", "f", F.col("other").alias("cell"))
 
 
 def knn(points: DataFrame, k: int, query: Column | None = None, group: str | None = None,
@@ -292,12 +330,16 @@ def knn(points: DataFrame, k: int, query: Column | None = None, group: str | Non
     coordinate have no neighbours and are none.
 
     Equal points are searched once, and only the k + 1 smallest ids of them can
-    be anyone's neighbours. The distinct points are dealt to the cells of about
-    √n pivots (points drawn by hash, so dense regions get more of them). A point
-    meets its own cell first, which bounds its k-th distance; then the cells
-    that the triangle inequality and the hyperplane bound cannot exclude. In few
-    dimensions or on clustered points these are few; on uniform points the share
-    of cells met grows with the dimension, up to all of them (tests hold it).
+    be anyone's neighbours. The distinct points are dealt to cells by a tree of
+    pivots: about √n cell pivots (drawn by hash, so dense regions get more) lie
+    below about √√n tops; a point goes to its nearest top and to the nearest cell
+    below that. Pivots and points of a key stream past each other in salted tasks,
+    so no task and no driver holds all pivots, and any number of groups will do.
+    A point meets its own cell first, which bounds its k-th distance; then the
+    tops, and in those the cells, that the triangle inequality and the hyperplane
+    bounds cannot exclude. In few dimensions or on clustered points these are
+    few; on uniform points the share of cells met grows with the dimension, up to
+    all of them (tests hold it).
     """
     g = group or "_kg"
     pts = points if group else points.withColumn("_kg", F.lit(0))
@@ -307,26 +349,7 @@ def knn(points: DataFrame, k: int, query: Column | None = None, group: str | Non
     cand = pts.select(g, "f", "id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
     cand = cand.withColumn("vid", F.min("id").over(Window.partitionBy(g, "f"))).drop("_n").checkpoint(eager=True)
     vectors = cand.where(F.col("id") == F.col("vid")).select(g, "vid", "f")
-    sizes = {r[g]: r["n"] for r in vectors.groupBy(g).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        out = points.select("id", F.lit(0).alias("nbr_rank"), F.col("id").alias("nbr_id"), F.lit(0.0).alias("dist"), *([group] if group else [])).limit(0)
-        return out
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        wanted = min(MAX_PIVOTS, pivots or int(np.ceil(np.sqrt(n))))
-        share = F.when(F.col(g) == F.lit(value), wanted / n).otherwise(share)
-    drawn = vectors.where((F.pmod(F.xxhash64(F.col("vid"), F.lit(k)), F.lit(1 << 30)) < share * (1 << 30)) & (share < 1.0) | (share >= 1.0))
-    centres: dict = {}
-    for r in drawn.select(g, "vid", "f").orderBy("vid").collect():
-        centres.setdefault(r[g], []).append(r["f"])
-    for value in sizes:
-        if value not in centres:
-            centres[value] = [vectors.where(F.col(g) == F.lit(value)).orderBy("vid").first()["f"]]
-    centres = {value: np.array(f, float) for value, f in centres.items()}
-    placed = _assigned(vectors, g, centres).checkpoint(eager=True)
-    radius = {value: np.full(len(f), -1.0) for value, f in centres.items()}
-    for r in placed.groupBy(g, "cell").agg(F.max("own").alias("r")).collect():       # a row for each pivot
-        radius[r[g]][r["cell"]] = r["r"]
+    placed, tops, cells = _placed(vectors, g, pivots)
     members = cand.select(g, F.col("vid").alias("_cv"), F.col("id").alias("nbr_id"), F.col("f").alias("nf")) \
         .join(placed.select(g, F.col("vid").alias("_cv"), "cell"), [g, "_cv"]).drop("_cv")
     asked = placed if query is None else _asked(placed, pts, query, g)
@@ -338,7 +361,7 @@ def knn(points: DataFrame, k: int, query: Column | None = None, group: str | Non
 
     at_home = nearest(asked.join(members, [g, "cell"])).checkpoint(eager=True)
     bound = at_home.groupBy(g, "vid").agg(F.when(F.count(F.lit(1)) > k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("ub"))
-    away = nearest(_probes(asked.join(bound, [g, "vid"]), g, centres, radius).join(members, [g, "cell"]))
+    away = nearest(_probes(asked.join(bound, [g, "vid"]), g, tops, cells).join(members, [g, "cell"]))
     both = at_home.unionByName(away)
     rank = F.row_number().over(Window.partitionBy(g, "vid").orderBy("dist", "nbr_id"))
     best = both.withColumn("_r", rank).where(F.col("_r") <= k + 1).drop("_r")
@@ -360,13 +383,29 @@ def _features(df: DataFrame, features: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _class_sizes(df: DataFrame, target: str) -> tuple[list, int]:
-    rows = df.groupBy(target).count().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"target {target!r} has more than {MAX_CATEGORIES} classes")
-    sizes = {r[target]: r["count"] for r in rows}
-    major = max(sizes.values())
-    return [(c, n) for c, n in sorted(sizes.items(), key=lambda x: str(x[0])) if n < major], major
+def _class_sizes(df: DataFrame, target: str, k: int) -> DataFrame:
+    """(cls, n, short, k_eff) of the classes with fewer rows than the largest, and two at least:
+    rows that they lack, and neighbours that a row can have."""
+    sizes = df.groupBy(F.col(target).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.agg(F.max("n").alias("major"))                                     # one row
+    return store_table(sizes.crossJoin(F.broadcast(major)).where((F.col("n") < F.col("major")) & (F.col("n") > 1) & F.col("cls").isNotNull()).select(
+        "cls", "n", (F.col("major") - F.col("n")).alias("short"), F.least(F.lit(k), F.col("n") - 1).alias("k_eff")))
+
+
+@dataclass
+class NeighbourModel:
+    """A fitted SMOTE, ADASYN or borderline SMOTE: ``seeds`` (id, cls, f, n_gen, k_eff) and
+    ``neighbours`` (id, nbr_rank, nf), both stored tables."""
+
+    kind: str
+    features: list[str]
+    target: str
+    seed: int
+    seeds: DataFrame
+    neighbours: DataFrame
+
+    def sample(self) -> DataFrame:
+        return _interpolate(self.seeds, self.neighbours, self.features, self.target, self.seed).drop("seed_id", "j")
 
 
 SEED_BLOCK = 100_000      # synthetic rows of one seed made in one task
@@ -405,31 +444,28 @@ def _points(df: DataFrame, features: Sequence[str], target: str, key: str | None
         .checkpoint(eager=True)
 
 
-def smote(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42,
-          key: str | None = None) -> DataFrame:
+def _quotas(ranked: DataFrame, parts: Column) -> DataFrame:
+    """Seeds whose numbers of new rows differ by one at most and sum to what the class lacks;
+    ``parts`` is the number of seeds of the class."""
+    extra = (F.col("hr") <= F.col("short") % parts).cast("long")
+    return ranked.select("id", "cls", "f", (F.floor(F.col("short") / parts).cast("long") + extra).alias("n_gen"), "k_eff")
+
+
+def fit_smote(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42,
+              key: str | None = None) -> NeighbourModel:
     """Every non-majority class grows to the majority count."""
-    minority, major = _class_sizes(df, target)
     pts = _points(df, features, target, key)
-    mins = pts.where(F.col("cls").isin([c for c, _ in minority]))
-    need = {c: (major - n, n) for c, n in minority if n > 1}
-    if not need:
-        return df.sparkSession.createDataFrame([], df.select(*features, target).schema)
-    ranked = hash_rank(mins, ["cls"], "id", seed, out_col="hr")
-    per = F.create_map(*[x for c, (m, n) in need.items() for x in (F.lit(c), F.lit(m // n))])
-    rem = F.create_map(*[x for c, (m, n) in need.items() for x in (F.lit(c), F.lit(m % n))])
-    keff = F.create_map(*[x for c, (m, n) in need.items() for x in (F.lit(c), F.lit(min(k, n - 1)))])
-    seeds = ranked.where(F.col("cls").isin(list(need))).select(
-        "id", "cls", "f",
-        (F.element_at(per, F.col("cls")) + (F.col("hr") <= F.element_at(rem, F.col("cls"))).cast("int"))
-        .alias("n_gen"), F.element_at(keff, F.col("cls")).alias("k_eff"))
-    nbrs = _minority_neighbours(mins.where(F.col("cls").isin(list(need))), k)
-    return _interpolate(seeds, nbrs, features, target, seed).drop("seed_id", "j")
-
-
-def _majority_share(pts: DataFrame, minority_classes: list, k: int) -> DataFrame:
-    """Per minority point: share of its k nearest neighbours (whole set) of another class."""
-    allp = pts.select("id", "f", "cls")
-    nb = knn(allp.withColumn("_q", F.col("cls").isin(minority_classes)), k, query=F.col("_q"))
+    mins = pts.join(_class_sizes(df, target, k), "cls")
+    seeds = _quotas(hash_rank(mins, ["cls"], "id", seed, out_col="hr"), F.col("n"))
+    return NeighbourModel("smote", list(features), target, seed, store_table(seeds), store_table(_minority_neighbours(mins, k)))
+
+
+def _majority_share(pts: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """Per point of the classes of ``sizes``: share of its k nearest neighbours (whole set) of
+    another class."""
+    asked = sizes.select("cls", F.lit(True).alias("_asked"))
+    allp = pts.select("id", "f", "cls").join(asked, "cls", "left").withColumn("_q", F.coalesce("_asked", F.lit(False)))
+    nb = knn(allp, k, query=F.col("_q"))
     lab = pts.select(F.col("id").alias("nbr_id"), F.col("cls").alias("ncls"))
     me = pts.select("id", "cls")
     return nb.join(lab, "nbr_id").join(me, "id").groupBy("id", "cls").agg(
@@ -437,48 +473,100 @@ def _majority_share(pts: DataFrame, minority_classes: list, k: int) -> DataFrame
         F.count_if(F.col("ncls") != F.col("cls")).alias("n_other"))
 
 
-def adasyn(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42,
-           key: str | None = None) -> DataFrame:
+def fit_adasyn(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42,
+               key: str | None = None) -> NeighbourModel:
     """Quota per minority point proportional to its share of other-class
     neighbours, g_i = rint(r_i / Σr · G)."""
-    minority, major = _class_sizes(df, target)
-    pts = _points(df, features, target, key)
-    classes = [c for c, n in minority if n > 1]
-    ratio = _majority_share(pts, classes, k)
+    sizes, pts = _class_sizes(df, target, k), _points(df, features, target, key)
+    ratio = store_table(_majority_share(pts, sizes, k))
     tot = ratio.groupBy("cls").agg(F.sum("ratio").alias("rs"))
-    gmap = F.create_map(*[x for c, n in minority for x in (F.lit(c), F.lit(float(major - n)))])
-    keff = F.create_map(*[x for c, n in minority for x in (F.lit(c), F.lit(min(k, n - 1)))])
-    seeds = ratio.join(tot.where(F.col("rs") > 0), "cls").join(pts.select("id", "f"), "id").select(
-        "id", "cls", "f",
-        F.bround(F.col("ratio") / F.col("rs") * F.element_at(gmap, F.col("cls")), 0).cast("long").alias("n_gen"),
-        F.element_at(keff, F.col("cls")).alias("k_eff"))
-    nbrs = _minority_neighbours(pts.where(F.col("cls").isin(classes)), k)
-    return _interpolate(seeds, nbrs, features, target, seed).drop("seed_id", "j")
-
-
-def borderline_smote(df: DataFrame, features: Sequence[str], target: str, k: int = 5, m: int = 10,
-                     seed: int = 42, key: str | None = None) -> DataFrame:
+    seeds = ratio.join(tot.where(F.col("rs") > 0), "cls").join(sizes, "cls").join(pts.select("id", "f"), "id").select(
+        "id", "cls", "f", F.bround(F.col("ratio") / F.col("rs") * F.col("short"), 0).cast("long").alias("n_gen"), "k_eff")
+    return NeighbourModel("adasyn", list(features), target, seed, store_table(seeds), store_table(_minority_neighbours(pts.join(sizes.select("cls"), "cls"), k)))
+
+
+def fit_borderline_smote(df: DataFrame, features: Sequence[str], target: str, k: int = 5, m: int = 10,
+                         seed: int = 42, key: str | None = None) -> NeighbourModel:
     """SMOTE seeded only from 'danger' points (m/2 <= other-class neighbours < m)."""
-    minority, major = _class_sizes(df, target)
-    pts = _points(df, features, target, key)
-    classes = [c for c, n in minority if n > 1]
-    share = _majority_share(pts, classes, m)
-    danger = share.where((F.col("n_other") >= m / 2.0) & (F.col("n_other") < m)).select("id", "cls")
-    dn = {r["cls"]: r["count"] for r in danger.groupBy("cls").count().limit(MAX_CATEGORIES + 1).collect()}
-    need = {c: (major - n, dn[c]) for c, n in minority if n > 1 and dn.get(c)}
-    if not need:
-        return df.sparkSession.createDataFrame([], df.select(*features, target).schema)
-    ranked = hash_rank(danger, ["cls"], "id", seed, out_col="hr")
-    per = F.create_map(*[x for c, (mm, n) in need.items() for x in (F.lit(c), F.lit(mm // n))])
-    rem = F.create_map(*[x for c, (mm, n) in need.items() for x in (F.lit(c), F.lit(mm % n))])
-    sizes = dict(minority)
-    keff = F.create_map(*[x for c in need for x in (F.lit(c), F.lit(min(k, sizes[c] - 1)))])
-    seeds = ranked.where(F.col("cls").isin(list(need))).join(pts.select("id", "f"), "id").select(
-        "id", "cls", "f",
-        (F.element_at(per, F.col("cls")) + (F.col("hr") <= F.element_at(rem, F.col("cls"))).cast("int"))
-        .alias("n_gen"), F.element_at(keff, F.col("cls")).alias("k_eff"))
-    nbrs = _minority_neighbours(pts.where(F.col("cls").isin(list(need))), k)
-    return _interpolate(seeds, nbrs, features, target, seed).drop("seed_id", "j")
+    sizes, pts = _class_sizes(df, target, k), _points(df, features, target, key)
+    share = _majority_share(pts, sizes, m)
+    danger = store_table(share.where((F.col("n_other") >= m / 2.0) & (F.col("n_other") < m)).select("id", "cls"))
+    per_class = danger.groupBy("cls").agg(F.count(F.lit(1)).alias("dangers"))
+    ranked = hash_rank(danger, ["cls"], "id", seed, out_col="hr").join(sizes, "cls").join(per_class, "cls").join(pts.select("id", "f"), "id")
+    seeds = _quotas(ranked, F.col("dangers"))
+    return NeighbourModel("borderline_smote", list(features), target, seed, store_table(seeds),
+                          store_table(_minority_neighbours(pts.join(per_class.select("cls"), "cls"), k)))
+
+
+def smote(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42, key: str | None = None) -> DataFrame:
+    return fit_smote(df, features, target, k, seed, key).sample()
+
+
+def adasyn(df: DataFrame, features: Sequence[str], target: str, k: int = 5, seed: int = 42, key: str | None = None) -> DataFrame:
+    return fit_adasyn(df, features, target, k, seed, key).sample()
+
+
+def borderline_smote(df: DataFrame, features: Sequence[str], target: str, k: int = 5, m: int = 10, seed: int = 42,
+                     key: str | None = None) -> DataFrame:
+    return fit_borderline_smote(df, features, target, k, m, seed, key).sample()
+
+
+# ====================================================================== S10
+def save_generator(model: CopulaModel | NeighbourModel | None, path: str) -> None:
+    """Writes a fitted generator under ``path``: its settings, and its tables as Parquet. One
+    that isn't fitted is refused."""
+    if model is None:
+        raise ValueError("the generator is not fitted")
+    spark, path = SparkSession.getActiveSession(), path.rstrip("/")
+    if isinstance(model, CopulaModel):
+        state = {"kind": "gaussian_copula", "model": model.to_json(), "text": model.categories is not None}
+        tables = {"categories": model.categories} if model.categories is not None else {}
+    else:
+        state = {"kind": model.kind, "features": model.features, "target": model.target, "seed": model.seed}
+        tables = {"seeds": model.seeds, "neighbours": model.neighbours}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    # written last: a folder without it is not a saved generator
+    spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+
+def load_generator(path: str) -> CopulaModel | NeighbourModel:
+    spark, path = SparkSession.getActiveSession(), path.rstrip("/")
+    state = json.loads(spark.read.text(f"{path}/state").first()[0])
+    if state["kind"] == "gaussian_copula":
+        return CopulaModel.from_json(state["model"], spark.read.parquet(f"{path}/categories") if state["text"] else None)
+    return NeighbourModel(state["kind"], state["features"], state["target"], state["seed"],
+                          spark.read.parquet(f"{path}/seeds"), spark.read.parquet(f"{path}/neighbours"))
+
+
+def save_generators(models: dict[str, CopulaModel | NeighbourModel], folder: str) -> None:
+    for name, model in models.items():
+        save_generator(model, f"{folder.rstrip('/')}/{name}")
+
+
+def load_generators(folder: str, names: Sequence[str] | None = None, failed: dict[str, str] | None = None) -> dict:
+    """The named generators of a folder (all of them by default). One that cannot be read ends
+    the call, unless ``failed`` is given: then it is skipped and its error recorded there."""
+    if names is None:
+        spark = SparkSession.getActiveSession()
+        root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        names = sorted(x.getPath().getName() for x in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root) if x.isDirectory())
+    out = {}
+    for name in names:
+        try:
+            out[name] = load_generator(f"{folder.rstrip('/')}/{name}")
+        except Exception as exc:  # noqa: BLE001 - recorded for the caller
+            if failed is None:
+                raise
+            failed[name] = f"{type(exc).__name__}: {exc}"
+    return out
+
+
+def sample_generator(model: CopulaModel | NeighbourModel, n: int | None = None, seed: int = 42) -> DataFrame:
+    """Synthetic rows of a fitted generator. A neighbour model makes what its classes lack."""
+    if isinstance(model, CopulaModel):
+        return sample_copula(SparkSession.getActiveSession(), model, model.n_rows if n is None else n, seed).drop("synthetic_id")
+    return model.sample()
 
 
 # ====================================================================== G5 / G6

@@ -436,7 +436,10 @@ def feature_importance(model: PipelineModel, feature_names: Sequence[str], top:
 
 # ---------------------------------------------------------------- S9
 def save_model(model: PipelineModel, path: str, meta: dict) -> None:
-    """Persist the fitted pipeline plus a side JSON with schema and target."""
+    """Persist the fitted pipeline plus a side JSON with schema and target, which is written last:
+    a folder without it is not a saved model. One that isn't fitted is refused."""
+    if not isinstance(model, PipelineModel):
+        raise ValueError("the model is not fitted")
     model.write().overwrite().save(path)
     spark = model.stages[-1].sparkSession if hasattr(model.stages[-1], "sparkSession") else None
     from pyspark.sql import SparkSession
@@ -458,9 +461,15 @@ def save_models(models: dict[str, PipelineModel], folder: str, meta: dict) -> No
         save_model(m, f"{folder.rstrip('/')}/{name}", {**meta, "model": name})
 
 
-def load_models(folder: str, names: Sequence[str], failed: dict[str, str] | None = None) -> dict[str, PipelineModel]:
-    """Load the named models. One that cannot be read ends the call, unless ``failed`` is given:
-    then it is skipped and its error recorded there under its name."""
+def load_models(folder: str, names: Sequence[str] | None = None, failed: dict[str, str] | None = None) -> dict[str, PipelineModel]:
+    """The named models of a folder (all of them by default). One that cannot be read ends the
+    call, unless ``failed`` is given: then it is skipped and its error recorded there."""
+    if names is None:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [x.getPath().getName() for x in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+        names = sorted(n for n in found if f"{n}_meta" in found)
     out = {}
     for n in names:
         try:
@@ -470,4 +479,3 @@ def load_models(folder: str, names: Sequence[str], failed: dict[str, str] | None
                 raise
             failed[n] = f"{type(exc).__name__}: {exc}"
     return out
-

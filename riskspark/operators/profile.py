@@ -238,14 +238,15 @@ def quality_report(df: DataFrame, target: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- P10
 def class_distribution(df: DataFrame, split: str = "split", target: str = "target",
-                       feature_cols: Sequence[str] | None = None) -> DataFrame:
-    """Per split: rows, feature count, per-class count and proportion."""
+                       feature_cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Per split (and ``by``): rows, feature count, per-class count and proportion."""
+    keys = [*by, split]
     n_features = len(feature_cols) if feature_cols is not None else len(
-        [c for c in df.columns if c not in (split, target)])
-    c = df.groupBy(split, target).agg(F.count(F.lit(1)).alias("count"))
+        [c for c in df.columns if c not in (*keys, target)])
+    c = df.groupBy(*keys, target).agg(F.count(F.lit(1)).alias("count"))
     from pyspark.sql import Window
-    tot = F.sum("count").over(Window.partitionBy(split))
-    return c.select(split, target, "count", tot.alias("n_rows"), F.lit(n_features).alias("n_features"),
+    tot = F.sum("count").over(Window.partitionBy(*keys))
+    return c.select(*keys, target, "count", tot.alias("n_rows"), F.lit(n_features).alias("n_features"),
                     r6(F.col("count") / tot).alias("proportion"))
 
 

@@ -189,8 +189,7 @@ register("column_metadata")(lambda spark, d: pr.column_metadata(_dirty(spark, d)
 
 @register("class_distribution")
 def q_class_distribution(spark, sf_dir):
-    rows = _split(spark, sf_dir).where(F.col("model") == "model_a")
-    return pr.class_distribution(rows, "split", "y", feature_cols=["segment", "as_of", "p"])
+    return pr.class_distribution(_split(spark, sf_dir), "split", "y", feature_cols=["segment", "as_of", "p"], by=["model"])
 
 
 register("detect_types")(lambda spark, d: tr.detect_types_table(_dirty(spark, d)))
@@ -369,8 +368,11 @@ register("model_leaderboard")(lambda spark, d: bm.leaderboard(spark, d, list(md.
 
 # ---------------------------------------------------------------- sources / sinks
 def _scratch(spark, name: str) -> str:
+    """A path of this call's own: runs at the same time don't meet."""
+    import uuid
+
     from riskspark.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
 @register("scan_table")
@@ -388,8 +390,8 @@ def q_scan_segment(spark, sf_dir):
 
 @register("scan_catalog")
 def q_scan_catalog(spark, sf_dir):
-    return sio.scan_catalog(spark, {"region": f"{sf_dir}/region.parquet", "nation": f"{sf_dir}/nation.parquet",
-                                    "missing": f"{sf_dir}/no_such_table.parquet"}, failed={})
+    names = ["customer", "orders", "part", "supplier", "no_such_table"]
+    return sio.scan_catalog(spark, {n: f"{sf_dir}/{n}.parquet" for n in names}, failed={})
 
 
 @register("read_splits")
@@ -416,8 +418,7 @@ def q_write_metrics(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 @register("psi_monitor_stream")
 def q_psi_monitor_stream(spark, sf_dir):
-    import uuid
-    run = _scratch(spark, f"psi_stream_{uuid.uuid4().hex[:8]}")
+    run = _scratch(spark, "psi_stream")
     table = mon.CountTable(spark, f"{run}/counts")
     mon.run_count_stream(spark, mon.event_stream(spark, sf_dir), table, f"{run}/checkpoint")
     baseline = mon.baseline_histogram(mon.scored_events(fx.table(spark, sf_dir, "events")))
@@ -426,12 +427,14 @@ def q_psi_monitor_stream(spark, sf_dir):
 
 @register("score_stream")
 def q_score_stream(spark, sf_dir):
-    import uuid
-    run = _scratch(spark, f"score_stream_{uuid.uuid4().hex[:8]}")
+    """A stream scored by a pipeline that was saved and loaded."""
+    run = _scratch(spark, "score_stream")
     frame = bm.loan_frame(spark, sf_dir)
-    model = md.fit(frame.where("split = 'train'"), "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET)
+    fitted = md.fit(frame.where("split = 'train'"), "LogisticRegression", bm.NUMERIC, bm.CATEGORICAL, bm.TARGET)
+    md.save_model(fitted, f"{run}/model", {"target": bm.TARGET})
+    model, _ = md.load_model(f"{run}/model")
     src = f"{run}/incoming"
-    frame.write.mode("overwrite").parquet(src)
+    frame.write.parquet(src)
     stream = spark.readStream.schema(frame.schema).parquet(src)
     out = mon.score_stream(model, stream).select("loan_id", "split", "p")
     q = (out.writeStream.format("parquet").option("path", f"{run}/scores")
@@ -440,6 +443,17 @@ def q_score_stream(spark, sf_dir):
     return spark.read.parquet(f"{run}/scores").select("loan_id", "split", r6(F.col("p")).alias("p"))
 
 
+@register("load_models")
+def q_load_models(spark, sf_dir):
+    """Scores of a folder of models, saved and loaded, over all loans."""
+    frame = bm.loan_frame(spark, sf_dir)
+    fitted = md.train_all(frame.where("split = 'train'"), bm.NUMERIC, bm.CATEGORICAL, bm.TARGET, ["LogisticRegression", "RandomForest"],
+                          {"RandomForest": {"n_estimators": 20, "max_depth": 5}})
+    folder = _scratch(spark, "models")
+    md.save_models(fitted, folder, {"target": bm.TARGET})
+    return md.score_long(md.load_models(folder), frame, bm.KEY, bm.TARGET)
+
+
 # ---------------------------------------------------------------- generators
 def _imb(spark, sf_dir):
     return fx.stored(spark, sf_dir, "imbalanced")
@@ -470,10 +484,18 @@ def q_mix_real_synthetic(spark, sf_dir):
 
 @register("save_load_generator")
 def q_save_load_generator(spark, sf_dir):
-    model = gen.fit_copula(_imb(spark, sf_dir).select(*syn.FEATURES, syn.TARGET))
-    path = _scratch(spark, "copula_state")
-    gen.save_generator(spark, model, path)
-    return gen.sample_copula(spark, gen.load_generator(spark, path), model.n_rows, seed=7)
+    """Rows of all four generators, fitted, saved as a folder, loaded and sampled."""
+    rows, made = _imb(spark, sf_dir), None
+    models = {"gaussian_copula": gen.fit_copula(rows.select(*syn.FEATURES, syn.TARGET)),
+              "smote": gen.fit_smote(rows, syn.FEATURES, syn.TARGET, key=syn.KEY),
+              "adasyn": gen.fit_adasyn(rows, syn.FEATURES, syn.TARGET, key=syn.KEY),
+              "borderline_smote": gen.fit_borderline_smote(rows, syn.FEATURES, syn.TARGET, key=syn.KEY)}
+    folder = _scratch(spark, "generators")
+    gen.save_generators(models, folder)
+    for name, model in gen.load_generators(folder).items():
+        part = gen.sample_generator(model, seed=7).select(F.lit(name).alias("generator"), *syn.FEATURES, syn.TARGET)
+        made = part if made is None else made.unionByName(part)
+    return made
 
 
 register("quality_by_generator")(lambda spark, d: syn.quality_by_generator(spark, d))
@@ -508,7 +530,8 @@ def q_total_row(spark, sf_dir):
 def q_write_splits(spark, sf_dir):
     base = _scratch(spark, "loan_splits_by_split")
     sio.write_splits(sp.holdout_split(_loan_keys(spark, sf_dir), "loan_id", "target"), base)
-    return sio.read_splits(spark, base, "test").select("loan_id", "as_of", "target", "split")
+    parts = [sio.read_splits(spark, base, x) for x in ("train", "test", "holdout")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("loan_id", "as_of", "target", "split")
 
 
 @register("save_pipeline")

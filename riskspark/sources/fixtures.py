@@ -128,13 +128,6 @@ def imbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: documents joined to labels: n_chars, lang, source -> quality."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id")
-
-
 def score_stream_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F9 as a batch: score = value / 500 per event."""
     ev = table(spark, sf_dir, "events")
@@ -158,10 +151,9 @@ _BUILDERS = {
     "real_vs_synth": real_vs_synth,
     "loans_dirty": loans_dirty,
     "imbalanced": imbalanced,
-    "doc_quality": doc_quality,
     "score_stream": score_stream_batch,
 }
-_STORED: dict[tuple[int, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _write_read(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -180,7 +172,7 @@ def _write_read(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture view ``name`` as a stored parquet table (built once per session)."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STORED:
         _STORED[key] = _write_read(spark, _BUILDERS[name](spark, sf_dir), name)
     return _STORED[key]
@@ -192,7 +184,7 @@ FIXTURE_MODEL_FAMILIES = {"model_a": "Linear", "model_b": "Noise", "model_c": "L
 
 def stored_result(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived table (e.g. the model metrics) stored once per session."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STORED:
         _STORED[key] = _write_read(spark, build(), name)
     return _STORED[key]

@@ -7,7 +7,6 @@ partitioned by that column so a read of one value prunes the rest.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,12 +112,6 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").json(path)
 
 
-def write_json_record(spark: SparkSession, path: str, record: dict) -> None:
-    """A small result dict (a report header) as one JSON line."""
-    spark.createDataFrame([(json.dumps(record, sort_keys=True, default=str),)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(path)
-
-
 # ---------------------------------------------------------------- S4
 def sample_table(spark: SparkSession, n_samples: int = 5000, n_features: int = 20, seed: int = 42,
                  positive_share: float = 0.3, partitions: int | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -69,7 +71,7 @@ def test_copula_keeps_bounds_and_correlation(spark):
     assert set(out["k"].unique()) <= set(range(5)) and set(out["c"]) <= {"u", "v"}
     r = np.corrcoef(out["x"], out["z"])[0, 1]
     assert abs(r - np.corrcoef(pdf["x"], pdf["z"])[0, 1]) < 0.05
-    again = gen.sample_copula(spark, gen.CopulaModel.from_json(model.to_json()), 4000, seed=3, partitions=3)
+    again = gen.sample_copula(spark, gen.CopulaModel.from_json(model.to_json(), model.categories), 4000, seed=3, partitions=3)
     pd.testing.assert_frame_equal(out.sort_values("synthetic_id").reset_index(drop=True),
                                   again.toPandas().sort_values("synthetic_id").reset_index(drop=True))
 
@@ -94,16 +96,16 @@ def test_knn_meets_a_share_of_the_pairs(spark, monkeypatch, d, scaled, share):
     seen = {}
     probes = gen._probes
 
-    def counted(bounded, g, pivots, radius):
+    def counted(bounded, g, tops, cells):
         seen["home"] = [r["cell"] for r in bounded.select("cell").collect()]
-        out = probes(bounded, g, pivots, radius)
+        out = probes(bounded, g, tops, cells)
         seen["away"] = [r["cell"] for r in out.select("cell").collect()]
         return out
 
     monkeypatch.setattr(gen, "_probes", counted)
     got = gen.knn(pts, 5).orderBy("id", "nbr_rank").toPandas()
-    size = np.bincount(seen["home"], minlength=max(seen["home"]) + 1)
-    pairs = size[seen["home"]].sum() + size[[c for c in seen["away"] if c < len(size)]].sum()
+    size = Counter(seen["home"])
+    pairs = sum(size[c] for c in seen["home"]) + sum(size[c] for c in seen["away"])
     D = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(D, np.inf)
     np.testing.assert_allclose(got["dist"].to_numpy().reshape(n, 5), np.sort(D, 1)[:, :5], rtol=1e-9)
@@ -125,3 +127,66 @@ def test_short_mix_is_an_error(spark):
     real, fake = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "s")
     with pytest.raises(ValueError):
         gen.mix_real_synthetic(real, fake, "k", "s")
+
+
+def test_copula_of_a_column_of_many_values(spark):
+    """30 000 values of uneven shares and NULL: every one can be drawn, shares are kept, no value reaches the driver's plan."""
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 97 == 1, F.lit(None).cast("string"))
+                               .otherwise(F.concat(F.lit("v"), (F.col("id") % 30_011).cast("string"))).alias("c"), (F.col("id") % 7).cast("double").alias("x"))
+    model = gen.fit_copula(df)
+    assert model.n_values["c"] > 19_000 and len(model.to_json()) < 40_000
+    out = gen.sample_copula(spark, model, n, seed=5)
+    assert out.count() == n
+    share = out.agg(F.avg((F.col("c") == "hot").cast("int")), F.avg(F.col("c").isNull().cast("int")), F.countDistinct("c")).first()
+    real = df.agg(F.avg((F.col("c") == "hot").cast("int")), F.avg(F.col("c").isNull().cast("int"))).first()
+    assert abs(share[0] - real[0]) < 0.01 and abs(share[1] - real[1]) < 0.005 and share[2] > 12_000
+    assert out.join(df.select("c").distinct(), "c", "left_anti").where("c is not null").count() == 0
+
+
+def test_many_classes_need_no_list_of_them(spark):
+    """A thousand classes grow to the size of the largest; a class of one row can't."""
+    rows = [(i, float(i % 13), float(i % 7), i % 1000) for i in range(3000)] + [(5000 + i, 0.5 * i, 1.0, 0) for i in range(5)] + [(9000, 1.0, 1.0, 4000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    out = gen.smote(df, ["a", "b"], "y", key="id").groupBy("y").count()
+    got = {r["y"]: r["count"] for r in out.collect()}
+    assert got == {y: 5 for y in range(1, 1000)}
+
+
+@pytest.mark.parametrize("kind", ["fit_smote", "fit_adasyn", "fit_borderline_smote", "fit_copula"])
+def test_generators_are_saved_and_loaded(spark, imbalanced, tmp_path, kind):
+    df, _ = imbalanced
+    model = gen.fit_copula(df.select("a", "b", F.col("y").cast("string").alias("y"))) if kind == "fit_copula" else getattr(gen, kind)(df, ["a", "b"], "y", key="id")
+    gen.save_generators({"one": model}, str(tmp_path))
+    (tmp_path / "other").mkdir()
+    failed = {}
+    again = gen.load_generators(str(tmp_path), failed=failed)
+    assert list(again) == ["one"] and list(failed) == ["other"]
+    rows = lambda m: sorted(map(str, gen.sample_generator(m, seed=3).collect()))
+    assert rows(again["one"]) == rows(model)
+    with pytest.raises(ValueError):
+        gen.save_generator(None, str(tmp_path / "none"))
+    with pytest.raises(Exception):
+        gen.load_generators(str(tmp_path))
+
+
+def test_knn_holds_one_key_of_pivots_in_a_task(spark, monkeypatch):
+    """Pivots of one top or one group's tops meet a bounded batch of points: the largest matrix is
+    far below points x pivots, and neighbours within 40 groups equal brute force."""
+    monkeypatch.setattr(gen, "CELLS_HELD", 200)
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(1200, 3)), rng.integers(0, 40, 1200)
+    pts = spark.createDataFrame([(i, v.tolist(), f"g{c}") for i, (v, c) in enumerate(zip(x, y))], "id long, f array<double>, cls string")
+    got = {}
+    for r in gen.knn(pts, 4, group="cls").collect():
+        got.setdefault(r["id"], []).append((r["nbr_rank"], r["dist"]))
+    D = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    D[y[:, None] != y[None]] = np.inf
+    np.fill_diagonal(D, np.inf)
+    want = np.sort(D, 1)[:, :4]
+    for i in range(1200):
+        np.testing.assert_allclose([d for _, d in sorted(got[i])], want[i], rtol=1e-9)
+    vectors = pts.select(F.lit(0).alias("_kg"), F.col("id").alias("vid"), "f")
+    placed, tops, cells = gen._placed(vectors, "_kg", None)
+    assert 20 <= cells.count() <= 60 and tops.count() <= 16
+    assert cells.groupBy("top").count().agg(F.max("count")).first()[0] < cells.count()
