@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        RandomForestClassificationModel, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,12 +134,32 @@ def build_pipeline(preset: str | Preset, numeric_cols: Sequence[str], categorica
         stages.append(ReferenceImputer(inputCols=to_impute, strategy="median"))
     if categorical_cols:
         stages.append(LabelCoder(inputCols=list(categorical_cols)))
-    stages.append(VectorAssembler(inputCols=list(numeric_cols) + list(categorical_cols), outputCol="features",
-                                  handleInvalid="keep"))
+    stages += assembled(numeric_cols, categorical_cols, label, p.name in BY_RATE)
     stages.append(estimator(p.family, params, label=label))
     return Pipeline(stages=stages), ignored
 
 
+# Presets that see a category as the smoothed rate of the target among its rows, so that trees
+# split unordered categories by what they say of the target; the others see its label code.
+BY_RATE = ("CatBoost",)
+SMOOTHING = 1.0          # rows at the overall rate that a category's rate is mixed with
+
+
+def assembled(numeric_cols: Sequence[str], categorical_cols: Sequence[str], label: str, by_rate: bool, out: str = "features") -> list:
+    """The stages that put the coded columns into one vector."""
+    cats = list(categorical_cols)
+    encoded, rates = [f"{c}__encoded" for c in cats], [f"{c}__rate" for c in cats]
+    stages = []
+    if by_rate and cats:
+        # the encoder's columns still count as nominal; as plain numbers they are split by order
+        plain = ", ".join(f"`{a}` + 0D AS `{b}`" for a, b in zip(encoded, rates))
+        stages += [TargetEncoder(inputCols=cats, outputCols=encoded, labelCol=label, targetType="binary",
+                                 smoothing=SMOOTHING, handleInvalid="keep"),
+                   SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")]
+    stages.append(VectorAssembler(inputCols=list(numeric_cols) + (rates if by_rate else cats), outputCol=out, handleInvalid="keep"))
+    return stages
+
+
 def _with_label(df: DataFrame, target: str) -> DataFrame:
     return df.withColumn("label", F.col(target).cast("double"))
 
@@ -325,14 +345,16 @@ def first_trees(model, n: int | None):
 
 def prepare_folds(df: DataFrame, numeric_cols: Sequence[str], categorical_cols: Sequence[str], target: str,
                   key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """(out, fold, label, features): for each fold left ``out``, all rows imputed, coded and
-    assembled as fitted on the other folds. Stored once for every fit of a search."""
+    """(out, fold, label, features, rates): for each fold left ``out``, all rows imputed, coded and
+    assembled as fitted on the other folds (``rates``: with the target's rates for categories).
+    Stored once for every fit of a search."""
     folded = store_table(_with_label(stratified_folds(df, key, target, k, seed), target))
     parts = None
     for f in range(k):
         pipe, _ = build_pipeline("LogisticRegression", numeric_cols, categorical_cols, "label")
-        fitted = Pipeline(stages=pipe.getStages()[:-1]).fit(folded.where(F.col("fold") != f))
-        part = fitted.transform(folded).select(F.lit(f).alias("out"), "fold", "label", "features")
+        stages = [*pipe.getStages()[:-1], *assembled(numeric_cols, categorical_cols, "label", True, "rates")]
+        fitted = Pipeline(stages=stages).fit(folded.where(F.col("fold") != f))
+        part = fitted.transform(folded).select(F.lit(f).alias("out"), "fold", "label", "features", "rates")
         parts = part if parts is None else parts.unionByName(part)
     return store_table(parts)
 
@@ -364,11 +386,11 @@ def param_search(df: DataFrame, presets: Sequence[str], numeric_cols: Sequence[s
         name, (params, members), number, f = job
         p = PRESETS[name]
         given, _ = mllib_params(p.family, {**LIBRARY_DEFAULTS.get(name, {}), **p.params, **params}, sizes.get(f, 0))
-        model = estimator(p.family, given).fit(folds.where((F.col("out") == f) & (F.col("fold") != f)))
+        model = estimator(p.family, given, features="rates" if name in BY_RATE else "features").fit(folds.where((F.col("out") == f) & (F.col("fold") != f)))
         held = folds.where((F.col("out") == f) & (F.col("fold") == f))
         scored = None
         for trial, n in members:
-            s = first_trees(model, n).transform(held)
+            s = first_trees(model, n).setFeaturesCol(model.getFeaturesCol()).transform(held)
             s = s.select(F.lit(name).alias("model"), F.lit(trial).alias("trial"), "fold", F.col("label").cast("int").alias("y"),
                          probability_of_default(s).alias("p"))
             scored = s if scored is None else scored.unionByName(s)

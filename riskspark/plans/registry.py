@@ -482,6 +482,28 @@ def q_mix_real_synthetic(spark, sf_dir):
     return gen.mix_real_synthetic(real, fake.checkpoint(eager=True), syn.KEY, "synthetic_id")
 
 
+@register("mix_quotas")
+def q_mix_quotas(spark, sf_dir):
+    """Rows of each mix by origin."""
+    return q_mix_real_synthetic(spark, sf_dir).groupBy("strategy", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("smote_totals")
+def q_smote_totals(spark, sf_dir):
+    """Rows of each class, real and new."""
+    made = gen.smote(_imb(spark, sf_dir), syn.FEATURES, syn.TARGET, key=syn.KEY).select(syn.TARGET, F.lit("new").alias("origin"))
+    rows = _imb(spark, sf_dir).select(syn.TARGET, F.lit("real").alias("origin")).unionByName(made)
+    return rows.groupBy(syn.TARGET, "origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("strategy_rank")
+def q_strategy_rank(spark, sf_dir):
+    """The strategy score over the fixture models, each with its training score as quality."""
+    wide = _wide(spark, sf_dir)
+    quality = wide.where("split = 'train'").select(F.col("model").alias("generator"), "overall_score")
+    return lb.strategy_score(quality, wide.withColumn("generator", F.col("model")), "test")
+
+
 @register("save_load_generator")
 def q_save_load_generator(spark, sf_dir):
     """Rows of all four generators, fitted, saved as a folder, loaded and sampled."""

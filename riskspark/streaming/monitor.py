@@ -2,11 +2,12 @@
 
 ST1 keeps per-(day, bin) score counts as streaming state: ``withWatermark`` on
 the event time, a tumbling ``window(ts, '1 day')`` and an ``update``-mode
-aggregation. Each micro-batch's updated counts are merged into a count table
-in ``foreachBatch`` (anti-join on the keys + union, written to a new version
-folder, so a replayed epoch rewrites the same result). PSI per day against a
-fixed baseline histogram is a small batch query over that table. Rows later
-than the watermark are dropped, as event-time aggregation does.
+aggregation. Each micro-batch's updated counts are appended to a count table in
+``foreachBatch``, in a folder of the stream's run and the epoch, so a batch writes
+what it changed and a replayed epoch rewrites its own folder; readers take the
+latest row of each key. PSI per day against a fixed baseline histogram is a small
+batch query over that table. Rows later than the watermark are dropped, as
+event-time aggregation does.
 """
 
 from __future__ import annotations
@@ -51,44 +52,63 @@ def daily_bin_counts(scored: DataFrame, watermark: str = "1 day", window: str =
 
 
 class CountTable:
-    """A (window_start, bin) -> n table on shared storage, merged per micro-batch."""
+    """A (window_start, bin) -> n table on shared storage, written in increments.
+
+    Every stream over the table is a run; runs are numbered in the order in which they begin.
+    An epoch's rows are one folder, ``<run>/<epoch>``, complete once Spark has put its _SUCCESS
+    there. Of a key's rows that of the latest run, and in it of the latest epoch, holds; so a
+    new stream over an old table replaces what it counts anew and keeps the rest. ``compact``
+    writes the rows that hold as a run of its own, from which reading then begins.
+    """
+
+    WHOLE = "-whole"
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
+        self.run: int | None = None
 
-    def _version_path(self, epoch: int) -> str:
-        return f"{self.base}/v{epoch:09d}"
-
-    def latest(self) -> str | None:
+    def _listed(self, path: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = p.getFileSystem(conf)
-        if not fs.exists(p):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        return f"{self.base}/{done[-1]}" if done else None
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _runs(self) -> list[str]:
+        return [r for r in self._listed(self.base) if r[:9].isdigit()]
+
+    def _next(self) -> int:
+        runs = self._runs()
+        return int(runs[-1][:9]) + 1 if runs else 0
+
+    def _write(self, rows: DataFrame, run: int, epoch: int, mark: str = "") -> None:
+        rows.select("window_start", "bin", "n", F.lit(run).alias("_run"), F.lit(epoch).cast("long").alias("_epoch")) \
+            .write.mode("overwrite").parquet(f"{self.base}/{run:09d}{mark}/{epoch:012d}")
+
+    def committed(self) -> list[str]:
+        """Folders of complete epochs, from the last compaction on."""
+        runs = [r for r in self._runs()]
+        complete = [f"{self.base}/{r}/{e}" for r in runs for e in self._listed(f"{self.base}/{r}") if "_SUCCESS" in self._listed(f"{self.base}/{r}/{e}")]
+        whole = [i for i, path in enumerate(complete) if path.split("/")[-2].endswith(self.WHOLE)]
+        return complete[whole[-1]:] if whole else complete
 
     def merge(self, updates: DataFrame, epoch: int) -> None:
-        """Replace the rows of the updated keys, keep the rest, write version ``epoch``."""
-        prev = self.latest()
-        target = self._version_path(epoch)
-        if prev == target:   # epoch already committed (replay after a failure)
-            return
-        merged = updates
-        if prev is not None:
-            old = self.spark.read.parquet(prev)
-            merged = old.join(updates.select("window_start", "bin"), ["window_start", "bin"], "left_anti") \
-                .unionByName(updates)
-        merged.write.mode("overwrite").parquet(target)
+        """Adds the updated keys of an epoch; writes these alone."""
+        if self.run is None:
+            self.run = self._next()
+        self._write(updates, self.run, epoch)
+
+    def compact(self) -> None:
+        """One folder for what holds now. Not to be called while a stream writes."""
+        self._write(self.read(), self._next(), 0, self.WHOLE)
+        self.run = None
 
     def read(self) -> DataFrame:
-        path = self.latest()
-        if path is None:
-            raise FileNotFoundError(f"no committed version under {self.base}")
-        return self.spark.read.parquet(path)
+        paths = self.committed()
+        if not paths:
+            raise FileNotFoundError(f"no committed epoch under {self.base}")
+        rows = self.spark.read.schema("window_start timestamp, bin int, n long, _run int, _epoch long").parquet(*paths)
+        return rows.groupBy("window_start", "bin").agg(F.max_by("n", F.struct("_run", "_epoch")).alias("n"))
 
 
 def run_count_stream(spark: SparkSession, events: DataFrame, table: CountTable, checkpoint: str,

@@ -101,3 +101,33 @@ def test_failures_are_raised_or_recorded(spark):
         md.train_all(df, ["missing"], [], "y", ["LogisticRegression"])
     failed = {}
     assert md.train_all(df, ["missing"], [], "y", ["LogisticRegression"], failed=failed) == {} and "LogisticRegression" in failed
+
+
+def test_unordered_categories_are_split_by_their_rates(spark):
+    """Forty categories whose good ones are scattered over the alphabet: shallow trees over codes need many cuts, over rates one."""
+    import random
+    rng = random.Random(4)
+    good = set(rng.sample(range(40), 20))
+    rows = [(i, f"c{c:02d}", rng.random(), int(rng.random() < (0.9 if c in good else 0.1)), "train" if i % 3 else "test")
+            for i, c in enumerate(rng.randrange(40) for _ in range(2400))]
+    df = spark.createDataFrame(rows, "k long, c string, x double, y int, split string")
+    light = {"XGBoost": {"n_estimators": 3, "max_depth": 2}, "CatBoost": {"iterations": 3, "depth": 2}}
+    models = md.train_all(df.where("split = 'train'"), ["x"], ["c"], "y", list(light), light)
+    from riskspark.operators.evaluate import curve_metrics
+    test = df.where("split = 'test'").union(spark.createDataFrame([(9999, "unseen", 0.5, 1, "test"), (9998, None, 0.5, 0, "test")], df.schema))
+    auc = {r["model"]: r["auc_roc"] for r in curve_metrics(md.score_long(models, test, "k", "y"), ["model"]).collect()}
+    assert auc["CatBoost"] > auc["XGBoost"] + 0.05
+
+
+def test_folders_of_models(spark, tmp_path):
+    df = search_frame(spark).withColumn("split", F.lit("all"))
+    fitted = md.train_all(df, ["x", "z"], [], "y", ["LogisticRegression"])
+    md.save_models(fitted, str(tmp_path), {"target": "y"})
+    (tmp_path / "half_written").mkdir()
+    loaded = md.load_models(str(tmp_path))
+    rows = lambda m: sorted(map(str, md.score_long(m, df, "k", "y").collect()))
+    assert list(loaded) == ["LogisticRegression"] and rows(loaded) == rows(fitted)
+    failed = {}
+    assert md.load_models(str(tmp_path), ["half_written"], failed) == {} and "half_written" in failed
+    with pytest.raises(ValueError):
+        md.save_model(None, str(tmp_path / "none"), {})
