@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,15 +85,44 @@ def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order. label: 1 in an article or main element, 0 in a landmark
     of other kinds inside or outside it, or outside all."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # an open element: tag, names, and what text in it has from it and its ancestors (names of
+    # the nearest container, the leaf's tag, the label), so that depth costs nothing
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...], str, int]] = []
+    open_at: dict[str, list[int]] = {}                      # where the elements of a tag stand on the stack
+    named: dict[str, int] = {}                              # how often a name stands on the stack
     pieces: list[str] = []
-    linked, links, at, hidden = 0, 0, 0, 0
+    linked, links, at, hidden, outer = 0, 0, 0, 0, 0
     last: dict[str, int] = {}                               # where the last closing tag of an UNSHOWN element stands
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        nonlocal links, hidden, outer
+        _, _, near, leaf, label = stack[-1] if stack else ("", (), (), "", 0)
+        if tag not in INLINE:
+            leaf = tag
+            if tag not in CLOSES and tag[:1] != "h":
+                near = names
+        if tag in LANDMARK_CONTENT:
+            label = 1
+        elif tag in LANDMARK_NOISE or ".ad" in names or ".ads" in names:
+            label = 0
+        for n in names:
+            named[n] = named.get(n, 0) + 1
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in UNSHOWN:
+            outer = len(stack) if not hidden else outer
+            hidden += 1
+        links += tag == "a"
+        stack.append((tag, names, near, leaf, label))
+
     def pop(to: int) -> None:
         nonlocal links, hidden
         while len(stack) > to:
-            t, _ = stack.pop()
+            t, names = stack.pop()[:2]
+            open_at[t].pop()
+            for n in names:
+                named[n] -= 1
+                if not named[n]:
+                    del named[n]
             links -= t == "a"
             hidden -= t in UNSHOWN
 
@@ -106,16 +136,8 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                path = tuple(n for _, names in stack for n in names)
-                near = next((names for tag, names in reversed(stack) if tag not in INLINE and tag not in CLOSES and tag[:1] != "h"), ())
-                leaf = next((tag for tag, _ in reversed(stack) if tag not in INLINE), "")
-                label = 0
-                for tag, names in stack:
-                    if tag in LANDMARK_CONTENT:
-                        label = 1
-                    elif tag in LANDMARK_NOISE or ".ad" in names or ".ads" in names:
-                        label = 0
-                out.append(Block(text, path, near, leaf, min(linked, len(text)), label))
+                _, _, near, leaf, label = stack[-1] if stack else ("", (), (), "", 0)
+                out.append(Block(text, tuple(named), near, leaf, min(linked, len(text)), label))
             pieces.clear()
         linked = 0
 
@@ -137,14 +159,13 @@ def blocks_of(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        outer = next((k for k, (t, _) in enumerate(stack) if t in UNSHOWN), len(stack)) if hidden else len(stack)
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            k = open_at[tag][-1] if open_at.get(tag) else -1
             if k >= 0:
-                if k < outer:
+                if hidden and k < outer:
                     pop(outer)                              # a parent ends what is hidden in it
-                    if tag not in INLINE:
-                        flush()
+                if not hidden and tag not in INLINE:
+                    flush()
                 pop(k)
             continue
         if tag in RAW and not m[3].endswith("/") and not (hidden and tag == "title"):     # svg's title is no raw text
@@ -157,13 +178,11 @@ def blocks_of(page: str) -> list[Block]:
             pop(outer)
         if tag in UNSHOWN and not m[3].endswith("/"):
             if closed_later(tag):                           # without a closing tag its text belongs to the page
-                stack.append((tag, names_of(tag, m[3])))
-                hidden += 1
+                push(tag, names_of(tag, m[3]))
             continue
         if hidden:
             if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, ()))
-                links += tag == "a"
+                push(tag, ())
             continue
         if tag in INLINE:
             if tag == "br":
@@ -171,16 +190,14 @@ def blocks_of(page: str) -> list[Block]:
         else:
             flush()
         if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    pop(k)
-                elif stack[k][0] in SCOPES:
-                    break
+            scope = max((open_at[t][-1] for t in SCOPES if open_at.get(t)), default=-1)
+            ended = [places[k] for t in CLOSES[tag] if (places := open_at.get(t)) and (k := bisect_right(places, scope)) < len(places)]
+            if ended:
+                pop(min(ended))
         elif tag not in INLINE and stack and stack[-1][0] == "p":
-            stack.pop()                                     # a block-level element ends a paragraph
+            pop(len(stack) - 1)                             # a block-level element ends a paragraph
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, names_of(tag, m[3])))
-            links += tag == "a"
+            push(tag, names_of(tag, m[3]))
     flush()
     return out
 
@@ -191,6 +208,17 @@ def bucket(token: str, n: int) -> int:
     return zlib.crc32(token.encode()) % n
 
 
+_WORDS: dict[str, int] = {}
+
+
+def word_bucket(word: str) -> int:
+    if (found := _WORDS.get(word)) is None:
+        if len(_WORDS) > 200_000:
+            _WORDS.clear()
+        found = _WORDS[word] = bucket(word, WORD_BUCKETS)
+    return found
+
+
 _PATHS: dict[tuple, np.ndarray] = {}
 
 
@@ -216,7 +244,7 @@ INPUT = PATH_DIM + WORD_DIM + MEASURES
 def encode_blocks(blocks: list[Block]) -> tuple[np.ndarray, ...]:
     """Path buckets and word buckets with their bounds, and measures."""
     paths = [path_buckets(b) for b in blocks]
-    words = [[bucket(w, WORD_BUCKETS) for w in b.text[:200].lower().split()[:12]] for b in blocks]     # wording is a hint: its first words
+    words = [[word_bucket(w) for w in b.text.lower().split()] for b in blocks]
     more = [measures(b, k / len(blocks)) for k, b in enumerate(blocks)]
     return (np.concatenate(paths), np.cumsum([0, *map(len, paths)]), np.concatenate([np.array(w, np.int64) for w in words]), np.cumsum([0, *map(len, words)]), np.array(more))
 

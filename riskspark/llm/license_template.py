@@ -123,13 +123,14 @@ class Automaton:
                     todo.append((i + 1, 0))
         return seen
 
-    def match(self, words: np.ndarray, at: int) -> bool:
-        """Whether the wording stands in ``words`` from ``at`` on."""
+    def match(self, words: list[int], at: int, end: int) -> bool:
+        """Whether the wording stands in ``words`` from ``at`` on, before ``end``. It reads no
+        further than the longest wording that the template accepts."""
         states = self.begin
-        for w in words[at:].tolist():
+        for k in range(at, end):
             if any(i == len(self.tokens) for i, _ in states):
                 return True
-            step = set()
+            w, step = words[k], set()
             for i, taken in states:
                 if i < len(self.tokens):
                     kind, v = self.tokens[i]
@@ -169,13 +170,13 @@ class Scanner:
         found: dict[int, set[str]] = {}
         at = np.flatnonzero(np.isin(ids, self.anchors))
         doc = np.searchsorted(first, at, "right") - 1
-        known = ids >= 0
-        for d, a in zip(doc.tolist(), at.tolist()):
-            if a + 1 < first[d + 1] and known[a + 1]:    # every template begins with two words of the vocabulary
-                words = ids[a:first[d + 1]]
-                for label, automaton in self.automata:
-                    if ids[a] in automaton.first and automaton.match(words, 0):
-                        found.setdefault(d, set()).add(label)
+        # every template begins with two words of the vocabulary
+        two = (at + 1 < first[doc + 1]) & (np.append(ids, -1)[at + 1] >= 0)
+        words = ids.tolist() if two.any() else []
+        for d, a, end in zip(doc[two].tolist(), at[two].tolist(), first[doc[two] + 1].tolist()):
+            for label, automaton in self.automata:
+                if words[a] in automaton.first and label not in found.get(d, ()) and automaton.match(words, a, end):
+                    found.setdefault(d, set()).add(label)
         out = {"n_words": n_words.tolist()} | {k: [] for k in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")}
         by_doc: dict[int, list[tuple[int, str]]] = {}
         for d, a, label in hits:

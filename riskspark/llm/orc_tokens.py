@@ -7,7 +7,7 @@ readers split files by stripes, and a look-up by id skips files and stripes by t
 minimum and maximum and row groups by Bloom filter (``lookup``).
 
 The tokenizers library encodes each distinct pre-token once per chunk; a bounded memo of
-each Python worker keeps recent ones. Texts are whole; the encoding of a text is the concatenation of
+each Python worker keeps recent ones, and its entries are compared byte by byte. Texts are whole; the encoding of a text is the concatenation of
 its pre-tokens' encodings, which the tests hold against the library on whole texts.
 
 Defined cases: a null text is an empty one (the end id alone); null ids come first; rows
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from riskspark.llm.common import chunked, read, shared_path, spread, stored, utf8_view
+from riskspark.llm.common import BYTE_VALUES, chunked, prefix_hash, read, shared_path, span_hash, spread, stored, utf8_view
 from riskspark.llm.pretokens import SPECIAL, PreTokenizer
 
 END_ID = 2
@@ -35,7 +35,8 @@ OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 
 
 class Memo:
-    """Entries of hashed pre-tokens, in an open-addressing table that numpy searches."""
+    """Entries of hashed pre-tokens, in an open-addressing table that numpy searches. A hash only
+    finds an entry; whether it is that of the same bytes is for the caller to see."""
 
     def __init__(self, bits: int = 21):
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
@@ -52,7 +53,7 @@ class Memo:
         return out
 
     def add(self, h: np.ndarray) -> None:
-        """New keys, each once; they get the next entries."""
+        """New keys; they get the next entries. Of equal ones the first that is found holds."""
         entries = np.arange(self.n, self.n + len(h), dtype=np.int32)
         todo, at = np.arange(len(h)), (h >> self.shift).astype(np.int64)
         while len(todo):
@@ -83,6 +84,7 @@ class LibraryEncoder:
     def forget(self) -> None:
         self.memo, self.used = Memo(), 0
         self.at, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+        self.text_at, self.text, self.written = np.zeros((1 << 16) + 1, np.int64), np.zeros(1 << 20, np.uint8), 0
 
     def joined(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, gap: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens that stay pre-tokens in one text, and how many each has; the bytes
@@ -99,52 +101,77 @@ class LibraryEncoder:
         first = np.concatenate([[0], last[:-1] + 1 + len(gap)])
         return got if not gap else got[spread(first, last + 1 - first)], last + 1 - first
 
-    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+    def singly(self, data: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given pre-tokens, one call for each, and how many each has."""
+        ids = [e.ids for e in self.library.encode_batch_fast([data[bounds[k]:bounds[k + 1]].tobytes().decode() for k in which], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
+    def learn(self, data: np.ndarray, bounds: np.ndarray, new: np.ndarray, hashes: np.ndarray) -> None:
         """Adds pre-tokens to the memo. Those that begin with a blank are encoded as one text,
         those without white space as another with line ends between, the few others singly."""
+        start, end = bounds[new], bounds[new + 1]
         head, tail = data[start], data[end - 1]
         blank = (head == 0x20) & (tail > 0x20)
         solid = (head > 0x20) & (head < 0x7F) & (end - start != len(SPECIAL))
         for which, gap in ((blank, b""), (solid, b"\n"), (~blank & ~solid, None)):
             which = np.flatnonzero(which)
             for part in np.split(which, range(20_000, len(which), 20_000)):
-                if not len(part):
-                    continue
-                if gap is not None:
-                    flat, size = self.joined(data, start[part], end[part] - start[part], gap)
-                else:
-                    ids = [e.ids for e in self.library.encode_batch_fast([data[start[k]:end[k]].tobytes().decode() for k in part], add_special_tokens=False)]
-                    flat, size = np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])
-                self.remember(hashes[part], flat, size)
-
-    def remember(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
-        n = self.memo.n
+                if len(part):
+                    flat, size = self.joined(data, start[part], end[part] - start[part], gap) if gap is not None else self.singly(data, bounds, new[part])
+                    self.remember(data, start[part], end[part], hashes[new[part]], flat, size)
+
+    def remember(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        n, length = self.memo.n, end - start
+        total = int(length.sum())
         while n + len(size) > len(self.at):
             self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+            self.text_at = np.resize(self.text_at, len(self.at) + 1)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
+        while self.written + total > len(self.text):
+            self.text = np.resize(self.text, 2 * len(self.text))
         self.pool[self.used:self.used + len(flat)] = flat
         self.at[n:n + len(size)] = self.used + np.cumsum(size) - size
         self.size[n:n + len(size)] = size
-        self.used += len(flat)
+        self.text[self.written:self.written + total] = data[spread(start, length)]
+        self.text_at[n:n + len(size) + 1] = self.written + np.concatenate([[0], np.cumsum(length)])
+        self.used, self.written = self.used + len(flat), self.written + total
         self.memo.add(hashes)
 
+    def found(self, data: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's entry of each pre-token (-1 for none), and whether it is of the same bytes."""
+        entry = self.memo.find(hashes)
+        known = np.flatnonzero(entry >= 0)
+        size = bounds[known + 1] - bounds[known]
+        alike = size == self.text_at[entry[known] + 1] - self.text_at[entry[known]]
+        known, size = known[alike], size[alike]
+        differs = data[spread(bounds[known], size)] != self.text[spread(self.text_at[entry[known]], size)]
+        wrong = np.add.reduceat(differs, np.cumsum(size) - size) if len(known) else size
+        same = np.zeros(len(entry), bool)
+        same[known[wrong == 0]] = True
+        return entry, same
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk and the number of ids of each document."""
-        codes, first, start, end, hashes = self.cutter.distinct(data, offsets)
+        codes, first, held, bounds = self.cutter.distinct(data, offsets)
         if not len(codes):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        hashes = span_hash(prefix_hash(BYTE_VALUES[held]), bounds[:-1], bounds[1:])
         if self.memo.n + len(hashes) > MEMO:
             self.forget()
             if len(hashes) > MEMO:
                 self.memo = Memo(int(2 * len(hashes)).bit_length())
         new = np.flatnonzero(self.memo.find(hashes) < 0)
         if len(new):
-            self.learn(data, start[new], end[new], hashes[new])
-        entry = self.memo.find(hashes)[codes]
-        size = self.size[entry].astype(np.int64)
-        ids = self.pool[spread(self.at[entry], size)]
-        total = np.concatenate([[0], np.cumsum(size)])
+            self.learn(held, bounds, new, hashes)
+        entry, same = self.found(held, bounds, hashes)
+        at, size, pool = self.at[entry], self.size[entry].astype(np.int64), self.pool
+        if len(other := np.flatnonzero(~same)):              # their hash is that of other bytes
+            flat, size[other] = self.singly(held, bounds, other)
+            at[other] = self.used + np.cumsum(size[other]) - size[other]
+            pool = np.concatenate([pool[:self.used], flat])
+        ids = pool[spread(at[codes], size[codes])]
+        total = np.concatenate([[0], np.cumsum(size[codes])])
         return ids, total[first[1:]] - total[first[:-1]]
 
 

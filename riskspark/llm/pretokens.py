@@ -9,9 +9,8 @@ character is first seen, so that both agree on any version of Unicode.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
-from riskspark.llm.common import BYTE_VALUES, prefix_hash, span_hash
+from riskspark.llm.pieces import binary, coded
 
 SPECIAL = "<|endoftext|>"      # fixed value: the vocabulary's only added token
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
@@ -88,12 +87,13 @@ class PreTokenizer:
             begin = begin[(inside < 0) | (begin >= spans[np.maximum(inside, 0), 1])]
         return np.append(begin, len(raw)), np.searchsorted(begin, offsets)
 
-    def distinct(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def distinct(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For a chunk: the number of its distinct pre-token for each pre-token; the first
-        pre-token of each document; starts, ends and hashes of the distinct ones."""
+        pre-token of each document; the bytes of the distinct ones, one after another, and their
+        bounds. Pre-tokens are told apart by their bytes."""
         begin, first = self.cut(data, offsets)
-        hashes = span_hash(prefix_hash(BYTE_VALUES[data]), begin[:-1], begin[1:])
-        codes, found = pd.factorize(hashes)
-        at = np.zeros(len(found), np.int64)
-        at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        return codes, first, begin[at] if len(at) else at, begin[at + 1] if len(at) else at, found
+        codes, values = coded(binary(data, begin))
+        if not len(values):
+            return codes, first, data[:0], np.zeros(1, np.int64)
+        off = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
+        return codes, first, np.frombuffer(values.buffers()[2], np.uint8)[off[0]:off[-1]], off - off[0]

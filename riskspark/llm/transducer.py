@@ -162,6 +162,7 @@ class Coder:
         self.pairs = mapped_index(a["pair_keys"], a["pair_slots"])
         self.moves = mapped_index(a["move_keys"], a["move_slots"])
         self.cutter = PreTokenizer()
+        self.rank_of: dict[int, int] | None = None           # of pairs, made for the first long word
 
     def walk(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Number of each word in the lexicon, -1 where it isn't there."""
@@ -218,25 +219,23 @@ class Coder:
 
     def merge_long(self, word: bytes) -> list[int]:
         """Merges one long word with a heap of (rank, place)."""
-        ids = [int(self.a["byte_ids"][b]) for b in word]
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.a["pair_raw"].tolist(), range(len(self.a["pair_raw"]))))
+        rank, made = self.rank_of.get, self.a["pair_ids"]
+        ids = self.a["byte_ids"][np.frombuffer(word, np.uint8)].tolist()
         before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
-
-        def ranks(left: list[int], right: list[int]) -> list[int]:
-            return self.rank(np.array(left), np.array(right)).tolist()
-
-        heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(ranks(ids[:-1], ids[1:])) if r < NO_PAIR]
+        heap = [(r, k, x, y) for k, (x, y) in enumerate(zip(ids, ids[1:])) if (r := rank(x << 32 | y)) is not None]
         heapq.heapify(heap)
         while heap:
             r, k, x, y = heapq.heappop(heap)
             n = after[k] if ids[k] >= 0 else -1
             if n < 0 or ids[k] != x or ids[n] != y:
                 continue
-            ids[k], ids[n], after[k] = int(self.a["pair_ids"][r]), -1, after[n]
+            ids[k], ids[n], after[k] = int(made[r]), -1, after[n]
             if after[k] >= 0:
                 before[after[k]] = k
-            near = [(p, q) for p, q in ((before[k], k), (k, after[k])) if p >= 0 and q >= 0]
-            for (p, q), r in zip(near, ranks([ids[p] for p, _ in near], [ids[q] for _, q in near]) if near else []):
-                if r < NO_PAIR:
+            for p, q in ((before[k], k), (k, after[k])):
+                if p >= 0 and q >= 0 and (r := rank(ids[p] << 32 | ids[q])) is not None:
                     heapq.heappush(heap, (r, p, ids[p], ids[q]))
         return [i for i in ids if i >= 0]
 
@@ -270,10 +269,10 @@ class Coder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk, and the place of each document's first id (one more at the end)."""
-        codes, first, start, end, _ = self.cutter.distinct(data, offsets)
+        codes, first, held, bounds = self.cutter.distinct(data, offsets)
         if not len(codes):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        flat, size = self.words(data, start, end)
+        flat, size = self.words(held, bounds[:-1], bounds[1:])
         at = np.cumsum(size) - size
         ids = flat[spread(at[codes], size[codes])]
         return ids, np.concatenate([[0], np.cumsum(size[codes])])[first]
@@ -303,7 +302,7 @@ def base_arrays(tokenizer: str) -> dict[str, np.ndarray]:
     for c, b in to_byte.items():
         byte_ids[b] = vocab[c]
     index = HashIndex(pair_keys(left, right))
-    return {"pair_keys": index.keys, "pair_slots": index.slot, "pair_ids": made.astype(np.int32), "byte_ids": byte_ids,
+    return {"pair_keys": index.keys, "pair_slots": index.slot, "pair_raw": left << 32 | right, "pair_ids": made.astype(np.int32), "byte_ids": byte_ids,
             "token_at": np.cumsum([0, *map(len, raw)]), "token_bytes": np.frombuffer(b"".join(raw), np.uint8),
             "special_id": np.array([added[SPECIAL]], np.int32)}
 
@@ -329,9 +328,9 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
         cutter = PreTokenizer()
         for rb in chunked(batches, text_col, 2 << 20):
             data, off = utf8_view(rb.column(text_col))
-            codes, _, start, end, _ = cutter.distinct(data, off)
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()), pa.array(np.bincount(codes, minlength=len(start)))], ["word", "n"])
+            codes, _, held, bounds = cutter.distinct(data, off)
+            raw, at = held.tobytes(), bounds.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(at, at[1:])], pa.binary()), pa.array(np.bincount(codes, minlength=len(at) - 1))], ["word", "n"])
 
     counts = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     counts = stored(counts, "bpe-words")

@@ -133,3 +133,22 @@ def test_held_out_pages_are_cut_as_their_landmarks(model):
     labels = blocklstm.Labeller(model).label(pages)
     right = [all(bool(b.label) == bool(k) for b, k in zip(page, label)) for page, label in zip(pages, labels)]
     assert np.mean(right) > 0.97
+
+
+def test_time_of_deep_pages_is_in_proportion():
+    import time
+
+    def took(n):
+        t = time.process_time()
+        found = blocklstm.blocks_of("<div>a" * n + "<span>" * n + "<p>b" * n + "</i>" * n)
+        return time.process_time() - t, len(found)
+
+    took(1000)
+    assert took(40_000)[1] == 80_000 and took(40_000)[0] < 8 * took(10_000)[0] + 0.5
+
+
+def test_words_of_a_block_count_to_its_end():
+    """Blocks that differ after their first words have different inputs."""
+    start = "word " * 60
+    one, two = (blocklstm.encode_blocks(blocklstm.blocks_of(f"<p>{start}{end}</p>"))[2].tolist() for end in ("advert", "river"))
+    assert len(one) == len(two) == 61 and one != two

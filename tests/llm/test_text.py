@@ -192,3 +192,56 @@ def test_language_held_out_accuracy_and_edges(spark):
     none = edges.limit(0)
     assert [r["lang_pred"] for r in wordlang.predict(edges.limit(1), wordlang.train(none)).collect()] == ["und"]
     assert wordlang.predict(none, wordlang.train(none)).count() == 0
+
+
+def thue_morse(n):
+    """Words that collide with their complements in polynomial hashes modulo 2**64, whatever the base."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+
+
+def test_colliding_pre_tokens_keep_their_own_ids(library):
+    texts = [w for n in (512, 1024, 2048, 4096) for w in thue_morse(n)] * 2
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    one, two = thue_morse(4096)
+    start = np.array([0, 4096])
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    assert len(set(common.word_hashes(raw, start, start + 4096).tolist())) == 1                     # they do collide
+    encoder = orc_tokens.LibraryEncoder(PATH)
+    for part in (texts, texts[::-1], texts[1::2]):
+        ids, n = encoder.encode(*common.utf8_view(pa.array(part)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in part]
+    coder = transducer.Coder(transducer.lexicon_arrays([one.encode(), b"ab"], transducer.base_arrays(PATH)))
+    ids, bounds = coder.encode(*common.utf8_view(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
+def test_time_of_long_pre_tokens_is_in_proportion(library):
+    import time
+    coder = transducer.Coder(transducer.lexicon_arrays([], transducer.base_arrays(PATH)))
+    rng = random.Random(6)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(200_000))
+
+    def took(n):
+        t = time.process_time()
+        ids, _ = coder.encode(*common.utf8_view(pa.array([text[:n]])))
+        return time.process_time() - t, ids
+
+    assert took(2000)[1].tolist() == library.encode(text[:2000], add_special_tokens=False).ids
+    assert took(200_000)[0] < 6 * took(50_000)[0] + 0.5
+
+
+def test_time_of_many_license_anchors_is_in_proportion():
+    import time
+    scanner = license_template.Scanner(license_template.PHRASES, license_template.TEMPLATES)
+
+    def took(n):
+        data = common.utf8_view(pa.array(["licensed under the terms " * n]))
+        t = time.process_time()
+        scanner.chunk(*data)
+        return time.process_time() - t
+
+    took(100)
+    assert took(80_000) < 8 * took(20_000) + 0.5             # 2 MB
