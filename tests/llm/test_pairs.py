@@ -349,3 +349,29 @@ def test_components_are_joined_by_fresh_links(spark):
     assert groups(roots) == groups(links.components(frame(old + new)))
     assert roots.join(roots.select("node").toDF("root"), "root", "left_anti").count() == 0        # a root is a node of its component
     assert links.joined(links.components(frame([])), frame([(1, 2)])).count() == 2
+
+
+def test_short_items_are_matched_on_word_borders(spark):
+    items = spark.createDataFrame([(1, "7 x 8?"), (2, "中国的首都是哪里"), (3, "Why so"), (4, "Why so"), (5, "!")], "item_id long, text string")
+    rows = [(1, "so 7 (x) 8, then", "en"), (2, "17 x 8 and 7 x 81", "en"), (3, "请问中国的首都是哪里？", "zh"), (4, "why, so? why so", "en"), (5, "whyso why sofa", "en"), (6, "why", "en"), (7, "so", "en"), (8, "", "en")]
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in qgram.matches(H.docs(spark, rows), items).collect())
+    assert got == [(1, 1, 3, 10, 0), (3, 2, 2, 10, 0), *((4, i, s, e, 0) for i in (3, 4) for s, e in ((0, 7), (9, 15)))]
+
+
+def test_recall_by_replaced_words():
+    """Items of some 37 words with words replaced by others: what the budget of edits reaches."""
+    rng = random.Random(2)
+    pool = ["river", "stone", "quickly", "over", "the", "blue", "window", "and", "seven", "small", "houses", "écoute", "bien"]
+    items = [(i, " ".join(rng.choices(pool, k=37))) for i in range(60)]
+    index = qgram.Index(items)
+    recall = []
+    for k in (0, 1, 2):
+        texts = []
+        for _, t in items:
+            w = t.split()
+            for a in rng.sample(range(37), k):
+                w[a] = rng.choice(pool)
+            texts.append(" ".join(rng.choices(pool, k=20) + w + rng.choices(pool, k=20)))
+        found = {(r[0], r[1]) for r in qgram.chunk_matches(index, *common.utf8_view(pa.array(texts)))}
+        recall.append(sum((i, i) in found for i in range(60)) / 60)
+    assert recall[0] == 1 and recall[1] >= 0.98 and recall[2] >= 0.8
