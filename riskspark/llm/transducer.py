@@ -356,7 +356,9 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 
 
 def encode(docs: DataFrame, lexicon: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text as array<int>. No shuffle."""
+    """``docs`` with the ids of each text as array<int>, in place of a column of that name. No
+    shuffle."""
+    docs = docs.drop(*({ids_col} - {text_col}))
     names = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,7 +175,8 @@ class Predictor:
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the language and its score."""
+    """``docs`` with the language and its score; columns of these names are replaced."""
+    docs = docs.drop(*({lang_out, score_out} - {text_col}))
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)

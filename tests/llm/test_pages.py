@@ -152,3 +152,46 @@ def test_words_of_a_block_count_to_its_end():
     start = "word " * 60
     one, two = (blocklstm.encode_blocks(blocklstm.blocks_of(f"<p>{start}{end}</p>"))[2].tolist() for end in ("advert", "river"))
     assert len(one) == len(two) == 61 and one != two
+
+
+def plain_labels(model, page):
+    """The network on one page, a block and a gate at a time."""
+    import math
+    import zlib
+
+    def mean(table, tokens):
+        return np.mean([table[k] for k in tokens], axis=0)
+
+    x = []
+    for k, b in enumerate(page):
+        names = {*b.path, *("near " + t for t in b.near)}
+        tokens = [zlib.crc32(t.encode()) % blocklstm.PATH_BUCKETS for t in names] or [0]
+        words = [zlib.crc32(w.encode()) % blocklstm.WORD_BUCKETS for w in b.text.lower().split()]
+        n, stops = len(b.text), sum(b.text.count(c) for c in ".!?,")
+        own = [math.log1p(n) / 8, b.linked / n, min(1.0, 20 * stops / n), float(len(b.tag) == 2 and b.tag.startswith("h")), float(b.tag == "p"), k / len(page), 1.0]
+        x.append(np.concatenate([mean(model["path"], tokens), mean(model["word"], words), own]))
+    size, gate = blocklstm.HIDDEN, lambda v: 1 / (1 + math.exp(-max(-30, min(30, v))))
+
+    def read(order, w, u, c):
+        h, s, out = np.zeros(size), np.zeros(size), {}
+        for k in order:
+            z = x[k] @ w + h @ u + c
+            nh, ns = np.zeros(size), np.zeros(size)
+            for j in range(size):
+                i, f, o = (gate(z[j + q * size]) for q in range(3))
+                ns[j] = f * s[j] + i * math.tanh(z[j + 3 * size])
+                nh[j] = o * math.tanh(ns[j])
+            h, s = nh, ns
+            out[k] = h
+        return out
+
+    fwd = read(range(len(x)), model["wf"], model["uf"], model["cf"])
+    back = read(range(len(x) - 1, -1, -1), model["wb"], model["ub"], model["cb"])
+    return [bool(np.concatenate([fwd[k], back[k], x[k]]) @ model["out"] + model["bias"][0] > 0) for k in range(len(x))]
+
+
+def test_labels_equal_a_plain_network(model):
+    pages = [blocklstm.blocks_of(r[0]) for r in duckdb.sql("select html from read_parquet('/root/testdata/sf0.01/pages.parquet') order by page_id offset 200 limit 25").fetchall()]
+    pages = [p for p in [*pages, blocklstm.blocks_of(PAGE)] if p]
+    got = blocklstm.Labeller(model).label(pages)
+    assert [g.tolist() for g in got] == [plain_labels(model, p) for p in pages]

@@ -316,7 +316,7 @@ def test_pipeline(spark, tmp_path):
     good = [(20 + i, " ".join(H.words(rng, 50)) + f" mail me{i}@x.org", "en") for i in range(5)]
     rows = [*H.edge_rows(), (10, " ".join(base), "en"), (11, near, "en"), (12, " ".join(base), "en"), (13, "words before " + item + " words after", "en"), *good]
     sf = f"file://{tmp_path}"
-    H.docs(spark, rows).drop("score", "ids").write.parquet(f"{sf}/documents.parquet")
+    H.docs(spark, rows).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     docs, names = spark.read.parquet(f"{sf}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:

@@ -186,7 +186,7 @@ def test_language_held_out_accuracy_and_edges(spark):
     held = got[got["held_out"] & got["lang"].notna()]
     assert len(held) > 100 and (held["lang"] == held["lang_pred"]).mean() > 0.98
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got["doc_id"]]).all()
-    edges = H.docs(spark, H.edge_rows()).drop("score")
+    edges = H.docs(spark, H.edge_rows())                     # its column score is replaced
     out = wordlang.predict(edges, wordlang.train(edges)).select("doc_id", "lang_pred", "score").collect()
     assert len(out) == len(H.edge_rows()) and all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 3, 9)) and 0 <= r["score"] <= 1 for r in out)
     none = edges.limit(0)
@@ -245,3 +245,65 @@ def test_time_of_many_license_anchors_is_in_proportion():
 
     took(100)
     assert took(80_000) < 8 * took(20_000) + 0.5             # 2 MB
+
+
+def plain_languages(rows, texts):
+    """Word-first backoff with dictionaries: rows (text, lang) to learn from, texts to judge; all counts are kept."""
+    import math
+    from collections import Counter, defaultdict
+
+    def split(text):
+        out, word = [], ""
+        for c in (text or "") + " ":
+            if c.isalpha():
+                word += c.lower() if len(c.lower()) == 1 else c
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def grams(word, n):
+        padded = f" {word} " if n > 1 else word
+        return [padded[i:i + n] for i in range(len(padded) - n + 1)]
+
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for w in split(text):
+            counts[lang, 0][w] += 1
+            for n in range(1, wordlang.LONGEST + 1):
+                counts[lang, n].update(grams(w, n))
+    langs = sorted({lang for lang, _ in counts})
+    known = {n: set().union(*(counts[x, n] for x in langs)) for n in range(wordlang.LONGEST + 1)}
+    size = {(x, n): sum(counts[x, n].values()) + len(counts[x, n]) + 1 for x in langs for n in known}
+    log = lambda x, n, key: math.log((counts[x, n][key] + 0.5) / size[x, n])
+
+    def word_scores(w):
+        if w in known[0]:
+            return [log(x, 0, w) for x in langs]
+        for n in range(wordlang.LONGEST, 0, -1):
+            if found := [g for g in grams(w, n) if g in known[n]]:
+                return [sum(log(x, n, g) for g in found) / len(found) for x in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        scores = [word_scores(w) for w in split(text)]
+        if not scores or not langs:
+            out.append((wordlang.UND, 0.0))
+            continue
+        sums = [sum(s[k] for s in scores) for k in range(len(langs))]
+        best = max(range(len(langs)), key=lambda k: sums[k])
+        out.append((langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)))
+    return out
+
+
+def test_languages_equal_plain_dictionaries(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{H.SF}/documents.parquet").limit(60).collect()]
+    learn = [(t, x) for i, t, x in rows if x is not None and t is not None and i % 3]
+    texts = [t for _, t, _ in rows] + ["", None, "12 ?!", "Überß straße ÉTÉ", "zzzz qqq", "日本 語", "a"]
+    model = wordlang.train(spark.createDataFrame(learn, "text string, lang string"))
+    asked = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = [(r["lang_pred"], r["score"]) for r in wordlang.predict(asked, model).orderBy("k").collect()]
+    want = plain_languages(learn, texts)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
