@@ -2,8 +2,9 @@
 
 The tails use the regularised incomplete beta function,
 ``P(X <= k) = I_{1-p}(n-k, k+1)`` and ``P(X >= k) = I_p(k, n-k+1)``, evaluated
-with Lentz's continued fraction inside a SQL ``aggregate`` loop. The cost is a
-few hundred steps per row whatever ``n`` is, so a decile of a billion rows costs
+by the convergents of its continued fraction (NIST Digital Library of
+Mathematical Functions, 8.17.22 and 1.12(ii)) inside a SQL ``aggregate`` loop. The
+cost is a few hundred steps per row whatever ``n`` is, so a decile of a billion rows costs
 the same as one of a thousand. These expressions are meant for aggregated rows
 (one per decile / bin), never for raw input rows.
 
@@ -34,27 +35,28 @@ def lgamma_sql(x: str) -> str:
             f" ELSE {_stirling(shifted)} - ln({prod}) END)")
 
 
-def _fix(v: str) -> str:
-    return f"(CASE WHEN abs({v}) < 1e-300D THEN 1e-300D ELSE {v} END)"
+def _partial_numerator(a: str, b: str, x: str, j: str) -> str:
+    """The j-th partial numerator of 1 / (1 + d1 / (1 + d2 / (1 + ...)))."""
+    m = f"(cast({j} div 2 AS DOUBLE))"
+    return (f"(CASE WHEN {j} % 2 = 0 THEN {m} * (({b}) - {m}) * ({x}) / ((({a}) + 2.0D * {m} - 1.0D) * (({a}) + 2.0D * {m}))"
+            f" ELSE -((({a}) + {m}) * (({a}) + ({b}) + {m}) * ({x})) / ((({a}) + 2.0D * {m}) * (({a}) + 2.0D * {m} + 1.0D)) END)")
 
 
-def _betacf(a: str, b: str, x: str) -> str:
-    """Continued fraction for the incomplete beta (Lentz), as a SQL aggregate."""
-    qab, qap, qam = f"(({a}) + ({b}))", f"(({a}) + 1.0D)", f"(({a}) - 1.0D)"
-    d0 = f"(1.0D / {_fix(f'(1.0D - {qab} * ({x}) / {qap})')})"
-    m = "(cast((j + 1) div 2 AS DOUBLE))"
-    aa = (f"(CASE WHEN j % 2 = 1 THEN {m} * (({b}) - {m}) * ({x}) / (({qam} + 2.0D * {m}) * (({a}) + 2.0D * {m}))"
-          f" ELSE -((({a}) + {m}) * ({qab} + {m}) * ({x})) / ((({a}) + 2.0D * {m}) * ({qap} + 2.0D * {m})) END)")
-    new_d = f"(1.0D / {_fix(f'(1.0D + {aa} * s.d)')})"
-    new_c = _fix(f"(1.0D + {aa} / s.c)")
-    # iterations needed grow like sqrt(max(a, b)); the cap keeps the loop finite
+def _fraction_sql(a: str, b: str, x: str) -> str:
+    """The continued fraction of the incomplete beta. Numerators p and denominators q of two
+    successive convergents follow one three-term recurrence; both are divided by q at each
+    step, so they stay in range, and the loop rests once a convergent repeats the last."""
+    q = f"(1.0D + {_partial_numerator(a, b, x, 'j')} * s.q_last)"
+    p = f"(s.p + {_partial_numerator(a, b, x, 'j')} * s.p_last)"
+    # terms needed grow like sqrt(max(a, b)); the bound keeps the loop finite
     steps = f"cast(2 * (300 + 4 * ceil(sqrt(greatest({a}, {b})))) AS INT)"
+    # of the fraction below the leading 1: p / q -> 1 + d1 / (1 + d2 / ...), with q scaled to 1
     return (f"aggregate(sequence(1, {steps}),"
-            f" named_struct('c', 1.0D, 'd', {d0}, 'h', {d0}, 'done', false),"
-            f" (s, j) -> CASE WHEN s.done THEN s ELSE named_struct("
-            f"'c', {new_c}, 'd', {new_d}, 'h', s.h * {new_d} * {new_c},"
-            f" 'done', (j % 2 = 0) AND abs({new_d} * {new_c} - 1.0D) < 1e-15D) END,"
-            f" s -> s.h)")
+            f" named_struct('p', 1.0D, 'p_last', 1.0D, 'q_last', 0.0D, 'still', false),"
+            f" (s, j) -> CASE WHEN s.still THEN s ELSE named_struct("
+            f"'p', {p} / {q}, 'p_last', s.p / {q}, 'q_last', 1.0D / {q},"
+            f" 'still', abs({p} / {q} - s.p) <= 1e-16D * abs(s.p)) END,"
+            f" s -> 1.0D / s.p)")
 
 
 def betainc_sql(a: str, b: str, x: str) -> str:
@@ -62,8 +64,8 @@ def betainc_sql(a: str, b: str, x: str) -> str:
     ln_front = (f"({lgamma_sql(f'(({a}) + ({b}))')} - {lgamma_sql(a)} - {lgamma_sql(b)}"
                 f" + ({a}) * ln({x}) + ({b}) * ln(1.0D - ({x})))")
     front = f"exp({ln_front})"
-    direct = f"({front} * {_betacf(a, b, x)} / ({a}))"
-    mirrored = f"(1.0D - {front} * {_betacf(b, a, f'(1.0D - ({x}))')} / ({b}))"
+    direct = f"({front} * {_fraction_sql(a, b, x)} / ({a}))"
+    mirrored = f"(1.0D - {front} * {_fraction_sql(b, a, f'(1.0D - ({x}))')} / ({b}))"
     return (f"(CASE WHEN ({x}) < (({a}) + 1.0D) / (({a}) + ({b}) + 2.0D)"
             f" THEN {direct} ELSE {mirrored} END)")
 
@@ -148,37 +150,24 @@ from pyspark.sql import types as T  # noqa: E402
 _lgamma_vec = np.vectorize(math.lgamma, otypes=[float])
 
 
-def _betacf_np(a, b, x, eps=1e-15, fpmin=1e-300):
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < fpmin, fpmin, d)
-    d = 1.0 / d
-    h = d.copy()
-    active = np.ones(x.shape, dtype=bool)
-    maxit = int(300 + 4 * math.ceil(math.sqrt(float(np.max(np.maximum(a, b)))))) if x.size else 0
-    m = 1
+def _fraction_np(a, b, x):
+    """``_fraction_sql`` for arrays."""
+    value, p_last, q_last = np.ones_like(x), np.ones_like(x), np.zeros_like(x)
+    moving = np.ones(x.shape, dtype=bool)
+    terms = 2 * int(300 + 4 * math.ceil(math.sqrt(float(np.max(np.maximum(a, b)))))) if x.size else 0
     with np.errstate(all="ignore"):
-        while m <= maxit and active.any():
-            m2 = 2.0 * m
-            aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-            d = 1.0 + aa * d
-            d = np.where(np.abs(d) < fpmin, fpmin, d)
-            c = 1.0 + aa / c
-            c = np.where(np.abs(c) < fpmin, fpmin, c)
-            d = 1.0 / d
-            step = d * c
-            aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-            d = 1.0 + aa * d
-            d = np.where(np.abs(d) < fpmin, fpmin, d)
-            c = 1.0 + aa / c
-            c = np.where(np.abs(c) < fpmin, fpmin, c)
-            d = 1.0 / d
-            de = d * c
-            h = np.where(active, h * step * de, h)
-            active &= np.abs(de - 1.0) >= eps
-            m += 1
-    return h
+        for j in range(1, terms + 1):
+            m = j // 2
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if j % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            q = 1.0 + d * q_last
+            new = (value + d * p_last) / q
+            still = np.abs(new - value) <= 1e-16 * np.abs(value)
+            p_last, q_last = value / q, 1.0 / q
+            value = np.where(moving, new, value)
+            moving &= ~still
+            if not moving.any():
+                break
+    return 1.0 / value
 
 
 def betainc_np(a, b, x):
@@ -192,7 +181,7 @@ def betainc_np(a, b, x):
     with np.errstate(all="ignore"):
         front = np.exp(_lgamma_vec(aa + bb) - _lgamma_vec(aa) - _lgamma_vec(bb)
                        + aa * np.log(xx) + bb * np.log1p(-xx))
-    val = front * _betacf_np(aa, bb, xx) / aa
+    val = front * _fraction_np(aa, bb, xx) / aa
     return np.where(swap, 1.0 - val, val)
 
 
