@@ -190,3 +190,30 @@ def test_knn_holds_one_key_of_pivots_in_a_task(spark, monkeypatch):
     placed, tops, cells = gen._placed(vectors, "_kg", None)
     assert 20 <= cells.count() <= 60 and tops.count() <= 16
     assert cells.groupBy("top").count().agg(F.max("count")).first()[0] < cells.count()
+
+
+def test_knn_gives_out_no_more_pairs_than_it_keeps(spark, monkeypatch):
+    """Points on a grid (many equal distances): a cell gives out k + 1 pairs at most for a point that
+    meets it, none beyond the bound, in tasks of a given number; neighbours equal brute force, ids included."""
+    monkeypatch.setattr(gen, "ROWS_A_SALT", 16)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (600, 2)).astype(float)
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    meet, met = gen._meet, []
+
+    def watched(pivots, rows, key, kernel, extra, *more):
+        out = meet(pivots, rows, key, kernel, extra, *more)
+        if "nbr_id" in extra:
+            met.append((out.rdd.getNumPartitions(), out.groupBy("vid").count().collect(), dict(map(tuple, rows.groupBy("vid").count().collect()))))
+        return out
+
+    monkeypatch.setattr(gen, "_meet", watched)
+    got = {}
+    for r in gen.knn(pts, 4).collect():
+        got.setdefault(r["id"], []).append((r["dist"], r["nbr_id"]))
+    assert len(met) == 2
+    for tasks, pairs, cells in met:
+        assert tasks == 8 and all(r["count"] <= 5 * cells[r["vid"]] for r in pairs)
+    for i in range(600):
+        want = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(600) if j != i)[:4]
+        assert sorted(got[i]) == want
