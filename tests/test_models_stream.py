@@ -131,3 +131,24 @@ def test_folders_of_models(spark, tmp_path):
     assert md.load_models(str(tmp_path), ["half_written"], failed) == {} and "half_written" in failed
     with pytest.raises(ValueError):
         md.save_model(None, str(tmp_path / "none"), {})
+
+
+def test_presets_are_fitted_side_by_side(spark, monkeypatch):
+    """Every preset's fit begins before any has ended, each is done once, and the rows keep the order asked for."""
+    import threading
+    from riskspark.plans import benchmark as bm
+    together, done = threading.Barrier(3, timeout=30), []
+
+    def fit(frame, preset, *a):
+        together.wait()
+        done.append(preset)
+        return preset
+
+    rows = spark.createDataFrame([(1, "train", 0), (2, "test", 1)], "loan_id long, split string, target int")
+    monkeypatch.setattr(bm, "loan_frame", lambda *a: rows)
+    monkeypatch.setattr(bm.fx, "stored_result", lambda s, d, name, build: build())
+    monkeypatch.setattr(bm.md, "fit", fit)
+    monkeypatch.setattr(bm.md, "score_long", lambda models, df, *a: df.select(F.lit([*models][0]).alias("model"), "loan_id"))
+    names = ["XGBoost", "RandomForest", "LogisticRegression"]
+    out = bm.predictions(spark, "nowhere", names)
+    assert sorted(done) == sorted(names) and [r["model"] for r in out.collect()] == [n for n in names for _ in range(2)]
