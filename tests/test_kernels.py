@@ -97,3 +97,23 @@ def test_binary_search_counts_match_linear(spark):
         assert r.k == sum(1 for v in arr if v < r.x)
     none = spark.createDataFrame([(1.0,)], "x double").withColumn("a", F.lit(None).cast("array<double>"))
     assert count_below_sorted(none, F.col("x"), "a", 40, "k").first().k == 0
+
+
+def test_a_row_looks_only_at_the_quantile_levels_about_its_share(spark, monkeypatch):
+    """1001 levels over groups of many, few, equal and single values equal NumPy's, and no row's
+    expression goes through all levels: those it looks at are a slice of them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from riskspark.operators import kernels
+    sliced, plain = [], F.slice
+    monkeypatch.setattr(kernels.F, "slice", lambda *a: sliced.append(a) or plain(*a))
+    rng = np.random.default_rng(5)
+    groups = {"many": rng.normal(size=3000), "few": rng.integers(0, 3, 2000).astype(float), "equal": np.full(50, 7.0),
+              "one": np.array([2.5]), "two": np.array([1.0, 4.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double")
+    for probs in ([i / 1000 for i in range(1001)], [0.5], [0.0, 0.1, 0.9, 0.901, 1.0]):
+        got = {r["g"]: (r["n"], r["q"]) for r in kernels.exact_quantiles(rows, ["g"], "v", probs, "q").collect()}
+        for g, x in groups.items():
+            assert got[g][0] == len(x)
+            np.testing.assert_allclose(got[g][1], np.quantile(x, probs), rtol=1e-12)
+    assert len(sliced) == 3
