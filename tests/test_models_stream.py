@@ -152,3 +152,17 @@ def test_presets_are_fitted_side_by_side(spark, monkeypatch):
     names = ["XGBoost", "RandomForest", "LogisticRegression"]
     out = bm.predictions(spark, "nowhere", names)
     assert sorted(done) == sorted(names) and [r["model"] for r in out.collect()] == [n for n in names for _ in range(2)]
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """Every fold's fit begins before any has ended, and the scores are those of the left-out rows."""
+    import threading
+    together, whole = threading.Barrier(3, timeout=60), md.fit
+
+    def fit(*a, **kw):
+        together.wait()
+        return whole(*a, **kw)
+
+    monkeypatch.setattr(md, "fit", fit)
+    got = md.cross_validate(search_frame(spark), "LogisticRegression", ["x", "z"], [], "y", "k", k=3).collect()
+    assert sorted(r["fold"] for r in got) == [0, 1, 2] and all(r["auc_roc"] > 0.65 for r in got)
