@@ -166,3 +166,7 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(md, "fit", fit)
     got = md.cross_validate(search_frame(spark), "LogisticRegression", ["x", "z"], [], "y", "k", k=3).collect()
     assert sorted(r["fold"] for r in got) == [0, 1, 2] and all(r["auc_roc"] > 0.65 for r in got)
+
+
+def test_forest_rows_keep_their_nodes():
+    assert md.estimator("rf", {"numTrees": 3}).getCacheNodeIds()
