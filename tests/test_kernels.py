@@ -117,3 +117,17 @@ def test_a_row_looks_only_at_the_quantile_levels_about_its_share(spark, monkeypa
             assert got[g][0] == len(x)
             np.testing.assert_allclose(got[g][1], np.quantile(x, probs), rtol=1e-12)
     assert len(sliced) == 3
+
+
+def test_running_sums_shuffle_the_placed_rows_once(spark):
+    """The rows meet the offsets of their range where they lie; only the window deals them anew."""
+    df, _ = _values(spark)
+    out = value_cumsums(df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), ["g"], "v", ["n"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_row_of_no_count_comes_before_the_counted_one(spark):
+    counts = spark.createDataFrame([("a", 1.0, 2), ("a", 2.0, 3), ("a", 2.0, 0), ("a", 3.0, 0), (None, 2.0, 0), (None, 2.0, 5)], "g string, v double, n long")
+    got = {(r.g, r.v, r.n): (r.cum_n, r.tot_n) for r in value_cumsums(counts, ["g"], "v", ["n"]).collect()}
+    assert got == {("a", 1.0, 2): (2, 5), ("a", 2.0, 0): (2, 5), ("a", 2.0, 3): (5, 5), ("a", 3.0, 0): (5, 5),
+                   (None, 2.0, 0): (0, 5), (None, 2.0, 5): (5, 5)}

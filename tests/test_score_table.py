@@ -101,3 +101,17 @@ def test_empty_scores(spark):
     assert ev.evaluate_models(df, ["g"], "s", "s0").count() == 0
     assert ev.population_stability(df, ["g"], "s").count() == 0
     assert tl.tl_all_models(df, ["g", "s"]).count() == 0
+
+
+def test_edges_that_are_scores_of_both_sides(spark):
+    """Marks at the very scores: PSI equals histograms, and the other metrics do not see the marks."""
+    rng = random.Random(9)
+    data = [(i, "a", f"s{i % 3}", int(rng.random() < 0.4), rng.randrange(11) / 10 if i > 40 else [0.0, 1.0][i % 2]) for i in range(900)]
+    df = frame(spark, data)
+    table = st.score_table(df, ["g"], "y", "p", "s", "s0")
+    scores = {s: np.array([r[4] for r in data if r[2] == s]) for s in ("s0", "s1", "s2")}
+    for r in ev.psi_pooled(table, ["g"], "s", "s0").collect():
+        assert r.psi == pytest.approx(psi(scores["s0"], scores[r.s]), abs=2e-6)
+    by = ["g", "s"]
+    for metric in (ev.curve_metrics, tl.tl_probability_bins, tl.tl_basel):
+        assert sorted(map(str, metric(table, by).collect())) == sorted(map(str, metric(df, by).collect()))
