@@ -83,6 +83,17 @@ def test_param_search_query_asks_for_the_whole_budget():
     assert [sum(len(m) for _, m in f) for f in fits] == [100] * 5
 
 
+@pytest.mark.parametrize("preset", list(md.SEARCH_SPACE))
+def test_every_trial_is_drawn_apart(preset):
+    """By default no two of the 100 trials share a setting of the parameters that are drawn from a
+    continuous range, and every trial of an ensemble is a fit of its own."""
+    trials = md.sample_params(preset, 100)
+    for name, spec in md.SEARCH_SPACE[preset].items():
+        if spec[0] in ("float", "log"):
+            assert len({t[name] for t in trials}) == 100
+    assert [len(m) for _, m in md.ensembles(preset, trials)] == [1] * 100
+
+
 @pytest.mark.parametrize("preset", list(md.PRESETS))
 def test_every_preset_separates(spark, preset):
     """The acceptance floor of an AUC of 0.65, on rows that a model can tell apart."""
