@@ -181,3 +181,17 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
 
 def test_forest_rows_keep_their_nodes():
     assert md.estimator("rf", {"numTrees": 3}).getCacheNodeIds()
+
+
+def test_presets_share_their_cleaning(spark, monkeypatch):
+    """Fits that are given one ``Cleaning`` impute and code their rows by the same fitted stages, and score as fits of their own do."""
+    fitted, whole = [], md.ReferenceImputer._fit
+    monkeypatch.setattr(md.ReferenceImputer, "_fit", lambda self, df: fitted.append(1) or whole(self, df))
+    rows = [(i, float(i % 17) if i % 7 else None, "ab"[i % 2] if i % 5 else None, int((i % 17 > 8) ^ (i % 11 == 0))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, x double, c string, y int").withColumn("split", F.lit("all"))
+    light = {"CatBoost": {"iterations": 2, "depth": 2}, "RandomForest": {"n_estimators": 3, "max_depth": 3}, "LogisticRegression": {}}
+    cleaning = md.Cleaning()
+    scored = lambda m: sorted(map(str, md.score_long(m, df, "k", "y").collect()))
+    together = {p: md.fit(df, p, ["x"], ["c"], "y", o, cleaning) for p, o in light.items()}
+    assert len(fitted) == 1
+    assert scored(together) == scored({p: md.fit(df, p, ["x"], ["c"], "y", o) for p, o in light.items()}) and len(fitted) == 4
