@@ -7,7 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskspark.operators import models as md
-from riskspark.operators.logistic import fit_together, probabilities, sigmoid
+from riskspark.operators import logistic
+from riskspark.operators.logistic import fit_together, fold_auc, probabilities, sigmoid
 
 
 def frame(spark, n=600):
@@ -52,3 +53,34 @@ def test_logistic_trials_take_a_few_passes(spark, monkeypatch):
     got = md.param_search(df, ["LogisticRegression"], ["x", "z"], [], "y", "k", k=2).collect()
     assert len(got) == 100 and sorted(r["rank"] for r in got) == list(range(1, 101))
     assert 0 < len(passes) < 40 and len(single) == 2         # one a fold builds the preparing pipeline
+
+
+def test_scores_are_ranked_a_few_trials_at_a_time(spark, monkeypatch):
+    """Exact AUCs over several ranges of a fold's scores and several runs of trials, with ties and a model that scores
+    all rows alike: those of ``curve_metrics`` over a stored row a score, without that table."""
+    from riskspark.operators.evaluate import curve_metrics
+    df = frame(spark, 900).where("out < 2").withColumn("fold", F.col("out")).repartition(5)
+    df = df.unionByName(df.where("label = 1").limit(40))          # rows that tie
+    state = fit_together(df, [{f: p for f in range(2)} for p in ({"regParam": 0.02, "elasticNetParam": 1.0}, {"regParam": 1e9, "elasticNetParam": 1.0}, {"regParam": 0.1})], 50)
+    want = {(r["trial"], r["fold"]): r["auc_roc"] for r in curve_metrics(probabilities(df, state), ["trial", "fold"]).collect()}
+    runs, whole = [], logistic.scorer
+    monkeypatch.setattr(logistic, "A_RANGE", 50)
+    monkeypatch.setattr(logistic, "VALUES", 1)
+    monkeypatch.setattr(logistic, "LEAST", 2)
+    monkeypatch.setattr(logistic, "scorer", lambda state, trials=None: runs.append(list(trials)) or whole(state, trials))
+    held = logistic.arrayed(df).withColumn("fold", F.col("outs")[0])
+    assert {(r["trial"], r["fold"]): r["auc_roc"] for r in fold_auc(held, state, 940).collect()} == want
+    assert [2] in runs and [0, 1] in runs and want[(1, 0)] == 0.5
+
+
+def test_a_row_stands_once_for_the_folds_that_prepare_it_alike(spark):
+    """A search stores a row once and not a copy for each fold left out; only rows whose fills differ between folds come again."""
+    rows = [(i, float(i) if i % 9 else None, "ab"[i % 2], int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, c string, y int")
+    folded, fitted = md.fold_pipelines(df, ["x"], ["c"], "y", "k", 3, rates=False)
+    got = md.rows_of_folds(folded, fitted, ["x", "c"])
+    full = got.select(F.explode("outs").alias("out"), "fold", "label", F.col("x")[0].alias("v"), F.col("x")[1].alias("c"))
+    assert got.where(F.size("outs") == 3).count() >= 300 - 34 and full.count() == 900
+    for f, model in fitted.items():
+        want = sorted((r["fold"], r["label"], *r["features"].toArray()) for r in model.transform(folded).collect())
+        assert sorted((r["fold"], r["label"], r["v"], float(r["c"])) for r in full.where(F.col("out") == f).collect()) == want
